@@ -18,6 +18,7 @@ from clickloom.functions.stats import round_to
 from clickloom.operators import ads as ads_ops
 from clickloom.operators import journeys as J
 from clickloom.operators import reports as R
+from clickloom.operators.attribution import attribute_conversions
 from clickloom.operators.filters import valid_events
 from clickloom.sources.fixtures import FX_ADS_AS_OF, FX_AS_OF, FX_CONTROL_PATTERN, fx_ads, fx_events
 
@@ -67,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "valid_events": lambda spark, sf: base(spark, sf).drop("p"),
     "exclusion_audit": _e(lambda ev: R.exclusion_audit(ev, FX_AS_OF, DAYS, FX_CONTROL_PATTERN)),
     "raw_events": _b(lambda b: R.raw_events(b, RAW_LIMIT)),
+    # flagship: conversion attribution (as-of joins, 30-day look-back)
+    "attribute_conversions": _e(attribute_conversions),
     # report blocks (live export)
     "overview": _b(R.overview),
     "overview_basic": _b(R.overview_basic),

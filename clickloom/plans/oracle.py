@@ -631,3 +631,46 @@ o AS (SELECT date_start, account_id, campaign_id, campaign_name, adset_id, adset
   FROM ads ORDER BY date_start, spend DESC, account_id, ad_id LIMIT 20000)
 SELECT * EXCLUDE (spend, purchase_value), round(spend, 6) AS spend, round(purchase_value, 6) AS purchase_value,
   {metrics()} FROM o"""
+
+# ------------------------------------------------------------------ attribution
+_ELIGIBLE = f"{NOT_TEST} AND {NOT_INTERNAL}"
+
+
+def _match(name: str, conv_key: str, cand_sql: str) -> str:
+    return f"""{name} AS (SELECT c.event_id AS cid, h.session_id AS m_session, h.visitor_id AS m_visitor, h.hid AS m_event
+  FROM conv c JOIN {cand_sql} h ON h.k = c.{conv_key} AND h.client_timestamp <= c.client_timestamp
+    AND h.received_at >= c.received_at - INTERVAL 30 DAY AND h.received_at < c.received_at
+  QUALIFY row_number() OVER (PARTITION BY c.event_id ORDER BY h.client_timestamp DESC, h.received_at DESC, h.hid DESC) = 1)"""
+
+
+def _cands(names: str, keys: list[str], extra: str = "") -> str:
+    arr = ", ".join(f"NULLIF({k}, '')" for k in keys)
+    return f"""(SELECT DISTINCT k, CAST(event_id AS VARCHAR) AS hid, client_timestamp, received_at,
+    CAST(session_id AS VARCHAR) AS session_id, CAST(visitor_id AS VARCHAR) AS visitor_id
+  FROM (SELECT *, unnest([{arr}]) AS k FROM fx WHERE event_name IN ({names}) AND {_ELIGIBLE}{extra}) WHERE k IS NOT NULL)"""
+
+
+_TAGGED = (f" AND (NULLIF(utm_campaign, '') IS NOT NULL OR NULLIF(fbclid, '') IS NOT NULL"
+           f" OR NULLIF({jx('first_touch.utm_campaign')}, '') IS NOT NULL OR NULLIF({jx('first_touch.fbclid')}, '') IS NOT NULL)")
+_METHOD = ("CASE m.prio WHEN 3 THEN 'checkout_id' WHEN 4 THEN 'order_id' "
+           "WHEN 5 THEN 'visitor_latest_attributed_session' ELSE 'same_session' END")
+
+SQL["attribute_conversions"] = FX + f""",
+conv AS (SELECT event_id, event_name, visitor_id, session_id, client_timestamp, received_at,
+    NULLIF(trim(coalesce({jx('checkout_id')}, {jx('checkoutId')}, {jx('ct_checkout_id')}, {jx('checkout_token')})), '') AS checkout_key,
+    NULLIF(trim(coalesce({jx('order_id')}, {jx('orderId')}, {jx('ct_order_id')})), '') AS order_key,
+    CAST(visitor_id AS VARCHAR) AS visitor_key
+  FROM fx WHERE event_name IN ('checkout_started', 'purchase')),
+{_match('mc', 'checkout_key', _cands("'checkout_started', 'add_to_cart', 'buy_button_click'", [jx('checkout_id'), jx('ct_checkout_id'), jx('checkout_token'), jx('conversion_attribution.checkout_id')]))},
+{_match('mo', 'order_key', _cands("'checkout_started', 'add_to_cart'", [jx('order_id'), jx('ct_order_id'), jx('conversion_attribution.order_id')]))},
+{_match('mv', 'visitor_key', _cands("'page_view'", ['CAST(visitor_id AS VARCHAR)'], _TAGGED))},
+allm AS (SELECT 3 AS prio, * FROM mc UNION ALL SELECT 4, * FROM mo UNION ALL SELECT 5, * FROM mv),
+best AS (SELECT * FROM allm QUALIFY row_number() OVER (PARTITION BY cid ORDER BY prio) = 1)
+SELECT c.event_id, c.event_name, c.visitor_id, c.session_id, c.client_timestamp, c.received_at,
+  coalesce(m.m_visitor, CAST(c.visitor_id AS VARCHAR)) AS attributed_visitor_id,
+  coalesce(m.m_session, CAST(c.session_id AS VARCHAR)) AS attributed_session_id,
+  {_METHOD} AS method, m.m_event AS matched_event_id, c.checkout_key AS checkout_id, c.order_key AS order_id,
+  CASE WHEN m.prio = 5 THEN 'medium' WHEN m.prio IN (3, 4) THEN 'high' ELSE 'native' END AS confidence,
+  coalesce(m.m_session, CAST(c.session_id AS VARCHAR)) <> CAST(c.session_id AS VARCHAR) AS cross_session,
+  {_METHOD} AS identifier_source, CAST(30 AS INTEGER) AS lookback_days
+FROM conv c LEFT JOIN best m ON m.cid = c.event_id"""
