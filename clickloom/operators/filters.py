@@ -85,10 +85,14 @@ def dedupe_consecutive_pages(ev: DataFrame, page_instance: str = "page_instance_
     same page instance (null-safe comparison).  The window is keyed by page
     instance, which is bounded by one page load."""
     pv = ev.where(F.col("event_name") == "page_view")
+    # rows without a page instance cannot be compared: they pass unwindowed
+    # (and never gather into one NULL partition).
+    loose = pv.where(F.col(page_instance).isNull())
     w = Window.partitionBy(page_instance).orderBy(ts, tiebreak)
     prev = F.lag("page_url").over(w)
-    kept = pv.withColumn("_prev_url", prev).where(~F.col("_prev_url").eqNullSafe(F.col("page_url")))
-    return kept.drop("_prev_url")
+    kept = (pv.where(F.col(page_instance).isNotNull()).withColumn("_prev_url", prev)
+            .where(~F.col("_prev_url").eqNullSafe(F.col("page_url"))).drop("_prev_url"))
+    return kept.unionByName(loose)
 
 
 def has_text(c: Column) -> Column:

@@ -114,7 +114,7 @@ def visitor_counters(df: DataFrame, visitor: str = "visitor_id", session: str =
     wv = Window.partitionBy(visitor).orderBy("_start")
     sessions = sessions.select(
         visitor, session,
-        F.row_number().over(wv).alias("visit_number"),
+        F.row_number().over(wv).cast("bigint").alias("visit_number"),
         F.min(F.col("_start")[ts]).over(Window.partitionBy(visitor)).alias("first_seen_at"),
     )
     ws = Window.partitionBy(session).orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)

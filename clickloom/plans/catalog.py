@@ -126,3 +126,168 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ads_campaigns": _a(lambda a: ads_ops.ads_campaigns(a, FX_ADS_AS_OF, ADS_DAYS)),
     "ads_daily": _a(lambda a: ads_ops.ads_daily(a, FX_ADS_AS_OF, ADS_DAYS)),
 }
+
+
+# --------------------------------------------------------------------------- ingest / maintenance
+from clickloom.operators import classify as C  # noqa: E402
+from clickloom.operators import filters as FL  # noqa: E402
+from clickloom.operators import sessions as SE  # noqa: E402
+from clickloom.sources import events as SRC  # noqa: E402
+
+SPLIT_OLD = "2024-01-20 00:00:00"   # history stored before this arrival time
+SPLIT_NEW = "2024-01-15 00:00:00"   # new batch starts here (overlap is replayed)
+SPLIT_REPLAY = "2024-01-25 00:00:00"  # rows sent twice by the client outbox
+CLASSIFIED_AT = "2024-01-31T00:00:00Z"
+
+
+def _arrived_before(ts: str):
+    return F.col("received_at") < F.lit(ts).cast("timestamp_ntz")
+
+
+def _q_classify(spark, sf):
+    c = C.classify_traffic(events(spark, sf), FX_CONTROL_PATTERN)
+    return c.select("event_id", "traffic_classification", "traffic_classification_reason")
+
+
+def _q_reclassify(spark, sf):
+    r = C.reclassify_history(events(spark, sf), CLASSIFIED_AT, FX_CONTROL_PATTERN)
+    pj = F.col("properties")
+    return r.select(
+        "event_id",
+        F.get_json_object(pj, "$.traffic_classification").alias("traffic_classification"),
+        F.get_json_object(pj, "$.traffic_classification_reason").alias("traffic_classification_reason"),
+        F.get_json_object(pj, "$.traffic_classification_version").alias("traffic_classification_version"),
+        F.get_json_object(pj, "$.traffic_classified_at").alias("traffic_classified_at"),
+        F.get_json_object(pj, "$.test").alias("test"),
+        F.get_json_object(pj, "$.internal_traffic").alias("internal_traffic"),
+        F.size(F.json_object_keys(pj)).alias("n_keys"),
+    )
+
+
+def _q_mark_duplicates(spark, sf):
+    m = C.mark_duplicates(events(spark, sf))
+    return m.select("event_id", nz_col(F.get_json_object("properties", "$.shopify_event_id")).alias("shopify_event_id"),
+                    "is_duplicate")
+
+
+def nz_col(c):
+    return F.when(c != "", c)
+
+
+def _q_dedupe(spark, sf):
+    d = C.dedupe_shopify(events(spark, sf))
+    return d.select("event_id", "received_at")
+
+
+def _q_insert_ignore(spark, sf):
+    ev = events(spark, sf)
+    target = ev.where(_arrived_before(SPLIT_OLD))
+    batch = ev.where(~_arrived_before(SPLIT_NEW))
+    replay = ev.where(~_arrived_before(SPLIT_REPLAY))
+    ins = SRC.insert_ignore(target, batch.unionByName(replay))
+    return ins.select("event_id", "received_at")
+
+
+def _q_anti_existing(spark, sf):
+    ev = events(spark, sf)
+    target = ev.where(_arrived_before(SPLIT_OLD))
+    batch = ev.where(~_arrived_before(SPLIT_OLD))
+    return SRC.anti_existing(target, batch).select("event_id", "received_at")
+
+
+def _legacy_pred():
+    return F.coalesce(F.get_json_object("properties", "$.traffic_classification"), F.lit("production")) != "production"
+
+
+def _q_archive_split(spark, sf):
+    archived, _ = SRC.archive_split(events(spark, sf), _legacy_pred(), SPLIT_OLD)
+    return archived.select("event_id", "received_at")
+
+
+def _q_archive_record(spark, sf):
+    ev = events(spark, sf)
+    archived, remaining = SRC.archive_split(ev, _legacy_pred(), SPLIT_OLD)
+    return SRC.archive_record(archived, remaining, _legacy_pred(), SPLIT_OLD)
+
+
+def _bodies(spark, sf):
+    return SRC.fixture_bodies(events(spark, sf)).withColumnRenamed("event_id", "source_event_id")
+
+
+def _q_validate(spark, sf):
+    ok, bad = SRC.validate_events(_bodies(spark, sf), keep=("source_event_id",))
+    return ok.select("source_event_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(
+        bad.select("source_event_id", "reject_reason"))
+
+
+def _q_ingest(spark, sf):
+    ok, _ = SRC.validate_events(_bodies(spark, sf), keep=("source_event_id",))
+    return ok.select(
+        "source_event_id", "event_id", "event_name", "client_timestamp", "received_at", "page_path", "page_title",
+        "referrer", "utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid", "device_type",
+        "screen_width", "language",
+        F.get_json_object("properties", "$.test").alias("test"),
+        F.get_json_object("properties", "$.internal_traffic").alias("internal_traffic"))
+
+
+def _q_sessionize(spark, sf):
+    ev = events(spark, sf)
+    s = SE.sessionize(ev, gap_seconds=1800)
+    return s.select("event_id", "visitor_id", "session_no")
+
+
+def _q_session_windows(spark, sf):
+    w = SE.session_window_ids(events(spark, sf), gap="30 minutes")
+    return w.select("visitor_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+                    F.col("session_end").cast("timestamp_ntz").alias("session_end"), "events")
+
+
+def _q_session_entries(spark, sf):
+    b = base(spark, sf)
+    return SE.session_entries(b, {
+        "visitor_id": F.col("visitor_id"), "started_at": F.col("client_timestamp"),
+        "landing_page": F.col("page_url"), "source": R.first_touch_or("utm_source")})
+
+
+def _q_visitor_counters(spark, sf):
+    v = SE.visitor_counters(base(spark, sf))
+    return v.select("event_id", "visit_number", "page_view_index_in_session", "page_view_index_for_visitor",
+                    "first_seen_at", "returning_visitor")
+
+
+def _q_touch(spark, sf):
+    t = SE.touch_attribution(base(spark, sf), touch_cols=("utm_source", "utm_campaign", "fbclid"))
+    return t.select(
+        "event_id",
+        F.col("first_touch.utm_source").alias("first_touch_source"),
+        F.col("first_touch.utm_campaign").alias("first_touch_campaign"),
+        F.col("session_touch.utm_campaign").alias("session_touch_campaign"),
+        F.col("session_touch.fbclid").alias("session_touch_fbclid"),
+        F.col("active_touch.utm_source").alias("active_touch_source"),
+        F.col("active_touch.utm_campaign").alias("active_touch_campaign"),
+    )
+
+
+QUERIES.update({
+    "classify_traffic": _q_classify,
+    "reclassify_history": _q_reclassify,
+    "mark_duplicates": _q_mark_duplicates,
+    "dedupe_shopify": _q_dedupe,
+    "insert_ignore": _q_insert_ignore,
+    "anti_existing": _q_anti_existing,
+    "archive_split": _q_archive_split,
+    "archive_record": _q_archive_record,
+    "validate_events": _q_validate,
+    "ingest_events_batch": _q_ingest,
+    "constraint_check": _e(FL.constraint_check),
+    "production_only": _e(lambda ev: FL.production_only(ev).select("event_id", "event_name", "visitor_id")),
+    "has_any_key": _b(lambda b: b.where(R.has_any_key(R.TAXONOMY_KEYS)).select("event_id")),
+    "dedupe_consecutive_pages": _b(lambda b: FL.dedupe_consecutive_pages(
+        b.withColumn("page_instance_id", R.nz(R.prop("page_instance_id")))).select("event_id")),
+    "sessionize": _q_sessionize,
+    "session_windows": _q_session_windows,
+    "session_entries": _q_session_entries,
+    "latest_page_summary": _b(R.latest_page_summary),
+    "visitor_counters": _q_visitor_counters,
+    "touch_attribution": _q_touch,
+})

@@ -674,3 +674,189 @@ SELECT c.event_id, c.event_name, c.visitor_id, c.session_id, c.client_timestamp,
   coalesce(m.m_session, CAST(c.session_id AS VARCHAR)) <> CAST(c.session_id AS VARCHAR) AS cross_session,
   {_METHOD} AS identifier_source, CAST(30 AS INTEGER) AS lookback_days
 FROM conv c LEFT JOIN best m ON m.cid = c.event_id"""
+
+# ------------------------------------------------------------------ classification / maintenance
+from clickloom.config import (  # noqa: E402
+    CLASSIFY_BOT_UA, CLASSIFY_INTERNAL_URL_PARAM, CLASSIFY_LOCALHOST, CLASSIFY_TEST_CAMPAIGN, CLASSIFY_TEST_URL_PARAM,
+)
+
+_T_OLD, _T_NEW, _T_REPLAY = "2024-01-20 00:00:00", "2024-01-15 00:00:00", "2024-01-25 00:00:00"
+_SID = f"NULLIF({jx('shopify_event_id')}, '')"
+_CLS_INPUT = f"""cin AS (SELECT *, lower(coalesce(page_url, '')) AS u, lower(coalesce(page_path, '')) AS pth,
+    lower(coalesce(utm_campaign, '')) AS cmp, lower(coalesce({jx('server_context.user_agent')}, '')) AS ua,
+    lower(coalesce({jx('test')}, 'false')) = 'true' AS is_t, lower(coalesce({jx('internal_traffic')}, 'false')) = 'true' AS is_i
+  FROM fx),
+cls AS (SELECT *,
+  CASE WHEN is_i OR regexp_matches(u, '{CLASSIFY_INTERNAL_URL_PARAM}') OR regexp_matches(u, '{FX_CONTROL_PATTERN}')
+      OR regexp_matches(u, '{CLASSIFY_LOCALHOST}') THEN 'internal'
+    WHEN regexp_matches(ua, '{CLASSIFY_BOT_UA}') THEN 'bot'
+    WHEN u LIKE '%preview_theme_id=%' OR pth LIKE '%preview_theme_id=%' OR u LIKE '%shopify-preview%' THEN 'preview'
+    WHEN is_t OR regexp_matches(u, '{CLASSIFY_TEST_URL_PARAM}') OR regexp_matches(cmp, '{CLASSIFY_TEST_CAMPAIGN}') THEN 'qa'
+    ELSE 'production' END AS c,
+  CASE WHEN is_i THEN 'property_internal_traffic'
+    WHEN regexp_matches(u, '{CLASSIFY_INTERNAL_URL_PARAM}') THEN 'url_ct_internal'
+    WHEN regexp_matches(u, '{FX_CONTROL_PATTERN}') THEN 'tracker_control_surface'
+    WHEN regexp_matches(u, '{CLASSIFY_LOCALHOST}') THEN 'localhost'
+    WHEN regexp_matches(ua, '{CLASSIFY_BOT_UA}') THEN 'known_bot_user_agent'
+    WHEN u LIKE '%preview_theme_id=%' OR pth LIKE '%preview_theme_id=%' THEN 'shopify_theme_preview'
+    WHEN u LIKE '%shopify-preview%' THEN 'shopify_preview'
+    WHEN is_t THEN 'property_test'
+    WHEN regexp_matches(u, '{CLASSIFY_TEST_URL_PARAM}') THEN 'url_ct_test'
+    WHEN regexp_matches(cmp, '{CLASSIFY_TEST_CAMPAIGN}') THEN 'test_campaign'
+    ELSE 'production_default' END AS r
+  FROM cin)"""
+
+SQL["classify_traffic"] = FX + f""",
+{_CLS_INPUT}
+SELECT event_id, c AS traffic_classification, r AS traffic_classification_reason FROM cls"""
+
+SQL["reclassify_history"] = FX + f""",
+{_CLS_INPUT}
+SELECT event_id, c AS traffic_classification, r AS traffic_classification_reason,
+  '1' AS traffic_classification_version, '2024-01-31T00:00:00Z' AS traffic_classified_at,
+  CASE WHEN c <> 'production' THEN 'true' ELSE {jx('test')} END AS test,
+  CASE WHEN c = 'internal' THEN 'true' ELSE {jx('internal_traffic')} END AS internal_traffic,
+  CAST(len(list_distinct(json_keys(properties) || ['traffic_classification', 'traffic_classification_reason',
+    'traffic_classification_version', 'traffic_classified_at']
+    || CASE WHEN c <> 'production' THEN ['test'] ELSE [] END
+    || CASE WHEN c = 'internal' THEN ['internal_traffic'] ELSE [] END)) AS INTEGER) AS n_keys
+FROM cls"""
+
+SQL["mark_duplicates"] = FX + f"""
+SELECT event_id, {_SID} AS shopify_event_id,
+  coalesce({_SID} IS NOT NULL AND row_number() OVER (PARTITION BY {_SID} ORDER BY received_at, event_id) > 1, false) AS is_duplicate
+FROM fx"""
+
+SQL["dedupe_shopify"] = FX + f"""
+SELECT event_id, received_at FROM fx
+QUALIFY {_SID} IS NULL OR row_number() OVER (PARTITION BY {_SID} ORDER BY received_at, event_id) = 1"""
+
+SQL["insert_ignore"] = FX + f""",
+target AS (SELECT event_id FROM fx WHERE received_at < TIMESTAMP '{_T_OLD}'),
+batch AS (SELECT * FROM fx WHERE received_at >= TIMESTAMP '{_T_NEW}'
+  UNION ALL SELECT * FROM fx WHERE received_at >= TIMESTAMP '{_T_REPLAY}')
+SELECT DISTINCT event_id, received_at FROM batch WHERE event_id NOT IN (SELECT event_id FROM target)"""
+
+SQL["anti_existing"] = FX + f""",
+target AS (SELECT {_SID} AS sid FROM fx WHERE received_at < TIMESTAMP '{_T_OLD}' AND {_SID} IS NOT NULL),
+fresh AS (SELECT * FROM fx WHERE received_at >= TIMESTAMP '{_T_OLD}'
+  AND ({_SID} IS NULL OR {_SID} NOT IN (SELECT sid FROM target)))
+SELECT event_id, received_at FROM fresh
+QUALIFY {_SID} IS NULL OR row_number() OVER (PARTITION BY {_SID} ORDER BY received_at, event_id) = 1"""
+
+_LEGACY = f"coalesce({jx('traffic_classification')}, 'production') <> 'production'"
+SQL["archive_split"] = FX + f"""
+SELECT event_id, received_at FROM fx WHERE {_LEGACY} AND received_at < TIMESTAMP '{_T_OLD}'"""
+
+SQL["archive_record"] = FX + f"""
+SELECT count(*) FILTER (WHERE {_LEGACY} AND received_at < TIMESTAMP '{_T_OLD}') AS rows_archived,
+  CAST(0 AS BIGINT) AS rows_remaining, TIMESTAMP '{_T_OLD}' AS cutover FROM fx"""
+
+SQL["validate_events"] = FX + """
+SELECT event_id AS source_event_id, CASE event_id % 97 WHEN 1 THEN 'invalid_identifiers'
+  WHEN 2 THEN 'invalid_event_name' WHEN 5 THEN 'invalid_page_url' WHEN 3 THEN 'invalid_timestamp' END AS reject_reason
+FROM fx"""
+
+
+def _hint(col: str) -> str:
+    return (f"coalesce(NULLIF(trim({col}), ''), "
+            f"NULLIF(trim(regexp_extract(page_url, '[?&]{col}=([^&#]*)', 1)), ''))")
+
+
+SQL["ingest_events_batch"] = FX + f"""
+SELECT event_id AS source_event_id, printf('%08x-0000-4000-8000-%012x', 1, event_id) AS event_id, event_name,
+  CASE WHEN event_id % 97 = 4 THEN received_at ELSE client_timestamp END AS client_timestamp, received_at,
+  NULLIF(trim(page_path), '') AS page_path, NULLIF(trim(page_title), '') AS page_title,
+  NULLIF(trim(referrer), '') AS referrer, {_hint('utm_source')} AS utm_source, {_hint('utm_medium')} AS utm_medium,
+  {_hint('utm_campaign')} AS utm_campaign, {_hint('utm_content')} AS utm_content, {_hint('utm_term')} AS utm_term,
+  {_hint('fbclid')} AS fbclid, NULLIF(trim(device_type), '') AS device_type, screen_width,
+  NULLIF(trim(language), '') AS language,
+  CASE WHEN lower({jx('internal_traffic')}) = 'true' THEN 'true' ELSE {jx('test')} END AS test,
+  {jx('internal_traffic')} AS internal_traffic
+FROM fx WHERE event_id % 97 NOT IN (1, 2, 3, 5)"""
+
+SQL["constraint_check"] = FX + """
+SELECT count(*) AS rows,
+  count(*) FILTER (WHERE NOT coalesce(regexp_matches(event_name, '^[a-z][a-z0-9_]{0,63}$'), false)) AS bad_event_name,
+  count(*) FILTER (WHERE device_type IS NOT NULL AND device_type NOT IN ('mobile', 'tablet', 'desktop')) AS bad_device_type,
+  count(*) FILTER (WHERE screen_width IS NOT NULL AND NOT (screen_width BETWEEN 0 AND 20000)) AS bad_screen_width,
+  count(*) FILTER (WHERE event_id IS NULL OR visitor_id IS NULL OR session_id IS NULL OR client_timestamp IS NULL
+    OR page_url IS NULL) AS missing_required
+FROM fx"""
+
+SQL["production_only"] = FX + f"""
+SELECT event_id, event_name, visitor_id FROM fx
+WHERE coalesce({jx('traffic_classification')}, 'production') = 'production' AND {NOT_TEST} AND {NOT_INTERNAL}"""
+
+SQL["has_any_key"] = BASE + """
+SELECT event_id FROM base WHERE list_has_any(json_keys(properties),
+  ['concept', 'hook', 'sales_message', 'format', 'angle', 'awareness_level', 'landing_version', 'offer_version'])"""
+
+SQL["dedupe_consecutive_pages"] = BASE + f""",
+pv AS (SELECT *, NULLIF({jx('page_instance_id')}, '') AS pi FROM base WHERE event_name = 'page_view')
+SELECT event_id FROM pv WHERE pi IS NULL
+UNION ALL
+SELECT event_id FROM (SELECT event_id, page_url,
+    lag(page_url) OVER (PARTITION BY pi ORDER BY client_timestamp, event_id) AS prev FROM pv WHERE pi IS NOT NULL)
+WHERE prev IS DISTINCT FROM page_url"""
+
+_SESS30 = """s30 AS (SELECT *, CAST(sum(CASE WHEN prev IS NULL OR epoch_us(client_timestamp) - epoch_us(prev) > 1800000000
+    THEN 1 ELSE 0 END) OVER (PARTITION BY visitor_id ORDER BY client_timestamp, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_no
+  FROM (SELECT *, lag(client_timestamp) OVER (PARTITION BY visitor_id ORDER BY client_timestamp, event_id) AS prev FROM fx))"""
+
+SQL["sessionize"] = FX + f""",
+{_SESS30}
+SELECT event_id, visitor_id, session_no FROM s30"""
+
+SQL["session_windows"] = FX + f""",
+{_SESS30}
+SELECT visitor_id, min(client_timestamp) AS session_start, max(client_timestamp) + INTERVAL 30 MINUTE AS session_end,
+  count(*) AS events
+FROM s30 GROUP BY visitor_id, session_no"""
+
+SQL["session_entries"] = BASE + f"""
+SELECT session_id, visitor_id, client_timestamp AS started_at, page_url AS landing_page, {ft('utm_source')} AS source
+FROM base QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY client_timestamp, event_id) = 1"""
+
+SQL["latest_page_summary"] = BASE + f"""
+SELECT session_id, coalesce(NULLIF({jx('page_instance_id')}, ''), CAST(session_id AS VARCHAR)) AS page_instance_key,
+  {_num0('visible_seconds')} AS visible_seconds, {_num0('duration_seconds')} AS duration_seconds,
+  {_num0('max_scroll_depth')} AS max_scroll_depth, {_num0('sections_viewed')} AS sections_viewed,
+  {_num0('rage_click_count')} AS rage_click_count, {_num0('dead_click_count')} AS dead_click_count,
+  {jx('quick_exit')} AS quick_exit
+FROM base WHERE event_name = 'session_summary'
+QUALIFY row_number() OVER (PARTITION BY session_id, page_instance_key ORDER BY client_timestamp DESC, event_id DESC) = 1"""
+
+SQL["visitor_counters"] = BASE + """,
+firsts AS (SELECT visitor_id, session_id, client_timestamp, event_id
+  FROM base QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY client_timestamp, event_id) = 1),
+starts AS (SELECT visitor_id, session_id,
+  row_number() OVER (PARTITION BY visitor_id ORDER BY client_timestamp, event_id) AS visit_number FROM firsts),
+x AS (SELECT b.event_id, b.event_name, s.visit_number,
+    min(b.client_timestamp) OVER (PARTITION BY b.visitor_id) AS first_seen_at,
+    CAST(sum(CASE WHEN b.event_name = 'page_view' THEN 1 ELSE 0 END) OVER (PARTITION BY b.session_id
+      ORDER BY b.client_timestamp, b.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS pis,
+    CAST(sum(CASE WHEN b.event_name = 'page_view' THEN 1 ELSE 0 END) OVER (PARTITION BY b.visitor_id
+      ORDER BY b.client_timestamp, b.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS piv
+  FROM base b JOIN starts s ON s.session_id = b.session_id AND s.visitor_id = b.visitor_id)
+SELECT event_id, visit_number, CASE WHEN event_name = 'page_view' THEN pis END AS page_view_index_in_session,
+  CASE WHEN event_name = 'page_view' THEN piv END AS page_view_index_for_visitor, first_seen_at,
+  visit_number > 1 AS returning_visitor
+FROM x"""
+
+SQL["touch_attribution"] = BASE + """,
+t AS (SELECT event_id, visitor_id, session_id, client_timestamp,
+    CASE WHEN NULLIF(trim(utm_source), '') IS NOT NULL OR NULLIF(trim(utm_campaign), '') IS NOT NULL
+      OR NULLIF(trim(fbclid), '') IS NOT NULL THEN {'utm_source': NULLIF(trim(utm_source), ''),
+      'utm_campaign': NULLIF(trim(utm_campaign), ''), 'fbclid': NULLIF(trim(fbclid), '')} END AS touch
+  FROM base),
+ft AS (SELECT visitor_id, touch AS first_touch FROM t WHERE touch IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY visitor_id ORDER BY client_timestamp, event_id) = 1),
+st AS (SELECT *, last_value(touch IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY client_timestamp, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_touch FROM t)
+SELECT st.event_id, ft.first_touch.utm_source AS first_touch_source, ft.first_touch.utm_campaign AS first_touch_campaign,
+  st.session_touch.utm_campaign AS session_touch_campaign, st.session_touch.fbclid AS session_touch_fbclid,
+  coalesce(st.session_touch, st.touch, ft.first_touch).utm_source AS active_touch_source,
+  coalesce(st.session_touch, st.touch, ft.first_touch).utm_campaign AS active_touch_campaign
+FROM st LEFT JOIN ft ON ft.visitor_id = st.visitor_id"""
