@@ -102,3 +102,13 @@ def top_k(df: DataFrame, order: list[Column], n: int | None) -> DataFrame:
     no global sort)."""
     out = df.orderBy(*order)
     return out.limit(int(n)) if n else out
+
+
+def combine_rows(*frames: DataFrame) -> DataFrame:
+    """Put single-row global aggregates side by side.  Every input is an
+    aggregate without grouping keys (exactly one row), so the equi-join on a
+    constant key pairs one row with one row."""
+    out = frames[0].withColumn("_one", F.lit(1))
+    for f in frames[1:]:
+        out = out.join(f.withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")

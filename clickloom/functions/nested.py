@@ -69,3 +69,24 @@ def nested_find(doc: Column, keys: list[str], max_len: int = 255) -> Column:
         return s.map(lambda d: _search(d, keyset, max_len))
 
     return _find(doc)
+
+
+def nested_find_many(doc: Column, searches: dict[str, list[str]], max_len: int = 255) -> Column:
+    """Several nested searches over one document with a single JSON parse per
+    row; returns struct<name: string, ...> in the order of ``searches``."""
+    plan = [(name, frozenset(keys)) for name, keys in searches.items()]
+    schema = ", ".join(f"{name} string" for name, _ in plan)
+
+    @pandas_udf(schema)
+    def _find(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for d in s:
+            try:
+                parsed = json.loads(d) if d is not None else None
+            except (ValueError, TypeError):
+                parsed = None
+            rows.append([_as_text(find_nested(parsed, keys), max_len) if parsed is not None else None
+                         for _, keys in plan])
+        return pd.DataFrame(rows, columns=[n for n, _ in plan], dtype=object)
+
+    return _find(doc)

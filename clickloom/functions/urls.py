@@ -109,12 +109,14 @@ def _encoded_doc(pairs: Column) -> Column:
     return F.from_json(b.cast("string"), schema)
 
 
-def url_hints(url: Column, encoded_fallback: bool = True) -> Column:
+def url_hints(url: Column, encoded_fallback: bool = True, pairs: Column | None = None) -> Column:
     """Attribution hints read from the page URL.  Query parameters win; the
     encoded ``properties`` document fills what the query lacks (set
     ``encoded_fallback=False`` to use the query only).  ``source`` is query /
-    encoded_properties / mixed, NULL when nothing was found."""
-    pairs = query_pairs(url)
+    encoded_properties / mixed, NULL when nothing was found.  Pass ``pairs``
+    (a column already holding ``query_pairs(url)``) to parse the URL once; see
+    ``with_url_hints``."""
+    pairs = query_pairs(url) if pairs is None else pairs
     enc = _encoded_doc(pairs)
     query = {name: first_param(pairs, params) for name, params in HINT_PARAMS.items()}
     encoded = {
@@ -131,6 +133,14 @@ def url_hints(url: Column, encoded_fallback: bool = True) -> Column:
     return F.struct(*fields, source.alias("source"))
 
 
+def with_url_hints(df, url_col: str = "page_url", out: str = "url_hints", encoded_fallback: bool = True):
+    """Add the ``url_hints`` struct, parsing each URL's query string once (the
+    parsed pairs are a column of their own, not an expression repeated per
+    parameter name)."""
+    d = df.withColumn("_qp", query_pairs(F.col(url_col)))
+    return d.withColumn(out, url_hints(F.col(url_col), encoded_fallback, pairs=F.col("_qp"))).drop("_qp")
+
+
 def referrer_host(ref: Column) -> Column:
     """X24."""
     return parse_url_part(ref, "HOST")

@@ -10,7 +10,8 @@ than the conversion's; the best one is the latest by (client time, arrival, id).
 
 Plan (no pair explosion on hot keys):
 
-1. ``asof_latest`` merges conversions and candidates into one stream per key and
+1. ``asof_latest`` merges conversions and candidates into one stream per key
+   (the three look-ups share the stream: keys carry a look-up prefix) and
    takes, for every conversion, the latest preceding candidate with a running
    ``last(ignorenulls)`` - windowed per (key, client-day bucket) and stitched
    across buckets with a one-row-per-bucket table, so a hot key (a bot visitor,
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from clickloom.config import ATTRIBUTION_LOOKBACK_DAYS, CONVERSION_EVENTS, UUID_PATTERN
 from clickloom.functions.json import is_true, nz, prop, with_props
-from clickloom.functions.nested import nested_find
-from clickloom.functions.urls import url_hints
+from clickloom.functions.nested import nested_find_many
+from clickloom.functions.urls import with_url_hints
+from clickloom.session import ensure_checkpoint_dir
 
 DAY_US = 86_400 * 1_000_000
 
@@ -55,42 +57,45 @@ def _us(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def asof_latest(
-    conv: DataFrame,
-    cand: DataFrame,
-    bucket_seconds: int = 86_400,
-) -> DataFrame:
+CAND_TYPE = "struct<ts:timestamp_ntz,recv:timestamp_ntz,hid:string,session_id:string,visitor_id:string>"
+
+
+def _cand_struct() -> Column:
+    return F.struct(F.col("ts"), F.col("recv"), F.col("hid"), F.col("session_id"), F.col("visitor_id"))
+
+
+def asof_latest(conv: DataFrame, cand: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     """Latest candidate preceding each conversion on the same key.
 
-    ``conv``: (cid, key, ts, recv, c_order) and ``cand``: (key, ts, recv, hid,
-    session_id, visitor_id).  Ordering is (ts, recv, id); a conversion sorts
-    before a candidate with the identical triple (itself).  Returns
-    (cid, best) with ``best`` = struct(ts, recv, hid, session_id, visitor_id).
+    ``conv``: (cid, key, ts, recv) and ``cand``: (key, ts, recv, hid,
+    session_id, visitor_id).  Rows are ordered by (ts, recv, id, kind), a
+    conversion sorting before a candidate with the identical triple (itself).
+    Returns the conversion rows (cid, key, ts, recv, best) with ``best`` =
+    struct(ts, recv, hid, session_id, visitor_id) or NULL.
     """
     bucket_us = int(bucket_seconds) * 1_000_000
-    cand_type = "struct<ts:timestamp_ntz,recv:timestamp_ntz,hid:string,session_id:string,visitor_id:string>"
     c = conv.select("key", "ts", "recv", F.col("cid").alias("oid"), F.lit(0).alias("kind"),
-                    F.col("cid"), F.lit(None).cast(cand_type).alias("cand"))
+                    F.col("cid"), F.lit(None).cast(CAND_TYPE).alias("cand"))
     h = cand.select("key", "ts", "recv", F.col("hid").alias("oid"), F.lit(1).alias("kind"),
-                    F.lit(None).cast("string").alias("cid"),
-                    F.struct(F.col("ts"), F.col("recv"), F.col("hid"), F.col("session_id"), F.col("visitor_id")).alias("cand"))
+                    F.lit(None).cast("string").alias("cid"), _cand_struct().alias("cand"))
     u = c.unionByName(h).withColumn("_b", F.floor(_us(F.col("ts")) / F.lit(bucket_us)))
     w_in = (Window.partitionBy("key", "_b").orderBy("ts", "recv", "oid", "kind")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     u = u.withColumn("_in", F.last("cand", ignorenulls=True).over(w_in))
-    # One row per (key, bucket): the bucket's latest candidate, carried forward.
+    # One row per (key, bucket): the bucket's latest candidate, carried forward
+    # to later buckets of the key (a table of key-days, not of events).
     bt = u.groupBy("key", "_b").agg(F.max("cand").alias("_bm"))
     wb = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.withColumn("_carry", F.last("_bm", ignorenulls=True).over(wb)).select("key", "_b", "_carry")
-    conv_rows = u.where(F.col("kind") == 0).select("key", "_b", "cid", "_in")
+    conv_rows = u.where(F.col("kind") == 0).select("key", "_b", "cid", "ts", "recv", "_in")
     j = conv_rows.join(bt, ["key", "_b"], "left")
-    return j.select("cid", F.coalesce("_in", "_carry").alias("best"))
+    return j.select("cid", "key", "ts", "recv", F.coalesce("_in", "_carry").alias("best"))
 
 
 def _exact_fallback(conv: DataFrame, cand: DataFrame, lookback_days: int) -> DataFrame:
-    """Exact latest valid candidate for the given conversions: range join with
-    an equi-key on (key, arrival day) so only candidates inside the look-back
-    window are paired.  Returns (cid, best)."""
+    """Exact latest valid candidate for the given conversion keys: range join
+    with an equi-key on (key, arrival day), so only candidates inside the
+    look-back window are paired.  Returns (cid, key, best)."""
     c = conv.withColumn("_d0", F.floor((_us(F.col("recv")) - lookback_days * DAY_US) / F.lit(DAY_US))) \
         .withColumn("_d1", F.floor(_us(F.col("recv")) / F.lit(DAY_US))) \
         .withColumn("_day", F.explode(F.sequence(F.col("_d0"), F.col("_d1"))))
@@ -101,59 +106,72 @@ def _exact_fallback(conv: DataFrame, cand: DataFrame, lookback_days: int) -> Dat
         & (F.col("recv") < F.col("c_recv"))
         & (F.col("recv") >= F.col("c_recv") - F.make_dt_interval(F.lit(lookback_days)))
     )
-    return j.groupBy("cid").agg(
-        F.max(F.struct(F.col("ts"), F.col("recv"), F.col("hid"), F.col("session_id"), F.col("visitor_id"))).alias("best")
-    )
+    return j.groupBy("cid", "key").agg(F.max(_cand_struct()).alias("best"))
 
 
 def resolve_latest(conv: DataFrame, cand: DataFrame, lookback_days: int = ATTRIBUTION_LOOKBACK_DAYS,
-                   bucket_seconds: int = 86_400) -> DataFrame:
+                   bucket_seconds: int = 86_400, materialize: bool = True) -> DataFrame:
     """(cid, key, ts, recv) x (key, ts, recv, hid, session_id, visitor_id) ->
-    (cid, m_session, m_visitor, m_event) for conversions that have a valid
-    candidate."""
-    fast = asof_latest(conv, cand, bucket_seconds)
-    conv_t = conv.select("cid", F.col("recv").alias("c_recv"))
-    f = fast.join(conv_t, "cid").where(F.col("best").isNotNull())
-    ok = (F.col("best.recv") < F.col("c_recv")) & (
-        F.col("best.recv") >= F.col("c_recv") - F.make_dt_interval(F.lit(lookback_days)))
-    good = f.where(ok).select("cid", "best")
-    redo = f.where(~ok).select("cid")
-    slow = _exact_fallback(conv.join(redo, "cid", "left_semi"), cand, lookback_days)
-    res = good.unionByName(slow)
-    return res.select("cid", F.col("best.session_id").alias("m_session"),
-                      F.col("best.visitor_id").alias("m_visitor"), F.col("best.hid").alias("m_event"))
+    (cid, key, best) for every conversion key that has a valid candidate."""
+    fast = asof_latest(conv, cand, bucket_seconds).where(F.col("best").isNotNull())
+    if materialize:  # consumed by the direct and the exact path: compute once
+        ensure_checkpoint_dir(fast.sparkSession)
+        fast = fast.checkpoint(eager=True)
+    ok = (F.col("best.recv") < F.col("recv")) & (
+        F.col("best.recv") >= F.col("recv") - F.make_dt_interval(F.lit(lookback_days)))
+    good = fast.where(ok).select("cid", "key", "best")
+    redo = fast.where(~ok).select("cid", "key", "ts", "recv")
+    # Candidate side of the exact path: only keys that need it (semi-join).
+    need = cand.join(redo.select("key").distinct(), "key", "left_semi")
+    slow = _exact_fallback(redo, need, lookback_days)
+    return good.unionByName(slow)
 
 
 def _valid_id(c: Column, pattern: str) -> Column:
     return F.when(c.rlike(pattern), c)
 
 
+# Key prefixes of the three look-ups inside one merged stream; the prefix is
+# also the priority (checkout id, then order id, then visitor).
+_P_CHECKOUT, _P_ORDER, _P_VISITOR = "3", "4", "5"
+
+
+def _tagged(prefix: str, c: Column) -> Column:
+    return F.concat(F.lit(prefix + ":"), c)
+
+
 def attribute_conversions(
     ev: DataFrame,
     lookback_days: int = ATTRIBUTION_LOOKBACK_DAYS,
     id_pattern: str = UUID_PATTERN,
     bucket_seconds: int = 86_400,
     history: DataFrame | None = None,
+    materialize: bool = True,
 ) -> DataFrame:
     """Resolve every checkout / purchase row of ``ev`` against ``history``
     (default: ``ev`` itself).  Returns one row per conversion with the
-    attribution fields (the ``conversion_attribution`` record, flattened)."""
+    attribution fields (the ``conversion_attribution`` record, flattened).
+
+    The three look-ups (checkout id, order id, visitor) share one merged
+    stream: each history row is exploded into the keys it can match
+    (prefixed by look-up), each conversion into its (up to three) keys, and a
+    single as-of pass resolves all of them."""
     ev = with_props(ev)
     hist = with_props(history) if history is not None else ev
-    convs = ev.where(F.col("event_name").isin(*CONVERSION_EVENTS))
-    hints = url_hints(F.col("page_url"))
+    convs = with_url_hints(ev.where(F.col("event_name").isin(*CONVERSION_EVENTS)), "page_url", "_h")
+    found = nested_find_many(F.col("properties"), {
+        "checkout": CHECKOUT_KEYS, "order": ORDER_KEYS, "visitor": VISITOR_ID_KEYS, "session": SESSION_ID_KEYS})
     c = convs.select(
         F.col("event_id").cast("string").alias("cid"),
-        "event_id", "event_name", "visitor_id", "session_id", "client_timestamp", "received_at",
-        hints.alias("_h"),
-        nested_find(F.col("properties"), CHECKOUT_KEYS).alias("_p_checkout"),
-        nested_find(F.col("properties"), ORDER_KEYS).alias("_p_order"),
-        _valid_id(nested_find(F.col("properties"), VISITOR_ID_KEYS), id_pattern).alias("_p_visitor"),
-        _valid_id(nested_find(F.col("properties"), SESSION_ID_KEYS), id_pattern).alias("_p_session"),
+        "event_id", "event_name", "visitor_id", "session_id", "client_timestamp", "received_at", "_h",
+        found.alias("_f"),
     ).select(
-        "*",
-        F.coalesce("_p_checkout", F.col("_h.ct_checkout_id"), F.col("_h.checkout_id")).alias("checkout_id"),
-        F.coalesce("_p_order", F.col("_h.order_id")).alias("order_id"),
+        "cid", "event_id", "event_name", "visitor_id", "session_id", "client_timestamp", "received_at",
+        F.col("_h.source").alias("_hint_source"),
+        F.coalesce(F.col("_f.checkout"), F.col("_h.ct_checkout_id"), F.col("_h.checkout_id")).alias("checkout_id"),
+        F.coalesce(F.col("_f.order"), F.col("_h.order_id")).alias("order_id"),
+        _valid_id(F.col("_f.visitor"), id_pattern).alias("_p_visitor"),
+        _valid_id(F.col("_f.session"), id_pattern).alias("_p_session"),
         _valid_id(F.col("_h.ct_visitor_id"), id_pattern).alias("_u_visitor"),
         _valid_id(F.col("_h.ct_session_id"), id_pattern).alias("_u_session"),
     ).select(
@@ -161,45 +179,48 @@ def attribute_conversions(
         F.coalesce("_p_visitor", "_u_visitor").alias("explicit_visitor"),
         F.coalesce("_p_session", "_u_session").alias("explicit_session"),
     )
-    open_ = c.where(F.col("explicit_session").isNull())
+    # Cut the lineage here: the conversion projection (the only Python step,
+    # over conversions only) feeds both the stream and the final assembly.
+    # A reliable checkpoint in the cluster's shared checkpoint folder.
+    if materialize:
+        ensure_checkpoint_dir(c.sparkSession)
+        c = c.checkpoint(eager=True)
 
-    def conv_side(key: Column) -> DataFrame:
-        return open_.where(key.isNotNull()).select(
-            "cid", key.cast("string").alias("key"), F.col("client_timestamp").alias("ts"),
-            F.col("received_at").alias("recv"))
+    # Conversion side: one row per look-up key (none when explicit ids decide).
+    ckeys = F.when(F.col("explicit_session").isNull(), F.filter(F.array(
+        _tagged(_P_CHECKOUT, F.col("checkout_id")),
+        _tagged(_P_ORDER, F.col("order_id")),
+        _tagged(_P_VISITOR, F.coalesce(F.col("explicit_visitor"), F.col("visitor_id").cast("string"))),
+    ), lambda x: x.isNotNull()))
+    conv_side = c.select("cid", F.explode(ckeys).alias("key"), F.col("client_timestamp").alias("ts"),
+                         F.col("received_at").alias("recv"))
 
+    # History side: each eligible row explodes into the keys it can match.
     eligible = hist.where(~is_true(prop("test")) & ~is_true(prop("internal_traffic")))
+    name = F.col("event_name")
+    tagged_pv = (nz(F.col("utm_campaign")).isNotNull() | nz(F.col("fbclid")).isNotNull()
+                 | nz(prop("first_touch.utm_campaign")).isNotNull() | nz(prop("first_touch.fbclid")).isNotNull())
+
+    def keys_of(prefix: str, cond: Column, cols: list[Column]) -> Column:
+        return F.when(cond, F.array(*[_tagged(prefix, nz(x)) for x in cols])).otherwise(F.array().cast("array<string>"))
 
-    def cand_side(df: DataFrame, keys: list[Column]) -> DataFrame:
-        k = F.array_distinct(F.filter(F.array(*[nz(x) for x in keys]), lambda x: x.isNotNull()))
-        return df.select(
-            F.explode(k).alias("key"), F.col("client_timestamp").alias("ts"), F.col("received_at").alias("recv"),
-            F.col("event_id").cast("string").alias("hid"), F.col("session_id").cast("string").alias("session_id"),
-            F.col("visitor_id").cast("string").alias("visitor_id"))
-
-    h_checkout = cand_side(eligible.where(F.col("event_name").isin(*CHECKOUT_CANDIDATE_EVENTS)),
-                           [prop("checkout_id"), prop("ct_checkout_id"), prop("checkout_token"),
-                            prop("conversion_attribution.checkout_id")])
-    h_order = cand_side(eligible.where(F.col("event_name").isin(*ORDER_CANDIDATE_EVENTS)),
-                        [prop("order_id"), prop("ct_order_id"), prop("conversion_attribution.order_id")])
-    # Skew: only campaign- or click-id-bearing page views can match by visitor,
-    # so the visitor side is reduced to those before the stream is built.
-    tagged = (nz(F.col("utm_campaign")).isNotNull() | nz(F.col("fbclid")).isNotNull()
-              | nz(prop("first_touch.utm_campaign")).isNotNull() | nz(prop("first_touch.fbclid")).isNotNull())
-    h_visitor = cand_side(eligible.where((F.col("event_name") == "page_view") & tagged), [F.col("visitor_id").cast("string")])
-
-    m_checkout = resolve_latest(conv_side(F.col("checkout_id")), h_checkout, lookback_days, bucket_seconds)
-    m_order = resolve_latest(conv_side(F.col("order_id")), h_order, lookback_days, bucket_seconds)
-    m_visitor = resolve_latest(
-        conv_side(F.coalesce(F.col("explicit_visitor"), F.col("visitor_id").cast("string"))),
-        h_visitor, lookback_days, bucket_seconds)
-
-    def tag(m: DataFrame, p: int) -> DataFrame:
-        return m.select("cid", F.lit(p).alias("prio"), "m_session", "m_visitor", "m_event")
-
-    matches = tag(m_checkout, 3).unionByName(tag(m_order, 4)).unionByName(tag(m_visitor, 5))
+    hkeys = F.array_distinct(F.filter(F.concat(
+        keys_of(_P_CHECKOUT, name.isin(*CHECKOUT_CANDIDATE_EVENTS),
+                [prop("checkout_id"), prop("ct_checkout_id"), prop("checkout_token"), prop("conversion_attribution.checkout_id")]),
+        keys_of(_P_ORDER, name.isin(*ORDER_CANDIDATE_EVENTS),
+                [prop("order_id"), prop("ct_order_id"), prop("conversion_attribution.order_id")]),
+        keys_of(_P_VISITOR, (name == "page_view") & tagged_pv, [F.col("visitor_id").cast("string")]),
+    ), lambda x: x.isNotNull()))
+    cand_side = eligible.where(F.size(hkeys) > 0).select(
+        F.explode(hkeys).alias("key"), F.col("client_timestamp").alias("ts"), F.col("received_at").alias("recv"),
+        F.col("event_id").cast("string").alias("hid"), F.col("session_id").cast("string").alias("session_id"),
+        F.col("visitor_id").cast("string").alias("visitor_id"))
+
+    matches = resolve_latest(conv_side, cand_side, lookback_days, bucket_seconds, materialize)
     best = matches.groupBy("cid").agg(
-        F.min_by(F.struct("prio", "m_session", "m_visitor", "m_event"), F.col("prio")).alias("m"))
+        F.min_by(F.struct(F.substring("key", 1, 1).cast("int").alias("prio"), F.col("best.session_id").alias("m_session"),
+                          F.col("best.visitor_id").alias("m_visitor"), F.col("best.hid").alias("m_event")),
+                 F.col("key")).alias("m"))
     r = c.join(best, "cid", "left")
 
     own_session = F.col("session_id").cast("string")
@@ -219,8 +240,7 @@ def attribute_conversions(
         att_session.alias("attributed_session_id"),
         method.alias("method"),
         F.col("m.m_event").alias("matched_event_id"),
-        "checkout_id", "order_id",
-        F.col("_h.source").alias("_hint_source"),
+        "checkout_id", "order_id", "_hint_source",
     )
     return r.select(
         "*",

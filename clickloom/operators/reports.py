@@ -20,18 +20,18 @@ from clickloom.config import (
     LABEL_UNKNOWN,
     TAXONOMY_KEYS,
 )
-from clickloom.functions.agg import grouped_rollup, top_k, visitor_flag_counts, zsum
+from clickloom.functions.agg import combine_rows, grouped_rollup, top_k, visitor_flag_counts, zsum
 from clickloom.functions.json import LINE_ITEM, guarded_number, has_any_key, is_true, loose_number, nz, prop, with_props
 from clickloom.functions.stats import safe_divide
 from clickloom.operators.filters import control_surface, internal_flag, period_filter, test_flag, valid_predicate
 from clickloom.operators.sessions import latest_by, session_entries
 
-EV = F.col("event_name")
 TS = "client_timestamp"
 
 
 def is_event(*names: str) -> Column:
-    return EV == names[0] if len(names) == 1 else EV.isin(*names)
+    ev = F.col("event_name")
+    return ev == names[0] if len(names) == 1 else ev.isin(*names)
 
 
 def first_touch_or(col: str, key: str | None = None) -> Column:
@@ -135,7 +135,7 @@ def overview_sessions(base: DataFrame) -> DataFrame:
         F.count_distinct("fbclid").alias("distinct_fbclid"),
     )
     total = base.agg(F.count(F.lit(1)).alias("total_events"))
-    return total.crossJoin(sstats).crossJoin(vstats)
+    return combine_rows(total, sstats, vstats)
 
 
 # --------------------------------------------------------------------------- R3
@@ -380,7 +380,7 @@ def data_quality(base: DataFrame) -> DataFrame:
     s = base.where(is_event("session_summary")).agg(
         F.count(F.lit(1)).alias("summaries"), F.count_distinct("session_id").alias("summary_sessions")
     )
-    return q.crossJoin(s)
+    return combine_rows(q, s)
 
 
 # --------------------------------------------------------------------------- R9

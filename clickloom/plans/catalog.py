@@ -291,3 +291,101 @@ QUERIES.update({
     "visitor_counters": _q_visitor_counters,
     "touch_attribution": _q_touch,
 })
+
+
+# --------------------------------------------------------------------------- statistics / economics
+from clickloom.functions.agg import combine_rows  # noqa: E402
+from clickloom.operators import diagnosis as D  # noqa: E402
+
+
+def offers(spark, sf):
+    """Offer table derived from ``orders``: one offer per order priority."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    digit = F.substring("o_orderpriority", 1, 1).cast("int")
+    g = o.groupBy(F.substring("o_orderpriority", 1, 1).alias("offer_id")).agg(
+        round_to(F.avg("o_totalprice") / 1000.0, 2).alias("average_order_value"),
+        F.first(digit).alias("_d"))
+    return g.select("offer_id", F.col("average_order_value").cast("string").alias("average_order_value"),
+                    (30 + 10 * F.col("_d")).cast("string").alias("contribution_margin_percent"),
+                    (18 * F.col("_d")).cast("string").alias("desired_profit_percent"))
+
+
+def campaign_funnel(spark, sf):
+    """Campaign funnel rows from the ad snapshot table (R25) with their offer."""
+    c = ads_ops.ads_campaigns(ads(spark, sf), FX_ADS_AS_OF, ADS_DAYS)
+    brand = F.regexp_extract("campaign_id", r"(\d+)$", 1).cast("int")
+    return c.select(
+        "campaign_id", ((brand % 5) + 1).cast("string").alias("offer_id"),
+        round_to(F.col("spend"), 2).alias("spend"), F.col("impressions"), F.col("reach"),
+        F.lit(None).cast("double").alias("three_second_views"),
+        F.col("clicks").alias("link_clicks"), F.col("landing_page_views"), F.col("add_to_cart").alias("add_to_carts"),
+        F.col("initiate_checkout").alias("checkouts"), F.col("purchases"),
+        round_to(F.col("purchase_value"), 2).alias("revenue"))
+
+
+def _q_unit_economics(spark, sf):
+    return D.unit_economics(offers(spark, sf))
+
+
+def _q_funnel_metrics(spark, sf):
+    return D.funnel_metrics(campaign_funnel(spark, sf))
+
+
+def _q_funnel_warnings(spark, sf):
+    w = D.funnel_warnings(campaign_funnel(spark, sf))
+    return w.select("campaign_id", "funnel_valid", F.array_join("warnings", ",").alias("warnings"))
+
+
+def _q_sample_readiness(spark, sf):
+    r = D.sample_readiness(campaign_funnel(spark, sf))
+    return r.select("campaign_id", *[c for c in r.columns if c.endswith("_sample_status")])
+
+
+def _q_diagnose(spark, sf):
+    d = D.diagnose_funnel(campaign_funnel(spark, sf), offers(spark, sf))
+    stage_health = F.array_join(F.transform("stage_evaluations", lambda e: F.concat(e["stage"], F.lit(":"), e["health"])), ",")
+    return d.select("campaign_id", "offer_id", "target_cac", "cac", "cac_status", "cac_difference", "cac_difference_percent",
+                    "max_spend_at_target_cac", "spend_headroom_vs_target", "estimated_contribution_profit_after_ads",
+                    "estimated_contribution_profit_per_purchase", stage_health.alias("stage_health"),
+                    "first_probable_bottleneck", "first_stage_waiting_for_sample", "diagnosis_summary")
+
+
+def _q_funnel_confidence(spark, sf):
+    return D.funnel_confidence(R.funnel_unique_visitors(base(spark, sf)))
+
+
+def _q_coverage(spark, sf):
+    return D.coverage(R.overview(base(spark, sf))).select(
+        "sessions", "unique_visitors", "session_v2_coverage_percent", "session_v3_coverage_percent", "sessions_per_visitor")
+
+
+def _q_readiness_score(spark, sf):
+    b = base(spark, sf)
+    ov = R.overview_sessions(b).select("unique_visitors", "sessions", "session_v3_sessions")
+    q = R.data_quality(b).select("summary_sessions")
+    ident = R.identity_integrity(b, checkout_only=True).select("conversions_with_resolved_attribution", "conversion_events")
+    fun = R.funnel_unique_visitors(b).select("cta_impression_visitors", "page_view_visitors")
+    ad = ads_ops.ads_overview(ads(spark, sf), FX_ADS_AS_OF, ADS_DAYS).select(F.col("rows").alias("ad_rows"))
+    return D.readiness_score(combine_rows(ov, q, ident, fun, ad))
+
+
+def _q_readiness_labels(spark, sf):
+    b = base(spark, sf)
+    ov = R.overview(b).select("unique_visitors", "sessions", "session_v3_sessions")
+    fun = R.funnel_unique_visitors(b).select("purchase_visitors")
+    ident = R.identity_integrity(b).select("orphan_conversion_visitors")
+    ad = ads_ops.ads_overview(ads(spark, sf), FX_ADS_AS_OF, ADS_DAYS).select(F.col("rows").alias("ad_rows"))
+    return D.readiness_labels(combine_rows(ov, fun, ident, ad).withColumn("failed_blocks", F.lit(0)))
+
+
+QUERIES.update({
+    "unit_economics": lambda spark, sf: finish(_q_unit_economics(spark, sf)),
+    "funnel_metrics": lambda spark, sf: finish(_q_funnel_metrics(spark, sf)),
+    "funnel_warnings": _q_funnel_warnings,
+    "sample_readiness": _q_sample_readiness,
+    "diagnose_funnel": lambda spark, sf: finish(_q_diagnose(spark, sf)),
+    "funnel_confidence": lambda spark, sf: finish(_q_funnel_confidence(spark, sf)),
+    "coverage": lambda spark, sf: finish(_q_coverage(spark, sf)),
+    "readiness_score": _q_readiness_score,
+    "readiness_labels": _q_readiness_labels,
+})

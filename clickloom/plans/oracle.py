@@ -860,3 +860,248 @@ SELECT st.event_id, ft.first_touch.utm_source AS first_touch_source, ft.first_to
   coalesce(st.session_touch, st.touch, ft.first_touch).utm_source AS active_touch_source,
   coalesce(st.session_touch, st.touch, ft.first_touch).utm_campaign AS active_touch_campaign
 FROM st LEFT JOIN ft ON ft.visitor_id = st.visitor_id"""
+
+# ------------------------------------------------------------------ statistics / economics
+_EPS = "2.220446049250313e-16"
+
+
+def jr(x: str, d: int = 2) -> str:
+    return f"(floor(({x} + {_EPS}) * {float(10 ** d)} + 0.5) / {float(10 ** d)})"
+
+
+def div4(n: str, d: str) -> str:
+    return f"(CASE WHEN {n} IS NOT NULL AND {d} IS NOT NULL AND {d} > 0 THEN {jr(f'CAST({n} AS DOUBLE) / {d}', 4)} END)"
+
+
+def pct(n: str, d: str) -> str:
+    return f"(CASE WHEN {div4(n, d)} IS NOT NULL THEN {jr(div4(n, d) + ' * 100.0', 4)} END)"
+
+
+_OFFERS = """offers AS (SELECT substring(o_orderpriority, 1, 1) AS offer_id,
+    CAST(round(avg(o_totalprice) / 1000.0, 2) AS VARCHAR) AS average_order_value,
+    CAST(30 + 10 * CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS VARCHAR) AS contribution_margin_percent,
+    CAST(18 * CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS VARCHAR) AS desired_profit_percent
+  FROM orders GROUP BY 1),
+oe AS (SELECT *, CAST(average_order_value AS DOUBLE) AS aov, CAST(contribution_margin_percent AS DOUBLE) AS mp,
+    CAST(desired_profit_percent AS DOUBLE) AS dp FROM offers),
+ov AS (SELECT *, aov > 0 AND mp >= 0 AND mp <= 100 AND dp >= 0 AND dp <= mp AS valid,
+    aov * (mp / 100.0) AS cm, aov * (dp / 100.0) AS pr, greatest(0.0, aov * (mp / 100.0) - aov * (dp / 100.0)) AS tg FROM oe)"""
+
+_ECON_COLS = f"""true AS economics_configured, coalesce(valid, false) AS economics_valid,
+  CASE WHEN valid THEN NULL WHEN dp > mp THEN 'profit_exceeds_margin' ELSE 'invalid_ranges' END AS economics_warning,
+  CASE WHEN valid THEN {jr('cm')} END AS contribution_margin_before_ads,
+  CASE WHEN valid THEN {jr('cm')} END AS break_even_cac,
+  CASE WHEN valid THEN {jr('tg')} END AS target_cac,
+  CASE WHEN valid THEN {jr('pr')} END AS desired_profit_after_ads,
+  CASE WHEN valid AND cm > 0 THEN {jr('aov / cm', 4)} END AS break_even_roas,
+  CASE WHEN valid AND tg > 0 THEN {jr('aov / tg', 4)} END AS target_roas,
+  CASE WHEN valid THEN {jr('mp', 4)} END AS margin_percent"""
+
+SQL["unit_economics"] = f"""WITH {_OFFERS}
+SELECT offer_id, average_order_value, contribution_margin_percent, desired_profit_percent, {_ECON_COLS} FROM ov"""
+
+_CAMP = ADS + r""",
+camp AS (SELECT campaign_id, CAST((CAST(regexp_extract(campaign_id, '(\d+)$', 1) AS INTEGER) % 5) + 1 AS VARCHAR) AS offer_id,
+    round(coalesce(sum(spend), 0), 2) AS spend, CAST(coalesce(sum(impressions), 0) AS BIGINT) AS impressions,
+    CAST(coalesce(sum(reach), 0) AS BIGINT) AS reach, CAST(NULL AS DOUBLE) AS three_second_views,
+    CAST(coalesce(sum(clicks), 0) AS BIGINT) AS link_clicks, CAST(coalesce(sum(landing_page_views), 0) AS BIGINT) AS landing_page_views,
+    CAST(coalesce(sum(add_to_cart), 0) AS BIGINT) AS add_to_carts, CAST(coalesce(sum(initiate_checkout), 0) AS BIGINT) AS checkouts,
+    coalesce(sum(purchases), 0) AS purchases, round(coalesce(sum(purchase_value), 0), 2) AS revenue
+  FROM ads GROUP BY campaign_id)"""
+
+_METRICS = {
+    "hook_rate_percent": pct("three_second_views", "impressions"),
+    "frequency": div4("impressions", "reach"),
+    "ctr_percent": pct("link_clicks", "impressions"),
+    "cpm": f"(CASE WHEN spend IS NOT NULL AND impressions > 0 THEN {jr('spend / impressions * 1000.0', 4)} END)",
+    "cpc": div4("spend", "link_clicks"),
+    "click_to_landing_page_rate_percent": pct("landing_page_views", "link_clicks"),
+    "cost_per_landing_page_view": div4("spend", "landing_page_views"),
+    "add_to_cart_rate_percent": pct("add_to_carts", "landing_page_views"),
+    "cost_per_add_to_cart": div4("spend", "add_to_carts"),
+    "add_to_cart_to_checkout_rate_percent": pct("checkouts", "add_to_carts"),
+    "add_to_cart_to_purchase_rate_percent": pct("purchases", "add_to_carts"),
+    "landing_page_to_checkout_rate_percent": pct("checkouts", "landing_page_views"),
+    "cost_per_checkout": div4("spend", "checkouts"),
+    "checkout_to_purchase_rate_percent": pct("purchases", "checkouts"),
+    "landing_page_to_purchase_rate_percent": pct("purchases", "landing_page_views"),
+    "cac": div4("spend", "purchases"),
+    "roas": div4("revenue", "spend"),
+    "observed_average_order_value": div4("revenue", "purchases"),
+    "revenue_per_landing_page_view": div4("revenue", "landing_page_views"),
+}
+_METRIC_SELECT = ",\n  ".join(f"{v} AS {k}" for k, v in _METRICS.items())
+
+SQL["funnel_metrics"] = _CAMP + f"""
+SELECT camp.*, {_METRIC_SELECT} FROM camp"""
+
+_W = [
+    ("reach_exceeds_impressions", "reach > impressions"),
+    ("three_second_views_exceed_impressions", "three_second_views > impressions"),
+    ("clicks_exceed_impressions", "link_clicks > impressions"),
+    ("landing_page_views_exceed_clicks", "landing_page_views > link_clicks"),
+    ("add_to_carts_exceed_landing_page_views", "add_to_carts > landing_page_views"),
+    ("checkouts_exceed_add_to_carts", "checkouts > add_to_carts"),
+    ("purchases_exceed_checkouts", "purchases > checkouts"),
+    ("revenue_without_purchases", "revenue IS NOT NULL AND revenue > 0 AND (purchases IS NULL OR purchases = 0)"),
+    ("add_to_carts_missing", "add_to_carts IS NULL AND checkouts IS NOT NULL"),
+]
+SQL["funnel_warnings"] = _CAMP + """
+SELECT campaign_id, true AS funnel_valid, concat_ws(',', """ + ", ".join(
+    f"CASE WHEN coalesce({c}, false) THEN '{n}' END" for n, c in _W) + """) AS warnings FROM camp"""
+
+_STATUS = {
+    "creative": "CASE WHEN impressions IS NULL AND link_clicks IS NULL THEN 'missing' WHEN coalesce(impressions, 0) >= 2000 OR coalesce(link_clicks, 0) >= 30 THEN 'decision_ready' ELSE 'insufficient' END",
+    "landing_delivery": "CASE WHEN link_clicks IS NULL THEN 'missing' WHEN link_clicks >= 30 THEN 'decision_ready' ELSE 'insufficient' END",
+    "page": "CASE WHEN landing_page_views IS NULL THEN 'missing' WHEN landing_page_views >= 100 THEN 'decision_ready' ELSE 'insufficient' END",
+    "cart": "CASE WHEN add_to_carts IS NULL THEN 'missing' WHEN add_to_carts >= 10 THEN 'directional' ELSE 'insufficient' END",
+    "checkout": "CASE WHEN checkouts IS NULL THEN 'missing' WHEN checkouts < 10 THEN 'insufficient' WHEN checkouts < 20 THEN 'directional' ELSE 'decision_ready' END",
+    "cac": "CASE WHEN purchases IS NULL THEN 'missing' WHEN purchases < 5 THEN 'insufficient' WHEN purchases < 10 THEN 'directional' WHEN purchases < 20 THEN 'decision_ready' ELSE 'strong' END",
+}
+SQL["sample_readiness"] = _CAMP + "\nSELECT campaign_id, " + ", ".join(
+    f"{v} AS {k}_sample_status" for k, v in _STATUS.items()) + " FROM camp"
+
+
+def _h(v: str, st: str, poor, good) -> str:
+    return (f"CASE WHEN {v} IS NULL THEN 'unavailable' WHEN {st} IN ('missing', 'insufficient') THEN 'sample_insufficient' "
+            f"WHEN {v} < {poor} THEN 'bottleneck' WHEN {v} >= {good} THEN 'healthy' ELSE 'watch' END")
+
+
+_STAGES = [
+    ("creative_hook", "hook_rate_percent", "s_creative", 20, 30),
+    ("creative_click", "ctr_percent", "s_creative", 1, 1.5),
+    ("landing_delivery", "click_to_landing_page_rate_percent", "s_landing_delivery", 70, 80),
+    ("sales_page", "add_to_cart_rate_percent", "s_page", 4, 8),
+    ("cart", "add_to_cart_to_checkout_rate_percent", "s_cart", 30, 45),
+    ("checkout", "checkout_to_purchase_rate_percent", "s_checkout", 35, 50),
+    ("full_funnel", "landing_page_to_purchase_rate_percent", "s_page", 1, 2),
+]
+_HEALTH = [(n, _h(m, s, p, g)) for n, m, s, p, g in _STAGES] + [(
+    "economics", "CASE WHEN cac IS NULL OR target_cac IS NULL THEN 'unavailable' WHEN s_cac IN ('missing', 'insufficient') "
+    "THEN 'sample_insufficient' WHEN cac > target_cac THEN 'bottleneck' ELSE 'healthy' END")]
+
+
+def _first(kind: str) -> str:
+    return "CASE " + " ".join(f"WHEN h_{n} = '{kind}' THEN '{n}'" for n, _ in _HEALTH) + " END"
+
+
+SQL["diagnose_funnel"] = _CAMP + ",\n" + _OFFERS + f""",
+m AS (SELECT camp.*, {_METRIC_SELECT}, {', '.join(f'{v} AS s_{k}' for k, v in _STATUS.items())} FROM camp),
+j AS (SELECT m.*, CASE WHEN ov.valid THEN {jr('ov.tg')} END AS target_cac, CASE WHEN ov.valid THEN {jr('ov.mp', 4)} END AS margin_percent
+  FROM m LEFT JOIN ov ON ov.offer_id = m.offer_id),
+h AS (SELECT *, {', '.join(f'{v} AS h_{n}' for n, v in _HEALTH)},
+  CASE WHEN purchases IS NOT NULL AND target_cac IS NOT NULL THEN {jr('purchases * target_cac')} END AS max_spend,
+  CASE WHEN revenue IS NOT NULL AND spend IS NOT NULL AND margin_percent IS NOT NULL
+    THEN {jr('revenue * (margin_percent / 100.0) - spend')} END AS profit FROM j)
+SELECT campaign_id, offer_id, target_cac, cac,
+  CASE WHEN cac IS NULL OR target_cac IS NULL THEN 'unavailable' WHEN cac <= target_cac THEN 'within_target' ELSE 'above_target' END AS cac_status,
+  CASE WHEN cac IS NOT NULL AND target_cac IS NOT NULL THEN {jr('cac - target_cac')} END AS cac_difference,
+  CASE WHEN cac IS NOT NULL AND target_cac > 0 THEN {jr('(cac - target_cac) / target_cac * 100.0', 4)} END AS cac_difference_percent,
+  max_spend AS max_spend_at_target_cac,
+  CASE WHEN max_spend IS NOT NULL AND spend IS NOT NULL THEN {jr('max_spend - spend')} END AS spend_headroom_vs_target,
+  profit AS estimated_contribution_profit_after_ads,
+  {div4('profit', 'purchases')} AS estimated_contribution_profit_per_purchase,
+  concat_ws(',', {', '.join(f"'{n}:' || h_{n}" for n, _ in _HEALTH)}) AS stage_health,
+  {_first('bottleneck')} AS first_probable_bottleneck,
+  {_first('sample_insufficient')} AS first_stage_waiting_for_sample,
+  CASE WHEN {_first('bottleneck')} IS NOT NULL THEN 'probable_bottleneck'
+    WHEN {_first('sample_insufficient')} IS NOT NULL THEN 'waiting_for_sample'
+    WHEN {' AND '.join(f"h_{n} IN ('healthy', 'watch', 'unavailable')" for n, _ in _HEALTH)} THEN 'no_confirmed_bottleneck'
+    ELSE 'no_data' END AS diagnosis_summary
+FROM h"""
+
+_Z = "1.959963984540054"
+
+
+def _wilson_row(name: str, s: str, n: str) -> str:
+    p = f"(CAST({s} AS DOUBLE) / {n})"
+    den = f"(1.0 + {_Z} * {_Z} / {n})"
+    center = f"(({p} + {_Z} * {_Z} / (2.0 * {n})) / {den})"
+    margin = f"(({_Z} / {den}) * sqrt({p} * (1.0 - {p}) / {n} + {_Z} * {_Z} / (4.0 * {n} * {n})))"
+    valid = f"({n} > 0 AND {s} >= 0 AND {s} <= {n})"
+    return (f"SELECT '{name}' AS transition, CAST({s} AS BIGINT) AS successes, CAST({n} AS BIGINT) AS total, "
+            f"CASE WHEN {valid} THEN round({p}, 6) END AS rate, "
+            f"CASE WHEN {valid} THEN round(greatest(0.0, {center} - {margin}), 6) END AS lower_95, "
+            f"CASE WHEN {valid} THEN round(least(1.0, {center} + {margin}), 6) END AS upper_95, "
+            f"{valid} AS valid, CASE WHEN {valid} THEN NULL WHEN {s} > {n} THEN "
+            f"'successes exceed total: identity fragmentation or incompatible units' ELSE 'no valid denominator' END AS warning FROM f")
+
+
+_TRANS = [
+    ("page_view_to_cta_impression", "cta_impression_visitors", "page_view_visitors"),
+    ("cta_impression_to_buy_click", "buy_click_visitors", "cta_impression_visitors"),
+    ("buy_click_to_checkout", "checkout_visitors", "buy_click_visitors"),
+    ("checkout_to_purchase", "purchase_visitors", "checkout_visitors"),
+    ("page_view_to_checkout", "checkout_visitors", "page_view_visitors"),
+    ("page_view_to_purchase", "purchase_visitors", "page_view_visitors"),
+]
+_FUNNEL_CTE = f"""f AS (SELECT count(DISTINCT visitor_id) AS visitors,
+  {dvis("event_name = 'page_view'", 'page_view_visitors')},
+  {dvis("event_name = 'cta_impression'", 'cta_impression_visitors')},
+  {dvis("event_name = 'buy_button_click'", 'buy_click_visitors')},
+  {dvis("event_name = 'add_to_cart'", 'add_to_cart_visitors')},
+  {dvis("event_name = 'checkout_started'", 'checkout_visitors')},
+  {dvis("event_name = 'purchase'", 'purchase_visitors')}
+FROM base)"""
+SQL["funnel_confidence"] = BASE + ",\n" + _FUNNEL_CTE + "\n" + "\nUNION ALL\n".join(_wilson_row(*t) for t in _TRANS)
+
+SQL["coverage"] = BASE + f""",
+sv AS (SELECT session_id, max({VER}) AS version FROM base GROUP BY session_id),
+o AS (SELECT count(DISTINCT session_id) AS sessions, count(DISTINCT visitor_id) AS unique_visitors,
+  (SELECT count(*) FROM sv WHERE version >= 2) AS v2, (SELECT count(*) FROM sv WHERE version >= 3) AS v3 FROM base)
+SELECT sessions, unique_visitors,
+  CASE WHEN sessions > 0 THEN round(CAST(v2 AS DOUBLE) / sessions * 100.0, 2) ELSE 0.0 END AS session_v2_coverage_percent,
+  CASE WHEN sessions > 0 THEN round(CAST(v3 AS DOUBLE) / sessions * 100.0, 2) ELSE 0.0 END AS session_v3_coverage_percent,
+  CASE WHEN unique_visitors > 0 THEN round(CAST(sessions AS DOUBLE) / unique_visitors, 4) ELSE 0.0 END AS sessions_per_visitor
+FROM o"""
+
+
+def _score(x: str) -> str:
+    return f"CAST(least(100, greatest(0, floor(coalesce({x}, 0.0) * 100.0 + 0.5))) AS INTEGER)"
+
+
+def _sd(n: str, d: str) -> str:
+    return f"coalesce(CASE WHEN {d} > 0 THEN round(CAST({n} AS DOUBLE) / {d}, 6) END, 0.0)"
+
+
+SQL["readiness_score"] = (BASE + ",\n" + _FUNNEL_CTE + f""",
+entries AS (SELECT session_id, visitor_id, {VER} AS version
+  FROM base QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY client_timestamp, event_id) = 1),
+i AS (SELECT count(*) AS sessions, count(DISTINCT visitor_id) AS unique_visitors,
+    count(*) FILTER (WHERE version >= 3) AS session_v3_sessions,
+    (SELECT count(DISTINCT session_id) FROM base WHERE event_name = 'session_summary') AS summary_sessions,
+    (SELECT count(*) FROM base WHERE event_name IN ('checkout_started', 'purchase')
+      AND NULLIF({jx('conversion_attribution.session_id')}, '') IS NOT NULL) AS resolved,
+    (SELECT count(*) FROM base WHERE event_name IN ('checkout_started', 'purchase')) AS conv,
+    (SELECT cta_impression_visitors FROM f) AS cta, (SELECT page_view_visitors FROM f) AS pv,
+    (SELECT count(*) FROM fx_ads WHERE date_start >= DATE '{FX_ADS_AS_OF}' - INTERVAL {ADS_DAYS} DAY) AS ad_rows
+  FROM entries),
+s AS (SELECT *, {_score('least(1.0, unique_visitors / 100.0)')} AS sample_score,
+    {_score(_sd('session_v3_sessions', 'sessions'))} AS session_v3_score,
+    {_score(_sd('summary_sessions', 'sessions'))} AS summary_coverage_score,
+    {_score(_sd('resolved', 'conv'))} AS attribution_score,
+    {_score('greatest(' + _sd('cta', 'pv') + ', ' + _sd('summary_sessions', 'sessions') + ')')} AS behavior_coverage_score,
+    CASE WHEN ad_rows > 0 THEN 100 ELSE 0 END AS meta_ads_score FROM i)
+SELECT CAST(floor(sample_score * 0.15 + session_v3_score * 0.2 + summary_coverage_score * 0.2 + attribution_score * 0.25
+    + behavior_coverage_score * 0.1 + meta_ads_score * 0.1 + 0.5) AS INTEGER) AS overall_score,
+  sample_score, session_v3_score, summary_coverage_score, attribution_score, behavior_coverage_score, meta_ads_score,
+  CASE WHEN unique_visitors < 20 THEN 'exploratory_only' WHEN unique_visitors < 100 THEN 'directional'
+    ELSE 'stronger_directional' END AS sample_label
+FROM s""").replace("WITH fx_base", "WITH " + FX_ADS_DUCK + ",\nfx_base", 1)
+
+SQL["readiness_labels"] = (BASE + ",\n" + _FUNNEL_CTE + f""",
+sv AS (SELECT session_id, max({VER}) AS version FROM base GROUP BY session_id),
+pvv AS (SELECT DISTINCT visitor_id FROM base WHERE event_name = 'page_view'),
+cvv AS (SELECT DISTINCT visitor_id FROM base WHERE event_name IN ('checkout_started', 'purchase')),
+i AS (SELECT count(DISTINCT visitor_id) AS uv, count(DISTINCT session_id) AS s,
+    (SELECT count(*) FROM sv WHERE version >= 3) AS v3,
+    (SELECT count(*) FROM cvv WHERE visitor_id NOT IN (SELECT visitor_id FROM pvv)) AS orphans,
+    (SELECT count(*) FROM fx_ads WHERE date_start >= DATE '{FX_ADS_AS_OF}' - INTERVAL {ADS_DAYS} DAY) AS ad_rows,
+    (SELECT purchase_visitors FROM f) AS pu FROM base)
+SELECT CASE WHEN uv < 20 THEN 'exploratory_only' WHEN uv < 100 THEN 'directional' ELSE 'stronger_directional' END AS sample_label,
+  s > 0 AND v3 = s AS tracker_v3_ready, ad_rows > 0 AS meta_ads_available,
+  concat_ws(',', CASE WHEN uv < 20 THEN 'sample_below_20_visitors' END,
+    CASE WHEN s > 0 AND v3 < s THEN 'not_all_sessions_tracker_v3' END,
+    CASE WHEN orphans > 0 THEN 'orphan_conversions' END, CASE WHEN ad_rows = 0 THEN 'no_ad_data' END,
+    CASE WHEN pu = 0 THEN 'no_external_purchase' END) AS blockers
+FROM i""").replace("WITH fx_base", "WITH " + FX_ADS_DUCK + ",\nfx_base", 1)

@@ -21,7 +21,7 @@ from clickloom.config import (
     UUID_PATTERN,
 )
 from clickloom.functions.json import nz, prop, with_props
-from clickloom.functions.urls import optional_text, parse_url_part, url_hints
+from clickloom.functions.urls import optional_text, parse_url_part, with_url_hints
 
 S = T.StringType()
 EVENTS_SCHEMA = T.StructType([
@@ -99,8 +99,8 @@ def validate_events(raw: DataFrame, arrival_col: str = "arrival", body_col: str
     width_txt = b["screen_width"]
     width = width_txt.try_cast("int")
     width_ok = width_txt.rlike(r"^[0-9]+$") & width.between(0, SCREEN_WIDTH_MAX)
-    hints = url_hints(url)
-    checked = p.withColumn("reject_reason", reason).withColumn("_ts", ts).withColumn("_h", hints)
+    checked = with_url_hints(p.withColumn("reject_reason", reason).withColumn("_ts", ts)
+                             .withColumn("_url", url), "_url", "_h").drop("_url")
     accepted = checked.where(F.col("reject_reason").isNull()).select(
         *keep,
         b["event_id"].alias("event_id"),
@@ -176,7 +176,9 @@ def archive_record(archived: DataFrame, remaining: DataFrame, predicate: Column,
     cut = F.lit(str(cutover)).cast("timestamp_ntz")
     a = archived.agg(F.count(F.lit(1)).alias("rows_archived"))
     r = remaining.agg(F.count_if(predicate & (F.col("received_at") < cut)).alias("rows_remaining"))
-    return a.crossJoin(r).withColumn("cutover", cut)
+    from clickloom.functions.agg import combine_rows
+
+    return combine_rows(a, r).withColumn("cutover", cut)
 
 
 def fixture_bodies(ev: DataFrame) -> DataFrame:
