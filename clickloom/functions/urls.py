@@ -70,6 +70,13 @@ def first_param(pairs: Column, names, max_len: int = 1024) -> Column:
     return F.coalesce(*[optional_text(url_param(pairs, n), max_len) for n in names])
 
 
+def params_map(pairs: Column) -> Column:
+    """Query pairs as a map name -> first value (later duplicates dropped)."""
+    keys = F.transform(pairs, lambda p: p["k"])
+    first = F.filter(pairs, lambda p, i: (F.array_position(keys, p["k"]) == i + 1) & p["k"].isNotNull())
+    return F.map_from_entries(first)
+
+
 # FIXED VALUES: query parameter names read as attribution hints, in priority order.
 HINT_PARAMS = {
     "ct_visitor_id": ("ct_visitor_id", "attributes[ct_visitor_id]", "attributes[_ct_visitor_id]"),
@@ -134,11 +141,28 @@ def url_hints(url: Column, encoded_fallback: bool = True, pairs: Column | None =
 
 
 def with_url_hints(df, url_col: str = "page_url", out: str = "url_hints", encoded_fallback: bool = True):
-    """Add the ``url_hints`` struct, parsing each URL's query string once (the
-    parsed pairs are a column of their own, not an expression repeated per
-    parameter name)."""
-    d = df.withColumn("_qp", query_pairs(F.col(url_col)))
-    return d.withColumn(out, url_hints(F.col(url_col), encoded_fallback, pairs=F.col("_qp"))).drop("_qp")
+    """Add the ``url_hints`` struct in small steps: the query string is parsed
+    once into a name -> value map column and the encoded document once into a
+    struct column; each hint is then a map lookup.  (One monolithic expression
+    would repeat the parsing per parameter name and outgrow code generation.)"""
+    d = df.withColumn("_qm", params_map(query_pairs(F.col(url_col))))
+    raw = F.col("_qm")["properties"]
+    raw = F.when(F.length(raw) <= ENCODED_MAX, raw)
+    keys = sorted({k for ks in ENCODED_HINT_KEYS.values() for k in ks})
+    schema = "struct<" + ",".join(f"`{k}`:string" for k in keys) + ">"
+    d = d.withColumn("_qe", F.from_json(F.try_to_binary(F.translate(raw, "-_", "+/"), F.lit("base64")).cast("string"), schema))
+    query = {name: F.coalesce(*[optional_text(F.col("_qm")[n], 1024) for n in params])
+             for name, params in HINT_PARAMS.items()}
+    d = d.select("*", *[v.alias(f"_q_{k}") for k, v in query.items()],
+                 *[F.coalesce(*[optional_text(F.col("_qe")[k], 1024 if name == "fbclid" else 255) for k in ks]).alias(f"_e_{name}")
+                   for name, ks in ENCODED_HINT_KEYS.items()])
+    has_q = F.greatest(*[F.col(f"_q_{k}").isNotNull() for k in HINT_PARAMS])
+    has_e = F.greatest(*[F.col(f"_e_{k}").isNotNull() for k in ENCODED_HINT_KEYS])
+    fields = [(F.coalesce(F.col(f"_q_{k}"), F.col(f"_e_{k}")) if (encoded_fallback and k in ENCODED_HINT_KEYS)
+               else F.col(f"_q_{k}")).alias(k) for k in HINT_PARAMS]
+    source = F.when(has_q & has_e, "mixed").when(has_q, "query").when(has_e, "encoded_properties")
+    d = d.withColumn(out, F.struct(*fields, source.alias("source")))
+    return d.drop("_qm", "_qe", *[f"_q_{k}" for k in HINT_PARAMS], *[f"_e_{k}" for k in ENCODED_HINT_KEYS])
 
 
 def referrer_host(ref: Column) -> Column:

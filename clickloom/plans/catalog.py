@@ -20,7 +20,7 @@ from clickloom.operators import journeys as J
 from clickloom.operators import reports as R
 from clickloom.operators.attribution import attribute_conversions
 from clickloom.operators.filters import valid_events
-from clickloom.sources.fixtures import FX_ADS_AS_OF, FX_AS_OF, FX_CONTROL_PATTERN, fx_ads, fx_events
+from clickloom.sources.fixtures import FX_ADS_AS_OF, FX_AS_OF, FX_CONTROL_PATTERN, fx_ads, fx_events, fx_silver
 
 DAYS = 90
 ADS_DAYS = 365
@@ -39,11 +39,12 @@ def finish(df: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return fx_events(spark, sf)
+    """Silver events (fact columns + parsed property struct ``p``)."""
+    return fx_silver(spark, sf)
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
-    return valid_events(fx_events(spark, sf), FX_AS_OF, DAYS, FX_CONTROL_PATTERN)
+    return valid_events(fx_silver(spark, sf), FX_AS_OF, DAYS, FX_CONTROL_PATTERN)
 
 
 def ads(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +65,7 @@ def _a(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], Da
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources / filters
-    "read_events": _e(lambda ev: ev),
+    "read_events": lambda spark, sf: fx_events(spark, sf),
     "valid_events": lambda spark, sf: base(spark, sf).drop("p"),
     "exclusion_audit": _e(lambda ev: R.exclusion_audit(ev, FX_AS_OF, DAYS, FX_CONTROL_PATTERN)),
     "raw_events": _b(lambda b: R.raw_events(b, RAW_LIMIT)),
