@@ -212,7 +212,15 @@ def _q_archive_record(spark, sf):
 
 
 def _bodies(spark, sf):
-    return SRC.fixture_bodies(events(spark, sf)).withColumnRenamed("event_id", "source_event_id")
+    """Request bodies as newline-delimited JSON files in the shared folder
+    (written once per application), read back by the JSON data source."""
+    from clickloom.sources.fixtures import materialized_path
+
+    path = materialized_path(spark, "bodies", sf,
+                             lambda: SRC.fixture_bodies(events(spark, sf)).select("body"), fmt="text")
+    raw = SRC.read_bodies(spark, path, SRC.FIXTURE_BODY_EXTRA)
+    return raw.withColumnRenamed("_source_event_id", "source_event_id").withColumn(
+        "arrival", F.col("_arrival").cast("timestamp_ntz")).drop("_arrival")
 
 
 def _q_validate(spark, sf):

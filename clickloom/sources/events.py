@@ -54,72 +54,88 @@ def read_events(spark: SparkSession, path: str, as_of=None, days: int | None = N
     return df
 
 
-def parse_bodies(raw: DataFrame, body_col: str = "body") -> DataFrame:
-    """JSON text -> body fields as text + ``_json_ok`` + body length."""
-    parsed = F.from_json(F.col(body_col), BODY_SCHEMA)
-    return raw.select(
-        "*",
-        parsed.alias("b"),
-        F.length(F.col(body_col)).alias("_body_len"),
-        F.get_json_object(F.col(body_col), "$").isNotNull().alias("_json_ok"),
-        F.get_json_object(F.col(body_col), "$.properties").alias("_props_raw"),
-    )
+BODY_READ_SCHEMA = T.StructType(BODY_SCHEMA.fields + [T.StructField("_corrupt_record", S)])
+
+
+def read_bodies(spark: SparkSession, path: str, extra: T.StructType | None = None) -> DataFrame:
+    """Newline-delimited JSON request bodies read by the JSON data source: each
+    line is parsed once in the scan; malformed lines keep their text in
+    ``_corrupt_record``."""
+    schema = T.StructType(BODY_READ_SCHEMA.fields + (list(extra.fields) if extra else []))
+    return (spark.read.schema(schema).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
-def validate_events(raw: DataFrame, arrival_col: str = "arrival", body_col: str = "body",
-                    id_pattern: str = UUID_PATTERN, keep=()) -> tuple[DataFrame, DataFrame]:
-    """F5 + normalisation.  ``raw`` holds one JSON body per row plus its arrival
-    time.  Returns (accepted events in table shape, rejects with reason)."""
-    p = parse_bodies(raw, body_col)
-    b = F.col("b")
-    ids_ok = b["event_id"].rlike(id_pattern) & b["visitor_id"].rlike(id_pattern) & b["session_id"].rlike(id_pattern)
-    name_ok = b["event_name"].rlike(EVENT_NAME_PATTERN)
-    url = b["page_url"]
-    url_ok = url.isNotNull() & (F.length(url) <= MAX_PAGE_URL) & parse_url_part(url, "PROTOCOL").isNotNull() \
-        & (parse_url_part(url, "HOST").isNotNull() | (F.lower(parse_url_part(url, "PROTOCOL")) == "file"))
-    ts_raw = b["client_timestamp"]
+def parse_bodies(raw: DataFrame, body_col: str = "body") -> DataFrame:
+    """Bodies held as a text column (e.g. a message value) -> body columns."""
+    parsed = F.from_json(F.col(body_col), BODY_READ_SCHEMA,
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return raw.withColumn("_body_len", F.length(F.col(body_col))).withColumn("_b", parsed).select(
+        "*", *[F.col(f"_b.{f.name}").alias(f.name) for f in BODY_READ_SCHEMA.fields]).drop("_b")
+
+
+def validate_events(p: DataFrame, arrival_col: str = "arrival", id_pattern: str = UUID_PATTERN,
+                    keep=()) -> tuple[DataFrame, DataFrame]:
+    """F5 + normalisation.  ``p`` holds the body fields as text columns (see
+    ``read_bodies`` / ``parse_bodies``) plus the arrival time.  Returns
+    (accepted events in table shape, rejects with reason).
+
+    Built in stages (URL parts, timestamp, reason) so each expression is
+    computed once per row and code generation stays in bounds."""
+    if "_body_len" not in p.columns:  # re-serialised size (whitespace-insensitive)
+        p = p.withColumn("_body_len", F.length(F.to_json(F.struct(*[F.col(f.name) for f in BODY_SCHEMA.fields]))))
+    p = p.withColumn("_json_ok", F.col("_corrupt_record").isNull())
+    p = p.withColumn("_url", F.col("page_url"))
+    p = p.withColumn("_proto", parse_url_part(F.col("_url"), "PROTOCOL")).withColumn(
+        "_host", parse_url_part(F.col("_url"), "HOST"))
+    ts_raw = F.col("client_timestamp")
     ts_parsed = F.coalesce(
         F.try_to_timestamp(ts_raw, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX")),
         F.try_to_timestamp(ts_raw, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")),
         F.try_to_timestamp(ts_raw, F.lit("yyyy-MM-dd'T'HH:mm:ssX")),
         F.try_to_timestamp(ts_raw),
     )
-    ts = F.when(ts_raw.isNull(), F.col(arrival_col).cast("timestamp")).otherwise(ts_parsed)
-    props = F.col("_props_raw")
-    props_obj = F.when(F.ltrim(props).startswith("{"), props).otherwise(F.lit("{}"))
+    p = p.withColumn("_ts", F.when(ts_raw.isNull(), F.col(arrival_col).cast("timestamp")).otherwise(ts_parsed))
+    props = F.col("properties")
+    p = p.withColumn("_props", F.when(F.ltrim(props).startswith("{"), props).otherwise(F.lit("{}")))
+    ids_ok = F.col("event_id").rlike(id_pattern) & F.col("visitor_id").rlike(id_pattern) & F.col("session_id").rlike(id_pattern)
+    name_ok = F.col("event_name").rlike(EVENT_NAME_PATTERN)
+    url = F.col("_url")
+    url_ok = url.isNotNull() & (F.length(url) <= MAX_PAGE_URL) & F.col("_proto").isNotNull() \
+        & (F.col("_host").isNotNull() | (F.lower(F.col("_proto")) == "file"))
     reason = (
         F.when(F.col("_body_len") > MAX_BODY_BYTES, "payload_too_large")
-        .when(~F.col("_json_ok") | b.isNull(), "invalid_json")
+        .when(~F.col("_json_ok"), "invalid_json")
         .when(~F.coalesce(ids_ok, F.lit(False)), "invalid_identifiers")
         .when(~F.coalesce(name_ok, F.lit(False)), "invalid_event_name")
         .when(~F.coalesce(url_ok, F.lit(False)), "invalid_page_url")
-        .when(ts.isNull(), "invalid_timestamp")
-        .when(F.length(props_obj) > MAX_PROPERTIES_BYTES, "properties_too_large")
+        .when(F.col("_ts").isNull(), "invalid_timestamp")
+        .when(F.length(F.col("_props")) > MAX_PROPERTIES_BYTES, "properties_too_large")
     )
-    width_txt = b["screen_width"]
+    checked = p.withColumn("reject_reason", reason)
+    width_txt = F.col("screen_width")
     width = width_txt.try_cast("int")
     width_ok = width_txt.rlike(r"^[0-9]+$") & width.between(0, SCREEN_WIDTH_MAX)
-    checked = with_url_hints(p.withColumn("reject_reason", reason).withColumn("_ts", ts)
-                             .withColumn("_url", url), "_url", "_h").drop("_url")
-    accepted = checked.where(F.col("reject_reason").isNull()).select(
+    ok_rows = with_url_hints(checked.where(F.col("reject_reason").isNull()), "_url", "_h")
+    accepted = ok_rows.select(
         *keep,
-        b["event_id"].alias("event_id"),
-        b["event_name"].alias("event_name"),
-        b["visitor_id"].alias("visitor_id"),
-        b["session_id"].alias("session_id"),
+        F.col("event_id").alias("event_id"),
+        F.col("event_name").alias("event_name"),
+        F.col("visitor_id").alias("visitor_id"),
+        F.col("session_id").alias("session_id"),
         F.col("_ts").cast("timestamp_ntz").alias("client_timestamp"),
         F.col(arrival_col).cast("timestamp_ntz").alias("received_at"),
         url.alias("page_url"),
-        *[optional_text(b[c], TEXT_CAPS[c]).alias(c) for c in ("page_path", "page_title", "referrer")],
-        *[F.coalesce(optional_text(b[c], TEXT_CAPS[c]), F.col(f"_h.{c}")).alias(c)
+        *[optional_text(F.col(c), TEXT_CAPS[c]).alias(c) for c in ("page_path", "page_title", "referrer")],
+        *[F.coalesce(optional_text(F.col(c), TEXT_CAPS[c]), F.col(f"_h.{c}")).alias(c)
           for c in ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid")],
-        optional_text(b["device_type"], TEXT_CAPS["device_type"]).alias("device_type"),
+        optional_text(F.col("device_type"), TEXT_CAPS["device_type"]).alias("device_type"),
         F.when(width_ok, width).alias("screen_width"),
-        optional_text(b["language"], TEXT_CAPS["language"]).alias("language"),
-        normalize_flags(props_obj).alias("properties"),
+        optional_text(F.col("language"), TEXT_CAPS["language"]).alias("language"),
+        normalize_flags(F.col("_props")).alias("properties"),
     )
     rejects = checked.where(F.col("reject_reason").isNotNull()).select(
-        *keep, F.col(body_col), F.col(arrival_col), "reject_reason")
+        *keep, *[F.col(f.name) for f in BODY_READ_SCHEMA.fields], F.col(arrival_col), "reject_reason")
     return accepted, rejects
 
 
@@ -137,9 +153,9 @@ def normalize_flags(props: Column) -> Column:
 def ingest_events_json(spark: SparkSession, path: str, arrival: Column | None = None,
                        id_pattern: str = UUID_PATTERN) -> tuple[DataFrame, DataFrame]:
     """Read newline-delimited JSON bodies (one event per line) and validate."""
-    raw = spark.read.text(path).withColumnRenamed("value", "body")
+    raw = read_bodies(spark, path)
     raw = raw.withColumn("arrival", arrival if arrival is not None else F.current_timestamp())
-    return validate_events(raw, "arrival", "body", id_pattern)
+    return validate_events(raw, "arrival", id_pattern)
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, key: str = "event_id") -> DataFrame:
@@ -181,10 +197,15 @@ def archive_record(archived: DataFrame, remaining: DataFrame, predicate: Column,
     return combine_rows(a, r).withColumn("cutover", cut)
 
 
+FIXTURE_BODY_EXTRA = T.StructType([T.StructField("_source_event_id", T.LongType()),
+                                   T.StructField("_arrival", S)])
+
+
 def fixture_bodies(ev: DataFrame) -> DataFrame:
     """JSON request bodies derived from fixture events (ids rendered as UUIDs,
     timestamps as ISO text, a few fields made invalid by a fixed rule so every
-    reject reason occurs).  Output: (event_id, body, arrival)."""
+    reject reason occurs).  Output: (event_id, body, arrival); ``body``
+    also carries ``_source_event_id`` and ``_arrival`` for the harness."""
     uuid = lambda c, tag: F.format_string("%08x-0000-4000-8000-%012x", F.lit(tag), c)
     kk = F.col("event_id") % 97
     body = F.struct(
@@ -198,5 +219,7 @@ def fixture_bodies(ev: DataFrame) -> DataFrame:
         "page_path", "page_title", "referrer", "utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term",
         "fbclid", "device_type", "screen_width", "language",
         F.parse_json(F.col("properties")).alias("properties"),
+        F.col("event_id").alias("_source_event_id"),
+        F.date_format(F.col("received_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("_arrival"),
     )
     return ev.select("event_id", F.to_json(body).alias("body"), F.col("received_at").alias("arrival"))

@@ -221,16 +221,29 @@ def _stage_dir(spark: SparkSession, name: str, sf_dir: str) -> str:
     return f"{root.rstrip('/')}/clickloom-fixtures/{app}/{tag}/{name}"
 
 
-def _materialized(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
-    """Write ``build()`` once as Parquet (a table in the shared folder) and
-    read it back; later calls in the same application reuse it.  This is the
-    bronze -> silver step that a production pipeline runs once per load."""
+def _materialized(spark: SparkSession, name: str, sf_dir: str, build, fmt: str = "parquet", schema=None) -> DataFrame:
+    """Write ``build()`` once (a table in the shared folder) and read it back;
+    later calls in the same application reuse it.  This is the bronze ->
+    silver step that a production pipeline runs once per load."""
     path = _stage_dir(spark, name, sf_dir)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        build().write.mode("overwrite").format(fmt).save(path)
+    reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.load(path)
+
+
+def materialized_path(spark: SparkSession, name: str, sf_dir: str, build, fmt: str = "json") -> str:
+    """Like ``_materialized`` but returns the folder (for file / stream sources)."""
+    path = _stage_dir(spark, name, sf_dir)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        build().write.mode("overwrite").format(fmt).save(path)
+    return path
 
 
 def fx_events(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
