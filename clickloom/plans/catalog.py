@@ -20,7 +20,7 @@ from clickloom.operators import journeys as J
 from clickloom.operators import reports as R
 from clickloom.operators.attribution import attribute_conversions
 from clickloom.operators.filters import valid_events
-from clickloom.sources.fixtures import FX_ADS_AS_OF, FX_AS_OF, FX_CONTROL_PATTERN, fx_ads, fx_events, fx_silver
+from clickloom.sources.fixtures import FX_ADS_AS_OF, FX_AS_OF, FX_CONTROL_PATTERN, fx_ads, fx_ads_raw, fx_events, fx_silver
 
 DAYS = 90
 ADS_DAYS = 365
@@ -398,3 +398,90 @@ QUERIES.update({
     "readiness_score": _q_readiness_score,
     "readiness_labels": _q_readiness_labels,
 })
+
+
+# --------------------------------------------------------------------------- sanitiser / ads ingest
+from clickloom.functions import sanitize as SAN  # noqa: E402
+from clickloom.functions.urls import sanitize_url as _sanitize_url  # noqa: E402
+from clickloom.sources import ads as ADS_SRC  # noqa: E402
+
+
+def _q_sanitized_raw_events(spark, sf):
+    return SAN.sanitize_frame(R.raw_events(base(spark, sf), RAW_LIMIT).drop("p"))
+
+
+def _q_sanitize_urls(spark, sf):
+    pg = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    return pg.select("page_id", _sanitize_url(F.col("url")).alias("sanitized_url"))
+
+
+def _ad_post_rows(spark, sf):
+    """Ad rows as posted to the ingest endpoint (text fields, actions array),
+    derived from lineitem x part; a fixed rule blanks ids / dates and moves
+    metrics into ``actions`` so every normalisation path runs."""
+    raw = fx_ads_raw(spark, sf)
+    r = F.col("ingested_seq") % 23
+    acts = F.array(
+        F.struct(F.lit("landing_page_view").alias("action_type"), F.col("landing_page_views").cast("string").alias("value")),
+        F.struct(F.lit("omni_purchase").alias("action_type"), F.col("purchases").cast("string").alias("value")),
+    )
+    return raw.select(
+        F.when(r == 1, F.lit(None)).otherwise(F.col("account_id")).alias("account_id"),
+        F.when(r == 2, F.lit("2001-02-30")).when(r == 3, F.lit(None)).otherwise(F.col("date_start").cast("string")).alias("date_start"),
+        F.when(r == 4, F.lit("  ")).otherwise(F.col("campaign_id")).alias("campaign_id"),
+        "campaign_name",
+        F.when(r == 5, F.lit(None)).otherwise(F.col("adset_id")).alias("adset_id"),
+        "adset_name", "ad_id", "ad_name", "creative_id",
+        F.when(r == 6, F.lit("-3.5")).otherwise(F.col("spend").cast("string")).alias("spend"),
+        F.col("impressions").cast("string").alias("impressions"), F.col("reach").cast("string").alias("reach"),
+        F.col("frequency").cast("string").alias("frequency"), F.col("clicks").cast("string").alias("clicks"),
+        F.col("unique_clicks").cast("string").alias("unique_clicks"),
+        F.when(r == 7, F.lit("0")).otherwise(F.col("landing_page_views").cast("string")).alias("landing_page_views"),
+        F.col("add_to_cart").cast("string").alias("add_to_cart"),
+        F.col("initiate_checkout").cast("string").alias("initiate_checkout"),
+        F.when(r == 8, F.lit(None)).otherwise(F.col("purchases").cast("string")).alias("purchases"),
+        F.col("purchase_value").cast("string").alias("purchase_value"), "currency",
+        acts.alias("actions"), "ingested_seq",
+    )
+
+
+def _q_normalize_ads(spark, sf):
+    ok, bad = ADS_SRC.normalize_ads(_ad_post_rows(spark, sf))
+    cols = ["ingested_seq", "account_id", "date_start", "campaign_id", "adset_id", "ad_id", "spend", "impressions",
+            "landing_page_views", "purchases"]
+    return ok.select(*cols, F.lit(True).alias("accepted")).unionByName(bad.select(*cols, F.lit(False).alias("accepted")))
+
+
+QUERIES.update({
+    "sanitized_raw_events": _q_sanitized_raw_events,
+    "sanitize_urls": _q_sanitize_urls,
+    "normalize_ads": lambda spark, sf: finish(_q_normalize_ads(spark, sf)),
+})
+
+
+# --------------------------------------------------------------------------- export
+from clickloom.config import ReportConfig  # noqa: E402
+from clickloom.plans import export as EXP  # noqa: E402
+
+
+def _fx_cfg():
+    import datetime as _dt
+
+    return ReportConfig(as_of=_dt.datetime.fromisoformat(FX_AS_OF), days=DAYS, control_pattern=FX_CONTROL_PATTERN,
+                        ads_as_of=_dt.date.fromisoformat(FX_ADS_AS_OF), ads_days=ADS_DAYS, raw_limit=RAW_LIMIT)
+
+
+def _q_export_health(spark, sf):
+    return EXP.run_isolated(spark, EXP.fallback_bundle(events(spark, sf), _fx_cfg()))
+
+
+def _q_export_scope(spark, sf):
+    ev = events(spark, sf)
+    health = EXP.run_isolated(spark, EXP.fallback_bundle(ev, _fx_cfg()))
+    return EXP.export_scope(health, R.overview_basic(base(spark, sf)), RAW_LIMIT)
+
+
+QUERIES.update({
+    "export_health": _q_export_health,
+    "export_scope": _q_export_scope,
+})

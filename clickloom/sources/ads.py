@@ -68,7 +68,9 @@ def normalize_ads(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     for metric, cands in AD_ACTION_FALLBACKS.items():
         own = _number(F.col(metric))
         fallback[metric] = F.when(own != 0, own).otherwise(_action_value(F.col("actions"), cands))
+    passthrough = [c for c in r.columns if c not in ADS_COLUMNS and c != "actions"]
     out = r.select(
+        *passthrough,
         F.coalesce(_text(F.col("account_id"), 255), F.lit("unknown-account")).alias("account_id"),
         date.alias("date_start"),
         _text(F.col("campaign_id"), 255).alias("campaign_id"),
