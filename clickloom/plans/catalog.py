@@ -485,3 +485,115 @@ QUERIES.update({
     "export_health": _q_export_health,
     "export_scope": _q_export_scope,
 })
+
+
+# --------------------------------------------------------------------------- streaming
+from pyspark.sql import types as _T  # noqa: E402
+
+from clickloom.sources.fixtures import _stage_dir  # noqa: E402
+from clickloom.streaming import aggregates as SA  # noqa: E402
+from clickloom.streaming import ingest as SI  # noqa: E402
+
+STREAM_CUTS = ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-02-01")
+
+
+def _done(spark, path):
+    return SI._exists(spark, path)
+
+
+def _mark(spark, path):
+    spark.createDataFrame([(1,)], "x int").coalesce(1).write.mode("overwrite").json(path)
+
+
+def _stream_source(spark, sf):
+    """Request bodies as arriving files: one file per arrival week, each also
+    re-delivering a share of the previous week's rows (client outbox replays),
+    plus a file of malformed lines."""
+    root = _stage_dir(spark, "stream", sf)
+    src = f"{root}/source"
+    if _done(spark, f"{root}/_source_ready"):
+        return root
+    bodies = SRC.fixture_bodies(events(spark, sf))
+    at = F.col("arrival")
+    prev = None
+    for lo, hi in zip(STREAM_CUTS[:-1], STREAM_CUTS[1:]):
+        rng = (at >= F.lit(lo).cast("timestamp_ntz")) & (at < F.lit(hi).cast("timestamp_ntz"))
+        chunk = bodies.where(rng).select("body")
+        if prev is not None:
+            chunk = chunk.unionByName(bodies.where(prev & (F.col("event_id") % 20 == 7)).select("body"))
+        chunk.coalesce(1).write.mode("append").text(src)
+        prev = rng
+        if lo == STREAM_CUTS[1]:
+            spark.createDataFrame([("{not json",), ('{"event_id": ',)], "body string").coalesce(1) \
+                .write.mode("append").text(src)
+    _mark(spark, f"{root}/_source_ready")
+    return root
+
+
+def _stream_target(spark, sf):
+    root = _stream_source(spark, sf)
+    if not _done(spark, f"{root}/_target_ready"):
+        q = SI.stream_ingest(spark, f"{root}/source", f"{root}/target", f"{root}/dead_letter", f"{root}/ckpt_ingest",
+                             control_pattern=FX_CONTROL_PATTERN, extra_schema=SRC.FIXTURE_BODY_EXTRA,
+                             arrival_col="_arrival", keep=("_source_event_id",), max_files_per_trigger=1)
+        q.awaitTermination()
+        _mark(spark, f"{root}/_target_ready")
+    return root
+
+
+TARGET_SCHEMA = _T.StructType(SRC.EVENTS_SCHEMA.fields + [_T.StructField("_source_event_id", _T.LongType()),
+                                                         _T.StructField("event_date", _T.DateType())])
+
+
+def _q_stream_ingest(spark, sf):
+    root = _stream_target(spark, sf)
+    t = spark.read.schema(TARGET_SCHEMA).parquet(f"{root}/target")
+    return t.select(F.col("_source_event_id").alias("source_event_id"), "event_name", "client_timestamp",
+                    "received_at", F.get_json_object("properties", "$.traffic_classification").alias("traffic_classification"),
+                    F.get_json_object("properties", "$.test").alias("test"))
+
+
+def _q_stream_dead_letter(spark, sf):
+    root = _stream_target(spark, sf)
+    d = spark.read.parquet(f"{root}/dead_letter")
+    return d.select("reject_reason", F.col("_source_event_id").alias("source_event_id"))
+
+
+def _run_stream_agg(spark, sf, name, build, mode):
+    root = _stream_target(spark, sf)
+    out = f"{root}/{name}"
+    if not _done(spark, f"{root}/_{name}_ready"):
+        src = spark.readStream.schema(TARGET_SCHEMA).parquet(f"{root}/target")
+        res = build(src)
+        w = res.writeStream.option("checkpointLocation", f"{root}/ckpt_{name}").trigger(availableNow=True)
+        if mode == "complete":
+            w = w.outputMode("complete").foreachBatch(lambda df, _e: df.write.mode("overwrite").parquet(out))
+        else:
+            w = w.outputMode("append").format("parquet").option("path", out)
+        w.start().awaitTermination()
+        _mark(spark, f"{root}/_{name}_ready")
+    return spark.read.parquet(out)
+
+
+def _q_stream_daily(spark, sf):
+    d = _run_stream_agg(spark, sf, "daily", lambda s: SA.stream_daily(SA.stream_dedupe(s)), "complete")
+    return d.select("day", "events", "page_views", "purchases")
+
+
+def _q_stream_sessions(spark, sf):
+    return _run_stream_agg(spark, sf, "sessions", lambda s: SA.stream_sessions(s), "append")
+
+
+def _q_stream_first_touch(spark, sf):
+    d = _run_stream_agg(spark, sf, "first_touch", lambda s: SA.stream_first_touch(s), "append")
+    return d.select("visitor_id", F.col("first_touch_at").cast("timestamp_ntz").alias("first_touch_at"),
+                    "first_touch_source", "first_touch_campaign", "first_touch_fbclid")
+
+
+QUERIES.update({
+    "stream_ingest": _q_stream_ingest,
+    "stream_dead_letter": _q_stream_dead_letter,
+    "stream_daily": _q_stream_daily,
+    "stream_sessions": _q_stream_sessions,
+    "stream_first_touch": _q_stream_first_touch,
+})

@@ -1131,3 +1131,42 @@ SELECT 'full' AS mode, CAST(3 AS BIGINT) AS complete_query_blocks, CAST(0 AS BIG
   10000 AS raw_event_limit, CAST(least(count(*), 10000) AS BIGINT) AS raw_events_included,
   count(*) > least(count(*), 10000) AS raw_event_limit_reached
 FROM base"""
+
+# ------------------------------------------------------------------ streaming (same rows as batch)
+_STREAM_ACC = FX + f""",
+{_CLS_INPUT},
+acc AS (SELECT cls.*, event_id % 97 AS kk FROM cls WHERE event_id % 97 NOT IN (1, 2, 3, 5)),
+ded AS (SELECT * FROM acc
+  QUALIFY {_SID} IS NULL OR row_number() OVER (PARTITION BY {_SID} ORDER BY received_at, event_id) = 1),
+st AS (SELECT event_id, event_name, visitor_id, received_at, c, properties,
+  CASE WHEN kk = 4 THEN received_at ELSE client_timestamp END AS client_ts,
+  {_hint('utm_source')} AS src, {_hint('utm_campaign')} AS cmp, {_hint('fbclid')} AS fb FROM ded)
+"""
+
+SQL["stream_ingest"] = _STREAM_ACC + f"""
+SELECT event_id AS source_event_id, event_name, client_ts AS client_timestamp, received_at,
+  c AS traffic_classification, CASE WHEN c <> 'production' THEN 'true' ELSE {jx('test')} END AS test
+FROM st"""
+
+SQL["stream_dead_letter"] = FX + """,
+rej AS (SELECT event_id, received_at, CASE event_id % 97 WHEN 1 THEN 'invalid_identifiers'
+    WHEN 2 THEN 'invalid_event_name' WHEN 5 THEN 'invalid_page_url' WHEN 3 THEN 'invalid_timestamp' END AS reject_reason
+  FROM fx WHERE event_id % 97 IN (1, 2, 3, 5))
+SELECT reject_reason, event_id AS source_event_id FROM rej
+UNION ALL SELECT reject_reason, event_id FROM rej
+  WHERE event_id % 20 = 7 AND received_at >= TIMESTAMP '2024-01-01' AND received_at < TIMESTAMP '2024-01-22'
+UNION ALL SELECT 'invalid_json', CAST(NULL AS BIGINT)
+UNION ALL SELECT 'invalid_json', CAST(NULL AS BIGINT)"""
+
+SQL["stream_daily"] = _STREAM_ACC + """
+SELECT date_trunc('day', client_ts) AS day, count(*) AS events,
+  count(*) FILTER (WHERE event_name = 'page_view') AS page_views,
+  count(*) FILTER (WHERE event_name = 'purchase') AS purchases
+FROM st GROUP BY 1"""
+
+SQL["stream_first_touch"] = _STREAM_ACC + """
+SELECT printf('%08x-0000-4000-8000-%012x', 2, visitor_id) AS visitor_id, client_ts AS first_touch_at,
+  src AS first_touch_source, cmp AS first_touch_campaign, fb AS first_touch_fbclid
+FROM st WHERE src IS NOT NULL OR cmp IS NOT NULL OR fb IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY visitor_id ORDER BY client_ts,
+  printf('%08x-0000-4000-8000-%012x', 1, event_id)) = 1"""
