@@ -33,7 +33,7 @@ def sessionize(
     A new session starts when the gap to the visitor's previous event is
     strictly greater than ``gap_seconds``.  Rows are ordered by (ts, tiebreak).
     """
-    gap_us = int(gap_seconds) * 1_000_000
+    gap_us = int(round(float(gap_seconds) * 1_000_000))
     bucket_us = int(bucket_seconds) * 1_000_000
     t = df.withColumn("_us", _micros(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(bucket_us)))
     w_in = Window.partitionBy(visitor, "_b").orderBy("_us", tiebreak)

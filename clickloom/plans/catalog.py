@@ -597,3 +597,55 @@ QUERIES.update({
     "stream_sessions": _q_stream_sessions,
     "stream_first_touch": _q_stream_first_touch,
 })
+
+
+# --------------------------------------------------------------------------- interaction (re-aimed tracker logic)
+from clickloom.functions.json import guarded_number, nz as _nz, prop as _prop  # noqa: E402
+from clickloom.operators import interaction as INT  # noqa: E402
+
+
+def _with_page(b):
+    return b.withColumn("page_instance_id", _nz(_prop("page_instance_id"))).where(F.col("page_instance_id").isNotNull())
+
+
+def _q_rage_clicks(spark, sf):
+    b = _with_page(base(spark, sf)).where(F.col("event_name").isin("buy_button_click", "cta_impression"))
+    k = (_prop("visible_ms").cast("int") / 100).cast("int")
+    clicks = b.select("page_instance_id", F.col("client_timestamp").alias("ts"),
+                      ((k * 37) % 400).alias("x"), ((k * 53) % 300).alias("y"))
+    return INT.rage_clicks(clicks)
+
+
+def _q_scroll_milestones(spark, sf):
+    b = _with_page(base(spark, sf))
+    s = b.select("page_instance_id", F.col("client_timestamp").alias("ts"),
+                 _prop("max_scroll_depth").try_cast("int").alias("depth"))
+    return INT.scroll_milestones(s)
+
+
+def _q_section_dwell(spark, sf):
+    b = _with_page(base(spark, sf)).where(F.col("event_name").isin("section_view", "section_engagement"))
+    e = b.select("page_instance_id",
+                 F.coalesce(_prop("section_key"), _prop("chapter"), _prop("section_id"), F.lit("unknown")).alias("section_key"),
+                 F.col("client_timestamp").alias("ts"),
+                 F.when(F.col("event_name") == "section_view", "enter").otherwise("exit").alias("state"))
+    return INT.section_dwell(e)
+
+
+def _q_page_vitals(spark, sf):
+    b = _with_page(base(spark, sf)).where(F.col("event_name") == "page_performance")
+    e = b.select("page_instance_id", F.col("client_timestamp").alias("ts"),
+                 (_prop("quick_exit") == "true").alias("recent_input"),
+                 F.explode(F.array(
+                     F.struct(F.lit("lcp").alias("metric"), guarded_number(_prop("lcp_ms")).alias("value")),
+                     F.struct(F.lit("inp").alias("metric"), guarded_number(_prop("inp_ms")).alias("value")),
+                     F.struct(F.lit("cls").alias("metric"), guarded_number(_prop("cls")).alias("value")))).alias("e"))
+    return INT.page_vitals(e.select("page_instance_id", "ts", "recent_input", "e.metric", "e.value"))
+
+
+QUERIES.update({
+    "rage_clicks": _q_rage_clicks,
+    "scroll_milestones": _q_scroll_milestones,
+    "section_dwell": _q_section_dwell,
+    "page_vitals": lambda spark, sf: finish(_q_page_vitals(spark, sf)),
+})

@@ -1170,3 +1170,33 @@ SELECT printf('%08x-0000-4000-8000-%012x', 2, visitor_id) AS visitor_id, client_
 FROM st WHERE src IS NOT NULL OR cmp IS NOT NULL OR fb IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY visitor_id ORDER BY client_ts,
   printf('%08x-0000-4000-8000-%012x', 1, event_id)) = 1"""
+
+# ------------------------------------------------------------------ interaction
+_PAGE = f"NULLIF({jx('page_instance_id')}, '')"
+
+SQL["scroll_milestones"] = BASE + f""",
+s AS (SELECT {_PAGE} AS page_instance_id, client_timestamp AS ts,
+    TRY_CAST({jx('max_scroll_depth')} AS INTEGER) AS depth FROM base WHERE {_PAGE} IS NOT NULL),
+m AS (SELECT page_instance_id, ts, unnest([10, 25, 50, 75, 90, 100]) AS milestone, depth FROM s)
+SELECT page_instance_id, milestone, min(ts) AS reached_at FROM m WHERE depth >= milestone GROUP BY 1, 2"""
+
+SQL["section_dwell"] = BASE + f""",
+e AS (SELECT {_PAGE} AS page_instance_id,
+    coalesce({jx('section_key')}, {jx('chapter')}, {jx('section_id')}, 'unknown') AS section_key,
+    client_timestamp AS ts, CASE WHEN event_name = 'section_view' THEN 'enter' ELSE 'exit' END AS state
+  FROM base WHERE {_PAGE} IS NOT NULL AND event_name IN ('section_view', 'section_engagement')),
+l AS (SELECT *, lead(ts) OVER w AS nts, lead(state) OVER w AS nstate FROM e
+  WINDOW w AS (PARTITION BY page_instance_id, section_key ORDER BY ts, state)),
+iv AS (SELECT page_instance_id, section_key, ts AS entered_at,
+    greatest(0, epoch_ms(nts) - epoch_ms(ts)) AS visible_ms FROM l WHERE state = 'enter' AND nstate = 'exit'),
+c AS (SELECT *, CAST(sum(visible_ms) OVER (PARTITION BY page_instance_id, section_key ORDER BY entered_at
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative_visible_ms FROM iv)
+SELECT * FROM c WHERE visible_ms >= 750"""
+
+SQL["page_vitals"] = BASE + f""",
+pp AS (SELECT {_PAGE} AS page_instance_id, client_timestamp AS ts, {jx('quick_exit')} = 'true' AS recent_input,
+    {guarded(jx('lcp_ms'))} AS lcp, {guarded(jx('inp_ms'))} AS inp, {guarded(jx('cls'))} AS cls
+  FROM base WHERE {_PAGE} IS NOT NULL AND event_name = 'page_performance')
+SELECT page_instance_id, arg_max(lcp, (ts, lcp)) FILTER (WHERE lcp IS NOT NULL) AS lcp_ms,
+  max(inp) AS inp_ms, round(coalesce(sum(cls) FILTER (WHERE NOT coalesce(recent_input, false)), 0.0), 6) AS cls
+FROM pp GROUP BY 1"""

@@ -18,6 +18,7 @@ from clickloom.config import ATTRIBUTION_LOOKBACK_DAYS, UUID_PATTERN
 from clickloom.functions.json import with_props
 from clickloom.operators.attribution import attribute_conversions, stamp_attribution
 from clickloom.operators.classify import classify_traffic, json_merge
+from clickloom.session import ensure_checkpoint_dir
 from clickloom.sources.events import BODY_READ_SCHEMA, EVENTS_SCHEMA, anti_existing, insert_ignore, validate_events
 
 
@@ -57,6 +58,10 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target:
     history = spark.read.parquet(target) if _exists(spark, target) else spark.createDataFrame([], ok.schema)
     fresh = insert_ignore(history, ok)                      # ST3: once per event_id
     fresh = anti_existing(history, fresh)                   # J11: once per shop event id
+    # The batch's new rows feed several steps: cut the lineage once (reliable
+    # checkpoint in the shared checkpoint folder) instead of re-validating.
+    ensure_checkpoint_dir(spark)
+    fresh = fresh.checkpoint(eager=True)
     arrival = F.max(F.col("received_at")).alias("t")
     stamped_at = fresh.agg(arrival).first()["t"]
     fresh = stamp_classification(fresh, str(stamped_at), control_pattern)
@@ -64,7 +69,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target:
     recent = history.where(F.col("received_at") >= F.lit(stamped_at) - F.expr(f"INTERVAL {int(lookback_days)} DAYS")) \
         if stamped_at is not None else history
     hist = recent.select(*fresh.columns).unionByName(fresh)
-    resolved = attribute_conversions(fresh, lookback_days=lookback_days, id_pattern=id_pattern, history=hist)
+    resolved = attribute_conversions(fresh, lookback_days=lookback_days, id_pattern=id_pattern, history=hist,
+                                     materialize=False)
     out = stamp_attribution(with_props(fresh).drop("p"), resolved)
     out.select(*[c for c in fresh.columns]).withColumn("event_date", F.to_date("received_at")) \
         .write.mode("append").partitionBy("event_date").parquet(target)
