@@ -653,18 +653,21 @@ def time_to_conversion(base: DataFrame) -> DataFrame:
              "first_purchase": "purchase"}
     v = base.groupBy("visitor_id").agg(*[F.min(F.when(is_event(e), F.col(TS))).alias(n) for n, e in stage.items()])
 
-    def secs(a: str, b: str) -> Column:
+    def micros(a: str, b: str) -> Column:
         us = F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))
-        return F.when(F.col(a) >= F.col(b), us / 1e6)
+        return F.when(F.col(a) >= F.col(b), us)
+
+    def secs(a: str, b: str) -> Column:  # exact integer sum, one division at the end
+        return F.avg(micros(a, b)) / 1e6
 
     return v.agg(
         F.count_if(F.col("first_page_view").isNotNull()).alias("visitors_with_page_view"),
         F.count_if(F.col("first_checkout").isNotNull()).alias("visitors_with_checkout"),
         F.count_if(F.col("first_purchase").isNotNull()).alias("visitors_with_purchase"),
-        F.avg(secs("first_cta_impression", "first_page_view")).alias("avg_seconds_page_to_cta"),
-        F.avg(secs("first_buy_click", "first_cta_impression")).alias("avg_seconds_cta_to_click"),
-        F.avg(secs("first_checkout", "first_page_view")).alias("avg_seconds_page_to_checkout"),
-        F.avg(secs("first_purchase", "first_checkout")).alias("avg_seconds_checkout_to_purchase"),
+        secs("first_cta_impression", "first_page_view").alias("avg_seconds_page_to_cta"),
+        secs("first_buy_click", "first_cta_impression").alias("avg_seconds_cta_to_click"),
+        secs("first_checkout", "first_page_view").alias("avg_seconds_page_to_checkout"),
+        secs("first_purchase", "first_checkout").alias("avg_seconds_checkout_to_purchase"),
     )
 
 

@@ -122,7 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_reasons": _e(J.audit_reasons),
     "audit_campaigns": _e(J.audit_campaigns),
     # ads
-    "ads_upsert": _a(lambda a: a.drop("ingested_seq")),
+    "ads_upsert": _a(lambda a: a.drop("ingested_seq").withColumn("spend", F.col("spend").cast("double"))
+                     .withColumn("purchase_value", F.col("purchase_value").cast("double"))),
     "ads_overview": _a(lambda a: ads_ops.ads_overview(a, FX_ADS_AS_OF, ADS_DAYS)),
     "ads_campaigns": _a(lambda a: ads_ops.ads_campaigns(a, FX_ADS_AS_OF, ADS_DAYS)),
     "ads_daily": _a(lambda a: ads_ops.ads_daily(a, FX_ADS_AS_OF, ADS_DAYS)),

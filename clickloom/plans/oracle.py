@@ -448,7 +448,7 @@ FROM x"""
 
 
 def _avg_secs(a: str, b: str, alias: str) -> str:
-    return (f"round(avg((epoch_us({a}) - epoch_us({b})) / 1e6) FILTER (WHERE {a} >= {b}), 6) AS {alias}")
+    return (f"round(avg(epoch_us({a}) - epoch_us({b})) FILTER (WHERE {a} >= {b}) / 1e6, 6) AS {alias}")
 
 
 SQL["time_to_conversion"] = BASE + f""",
@@ -596,38 +596,38 @@ FROM fx WHERE {_PROD} GROUP BY 1, 2 ORDER BY events DESC"""
 
 # ------------------------------------------------------------------ ads
 SQL["ads_upsert"] = "WITH " + FX_ADS_DUCK + """
-SELECT * EXCLUDE (spend, purchase_value, ingested_seq), round(spend, 6) AS spend,
-  round(purchase_value, 6) AS purchase_value
+SELECT * EXCLUDE (spend, purchase_value, ingested_seq), CAST(spend AS DOUBLE) AS spend,
+  CAST(purchase_value AS DOUBLE) AS purchase_value
 FROM fx_ads"""
 
 SQL["ads_overview"] = ADS + f""",
 o AS (SELECT count(*) AS rows, min(date_start) AS first_date, max(date_start) AS latest_date,
   count(DISTINCT account_id) AS accounts, count(DISTINCT campaign_id) AS campaigns, count(DISTINCT adset_id) AS adsets,
-  count(DISTINCT ad_id) AS ads, round(coalesce(sum(spend), 0), 6) AS spend,
+  count(DISTINCT ad_id) AS ads, CAST(coalesce(sum(spend), 0) AS DOUBLE) AS spend,
   CAST(coalesce(sum(impressions), 0) AS BIGINT) AS impressions, CAST(coalesce(sum(reach), 0) AS BIGINT) AS reach,
   CAST(coalesce(sum(clicks), 0) AS BIGINT) AS clicks,
   CAST(coalesce(sum(landing_page_views), 0) AS BIGINT) AS landing_page_views,
-  round(coalesce(sum(purchases), 0), 6) AS purchases, round(coalesce(sum(purchase_value), 0), 6) AS purchase_value
+  round(coalesce(sum(purchases), 0), 6) AS purchases, CAST(coalesce(sum(purchase_value), 0) AS DOUBLE) AS purchase_value
   FROM ads)
 SELECT *, {metrics()} FROM o"""
 
 SQL["ads_campaigns"] = ADS + f""",
 o AS (SELECT campaign_id, campaign_name, count(DISTINCT adset_id) AS adsets, count(DISTINCT ad_id) AS ads,
-  round(coalesce(sum(spend), 0), 6) AS spend,
+  CAST(coalesce(sum(spend), 0) AS DOUBLE) AS spend,
   CAST(coalesce(sum(impressions), 0) AS BIGINT) AS impressions, CAST(coalesce(sum(reach), 0) AS BIGINT) AS reach,
   CAST(coalesce(sum(clicks), 0) AS BIGINT) AS clicks, CAST(coalesce(sum(unique_clicks), 0) AS BIGINT) AS unique_clicks,
   CAST(coalesce(sum(landing_page_views), 0) AS BIGINT) AS landing_page_views,
   CAST(coalesce(sum(add_to_cart), 0) AS BIGINT) AS add_to_cart,
   CAST(coalesce(sum(initiate_checkout), 0) AS BIGINT) AS initiate_checkout,
-  round(coalesce(sum(purchases), 0), 6) AS purchases, round(coalesce(sum(purchase_value), 0), 6) AS purchase_value,
+  round(coalesce(sum(purchases), 0), 6) AS purchases, CAST(coalesce(sum(purchase_value), 0) AS DOUBLE) AS purchase_value,
   max(currency) AS currency, max(ingested_at) AS latest_ingested_at
   FROM ads GROUP BY campaign_id, campaign_name)
 SELECT *, {metrics()} FROM o ORDER BY spend DESC, impressions DESC"""
 
 SQL["ads_daily"] = ADS + f""",
 o AS (SELECT date_start, account_id, campaign_id, campaign_name, adset_id, adset_name, ad_id, ad_name, creative_id,
-  spend, impressions, reach, frequency, clicks, unique_clicks, landing_page_views, add_to_cart,
-  initiate_checkout, purchases, purchase_value, currency, ingested_at
+  CAST(spend AS DOUBLE) AS spend, impressions, reach, frequency, clicks, unique_clicks, landing_page_views, add_to_cart,
+  initiate_checkout, purchases, CAST(purchase_value AS DOUBLE) AS purchase_value, currency, ingested_at
   FROM ads ORDER BY date_start, spend DESC, account_id, ad_id LIMIT 20000)
 SELECT * EXCLUDE (spend, purchase_value), round(spend, 6) AS spend, round(purchase_value, 6) AS purchase_value,
   {metrics()} FROM o"""
@@ -902,11 +902,11 @@ SELECT offer_id, average_order_value, contribution_margin_percent, desired_profi
 
 _CAMP = ADS + r""",
 camp AS (SELECT campaign_id, CAST((CAST(regexp_extract(campaign_id, '(\d+)$', 1) AS INTEGER) % 5) + 1 AS VARCHAR) AS offer_id,
-    round(coalesce(sum(spend), 0), 2) AS spend, CAST(coalesce(sum(impressions), 0) AS BIGINT) AS impressions,
+    round(CAST(coalesce(sum(spend), 0) AS DOUBLE), 2) AS spend, CAST(coalesce(sum(impressions), 0) AS BIGINT) AS impressions,
     CAST(coalesce(sum(reach), 0) AS BIGINT) AS reach, CAST(NULL AS DOUBLE) AS three_second_views,
     CAST(coalesce(sum(clicks), 0) AS BIGINT) AS link_clicks, CAST(coalesce(sum(landing_page_views), 0) AS BIGINT) AS landing_page_views,
     CAST(coalesce(sum(add_to_cart), 0) AS BIGINT) AS add_to_carts, CAST(coalesce(sum(initiate_checkout), 0) AS BIGINT) AS checkouts,
-    coalesce(sum(purchases), 0) AS purchases, round(coalesce(sum(purchase_value), 0), 2) AS revenue
+    coalesce(sum(purchases), 0) AS purchases, round(CAST(coalesce(sum(purchase_value), 0) AS DOUBLE), 2) AS revenue
   FROM ads GROUP BY campaign_id)"""
 
 _METRICS = {
@@ -1114,7 +1114,7 @@ SELECT ingested_seq,
   CASE WHEN rr = 4 THEN NULL ELSE campaign_id END AS campaign_id,
   CASE WHEN rr = 5 THEN 'unknown-adset' ELSE adset_id END AS adset_id,
   ad_id,
-  round(CASE WHEN rr = 6 THEN 0.0 ELSE greatest(0.0, spend) END, 6) AS spend,
+  round(CASE WHEN rr = 6 THEN 0.0 ELSE greatest(0.0, CAST(spend AS DOUBLE)) END, 6) AS spend,
   CAST(greatest(0, floor(impressions + 0.5)) AS BIGINT) AS impressions,
   CAST(landing_page_views AS BIGINT) AS landing_page_views,
   round(greatest(0.0, purchases), 6) AS purchases,

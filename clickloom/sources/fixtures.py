@@ -285,7 +285,7 @@ SELECT
   CAST(l.l_partkey % 200 AS STRING) AS ad_id,
   'Ad ' || CAST(l.l_partkey % 200 AS STRING) AS ad_name,
   'cr_' || CAST(l.l_partkey % 11 AS STRING) AS creative_id,
-  l.l_extendedprice * l.l_discount AS spend,
+  CAST(l.l_extendedprice * l.l_discount AS DECIMAL(20,6)) AS spend,
   CAST(l.l_quantity * 100 AS BIGINT) AS impressions,
   CAST(l.l_quantity * 80 AS BIGINT) AS reach,
   1.25 AS frequency,
@@ -295,7 +295,7 @@ SELECT
   CAST(l.l_quantity AS BIGINT) % 7 AS add_to_cart,
   CAST(l.l_quantity AS BIGINT) % 5 AS initiate_checkout,
   CAST(CAST(l.l_quantity AS BIGINT) % 3 AS DOUBLE) AS purchases,
-  l.l_extendedprice * l.l_tax AS purchase_value,
+  CAST(l.l_extendedprice * l.l_tax AS DECIMAL(20,6)) AS purchase_value,
   'BRL' AS currency,
   l.l_orderkey * 10 + l.l_linenumber AS ingested_seq,
   l.l_shipdate + INTERVAL '1' DAY AS ingested_at
