@@ -82,16 +82,16 @@ def constraint_check(ev: DataFrame) -> DataFrame:
 def dedupe_consecutive_pages(ev: DataFrame, page_instance: str = "page_instance_id",
                              ts: str = "client_timestamp", tiebreak: str = "event_id") -> DataFrame:
     """drop a page view whose URL equals the previous page view's URL on the
-    same page instance (null-safe comparison).  The window is keyed by page
-    instance, which is bounded by one page load."""
+    same page instance (null-safe comparison), with a bucketed ``lag`` per
+    page instance (``scan.prev_value``)."""
+    from clickloom.operators.scan import prev_value
+
     pv = ev.where(F.col("event_name") == "page_view")
     # rows without a page instance cannot be compared: they pass unwindowed
     # (and never gather into one NULL partition).
     loose = pv.where(F.col(page_instance).isNull())
-    w = Window.partitionBy(page_instance).orderBy(ts, tiebreak)
-    prev = F.lag("page_url").over(w)
-    kept = (pv.where(F.col(page_instance).isNotNull()).withColumn("_prev_url", prev)
-            .where(~F.col("_prev_url").eqNullSafe(F.col("page_url"))).drop("_prev_url"))
+    keyed = prev_value(pv.where(F.col(page_instance).isNotNull()), page_instance, ts, "page_url", "_prev_url", tiebreak)
+    kept = keyed.where(~F.col("_prev_url").eqNullSafe(F.col("page_url"))).drop("_prev_url")
     return kept.unionByName(loose)
 
 

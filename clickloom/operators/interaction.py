@@ -2,8 +2,8 @@
 interaction events (W7-W10, plus F12 in ``filters``).
 
 * ``rage_clicks`` - 3 clicks inside ``window_ms`` all within ``radius`` px of
-  the last one, then a cool-down.  The cluster test is a window (``lag``) per
-  page instance; the cool-down is greedy (order dependent), so candidates are
+  the last one, then a cool-down.  The cluster test uses bucketed ``lag``s per
+  page instance (``scan.prev_value``); the cool-down is greedy (order dependent), so candidates are
   first split into bursts (gap > cool-down => independent, by the skew-safe
   ``sessionize``) and each burst is folded with ``aggregate`` over its sorted
   candidate times.
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clickloom.operators.scan import next_value, prev_value, running_sum
 from clickloom.operators.sessions import sessionize
 
 # FIXED VALUES: tracker thresholds.
@@ -36,10 +37,11 @@ def rage_clicks(clicks: DataFrame, page: str = "page_instance_id", ts: str = "ts
                 window_ms: int = RAGE_WINDOW_MS, radius: float = RAGE_RADIUS_PX,
                 cooldown_ms: int = RAGE_COOLDOWN_MS) -> DataFrame:
     """Rows: (page, ts, x, y) of each emitted rage click (anchor = last click)."""
-    w = Window.partitionBy(page).orderBy(ts)
     c = clicks.select(page, ts, x, y, _ms(ts).alias("_t"))
-    c = c.withColumn("_t2", F.lag("_t", 2).over(w)).withColumn("_x1", F.lag(x, 1).over(w)) \
-        .withColumn("_y1", F.lag(y, 1).over(w)).withColumn("_x2", F.lag(x, 2).over(w)).withColumn("_y2", F.lag(y, 2).over(w))
+    c = prev_value(c, page, ts, F.struct(F.col("_t").alias("t"), F.col(x).alias("x"), F.col(y).alias("y")), "_p1", "_t")
+    c = prev_value(c, page, ts, "_p1", "_p2", "_t")
+    c = c.select("*", F.col("_p2.t").alias("_t2"), F.col("_p1.x").alias("_x1"), F.col("_p1.y").alias("_y1"),
+                 F.col("_p2.x").alias("_x2"), F.col("_p2.y").alias("_y2")).drop("_p1", "_p2")
 
     def near(px, py):
         return F.sqrt((F.col(px) - F.col(x)) ** 2 + (F.col(py) - F.col(y)) ** 2) <= radius
@@ -71,15 +73,13 @@ def section_dwell(events: DataFrame, page: str = "page_instance_id", section: st
                   state: str = "state", min_ms: int = SECTION_MIN_MS) -> DataFrame:
     """(page, section, entered_at, visible_ms, cumulative_visible_ms) for each
     visible interval >= ``min_ms``; the running total counts every interval."""
-    w = Window.partitionBy(page, section).orderBy(ts, state)
-    e = events.select(page, section, ts, state, F.lead(ts).over(w).alias("_next"),
-                      F.lead(state).over(w).alias("_next_state"))
-    iv = e.where((F.col(state) == "enter") & (F.col("_next_state") == "exit")).select(
-        page, section, F.col(ts).alias("entered_at"),
-        F.greatest(F.lit(0), F.unix_millis(F.col("_next").cast("timestamp")) - _ms(ts)).alias("visible_ms"))
-    wc = Window.partitionBy(page, section).orderBy("entered_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    iv = iv.withColumn("cumulative_visible_ms", F.sum("visible_ms").over(wc))
-    return iv.where(F.col("visible_ms") >= min_ms)
+    e = events.select(F.concat_ws("\u0001", F.col(page), F.col(section)).alias("_ps"), page, section, ts, state)
+    e = next_value(e, "_ps", ts, F.struct(F.col(ts).alias("t"), F.col(state).alias("s")), "_nx", state)
+    iv = e.where((F.col(state) == "enter") & (F.col("_nx.s") == "exit")).select(
+        "_ps", page, section, F.col(ts).alias("entered_at"),
+        F.greatest(F.lit(0), F.unix_millis(F.col("_nx.t").cast("timestamp")) - _ms(ts)).alias("visible_ms"))
+    iv = running_sum(iv, "_ps", "entered_at", F.col("visible_ms"), "cumulative_visible_ms")
+    return iv.where(F.col("visible_ms") >= min_ms).drop("_ps")
 
 
 def page_vitals(entries: DataFrame, page: str = "page_instance_id", ts: str = "ts") -> DataFrame:

@@ -101,36 +101,28 @@ def latest_by(df: DataFrame, keys: list, cols: dict[str, Column], order: list) -
 
 def visitor_counters(df: DataFrame, visitor: str = "visitor_id", session: str = "session_id",
                      ts: str = "client_timestamp", tiebreak: str = "event_id",
-                     page_view: Column | None = None) -> DataFrame:
+                     page_view: Column | None = None, bucket_seconds: int = 86_400) -> DataFrame:
     """Per event: visit number of its session for the visitor, page-view index in
     the session and for the visitor, first-seen time, returning flag.
 
-    The visit number is computed on a per-session table (one row per session)
-    so the visitor-level window never sees raw events; per-event indexes use
-    windows keyed by session (bounded) and a running count by visitor.
-    """
+    Every running count is a bucketed scan (``scan.running_count``), so a hot
+    visitor or session never lands whole in one task; the visit number is a
+    running count over the session table (one row per session)."""
+    from clickloom.operators.scan import running_count
+
     pv = page_view if page_view is not None else (F.col("event_name") == "page_view")
-    sessions = df.groupBy(visitor, session).agg(F.min(F.struct(ts, tiebreak)).alias("_start"))
-    wv = Window.partitionBy(visitor).orderBy("_start")
-    sessions = sessions.select(
-        visitor, session,
-        F.row_number().over(wv).cast("bigint").alias("visit_number"),
-        F.min(F.col("_start")[ts]).over(Window.partitionBy(visitor)).alias("first_seen_at"),
-    )
-    ws = Window.partitionBy(session).orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumn("_pv", pv.cast("int")).withColumn(
-        "page_view_index_in_session", F.when(F.col("_pv") == 1, F.sum("_pv").over(ws))
-    )
-    # page views of earlier sessions + index in this session
-    spv = out.groupBy(visitor, session).agg(F.sum("_pv").alias("_spv"))
-    spv = spv.join(sessions, [visitor, session])
-    wv2 = Window.partitionBy(visitor).orderBy("visit_number").rowsBetween(Window.unboundedPreceding, -1)
-    spv = spv.withColumn("_pv_before", F.coalesce(F.sum("_spv").over(wv2), F.lit(0)))
-    out = out.join(spv.select(visitor, session, "visit_number", "first_seen_at", "_pv_before"), [visitor, session])
-    return out.withColumn(
-        "page_view_index_for_visitor",
-        F.when(F.col("_pv") == 1, F.col("_pv_before") + F.col("page_view_index_in_session")),
-    ).withColumn("returning_visitor", F.col("visit_number") > 1).drop("_pv", "_pv_before")
+    sessions = df.groupBy(visitor, session).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(tiebreak).alias("k"))).alias("_s"))
+    sessions = sessions.select(visitor, session, F.col("_s.t").alias("_st"), F.col("_s.k").alias("_sk"))
+    sessions = running_count(sessions, visitor, "_st", F.lit(True), "visit_number", "_sk", bucket_seconds)
+    first = df.groupBy(visitor).agg(F.min(ts).alias("first_seen_at"))
+    out = df.withColumn("_pv", pv)
+    out = running_count(out, session, ts, F.col("_pv"), "_pvs", tiebreak, bucket_seconds)
+    out = running_count(out, visitor, ts, F.col("_pv"), "_pvv", tiebreak, bucket_seconds)
+    out = out.join(sessions.select(visitor, session, "visit_number"), [visitor, session], "left") \
+        .join(first, visitor, "left")
+    return out.withColumn("page_view_index_in_session", F.when(F.col("_pv"), F.col("_pvs"))) \
+        .withColumn("page_view_index_for_visitor", F.when(F.col("_pv"), F.col("_pvv"))) \
+        .withColumn("returning_visitor", F.col("visit_number") > 1).drop("_pv", "_pvs", "_pvv")
 
 
 def touch_attribution(df: DataFrame, touch_cols=("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid"),
@@ -141,8 +133,8 @@ def touch_attribution(df: DataFrame, touch_cols=("utm_source", "utm_medium", "ut
     and active touch = session touch, else the event's own, else first touch.
 
     First touch is an aggregate (``min_by``, partial aggregation, skew-safe)
-    joined back on the visitor; the session touch is a running
-    ``last(ignorenulls)`` over the session window.
+    joined back on the visitor; the session touch is a bucketed running
+    ``last(ignorenulls)`` per session (``scan.running_last``).
     """
     vals = [F.when(F.trim(F.col(c)) != "", F.col(c)) for c in touch_cols]
     touch = F.when(F.greatest(*[v.isNotNull() for v in vals]),
@@ -150,8 +142,9 @@ def touch_attribution(df: DataFrame, touch_cols=("utm_source", "utm_medium", "ut
     t = df.withColumn("_touch", touch)
     first = (t.where(F.col("_touch").isNotNull())
              .groupBy(visitor).agg(F.min_by("_touch", F.struct(ts, tiebreak)).alias("first_touch")))
-    ws = Window.partitionBy(session).orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("session_touch", F.last("_touch", ignorenulls=True).over(ws))
+    from clickloom.operators.scan import running_last
+
+    t = running_last(t, session, ts, "_touch", "session_touch", tiebreak)
     t = t.join(first, visitor, "left")
     return t.withColumn(
         "active_touch", F.coalesce(F.col("session_touch"), F.col("_touch"), F.col("first_touch"))
