@@ -51,29 +51,36 @@ def stamp_classification(df: DataFrame, classified_at: str, control_pattern: str
 def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target: str, dead_letter: str,
                   arrival_col: str, id_pattern: str, control_pattern: str | None, lookback_days: int,
                   keep=()) -> None:
-    """One micro-batch of bodies -> target table (append) + dead letters."""
+    """One micro-batch of bodies -> target table (append) + dead letters.
+
+    The target is the silver table: it stores the parsed property struct
+    ``p`` next to the JSON text, so history look-ups (shop ids, test flags,
+    attribution candidates) read pruned nested columns instead of re-parsing
+    JSON of the whole history every batch."""
     ok, bad = validate_events(batch, arrival_col, id_pattern, keep)
     (bad.withColumn("epoch", F.lit(int(epoch_id)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(dead_letter))
-    history = spark.read.parquet(target) if _exists(spark, target) else spark.createDataFrame([], ok.schema)
-    fresh = insert_ignore(history, ok)                      # ST3: once per event_id
-    fresh = anti_existing(history, fresh)                   # J11: once per shop event id
-    # The batch's new rows feed several steps: cut the lineage once (reliable
-    # checkpoint in the shared checkpoint folder) instead of re-validating.
-    ensure_checkpoint_dir(spark)
-    fresh = fresh.checkpoint(eager=True)
-    arrival = F.max(F.col("received_at")).alias("t")
-    stamped_at = fresh.agg(arrival).first()["t"]
+    has_history = _exists(spark, target)
+    history = spark.read.parquet(target).drop("event_date") if has_history else None
+    fresh = ok if history is None else insert_ignore(history.select("event_id"), ok)   # ST3: once per event_id
+    empty_hist = with_props(fresh).limit(0) if history is None else history
+    fresh = anti_existing(empty_hist, with_props(fresh))                               # J11: once per shop id
+    stamped_at = batch.agg(F.max(F.col(arrival_col)).alias("t")).first()["t"]
     fresh = stamp_classification(fresh, str(stamped_at), control_pattern)
+    # cut the lineage once: the stamped rows feed attribution and the write
+    ensure_checkpoint_dir(spark)
+    fresh = with_props(fresh).checkpoint(eager=True)
     # ST4: attribution against stored history of the look-back plus this batch.
-    recent = history.where(F.col("received_at") >= F.lit(stamped_at) - F.expr(f"INTERVAL {int(lookback_days)} DAYS")) \
-        if stamped_at is not None else history
-    hist = recent.select(*fresh.columns).unionByName(fresh)
-    resolved = attribute_conversions(fresh, lookback_days=lookback_days, id_pattern=id_pattern, history=hist,
-                                     materialize=False)
-    out = stamp_attribution(with_props(fresh).drop("p"), resolved)
-    out.select(*[c for c in fresh.columns]).withColumn("event_date", F.to_date("received_at")) \
-        .write.mode("append").partitionBy("event_date").parquet(target)
+    if history is not None and stamped_at is not None:
+        recent = history.where(F.col("received_at") >= F.lit(stamped_at).cast("timestamp_ntz")
+                               - F.expr(f"INTERVAL {int(lookback_days)} DAYS"))
+        hist = recent.select(*fresh.columns).unionByName(fresh)
+    else:
+        hist = fresh
+    resolved = attribute_conversions(fresh, lookback_days=lookback_days, id_pattern=id_pattern, history=hist)
+    resolved = resolved.checkpoint(eager=True)  # small (conversions of the batch); read once by the stamp
+    out = with_props(stamp_attribution(fresh.drop("p"), resolved).select(*[c for c in fresh.columns if c != "p"]))
+    out.withColumn("event_date", F.to_date("received_at")).write.mode("append").partitionBy("event_date").parquet(target)
 
 
 def stream_ingest(spark: SparkSession, source: str, target: str, dead_letter: str, checkpoint: str,
