@@ -650,3 +650,69 @@ QUERIES.update({
     "section_dwell": _q_section_dwell,
     "page_vitals": lambda spark, sf: finish(_q_page_vitals(spark, sf)),
 })
+
+
+# --------------------------------------------------------------------------- checkout pixel + row helpers
+from clickloom.functions.json import LINE_ITEM as _LINE_ITEM  # noqa: E402
+from clickloom.operators import checkout as CO  # noqa: E402
+
+
+def _pixel_events(spark, sf):
+    """Shop-checkout events in the pixel's input shape, derived from the
+    fixture's conversions."""
+    b = events(spark, sf).where(F.col("event_name").isin("checkout_started", "purchase"))
+    items = F.when(F.ltrim(_prop("line_items")).startswith("["), F.from_json(_prop("line_items"), _LINE_ITEM))
+    line_items = F.transform(F.coalesce(items, F.array().cast(_LINE_ITEM)), lambda it: F.struct(
+        F.concat(F.lit("li_"), it["product_id"]).alias("id"), it["product_title"].alias("title"),
+        it["quantity"].alias("quantity"),
+        F.struct(it["variant_id"].alias("id"), it["variant_title"].alias("title"),
+                 F.struct(it["product_id"].alias("id"), it["product_title"].alias("title")).alias("product")).alias("variant"),
+        F.struct(it["price"].alias("amount"), F.lit("BRL").alias("currencyCode")).alias("finalLinePrice")))
+    uuid = lambda c, tag: F.format_string("%08x-0000-4000-8000-%012x", F.lit(tag), c)
+    attrs = F.array(
+        F.struct(F.lit("ct_visitor_id").alias("key"), uuid(F.col("visitor_id"), 2).alias("value")),
+        F.struct(F.lit("ct_utm_campaign").alias("key"), F.col("utm_campaign").alias("value")),
+        F.struct(F.lit("other").alias("key"), F.lit("x").alias("value")))
+    return b.select(
+        F.concat(F.lit("se_"), F.col("event_id").cast("string")).alias("id"),
+        F.when(F.col("event_name") == "purchase", "checkout_completed").otherwise("checkout_started").alias("name"),
+        F.col("event_id").alias("seq"), F.col("visitor_id").cast("string").alias("clientId"),
+        F.date_format("client_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        F.struct(F.struct(F.struct(F.col("page_url").alias("href")).alias("location"), F.col("page_title").alias("title"),
+                          F.col("referrer").alias("referrer")).alias("document"),
+                 F.struct(F.struct(F.col("page_url").alias("href")).alias("location"),
+                          F.col("screen_width").cast("long").alias("innerWidth"),
+                          F.struct(F.col("screen_width").cast("long").alias("width")).alias("screen")).alias("window"),
+                 F.struct(F.col("language").alias("language")).alias("navigator")).alias("context"),
+        F.struct(F.struct(_prop("checkout_id").alias("token"), attrs.alias("attributes"),
+                          F.struct(_prop("order_id").alias("id"), F.lit(None).cast("string").alias("name")).alias("order"),
+                          F.struct(_prop("value").alias("amount"), F.lit("BRL").alias("currencyCode")).alias("totalPrice"),
+                          F.struct(F.lit("0").alias("amount"), F.lit("BRL").alias("currencyCode")).alias("subtotalPrice"),
+                          F.lit("BRL").alias("currencyCode"), line_items.alias("lineItems")).alias("checkout")).alias("data"),
+    )
+
+
+def _q_checkout_payload(spark, sf):
+    out = CO.checkout_payload(_pixel_events(spark, sf))
+    return out.select("event_id", "event_name", "visitor_id", "utm_campaign", "device_type",
+                      F.get_json_object("properties", "$.checkout_id").alias("checkout_id"),
+                      F.get_json_object("properties", "$.value").alias("value"),
+                      F.get_json_object("properties", "$.item_count").alias("item_count"))
+
+
+def _q_device_buckets(spark, sf):
+    b = base(spark, sf).withColumn("device_bucket", CO.device_bucket(F.col("screen_width")))
+    return grouped_rollup(b, ["device_bucket"], sessions=None)
+
+
+def _q_arrival_lag(spark, sf):
+    return events(spark, sf).select("event_id", CO.lag_ms(F.col("received_at"), F.col("client_timestamp")).alias("lag_ms"))
+
+
+from clickloom.functions.agg import grouped_rollup  # noqa: E402
+
+QUERIES.update({
+    "checkout_payload": _q_checkout_payload,
+    "device_buckets": _q_device_buckets,
+    "arrival_lag": _q_arrival_lag,
+})

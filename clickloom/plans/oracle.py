@@ -1200,3 +1200,12 @@ pp AS (SELECT {_PAGE} AS page_instance_id, client_timestamp AS ts, {jx('quick_ex
 SELECT page_instance_id, arg_max(lcp, (ts, lcp)) FILTER (WHERE lcp IS NOT NULL) AS lcp_ms,
   max(inp) AS inp_ms, round(coalesce(sum(cls) FILTER (WHERE NOT coalesce(recent_input, false)), 0.0), 6) AS cls
 FROM pp GROUP BY 1"""
+
+SQL["device_buckets"] = BASE + """
+SELECT CASE WHEN coalesce(screen_width, 0) > 0 AND screen_width < 768 THEN 'mobile'
+    WHEN screen_width >= 768 AND screen_width < 1024 THEN 'tablet' ELSE 'desktop' END AS device_bucket,
+  count(*) AS events, count(DISTINCT visitor_id) AS unique_visitors
+FROM base GROUP BY 1"""
+
+SQL["arrival_lag"] = FX + """
+SELECT event_id, greatest(0, epoch_ms(received_at) - epoch_ms(client_timestamp)) AS lag_ms FROM fx"""

@@ -106,3 +106,14 @@ def test_json_merge_right_wins(spark):
     out = df.select(json_merge(F.col("p"), {"test": F.parse_json(F.lit("true")), "b": F.lit("s").cast("variant"),
                                             "n": F.lit(None).cast("variant")}).alias("m")).first().m
     assert json.loads(out) == {"a": 1, "o": {"x": [1, 2]}, "test": True, "b": "s"}
+
+
+def test_checkout_helpers(spark):
+    from clickloom.operators.checkout import compact_map, ct_attributes, device_bucket
+
+    df = spark.createDataFrame([([{"key": "ct_a", "value": "1"}, {"key": "x", "value": "2"}, {"key": "ct_a", "value": "3"},
+                                  {"key": "ct_b", "value": ""}], 800)],
+                               "attrs array<struct<key:string,value:string>>, w int")
+    r = df.select(ct_attributes(F.col("attrs")).alias("m"), device_bucket(F.col("w")).alias("d"),
+                  device_bucket(F.lit(0)).alias("d0"), compact_map(ct_attributes(F.col("attrs"))).alias("c")).first()
+    assert r.m == {"ct_a": "3", "ct_b": ""} and r.d == "tablet" and r.d0 == "desktop" and r.c == {"ct_a": "3"}
