@@ -123,9 +123,13 @@ def sanitize_column(name: str, c: Column, dtype: T.DataType) -> Column:
     return c
 
 
-def sanitize_frame(df: DataFrame, json_columns=("properties",)) -> DataFrame:
+def sanitize_frame(df: DataFrame, json_columns=("properties",), spread: bool = False) -> DataFrame:
     """X-S: sanitise every column of a frame (top-level rules natively, the
-    listed JSON columns recursively)."""
+    listed JSON columns recursively).  ``spread=True`` round-robins a bounded
+    input (e.g. the top-k raw dump, which arrives in one partition) over the
+    cluster before the Python step."""
+    if spread and json_columns:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     cols = []
     for f in df.schema.fields:
         c = F.col(f.name)

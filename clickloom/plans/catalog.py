@@ -408,7 +408,7 @@ from clickloom.sources import ads as ADS_SRC  # noqa: E402
 
 
 def _q_sanitized_raw_events(spark, sf):
-    return SAN.sanitize_frame(R.raw_events(base(spark, sf), RAW_LIMIT).drop("p"))
+    return SAN.sanitize_frame(R.raw_events(base(spark, sf), RAW_LIMIT).drop("p"), spread=True)
 
 
 def _q_sanitize_urls(spark, sf):
@@ -536,7 +536,7 @@ def _stream_target(spark, sf):
     if not _done(spark, f"{root}/_target_ready"):
         q = SI.stream_ingest(spark, f"{root}/source", f"{root}/target", f"{root}/dead_letter", f"{root}/ckpt_ingest",
                              control_pattern=FX_CONTROL_PATTERN, extra_schema=SRC.FIXTURE_BODY_EXTRA,
-                             arrival_col="_arrival", keep=("_source_event_id",), max_files_per_trigger=1)
+                             arrival_col="_arrival", keep=("_source_event_id",), max_files_per_trigger=2)
         q.awaitTermination()
         _mark(spark, f"{root}/_target_ready")
     return root

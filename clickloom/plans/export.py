@@ -52,7 +52,7 @@ def build_bundle(ev: DataFrame, ads: DataFrame | None, cfg: ReportConfig) -> dic
         "identity_integrity": R.identity_integrity(base),
         "time_to_conversion": R.time_to_conversion(base),
         "creative_taxonomy": R.creative_taxonomy(base),
-        "raw_events": sanitize_frame(R.raw_events(base, raw_limit)),
+        "raw_events": sanitize_frame(R.raw_events(base, raw_limit).drop("p"), spread=True),
         "page_types": J.page_types(base),
         "journey_types": J.journey_types(base),
         "visitor_overlap": J.visitor_overlap(base),
@@ -72,7 +72,7 @@ def fallback_bundle(ev: DataFrame, cfg: ReportConfig) -> dict[str, DataFrame]:
     return {
         "overview_basic": R.overview_basic(base),
         "event_catalog": R.event_catalog(base),
-        "raw_events": sanitize_frame(R.raw_events(base, clamp_raw_limit(cfg.raw_limit)), json_columns=()),
+        "raw_events": sanitize_frame(R.raw_events(base, clamp_raw_limit(cfg.raw_limit)).drop("p"), json_columns=()),
     }
 
 
