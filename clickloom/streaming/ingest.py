@@ -62,7 +62,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target:
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(dead_letter))
     has_history = _exists(spark, target)
     history = spark.read.parquet(target).drop("event_date") if has_history else None
-    fresh = ok if history is None else insert_ignore(history.select("event_id"), ok)   # ST3: once per event_id
+    # ST3: once per event_id (first copy within the batch, none already stored)
+    fresh = ok.dropDuplicates(["event_id"]) if history is None else insert_ignore(history.select("event_id"), ok)
     empty_hist = with_props(fresh).limit(0) if history is None else history
     fresh = anti_existing(empty_hist, with_props(fresh))                               # J11: once per shop id
     stamped_at = batch.agg(F.max(F.col(arrival_col)).alias("t")).first()["t"]
