@@ -21,10 +21,10 @@ from clickloom.config import (
     TAXONOMY_KEYS,
 )
 from clickloom.functions.agg import combine_rows, grouped_rollup, top_k, visitor_flag_counts, zsum
-from clickloom.functions.json import LINE_ITEM, guarded_number, has_any_key, is_true, loose_number, nz, prop, with_props
+from clickloom.functions.json import LINE_ITEM, guarded_number, has_any_key, loose_number, nz, prop, with_props
 from clickloom.functions.stats import safe_divide
 from clickloom.operators.filters import control_surface, internal_flag, period_filter, test_flag, valid_predicate
-from clickloom.operators.sessions import latest_by, session_entries
+from clickloom.operators.sessions import latest_by
 
 TS = "client_timestamp"
 
