@@ -23,9 +23,16 @@ def period_start(as_of, days: int) -> Column:
     return _ts(as_of) - F.make_dt_interval(F.lit(int(days)))
 
 
-def period_filter(df: DataFrame, as_of, days: int, col: str = "received_at") -> DataFrame:
-    """received_at >= as_of - days (pushed to the Parquet scan / partitions)."""
-    return df.where(F.col(col) >= period_start(as_of, days))
+def period_filter(df: DataFrame, as_of, days: int, col: str = "received_at",
+                  partition_col: str = "event_date") -> DataFrame:
+    """received_at >= as_of - days.  The predicate is pushed to the Parquet
+    scan; on a table partitioned by ``event_date`` (= date of received_at) the
+    implied date bound prunes whole partitions as well."""
+    start = period_start(as_of, days)
+    out = df.where(F.col(col) >= start)
+    if partition_col in df.columns:
+        out = out.where(F.col(partition_col) >= F.to_date(start))
+    return out
 
 
 def control_surface(pattern: str | None, col: str = "page_url") -> Column:

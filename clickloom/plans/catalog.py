@@ -20,7 +20,7 @@ from clickloom.operators import journeys as J
 from clickloom.operators import reports as R
 from clickloom.operators.attribution import attribute_conversions
 from clickloom.operators.filters import valid_events
-from clickloom.sources.fixtures import FX_ADS_AS_OF, FX_AS_OF, FX_CONTROL_PATTERN, fx_ads, fx_ads_raw, fx_events, fx_silver
+from clickloom.sources.fixtures import EVENT_COLUMNS, FX_ADS_AS_OF, FX_AS_OF, FX_CONTROL_PATTERN, fx_ads, fx_ads_raw, fx_events, fx_silver
 
 DAYS = 90
 ADS_DAYS = 365
@@ -66,7 +66,7 @@ def _a(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], Da
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources / filters
     "read_events": lambda spark, sf: fx_events(spark, sf),
-    "valid_events": lambda spark, sf: base(spark, sf).drop("p"),
+    "valid_events": lambda spark, sf: base(spark, sf).select(*EVENT_COLUMNS),
     "exclusion_audit": _e(lambda ev: R.exclusion_audit(ev, FX_AS_OF, DAYS, FX_CONTROL_PATTERN)),
     "raw_events": _b(lambda b: R.raw_events(b, RAW_LIMIT)),
     # flagship: conversion attribution (as-of joins, 30-day look-back)
