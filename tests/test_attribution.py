@@ -98,3 +98,75 @@ def test_without_materialize_same_result(spark):
     a = sorted(tuple(r) for r in attribute_conversions(ev, bucket_seconds=3600).collect())
     b = sorted(tuple(r) for r in attribute_conversions(ev, bucket_seconds=86400, materialize=False).collect())
     assert a == b
+
+
+def brute_force(rows, lookback=dt.timedelta(days=30)):
+    """Reference semantics, one conversion at a time, all candidates scanned."""
+    def props(r):
+        return json.loads(r.get("properties") or "{}")
+
+    def nz(v):
+        return v if v not in (None, "") else None
+
+    out = {}
+    for c in rows:
+        if c["event_name"] not in ("checkout_started", "purchase"):
+            continue
+        cp = props(c)
+        ck, ok_ = nz(cp.get("checkout_id")), nz(cp.get("order_id"))
+        crecv = c.get("received_at") or c["client_timestamp"]
+
+        def eligible(h):
+            hp = props(h)
+            hrecv = h.get("received_at") or h["client_timestamp"]
+            return (hp.get("test") != "true" and hp.get("internal_traffic") != "true"
+                    and crecv - lookback <= hrecv < crecv and h["client_timestamp"] <= c["client_timestamp"])
+
+        def best(cands):
+            if not cands:
+                return None
+            return max(cands, key=lambda h: (h["client_timestamp"], h.get("received_at") or h["client_timestamp"],
+                                              h["event_id"]))
+
+        m = None
+        if ck:
+            m = best([h for h in rows if h["event_name"] in ("checkout_started", "add_to_cart", "buy_button_click")
+                      and eligible(h) and ck in {nz(props(h).get("checkout_id")), nz(props(h).get("ct_checkout_id"))}])
+            if m:
+                out[c["event_id"]] = ("checkout_id", m["event_id"])
+                continue
+        if ok_:
+            m = best([h for h in rows if h["event_name"] in ("checkout_started", "add_to_cart")
+                      and eligible(h) and ok_ == nz(props(h).get("order_id"))])
+            if m:
+                out[c["event_id"]] = ("order_id", m["event_id"])
+                continue
+        m = best([h for h in rows if h["event_name"] == "page_view" and h["visitor_id"] == c["visitor_id"]
+                  and eligible(h) and nz(h.get("utm_campaign"))])
+        out[c["event_id"]] = ("visitor_latest_attributed_session", m["event_id"]) if m else ("same_session", None)
+    return out
+
+
+def test_random_hot_keys_match_brute_force(spark):
+    import random
+
+    rnd = random.Random(11)
+    names = ["page_view"] * 4 + ["add_to_cart", "buy_button_click", "checkout_started", "purchase"]
+    rows = []
+    for i in range(400):
+        v = "hot" if rnd.random() < 0.6 else f"v{rnd.randint(0, 6)}"
+        ts = at(minutes=rnd.randint(-60 * 24 * 40, 0))
+        lag = dt.timedelta(seconds=rnd.choice([2, 2, 2, 30, -5, 3600 * 30, 86400 * 3]))
+        p = {}
+        if rnd.random() < 0.7:
+            p["checkout_id"] = f"CK{rnd.randint(0, 3)}"
+        if rnd.random() < 0.5:
+            p["order_id"] = f"OR{rnd.randint(0, 2)}"
+        if rnd.random() < 0.05:
+            p["test"] = "true"
+        rows.append(dict(event_id=f"r{i:04d}", event_name=rnd.choice(names), visitor_id=v, session_id=f"s{i % 37}",
+                         client_timestamp=ts, received_at=ts + lag,
+                         utm_campaign=rnd.choice([None, None, "camp"]), properties=json.dumps(p)))
+    ev = make_events(spark, rows)
+    got = {r.event_id: (r.method, r.matched_event_id) for r in attribute_conversions(ev, bucket_seconds=86400).collect()}
+    assert got == brute_force(rows)
