@@ -514,7 +514,13 @@ def _stream_source(spark, sf):
     src = f"{root}/source"
     if _done(spark, f"{root}/_source_ready"):
         return root
-    bodies = SRC.fixture_bodies(events(spark, sf))
+    # reuse the request bodies written once for the batch ingest queries
+    _bodies(spark, sf)
+    from clickloom.sources.fixtures import materialized_path
+
+    text = spark.read.text(materialized_path(spark, "bodies", sf, None, fmt="text")).withColumnRenamed("value", "body")
+    bodies = text.select("body", F.get_json_object("body", "$._source_event_id").cast("long").alias("event_id"),
+                         F.get_json_object("body", "$._arrival").cast("timestamp_ntz").alias("arrival"))
     at = F.col("arrival")
     prev = None
     for lo, hi in zip(STREAM_CUTS[:-1], STREAM_CUTS[1:]):

@@ -236,7 +236,8 @@ def _materialized(spark: SparkSession, name: str, sf_dir: str, build, fmt: str =
         df = build()
         w = df.write.mode("overwrite").format(fmt)
         if partition_by:
-            df = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order_by or partition_by)
+            # one range per core: contiguous time slices, few files per date
+            df = df.repartitionByRange(spark.sparkContext.defaultParallelism, order_by or partition_by)
             w = df.write.mode("overwrite").format(fmt).partitionBy(partition_by)
         w.save(path)
     reader = spark.read.format(fmt)

@@ -79,7 +79,6 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target:
     else:
         hist = fresh
     resolved = attribute_conversions(fresh, lookback_days=lookback_days, id_pattern=id_pattern, history=hist)
-    resolved = resolved.checkpoint(eager=True)  # small (conversions of the batch); read once by the stamp
     out = with_props(stamp_attribution(fresh.drop("p"), resolved).select(*[c for c in fresh.columns if c != "p"]))
     out.withColumn("event_date", F.to_date("received_at")).write.mode("append").partitionBy("event_date").parquet(target)
 
