@@ -76,15 +76,18 @@ def fallback_bundle(ev: DataFrame, cfg: ReportConfig) -> dict[str, DataFrame]:
     }
 
 
-def run_isolated(spark: SparkSession, bundle: dict[str, DataFrame],
+def run_isolated(spark: SparkSession, bundle: dict[str, DataFrame | Callable[[], DataFrame]],
                  action: Callable[[str, DataFrame], int] | None = None) -> DataFrame:
     """Execute every block independently; a failure is recorded
-    (name, ok=false, rows=0, error) and the others continue.  ``action``
-    defaults to counting the block's rows on the executors."""
+    (name, ok=false, rows=0, error) and the others continue.  A block may be
+    a DataFrame or a zero-argument builder (then analysis errors raised while
+    building it are isolated too).  ``action`` defaults to counting the
+    block's rows on the executors."""
     act = action or (lambda name, df: df.count())
     health = []
-    for name, df in bundle.items():
+    for name, block in bundle.items():
         try:
+            df = block() if callable(block) else block
             n = int(act(name, df))
             health.append((name, True, n, None))
         except Exception as e:  # noqa: BLE001 - isolation is the point
