@@ -616,10 +616,19 @@ def _with_page(b):
 
 
 def _q_rage_clicks(spark, sf):
+    """Each click event is expanded into the burst of pointer clicks behind it
+    (1 + k % 6 clicks, k-derived spacing and drift), so clusters, spreads and
+    the cool-down all occur."""
     b = _with_page(base(spark, sf)).where(F.col("event_name").isin("buy_button_click", "cta_impression"))
     k = (_prop("visible_ms").cast("int") / 100).cast("int")
-    clicks = b.select("page_instance_id", F.col("client_timestamp").alias("ts"),
-                      ((k * 37) % 400).alias("x"), ((k * 53) % 300).alias("y"))
+    e = b.select("page_instance_id", "client_timestamp", k.alias("k"),
+                 F.explode(F.sequence(F.lit(0), k % 6)).alias("i"))
+    step_ms = F.lit(200) + (F.col("k") % 5) * 150
+    clicks = e.select(
+        "page_instance_id",
+        (F.col("client_timestamp") + F.make_dt_interval(secs=F.col("i") * step_ms / 1000.0)).alias("ts"),
+        ((F.col("k") * 37) % 400 + F.col("i") * (F.col("k") % 3) * 15).alias("x"),
+        ((F.col("k") * 53) % 300).alias("y"))
     return INT.rage_clicks(clicks)
 
 

@@ -108,3 +108,36 @@ def test_bucketed_scans_equal_plain_windows(spark):
     a = sorted(tuple(r) for r in ref.collect())
     b = sorted(tuple(r) for r in got.select("id", "p", "n", "l", "c").collect())
     assert a == b
+
+
+def brute_rage(clicks, window_ms=1400, radius=48, cooldown_ms=5000):
+    out = []
+    by = {}
+    for p, t, x, y in clicks:
+        by.setdefault(p, []).append((t, x, y))
+    for p, cs in by.items():
+        cs.sort()
+        recent, last = [], None
+        for t, x, y in cs:
+            now = t.timestamp() * 1000
+            recent = [c for c in recent + [(now, x, y)] if now - c[0] <= window_ms]
+            if len(recent) >= 3 and (last is None or now - last > cooldown_ms):
+                ax, ay = x, y
+                if all(((cx - ax) ** 2 + (cy - ay) ** 2) ** 0.5 <= radius for _, cx, cy in recent[-3:]):
+                    last = now
+                    out.append((p, t))
+    return sorted(out)
+
+
+def test_rage_clicks_brute_force(spark):
+    from clickloom.operators.interaction import rage_clicks
+
+    rnd = random.Random(5)
+    clicks, t = [], T0
+    for i in range(500):
+        p = "hot" if rnd.random() < 0.7 else f"p{rnd.randint(0, 3)}"
+        t = t + dt.timedelta(milliseconds=rnd.choice([100, 300, 500, 900, 1600, 4000, 7000]))
+        clicks.append((p, t, rnd.choice([100, 110, 130, 300]), rnd.choice([50, 60, 200])))
+    df = spark.createDataFrame(clicks, "page_instance_id string, ts timestamp_ntz, x int, y int")
+    got = sorted((r.page_instance_id, r.ts) for r in rage_clicks(df).collect())
+    assert got == brute_rage(clicks) and len(got) > 5
