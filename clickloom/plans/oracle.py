@@ -1209,3 +1209,25 @@ FROM base GROUP BY 1"""
 
 SQL["arrival_lag"] = FX + """
 SELECT event_id, greatest(0, epoch_ms(received_at) - epoch_ms(client_timestamp)) AS lag_ms FROM fx"""
+
+_K = f"CAST(CAST({jx('visible_ms')} AS INTEGER) / 100 AS INTEGER)"
+SQL["rage_clicks"] = BASE + f""",
+ev AS (SELECT {_PAGE} AS page_instance_id, client_timestamp, {_K} AS k FROM base
+  WHERE {_PAGE} IS NOT NULL AND event_name IN ('buy_button_click', 'cta_impression')),
+clicks AS (SELECT page_instance_id, client_timestamp + (i * (200 + (k % 5) * 150)) * INTERVAL 1 MILLISECOND AS ts,
+    (k * 37) % 400 + i * (k % 3) * 15 AS x, (k * 53) % 300 AS y
+  FROM (SELECT *, unnest(range(0, k % 6 + 1)) AS i FROM ev)),
+lagged AS (SELECT *, epoch_ms(ts) AS t,
+    lag(epoch_ms(ts), 2) OVER w AS t2, lag(x, 1) OVER w AS x1, lag(y, 1) OVER w AS y1,
+    lag(x, 2) OVER w AS x2, lag(y, 2) OVER w AS y2
+  FROM clicks WINDOW w AS (PARTITION BY page_instance_id ORDER BY ts)),
+cand AS (SELECT page_instance_id, ts, x, y, t FROM lagged
+  WHERE t2 IS NOT NULL AND t - t2 <= 1400 AND sqrt((x1 - x) ^ 2 + (y1 - y) ^ 2) <= 48
+    AND sqrt((x2 - x) ^ 2 + (y2 - y) ^ 2) <= 48),
+emitted AS (SELECT page_instance_id, min(t) AS t FROM cand GROUP BY 1
+  UNION ALL
+  SELECT c.page_instance_id, min(c.t) FROM emitted e JOIN cand c
+    ON c.page_instance_id = e.page_instance_id AND c.t > e.t + 5000 GROUP BY c.page_instance_id)
+SELECT c.page_instance_id, c.ts, c.x, c.y FROM cand c
+WHERE (c.page_instance_id, c.t) IN (SELECT page_instance_id, t FROM emitted)"""
+SQL["rage_clicks"] = SQL["rage_clicks"].replace("WITH ", "WITH RECURSIVE ", 1)
