@@ -1231,3 +1231,22 @@ emitted AS (SELECT page_instance_id, min(t) AS t FROM cand GROUP BY 1
 SELECT c.page_instance_id, c.ts, c.x, c.y FROM cand c
 WHERE (c.page_instance_id, c.t) IN (SELECT page_instance_id, t FROM emitted)"""
 SQL["rage_clicks"] = SQL["rage_clicks"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+_PIXEL_NAME = "CASE WHEN c.event_name = 'purchase' THEN 'checkout_completed' ELSE 'checkout_started' END"
+_H = f"sha256('e|se_' || CAST(c.event_id AS VARCHAR) || '|' || {_PIXEL_NAME})"
+SQL["checkout_payload"] = FX + f""",
+conv AS (SELECT * FROM fx WHERE event_name IN ('checkout_started', 'purchase')),
+items AS (SELECT event_id, sum(greatest(0.0, coalesce(TRY_CAST(json_extract_string(it, '$.quantity') AS DOUBLE), 0.0))) AS q
+  FROM (SELECT event_id, unnest(CASE WHEN json_type(properties, '$.line_items') = 'ARRAY'
+      THEN json_extract(properties, '$.line_items[*]') ELSE CAST([] AS JSON[]) END) AS it FROM conv)
+  GROUP BY event_id)
+SELECT substring({_H}, 1, 8) || '-' || substring({_H}, 9, 4) || '-4' || substring({_H}, 14, 3) || '-8'
+    || substring({_H}, 18, 3) || '-' || substring({_H}, 21, 12) AS event_id,
+  c.event_name, printf('%08x-0000-4000-8000-%012x', 2, c.visitor_id) AS visitor_id,
+  NULLIF(c.utm_campaign, '') AS utm_campaign,
+  CASE WHEN coalesce(c.screen_width, 0) > 0 AND c.screen_width < 768 THEN 'mobile'
+    WHEN c.screen_width >= 768 AND c.screen_width < 1024 THEN 'tablet' ELSE 'desktop' END AS device_type,
+  json_extract_string(c.properties, '$.checkout_id') AS checkout_id,
+  CAST(coalesce(TRY_CAST(json_extract_string(c.properties, '$.value') AS DOUBLE), 0.0) AS VARCHAR) AS value,
+  CAST(coalesce(i.q, 0.0) AS VARCHAR) AS item_count
+FROM conv c LEFT JOIN items i ON i.event_id = c.event_id"""
