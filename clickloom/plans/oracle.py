@@ -1250,3 +1250,13 @@ SELECT substring({_H}, 1, 8) || '-' || substring({_H}, 9, 4) || '-4' || substrin
   CAST(coalesce(TRY_CAST(json_extract_string(c.properties, '$.value') AS DOUBLE), 0.0) AS VARCHAR) AS value,
   CAST(coalesce(i.q, 0.0) AS VARCHAR) AS item_count
 FROM conv c LEFT JOIN items i ON i.event_id = c.event_id"""
+
+SQL["sanitize_urls"] = """
+SELECT page_id, CASE WHEN regexp_matches(url, '^[a-zA-Z]+://[^/?#]+') THEN
+    lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1))
+    || coalesce(NULLIF(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), ''), '/')
+    || coalesce('?' || NULLIF(array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'),
+         lambda x: split_part(x, '=', 1) IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_content', 'utm_term', 'ref')),
+         '&'), ''), '')
+  ELSE substring(url, 1, 2048) END AS sanitized_url
+FROM pages"""
