@@ -1260,3 +1260,11 @@ SELECT page_id, CASE WHEN regexp_matches(url, '^[a-zA-Z]+://[^/?#]+') THEN
          '&'), ''), '')
   ELSE substring(url, 1, 2048) END AS sanitized_url
 FROM pages"""
+
+SQL["stream_sessions"] = _STREAM_ACC + """,
+lg AS (SELECT visitor_id, client_ts, lag(client_ts) OVER (PARTITION BY visitor_id ORDER BY client_ts) AS prev FROM st),
+sn AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(client_ts) - epoch_us(prev) > 1800000000 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY visitor_id ORDER BY client_ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM lg),
+ss AS (SELECT printf('%08x-0000-4000-8000-%012x', 2, visitor_id) AS visitor_id, min(client_ts) AS session_start,
+    max(client_ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events FROM sn GROUP BY visitor_id, n)
+SELECT * FROM ss WHERE session_end <= (SELECT max(client_ts) FROM st) - INTERVAL 1 HOUR"""
