@@ -125,12 +125,14 @@ def mark_duplicates(ev: DataFrame, order=("received_at", "event_id")) -> DataFra
     """Every non-first copy of a shop event id is stamped
     ``duplicate`` / ``duplicate_shopify_event_id`` and ``test: true``; rows are
     kept (nothing is deleted)."""
-    ev = with_props(ev)
-    key = nz(prop("shopify_event_id"))
-    firsts = first_per_key(ev, key, list(order))
-    j = ev.withColumn("_k", key).join(firsts, "_k", "left")
-    dup = F.col("_k").isNotNull() & (F.struct(*[F.col(c) for c in order]) != F.col("_first"))
-    return j.withColumn("is_duplicate", F.coalesce(dup, F.lit(False))).drop("_k", "_first")
+    ev = with_props(ev).withColumn("_k", nz(prop("shopify_event_id")))
+    firsts = first_per_key(ev, F.col("_k"), list(order))
+    # Only rows that carry an id take part in the join: the (many) rows
+    # without one would all hash to the NULL key's single partition.
+    keyed = ev.where(F.col("_k").isNotNull()).join(firsts, "_k", "inner")
+    keyed = keyed.withColumn("is_duplicate", F.struct(*[F.col(c) for c in order]) != F.col("_first")).drop("_first")
+    rest = ev.where(F.col("_k").isNull()).withColumn("is_duplicate", F.lit(False))
+    return keyed.unionByName(rest).drop("_k")
 
 
 def dedupe_shopify(ev: DataFrame, order=("received_at", "event_id")) -> DataFrame:

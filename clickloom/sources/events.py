@@ -171,10 +171,11 @@ def anti_existing(target: DataFrame, batch: DataFrame, order=("received_at", "ev
     and keep only the first copy per shop id inside the batch."""
     from clickloom.operators.classify import dedupe_shopify
 
-    b = with_props(batch)
-    key = nz(prop("shopify_event_id"))
+    b = with_props(batch).withColumn("_sid", nz(prop("shopify_event_id")))
     existing = with_props(target).select(nz(prop("shopify_event_id")).alias("_sid")).where(F.col("_sid").isNotNull())
-    fresh = b.withColumn("_sid", key).join(existing, "_sid", "left_anti")
+    # rows without a shop id skip the anti-join (no NULL-key partition)
+    keyed = b.where(F.col("_sid").isNotNull()).join(existing, "_sid", "left_anti")
+    fresh = keyed.unionByName(b.where(F.col("_sid").isNull()))
     return dedupe_shopify(fresh.drop("_sid"), order)
 
 
