@@ -230,16 +230,18 @@ def _materialized(spark: SparkSession, name: str, sf_dir: str, build, fmt: str =
     each task writes a contiguous time range (few files per partition
     directory, no task holding a whole day)."""
     path = _stage_dir(spark, name, sf_dir)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_READY")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
         df = build()
         w = df.write.mode("overwrite").format(fmt)
         if partition_by:
             # one range per core: contiguous time slices, few files per date
             df = df.repartitionByRange(spark.sparkContext.defaultParallelism, order_by or partition_by)
-            w = df.write.mode("overwrite").format(fmt).partitionBy(partition_by)
+            w = df.write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt) \
+                .partitionBy(partition_by)
         w.save(path)
+        fs.create(marker, True).close()  # our own completion marker (independent of the committer)
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
@@ -249,10 +251,11 @@ def _materialized(spark: SparkSession, name: str, sf_dir: str, build, fmt: str =
 def materialized_path(spark: SparkSession, name: str, sf_dir: str, build, fmt: str = "json") -> str:
     """Like ``_materialized`` but returns the folder (for file / stream sources)."""
     path = _stage_dir(spark, name, sf_dir)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_READY")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
         build().write.mode("overwrite").format(fmt).save(path)
+        fs.create(marker, True).close()
     return path
 
 
