@@ -43,7 +43,11 @@ def grouped_rollup(
     avgs: dict[str, Column] | None = None,
     visitor: str = "visitor_id",
     session: str = "session_id",
+    approx: bool = False,
 ) -> DataFrame:
+    """``approx=True`` replaces the unfiltered distinct counts by
+    ``approx_count_distinct`` (HyperLogLog++, no Expand): an opt-in for very
+    large key spaces; filtered distinct counts stay exact."""
     counts = counts or {}
     visitor_flags = visitor_flags or {}
     session_flags = session_flags or {}
@@ -65,10 +69,11 @@ def grouped_rollup(
     lvl2 = []
     if events:
         lvl2.append(F.sum("_n").cast("bigint").alias(events))
+    distinct = F.approx_count_distinct if approx else F.count_distinct
     if visitors:
-        lvl2.append(F.count_distinct(visitor).alias(visitors))
+        lvl2.append(distinct(visitor).alias(visitors))
     if sessions:
-        lvl2.append(F.count_distinct(session).alias(sessions))
+        lvl2.append(distinct(session).alias(sessions))
     lvl2 += [F.sum(f"_c_{n}").cast("bigint").alias(n) for n in counts]
     lvl2 += [F.expr(f"count(DISTINCT {visitor}) FILTER (WHERE _v_{n} = 1)").alias(n) for n in visitor_flags]
     lvl2 += [F.expr(f"count(DISTINCT {session}) FILTER (WHERE _s_{n} = 1)").alias(n) for n in session_flags]

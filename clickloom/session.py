@@ -17,6 +17,10 @@ DEFAULT_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Sizing for large inputs: 256 MB scan splits and post-shuffle partitions
+    # (AQE coalesces small ones; skewed ones are split by the skew-join rule).
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
     "spark.driver.memory": "8g",
 }
 
