@@ -50,7 +50,7 @@ def stamp_classification(df: DataFrame, classified_at: str, control_pattern: str
 
 def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target: str, dead_letter: str,
                   arrival_col: str, id_pattern: str, control_pattern: str | None, lookback_days: int,
-                  keep=()) -> None:
+                  keep=(), dedupe_days: int | None = None) -> None:
     """One micro-batch of bodies -> target table (append) + dead letters.
 
     The target is the silver table: it stores the parsed property struct
@@ -61,10 +61,19 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target:
     (bad.withColumn("epoch", F.lit(int(epoch_id)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(dead_letter))
     has_history = _exists(spark, target)
-    history = spark.read.parquet(target).drop("event_date") if has_history else None
+    history = spark.read.parquet(target) if has_history else None
     # ST3: once per event_id (first copy within the batch, none already stored)
-    fresh = ok.dropDuplicates(["event_id"]) if history is None else insert_ignore(history.select("event_id"), ok)
-    empty_hist = with_props(fresh).limit(0) if history is None else history
+    # ``dedupe_days`` bounds how far back replays are looked for (partition
+    # pruning on event_date); None keeps the exact, unbounded guarantee.
+    seen = history
+    if history is not None and dedupe_days is not None:
+        lo = batch.agg(F.min(F.col(arrival_col)).alias("t")).first()["t"]
+        if lo is not None:
+            bound = F.lit(lo).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(dedupe_days)} DAYS")
+            seen = history.where((F.col("received_at") >= bound) & (F.col("event_date") >= F.to_date(bound))) \
+                if "event_date" in history.columns else history.where(F.col("received_at") >= bound)
+    fresh = ok.dropDuplicates(["event_id"]) if history is None else insert_ignore(seen.select("event_id"), ok)
+    empty_hist = with_props(fresh).limit(0) if history is None else seen
     fresh = anti_existing(empty_hist, with_props(fresh))                               # J11: once per shop id
     stamped_at = batch.agg(F.max(F.col(arrival_col)).alias("t")).first()["t"]
     fresh = stamp_classification(fresh, str(stamped_at), control_pattern)
@@ -73,9 +82,9 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target:
     fresh = with_props(fresh).checkpoint(eager=True)
     # ST4: attribution against stored history of the look-back plus this batch.
     if history is not None and stamped_at is not None:
-        recent = history.where(F.col("received_at") >= F.lit(stamped_at).cast("timestamp_ntz")
-                               - F.expr(f"INTERVAL {int(lookback_days)} DAYS"))
-        hist = recent.select(*fresh.columns).unionByName(fresh)
+        since = F.lit(stamped_at).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(lookback_days)} DAYS")
+        recent = history.where((F.col("received_at") >= since) & (F.col("event_date") >= F.to_date(since)))
+        hist = recent.select(*fresh.columns).unionByName(fresh)  # only the look-back's partitions are read
     else:
         hist = fresh
     resolved = attribute_conversions(fresh, lookback_days=lookback_days, id_pattern=id_pattern, history=hist)
@@ -87,7 +96,7 @@ def stream_ingest(spark: SparkSession, source: str, target: str, dead_letter: st
                   id_pattern: str = UUID_PATTERN, control_pattern: str | None = None,
                   lookback_days: int = ATTRIBUTION_LOOKBACK_DAYS, extra_schema: T.StructType | None = None,
                   arrival_col: str | None = None, keep=(), available_now: bool = True,
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, dedupe_days: int | None = None) -> StreamingQuery:
     """ST1/ST2: continuous JSON ingest.  ``arrival_col`` names a body field with
     the arrival time (tests); by default the processing time is used."""
     schema = T.StructType(BODY_READ_SCHEMA.fields + (list(extra_schema.fields) if extra_schema else []))
@@ -103,7 +112,7 @@ def stream_ingest(spark: SparkSession, source: str, target: str, dead_letter: st
 
     def _batch(df: DataFrame, epoch_id: int) -> None:
         process_batch(spark, df, epoch_id, target, dead_letter, "arrival", id_pattern, control_pattern,
-                      lookback_days, keep)
+                      lookback_days, keep, dedupe_days)
 
     w = src.writeStream.foreachBatch(_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
