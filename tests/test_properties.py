@@ -60,3 +60,22 @@ def test_sanitised_output_has_no_raw_sensitive_values():
         doc = {"email": secret, "a": [{"checkout_token": secret}], "b": {"c": {"fbclid": secret}},
                "landing_page": f"https://x.example.com/p?fbclid={secret}&utm_source=s"}
         assert secret not in sanitize_json_text(json.dumps(doc))
+
+
+def test_approx_switches_close_to_exact(spark):
+    from clickloom.operators.reports import web_performance
+
+    df = spark.createDataFrame(_rows(7, 2000), SCHEMA)
+    exact = {r.k: r for r in grouped_rollup(df, ["k"]).collect()}
+    approx = {r.k: r for r in grouped_rollup(df, ["k"], approx=True).collect()}
+    for k, r in exact.items():
+        assert abs(approx[k].unique_visitors - r.unique_visitors) <= max(1, 0.05 * r.unique_visitors)
+        assert approx[k].events == r.events
+    perf = spark.createDataFrame([("v1", "page_performance", json.dumps({"lcp_ms": str(i), "inp_ms": "5", "cls": "0.1",
+                                                                          "ttfb_ms": "1", "load_ms": "2"}))
+                                  for i in range(1, 401)], "visitor_id string, event_name string, properties string")
+    from clickloom.functions.json import with_props
+
+    e = web_performance(with_props(perf)).first()
+    a = web_performance(with_props(perf), approx=True).first()
+    assert e.p75_lcp_ms == 300.25 and abs(a.p75_lcp_ms - 300.25) <= 2
