@@ -221,6 +221,9 @@ def _stage_dir(spark: SparkSession, name: str, sf_dir: str) -> str:
     return f"{root.rstrip('/')}/clickloom-fixtures/{app}/{tag}/{name}"
 
 
+_TABLES: dict = {}
+
+
 def _materialized(spark: SparkSession, name: str, sf_dir: str, build, fmt: str = "parquet", schema=None,
                   partition_by: str | None = None, order_by: str | None = None) -> DataFrame:
     """Write ``build()`` once (a table in the shared folder) and read it back;
@@ -230,6 +233,9 @@ def _materialized(spark: SparkSession, name: str, sf_dir: str, build, fmt: str =
     each task writes a contiguous time range (few files per partition
     directory, no task holding a whole day)."""
     path = _stage_dir(spark, name, sf_dir)
+    cached = _TABLES.get((path, fmt))
+    if cached is not None:  # same application: the table (and its file listing) is reused
+        return cached
     marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_READY")
     fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(marker):
@@ -245,7 +251,9 @@ def _materialized(spark: SparkSession, name: str, sf_dir: str, build, fmt: str =
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(path)
+    table = reader.load(path)
+    _TABLES[(path, fmt)] = table
+    return table
 
 
 def materialized_path(spark: SparkSession, name: str, sf_dir: str, build, fmt: str = "json") -> str:
