@@ -35,6 +35,7 @@ def journey_type() -> Column:
 
 def page_types(base: DataFrame) -> DataFrame:
     """R-J1."""
+    base = with_props(base)
     d = base.select("visitor_id", "session_id", "event_name", page_type().alias("page_type"))
     r = grouped_rollup(d, ["page_type"], visitor_flags={
         "funnel_view_visitors": is_event("funnel_view"),
@@ -47,6 +48,7 @@ def page_types(base: DataFrame) -> DataFrame:
 
 def journey_types(base: DataFrame) -> DataFrame:
     """R-J2."""
+    base = with_props(base)
     d = base.select("visitor_id", "session_id", "event_name", journey_type().alias("journey_type"))
     r = grouped_rollup(d, ["journey_type"], visitor_flags={
         "checkout_visitors": is_event("checkout_started"),
@@ -59,6 +61,7 @@ def visitor_overlap(base: DataFrame) -> DataFrame:
     """R-J3: per-visitor flags -> 8 counts.  Three-valued logic is kept: a
     visitor whose funnel flag is NULL for every row has ``saw_funnel`` NULL and
     falls out of every group that tests it."""
+    base = with_props(base)
     pt = prop("page_type")
     ev = F.col("event_name")
     v = base.groupBy("visitor_id").agg(
@@ -83,6 +86,7 @@ def visitor_overlap(base: DataFrame) -> DataFrame:
 
 def stage_flow(base: DataFrame) -> DataFrame:
     """R-J4: ten filtered distinct-visitor counts."""
+    base = with_props(base)
     jt = prop("journey_type")
     sp = is_event("sales_page_view")
     return visitor_flag_counts(base, [], {

@@ -35,3 +35,32 @@ def test_page_vitals_late_lcp_and_recent_input(spark):
                                      "recent_input boolean")
     r = page_vitals(df).first()
     assert (r.lcp_ms, r.inp_ms, round(r.cls, 6)) == (2500.0, 240.0, 0.1)
+
+
+def test_visitor_overlap_three_valued(spark):
+    import json
+
+    from conftest import make_events
+
+    from clickloom.operators.journeys import visitor_overlap
+
+    rows = [
+        # funnel only (page_type present, so the sales-page flag is FALSE, not NULL)
+        dict(visitor_id="f", event_name="funnel_view", client_timestamp=T0, properties=json.dumps({"page_type": "funnel"})),
+        # funnel event without any page_type: sales-page flag NULL -> not "funnel only"
+        dict(visitor_id="g", event_name="funnel_view", client_timestamp=T0),
+        # sales page only (page_type given)
+        dict(visitor_id="s", event_name="page_view", client_timestamp=T0, properties=json.dumps({"page_type": "sales_page"})),
+        # both
+        dict(visitor_id="b", event_name="funnel_view", client_timestamp=T0),
+        dict(visitor_id="b", event_name="purchase", client_timestamp=T0, properties=json.dumps({"page_type": "x"})),
+        dict(visitor_id="b", event_name="sales_page_view", client_timestamp=T0),
+        # no page_type anywhere: both flags NULL -> in no group at all
+        dict(visitor_id="n", event_name="page_view", client_timestamp=T0, page_path="/p"),
+        # page_type present but neither: both flags FALSE -> unclassified
+        dict(visitor_id="u", event_name="page_view", client_timestamp=T0, page_path="/p",
+             properties=json.dumps({"page_type": "other"})),
+    ]
+    r = visitor_overlap(make_events(spark, rows)).first()
+    assert (r.funnel_only_visitors, r.sales_page_only_visitors, r.funnel_and_sales_page_visitors,
+            r.unclassified_visitors, r.funnel_touched_purchase_visitors) == (1, 1, 1, 1, 1)
