@@ -21,7 +21,7 @@ from clickloom.session import ensure_checkpoint_dir
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass works on (a longer text is one pass of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 21
 #: Rows of an Arrow batch: bounds a Python worker's memory with long texts.
 BATCH_ROWS = 500
 

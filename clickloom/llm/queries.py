@@ -5,13 +5,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import sharding, warc
+from clickloom.llm import bpe, packing, sharding, warc
 from clickloom.llm.common import documents
 from clickloom.llm.oracle import SQL
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN, end_id=2)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -21,6 +32,8 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": op3_bpe,
+    "op4_packing": op4_packing,
     "op9_sharding": op9_sharding,
     "op10_warc_derivatives": op10_warc_derivatives,
 }
