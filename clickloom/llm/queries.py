@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import bpe, packing, sharding, warc
+from clickloom.llm import bpe, neighbours, packing, sharding, toxicity, warc
 from clickloom.llm.common import documents
 from clickloom.llm.oracle import SQL
 
@@ -23,6 +23,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN, end_id=2)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search_embeddings(documents(spark, sf_dir, "embeddings"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -34,6 +42,8 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_neighbours": op8_neighbours,
     "op9_sharding": op9_sharding,
     "op10_warc_derivatives": op10_warc_derivatives,
 }
