@@ -45,7 +45,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """Size of a plan's input as Spark's own statistics give it (file sizes
     for a table scan); used to choose shard counts, never results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shard_count(df: DataFrame, bytes_per_shard: int, least: int = 4) -> int:

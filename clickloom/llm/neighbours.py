@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from clickloom.llm.common import shard_count
 
-SHARD_BYTES = 2 << 20
-LEAF = 64
+SHARD_BYTES = 4 << 20
+LEAF = 256
 #: Pruning factor of the registered query.
 FACTOR = 1.0
 BLOCK = 20_000

@@ -52,4 +52,20 @@ SELECT page_id, record_type, {_urn("record_type || chr(10) || refers_to")} AS re
        {_DIGEST.format("block")} AS block_digest, source_payload_digest, source_block_digest, source_header, block
 FROM made"""
 
-SQL: dict[str, str] = {"op10_warc_derivatives": _WARC}
+_NEIGHBOURS = """
+WITH usable AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+SQL: dict[str, str] = {"op8_neighbours": _NEIGHBOURS, "op10_warc_derivatives": _WARC}
