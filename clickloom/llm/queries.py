@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import bpe, neighbours, packing, sharding, toxicity, warc
+from clickloom.llm import bpe, neighbours, packing, sharding, substrings, toxicity, warc
 from clickloom.llm.common import documents
 from clickloom.llm.oracle import SQL
 
@@ -23,6 +23,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN, end_id=2)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_documents(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -42,6 +46,7 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
+    "op6_substrings": op6_substrings,
     "op7_toxicity": op7_toxicity,
     "op8_neighbours": op8_neighbours,
     "op9_sharding": op9_sharding,
