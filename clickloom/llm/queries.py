@@ -8,11 +8,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import bpe, neighbours, packing, sharding, substrings, toxicity, warc
+from clickloom.llm import bpe, neardup, neighbours, packing, sharding, substrings, toxicity, warc
 from clickloom.llm.common import documents
 from clickloom.llm.oracle import SQL
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group_documents(documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
@@ -44,6 +48,7 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_neardup": op2_neardup,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op6_substrings": op6_substrings,
