@@ -170,9 +170,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def query_key(col: str, modulus: int, rest: int) -> F.Column:
-    return F.crc32(F.col(col).cast("string")) % modulus == rest
-
-
-def batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    yield from table.to_batches(max_chunksize=50_000)
+def crc_rest(col: str, modulus: int) -> F.Column:
+    """crc32 of a number written as text, modulo ``modulus``."""
+    return F.crc32(F.col(col).cast("string").cast("binary")) % modulus

@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import bpe, neardup, neighbours, packing, sharding, substrings, toxicity, warc
-from clickloom.llm.common import documents
+from clickloom.llm import bpe, neardup, neighbours, packing, ppm, sharding, substrings, toxicity, warc
+from clickloom.llm.common import crc_rest, documents
 from clickloom.llm.oracle import SQL
 
 
@@ -27,6 +27,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN, end_id=2)
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(documents(spark, sf_dir), crc_rest("doc_id", 7) == 2)
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest_documents(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
+    "op5_ppm": op5_ppm,
     "op6_substrings": op6_substrings,
     "op7_toxicity": op7_toxicity,
     "op8_neighbours": op8_neighbours,

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import LOWER, SEPARATOR, U64, chunks, materialise, mix64, word_hashes
+from clickloom.llm.common import LOWER, SEPARATOR, U64, chunks, crc_rest, materialise, mix64, word_hashes
 
 #: Bound of the labelled rows that the model is fitted to.
 TRAIN_ROWS = 20_000
@@ -286,12 +286,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     return kept.mapInArrow(build, f"{schema}score double, predicted int, offending array<struct<start:bigint,score:double>>")
 
 
-def held_out(modulus: int = 5, rest: int = 0) -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest
-
-
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents by a model of the labels outside the held-out fold."""
-    model = fit(docs, labels.filter(~held_out()))
-    scored = score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out().alias("held_out")), model)
+    held_out = crc_rest("doc_id", 5) == 0
+    model = fit(docs, labels.filter(~held_out))
+    scored = score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out.alias("held_out")), model)
     return scored.select("doc_id", "held_out", "score", "predicted", "offending")
