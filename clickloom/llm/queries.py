@@ -8,11 +8,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import bpe, neardup, neighbours, packing, ppm, sharding, substrings, toxicity, warc
+from clickloom.llm import bpe, neardup, neighbours, packing, ppm, search, sharding, substrings, toxicity, warc
 from clickloom.llm.common import crc_rest, documents
 from clickloom.llm.oracle import SQL
 
 
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.similar_documents(documents(spark, sf_dir))
+
+
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group_documents(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_search": op1_search,
     "op2_neardup": op2_neardup,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
