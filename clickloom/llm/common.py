@@ -173,3 +173,11 @@ def signed(x: np.ndarray) -> np.ndarray:
 def crc_rest(col: str, modulus: int) -> F.Column:
     """crc32 of a number written as text, modulo ``modulus``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

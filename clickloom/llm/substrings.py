@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import U64, chunks, materialise, mix64, signed, span_hashes, text_buffer, window_hashes, word_bounds, word_hashes
+from clickloom.llm.common import U64, chunks, fresh, materialise, mix64, signed, span_hashes, text_buffer, window_hashes, word_bounds, word_hashes
 
 WIDTH = 20
 ANCHOR_WORDS = 5
@@ -129,11 +129,11 @@ def collapse(instances: DataFrame) -> tuple[DataFrame, DataFrame]:
     return later, firsts.select("anchor", "doc_id", "start", "n", "different", "inner")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Documents with the list of their ``spans`` (doc_id, ...); a list is
-    bounded by its document."""
+def with_spans(docs: DataFrame, spans: DataFrame, how: str, name: str = "_spans") -> DataFrame:
+    """Documents with the list ``name`` of their ``spans`` (doc_id, ...); a
+    list is bounded by its document."""
     fields = [c for c in spans.columns if c != "doc_id"]
-    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_spans"))
+    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias(name))
     return docs.join(grouped.hint("merge"), "doc_id", how)
 
 
@@ -330,12 +330,13 @@ def kept_words(starts: np.ndarray, ends: np.ndarray, buf: np.ndarray) -> tuple[n
 def apply_repeats(docs: DataFrame, found: DataFrame, width: int, digests: bool) -> DataFrame:
     """Documents without the words that ``found`` covers: digest columns, or
     all columns with the text changed where words went."""
-    joined = with_spans(docs, found, "left")
+    name = fresh(docs, "_spans")
+    joined = with_spans(docs, found, "left", name)
     columns = docs.dtypes
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            spans, texts, total, gone = part.column("_spans").to_pylist(), [], [], []
+            spans, texts, total, gone = part.column(name).to_pylist(), [], [], []
             for i, j, buf, off in chunks(part.column("text")):
                 starts, ends, first = word_bounds(buf, off)
                 change = np.zeros(len(starts) + 1, np.int32)

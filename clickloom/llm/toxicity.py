@@ -254,13 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     return Model(candidates[chosen], weights, bias)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Add to every row of ``docs`` its ``score`` (double), ``predicted`` (int)
-    and ``offending``: the byte offset and probability of each sentence whose
-    own probability reaches ``threshold``.  All columns are kept; those of
-    these names are replaced."""
-    new = ("score", "predicted", "offending")
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in new])
+def score(docs: DataFrame, model: Model, threshold: float = 0.5, names: tuple[str, str, str] = ("score", "predicted", "offending")) -> DataFrame:
+    """Add to every row of ``docs`` its score (double), prediction (int) and
+    offending sentences: the byte offset and probability of each sentence
+    whose own probability reaches ``threshold``.  All columns are kept; those
+    that have one of ``names`` are replaced."""
+    kept = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names])
     span = pa.list_(pa.struct([("start", pa.int64()), ("score", pa.float64())]))
     lookup = Lookup(model.features)
 
@@ -279,11 +278,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                     found[text[s]].append({"start": int(at[s] - off[text[s]]), "score": float(p[s])})
                 spans += found
             p = np.concatenate(scores) if scores else np.zeros(0)
-            out = part.append_column("score", pa.array(p, pa.float64())).append_column("predicted", pa.array((p >= threshold).astype(np.int32), pa.int32()))
-            yield out.append_column("offending", pa.array(spans, span))
+            out = part.append_column(names[0], pa.array(p, pa.float64())).append_column(names[1], pa.array((p >= threshold).astype(np.int32), pa.int32()))
+            yield out.append_column(names[2], pa.array(spans, span))
 
     schema = "".join(f"`{c}` {t}, " for c, t in kept.dtypes)
-    return kept.mapInArrow(build, f"{schema}score double, predicted int, offending array<struct<start:bigint,score:double>>")
+    return kept.mapInArrow(build, f"{schema}{names[0]} double, {names[1]} int, {names[2]} array<struct<start:bigint,score:double>>")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
