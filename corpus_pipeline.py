@@ -23,19 +23,20 @@ from pyspark.sql import functions as F
 
 from clickloom.llm import neardup, packing, substrings
 from clickloom.llm import toxicity as tox
-from clickloom.llm.common import documents
+from clickloom.llm.common import documents, fresh
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = tox.fit(docs, documents(spark, sf_dir, "labels"))
-    scored = tox.score(docs, model)
-    return scored.filter("predicted = 0").select(*[f"`{c}`" for c in docs.columns])
+    names = tuple(fresh(docs, c) for c in ("tox_score", "tox_predicted", "tox_offending"))
+    return tox.score(docs, model, names=names).filter(F.col(names[1]) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = neardup.group_documents(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    row = fresh(docs, "_row")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(stay.hint("merge"), "doc_id", "left_semi").withColumn("_row", F.row_number().over(one)).filter("_row = 1")
+    named = docs.join(stay.hint("merge"), "doc_id", "left_semi").withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1)
     return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
 
 
