@@ -41,11 +41,11 @@ ORDER = 5
 #: Bytes that a document can hold: all but the separators other than space, and the end mark (0x0A).
 SYMBOLS = 252
 #: Input bytes of a batch, about.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 24 << 20
 
 _END, _SPACE = 0x0A, 0x20
 _TOKENS, _KINDS = -(2**63), -(2**63) + 1  # keys of the two totals; words have the sign bit and a higher hash
-_PAIR = pa.schema([("batch", pa.int32()), ("key", pa.int64()), ("c", pa.int64())])
+_COUNT = (1 << 32) - 1  # a batch holds fewer bytes
 _SCORED = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64())]
     + [("base_score", pa.float64()), ("score", pa.float64())]
@@ -119,13 +119,16 @@ def score_documents(docs: DataFrame, held_out: F.Column, order: int = ORDER, bat
             if len(found) >= 16:
                 found = [add_up(found)]
         keys, c = add_up(found)
-        return pa.table([pa.array(np.full(len(keys), group.column("batch")[0].as_py(), np.int32)), pa.array(keys), pa.array(c)], schema=_PAIR)
-
-    rows = dealt.groupBy("batch").applyInArrow(count, "batch int, key bigint, c bigint").repartition("key")
-    totals = rows.groupBy("key").agg(F.sum("c").alias("c"))
-    values = totals.filter("key < 0").select("key", F.col("c").cast("double").alias("value")).unionByName(gram_scores(totals.filter("key >= 0"), order))
-    own = rows.join(values, "key").select("batch", "key", "value")
-    stats = totals.filter("key < 0 and c > 0").agg(F.sum("c").cast("double").alias("n"), F.count(F.lit(1)).cast("double").alias("v"))
+        return pa.table([pa.array(keys), pa.array(c + (group.column("batch")[0].as_py() << 32))], names=["key", "load"])
+
+    # Batch and count travel as one number, and no filter on the key stands above the totals: so both uses of
+    # `rows` keep the same columns and rows, and Spark computes and exchanges it once.
+    rows = dealt.groupBy("batch").applyInArrow(count, "key bigint, load bigint").filter("key is not null").repartition("key")
+    totals = rows.groupBy("key").agg(F.sum(F.col("load").bitwiseAND(F.lit(_COUNT))).alias("c"), F.max(F.col("key") >= 0).alias("gram"))
+    values = totals.filter(~F.col("gram")).select("key", F.col("c").cast("double").alias("value"))
+    values = values.unionByName(gram_scores(totals.filter("gram"), order))
+    own = rows.join(values.hint("merge"), "key").select(F.shiftright("load", 32).cast("int").alias("batch"), "key", "value")
+    stats = totals.filter(~F.col("gram") & (F.col("c") > 0)).agg(F.sum("c").cast("double").alias("n"), F.count(F.lit(1)).cast("double").alias("v"))
     stats = stats.select(F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"), "n", "v").select(
         F.col("batch").cast("int").alias("batch"),
         F.explode(F.array(F.struct(F.lit(_TOKENS).alias("key"), F.coalesce("n", F.lit(0.0)).alias("value")), F.struct(F.lit(_KINDS).alias("key"), F.col("v").alias("value")))).alias("s"),
