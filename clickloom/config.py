@@ -15,20 +15,15 @@ from dataclasses import dataclass, field
 # FIXED VALUES (must match the studied application's semantics)
 # ---------------------------------------------------------------------------
 
-# Report periods accepted by the export; anything else falls back to 90 days.
-ALLOWED_DAYS = (1, 7, 14, 30, 90, 180, 365)
+# Report period when none is given.
 DEFAULT_DAYS = 90
-# Raw-event dump size clamp.
-MIN_RAW_LIMIT = 100
-DEFAULT_RAW_LIMIT = 10_000
-MAX_RAW_LIMIT = 20_000
 # Attribution look-back for checkout / purchase resolution.
 ATTRIBUTION_LOOKBACK_DAYS = 30
-# Ingest limits.
+# Ingest limits; they apply only where a caller asks for them (``IngestLimits``).
 MAX_BODY_BYTES = 96_000
 MAX_PROPERTIES_BYTES = 64_000
 MAX_PAGE_URL = 8_192
-# Text caps applied at ingest (column -> max characters).
+# Text caps of the same limits (column -> max characters).
 TEXT_CAPS = {
     "page_path": 4096,
     "page_title": 512,
@@ -101,7 +96,6 @@ NON_NUMERIC_KEY_PATTERN = (
 URL_KEY_PATTERN = r"(?i)(?:url|referrer|landing_page|destination)$"
 URL_PRESERVED_PARAMS = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "ref")
 URL_CLICK_ID_PARAMS = ("fbclid", "gclid", "ttclid")
-SANITIZE_MAX_DEPTH = 10
 
 # Traffic classifier rules.
 CLASSIFY_INTERNAL_URL_PARAM = r"[?&]ct_internal=(1|true)(&|$)"
@@ -134,19 +128,40 @@ READINESS_WEIGHTS = (0.15, 0.20, 0.20, 0.25, 0.10, 0.10)
 
 
 def normalize_days(days) -> int:
-    try:
-        d = int(days)
-    except (TypeError, ValueError):
+    """A report period in days: any positive whole number (also as text);
+    None is the default period."""
+    if days is None:
         return DEFAULT_DAYS
-    return d if d in ALLOWED_DAYS else DEFAULT_DAYS
+    d = int(days)
+    if d < 1:
+        raise ValueError(f"a report period has at least one day, not {d}")
+    return d
 
 
-def clamp_raw_limit(limit) -> int:
-    try:
-        n = int(limit)
-    except (TypeError, ValueError):
-        n = DEFAULT_RAW_LIMIT
-    return max(MIN_RAW_LIMIT, min(MAX_RAW_LIMIT, n))
+def raw_limit(limit) -> int | None:
+    """Rows of the raw dump: None is all of them."""
+    if limit is None:
+        return None
+    n = int(limit)
+    if n < 1:
+        raise ValueError(f"a limit is at least one row, not {n}")
+    return n
+
+
+@dataclass(frozen=True)
+class IngestLimits:
+    """Size limits of ingest; the default has none."""
+
+    body: int | None = None
+    properties: int | None = None
+    page_url: int | None = None
+    screen_width: int | None = None
+    text: dict = field(default_factory=dict)
+
+    @classmethod
+    def fixed(cls) -> IngestLimits:
+        """The fixed values above."""
+        return cls(MAX_BODY_BYTES, MAX_PROPERTIES_BYTES, MAX_PAGE_URL, SCREEN_WIDTH_MAX, TEXT_CAPS)
 
 
 @dataclass(frozen=True)
@@ -158,6 +173,6 @@ class ReportConfig:
     control_pattern: str | None = None  # case-insensitive URL regex of the operator's own UI
     ads_as_of: dt.date | None = None
     ads_days: int = DEFAULT_DAYS
-    raw_limit: int = DEFAULT_RAW_LIMIT
+    raw_limit: int | None = None
     lookback_days: int = ATTRIBUTION_LOOKBACK_DAYS
     extra: dict = field(default_factory=dict)

@@ -104,9 +104,8 @@ def visitor_flag_counts(df: DataFrame, keys: list[str], flags: dict[str, Column]
 
 def top_k(df: DataFrame, order: list[Column], n: int | None) -> DataFrame:
     """ORDER BY ... LIMIT n; Spark plans TakeOrderedAndProject (per-task top-n,
-    no global sort)."""
-    out = df.orderBy(*order)
-    return out.limit(int(n)) if n else out
+    no global sort).  Without ``n`` all rows, unsorted."""
+    return df if n is None else df.orderBy(*order).limit(int(n))
 
 
 def combine_rows(*frames: DataFrame) -> DataFrame:

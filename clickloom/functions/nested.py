@@ -1,11 +1,11 @@
-"""X11 ``nested_find``: first value stored under any of several keys inside a
-JSON document - this level first, then depth-first into nested values
-(depth <= 4, first 50 array items); only string results are returned, trimmed,
-empty as NULL and cut to ``max_len``.
-
-There is no native recursive JSON search in Spark SQL, so this is an
-Arrow-batched ``pandas_udf``; callers apply it to conversion rows only (a
-small share of all events), never to the whole event table.
+"""X11: the first value stored under any of several keys inside a JSON
+document.  An object's own entries come before what is nested in them; nested
+values follow in document order.  Only text counts as a result, trimmed, empty
+as NULL.
+
+Spark SQL has no recursive JSON path, so this is an Arrow-batched
+``pandas_udf``; callers apply it to conversion rows only.  Each distinct
+document of a batch is parsed once.
 """
 
 from __future__ import annotations
@@ -14,79 +14,50 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-MAX_DEPTH = 4
-MAX_ITEMS = 50
-
-
-def find_nested(value, keys: frozenset, depth: int = 0):
-    """Pure-Python search used inside the vectorised UDF (and by tests)."""
-    if depth > MAX_DEPTH or value is None:
-        return None
-    if isinstance(value, list):
-        for item in value[:MAX_ITEMS]:
-            found = find_nested(item, keys, depth + 1)
-            if found is not None and found != "":
-                return found
-        return None
-    if not isinstance(value, dict):
-        return None
-    for k, v in value.items():
-        if k in keys and v is not None:
-            return v
-    for v in value.values():
-        found = find_nested(v, keys, depth + 1)
-        if found is not None and found != "":
-            return found
+_NONE = object()
+
+
+def find_nested(doc, keys: frozenset):
+    """Walks the document with a stack of what is still to be looked at.  An
+    empty text inside the document hides its object; at the top it is the
+    result."""
+    waiting = [doc]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            held = next((v for k, v in node.items() if k in keys and v is not None), _NONE)
+            if held is _NONE:
+                waiting += reversed(node.values())
+            elif held != "" or node is doc:
+                return held
+        elif isinstance(node, list):
+            waiting += reversed(node)
     return None
 
 
-def _as_text(v, max_len: int):
-    if not isinstance(v, str):
-        return None
-    t = v.strip()
-    return t[:max_len] if t else None
-
-
-def _search(doc: str | None, keys: frozenset, max_len: int):
-    if doc is None:
-        return None
-    try:
-        parsed = json.loads(doc)
-    except (ValueError, TypeError):
-        return None
-    return _as_text(find_nested(parsed, keys), max_len)
-
-
-def nested_find(doc: Column, keys: list[str], max_len: int = 255) -> Column:
-    """Column expression: nested search of ``keys`` inside the JSON ``doc``."""
-    keyset = frozenset(keys)
-
-    @pandas_udf("string")
-    def _find(s: pd.Series) -> pd.Series:
-        return s.map(lambda d: _search(d, keyset, max_len))
+def _text(value) -> str | None:
+    return (value.strip() or None) if isinstance(value, str) else None
 
-    return _find(doc)
 
+def nested_find_many(doc: Column, searches: dict[str, list[str]]) -> Column:
+    """Several nested searches over one document: struct<name: string, ...>
+    in the order of ``searches``."""
+    wanted = {name: frozenset(keys) for name, keys in searches.items()}
+    schema = ", ".join(f"{name} string" for name in wanted)
 
-def nested_find_many(doc: Column, searches: dict[str, list[str]], max_len: int = 255) -> Column:
-    """Several nested searches over one document with a single JSON parse per
-    row; returns struct<name: string, ...> in the order of ``searches``."""
-    plan = [(name, frozenset(keys)) for name, keys in searches.items()]
-    schema = ", ".join(f"{name} string" for name, _ in plan)
+    def results(text: str) -> list[str | None]:
+        try:
+            parsed = json.loads(text)
+        except ValueError:
+            return [None] * len(wanted)
+        return [_text(find_nested(parsed, keys)) for keys in wanted.values()]
 
     @pandas_udf(schema)
-    def _find(s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for d in s:
-            try:
-                parsed = json.loads(d) if d is not None else None
-            except (ValueError, TypeError):
-                parsed = None
-            rows.append([_as_text(find_nested(parsed, keys), max_len) if parsed is not None else None
-                         for _, keys in plan])
-        return pd.DataFrame(rows, columns=[n for n, _ in plan], dtype=object)
+    def search(docs: pd.Series) -> pd.DataFrame:
+        codes, distinct = pd.factorize(docs)
+        found = [results(d) for d in distinct] + [[None] * len(wanted)]  # code -1: NULL
+        return pd.DataFrame([found[c] for c in codes], columns=list(wanted), dtype=object)
 
-    return _find(doc)
+    return search(doc)

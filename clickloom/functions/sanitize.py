@@ -1,11 +1,10 @@
 """Sanitiser (X7-X9): hash sensitive values, reduce URLs, turn numeric strings
-into numbers, cap depth.
+into numbers.
 
 Top-level columns are handled by native expressions chosen per column *name*
 (``sanitize_frame``); nested JSON documents (the property bag) need a
-recursive walk and go through one Arrow-batched ``pandas_udf``
-(``sanitize_json``).  The Python walk is applied to the bounded raw-event dump
-and export blocks, not to the event table.
+walk in depth and go through one Arrow-batched ``pandas_udf``
+(``sanitize_json``).
 """
 
 from __future__ import annotations
@@ -13,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from urllib.parse import parse_qsl, quote_plus, urlsplit
+from collections.abc import Callable
+from functools import lru_cache
+from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,6 @@ from pyspark.sql.functions import pandas_udf
 
 from clickloom.config import (
     NON_NUMERIC_KEY_PATTERN,
-    SANITIZE_MAX_DEPTH,
     SENSITIVE_KEYS,
     URL_CLICK_ID_PARAMS,
     URL_KEY_PATTERN,
@@ -36,80 +36,91 @@ _NUMERIC = re.compile(r"^[-+]?\d+(?:\.\d+)?$")
 _NON_NUMERIC_KEY = re.compile(NON_NUMERIC_KEY_PATTERN[4:], re.IGNORECASE)  # strip the (?i) flag
 _URL_KEY = re.compile(URL_KEY_PATTERN[4:], re.IGNORECASE)
 _HTTP = re.compile(r"^https?://", re.IGNORECASE)
-MAX_ITEMS = 20_000
 
 
-def _h24(s: str) -> str:
-    return hashlib.sha256(s.encode("utf-8")).hexdigest()[:24]
+def hashed(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()[:24]
 
 
-def sanitize_url_py(value: str) -> str:
-    """Python twin of ``urls.sanitize_url`` for values nested in JSON."""
+def number_or_text(text: str):
+    """A number for texts that a double holds exactly as written."""
+    if not _NUMERIC.match(text) or len(text) >= 18:
+        return text
+    return float(text) if "." in text else int(text)
+
+
+def reduced_url(text: str) -> str:
+    """What ``urls.sanitize_url`` makes of a URL, for values inside JSON."""
+    if not _HTTP.search(text):
+        return text
     try:
-        u = urlsplit(value)
-        if u.scheme.lower() not in ("http", "https") or not u.hostname:
-            raise ValueError
-        host = u.hostname.lower()
-        port = u.port
-        if port and not ((u.scheme.lower() == "http" and port == 80) or (u.scheme.lower() == "https" and port == 443)):
-            host = f"{host}:{port}"
-        path = u.path or "/"
-        if path.startswith("/checkouts/"):
-            path = f"/checkouts/hash-{_h24(path)}"
-        elif path.startswith("/cart/"):
-            path = f"/cart/hash-{_h24(path)}"
-        out: dict[str, str] = {}
-        for k, v in parse_qsl(u.query, keep_blank_values=True):
-            if k in URL_PRESERVED_PARAMS:
-                out[k] = v[:255]
-            if k in URL_CLICK_ID_PARAMS:
-                out[f"{k}_hash"] = _h24(v)
-        q = "&".join(f"{quote_plus(k)}={quote_plus(v)}" for k, v in out.items())
-        return f"{u.scheme.lower()}://{host}{path}" + (f"?{q}" if q else "")
+        url = urlsplit(text)
+        host, port = (url.hostname or "").lower(), url.port
     except ValueError:
-        return value[:2048]
+        return text
+    if not host:
+        return text
+    scheme = url.scheme.lower()
+    authority = host if port in (None, 0, {"http": 80, "https": 443}[scheme]) else f"{host}:{port}"
+    private = next((p for p in ("/checkouts/", "/cart/") if url.path.startswith(p)), None)
+    path = f"{private}hash-{hashed(url.path)}" if private else url.path or "/"
+    pairs = parse_qsl(url.query, keep_blank_values=True)
+    query = {(f"{k}_hash" if k in URL_CLICK_ID_PARAMS else k): (hashed(v) if k in URL_CLICK_ID_PARAMS else v)
+             for k, v in pairs if k in URL_CLICK_ID_PARAMS or k in URL_PRESERVED_PARAMS}
+    return f"{scheme}://{authority}{path}" + (f"?{urlencode(query)}" if query else "")
+
+
+@lru_cache(maxsize=10_000)
+def text_rule(key: str) -> Callable[[str], object]:
+    """The rule for texts stored under a key."""
+    if key.lower() in _SENSITIVE:
+        return lambda text: f"sha256:{hashed(text)}" if text else text
+    numeric = str if _NON_NUMERIC_KEY.search(key) else number_or_text
+    if not _URL_KEY.search(key):
+        return numeric
+    return lambda text: reduced_url(text) if _HTTP.search(text) else numeric(text)
+
+
+def by_key(key: str, value):
+    """A value stored under ``key``; objects inside are done already, as the
+    parser hands them over from the inside out."""
+    if isinstance(value, str):
+        return text_rule(key)(value)
+    return [by_key(key, v) for v in value] if isinstance(value, list) else value
 
 
-def sanitize_value(value, key: str = "", depth: int = 0):
-    """Recursive sanitiser over parsed JSON values."""
-    if depth > SANITIZE_MAX_DEPTH:
+def cut_depth(value, left: int):
+    """Opt-in: replaces what lies deeper than ``left`` levels by a marker."""
+    if left < 0:
         return "[depth-limited]"
-    if value is None:
-        return None
-    if isinstance(value, str):
-        if key.lower() in _SENSITIVE:
-            return f"sha256:{_h24(value)}" if value else value
-        if _URL_KEY.search(key) and _HTTP.search(value):
-            return sanitize_url_py(value)
-        if _NUMERIC.match(value) and not _NON_NUMERIC_KEY.search(key) and len(value) < 18:
-            num = float(value)
-            return int(num) if num.is_integer() and "." not in value else num
-        return value
-    if isinstance(value, list):
-        return [sanitize_value(v, key, depth + 1) for v in value[:MAX_ITEMS]]
     if isinstance(value, dict):
-        return {k: sanitize_value(v, k, depth + 1) for k, v in value.items()}
-    return value
+        return {k: cut_depth(v, left - 1) for k, v in value.items()}
+    return [cut_depth(v, left - 1) for v in value] if isinstance(value, list) else value
 
 
-def sanitize_json_text(doc: str | None, key: str = "", depth: int = 1) -> str | None:
+def sanitize_json_text(doc: str | None, key: str = "", max_depth: int | None = None) -> str | None:
+    """Sanitised text of a JSON document that is stored under ``key``."""
     if doc is None:
         return None
     try:
-        parsed = json.loads(doc)
-    except (ValueError, TypeError):
-        return sanitize_value(doc, key, depth - 1)
-    return json.dumps(sanitize_value(parsed, key, depth), separators=(",", ":"), ensure_ascii=False)
+        parsed = json.loads(doc, object_pairs_hook=lambda pairs: {k: by_key(k, v) for k, v in pairs})
+    except ValueError:
+        return str(by_key(key, doc))
+    parsed = by_key(key, parsed)
+    return json.dumps(parsed if max_depth is None else cut_depth(parsed, max_depth), separators=(",", ":"), ensure_ascii=False)
 
 
 def sanitize_json(doc: Column, key: str = "properties") -> Column:
-    """Column expression: sanitised JSON text of a nested document."""
+    """Column expression: sanitised JSON text of a nested document; each
+    distinct document of a batch is done once."""
 
     @pandas_udf("string")
-    def _san(s: pd.Series) -> pd.Series:
-        return s.map(lambda d: sanitize_json_text(d, key))
+    def clean(docs: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(docs)
+        done = [sanitize_json_text(d, key) for d in distinct] + [None]  # code -1: NULL
+        return pd.Series([done[c] for c in codes], dtype=object)
 
-    return _san(doc)
+    return clean(doc)
 
 
 def sanitize_column(name: str, c: Column, dtype: T.DataType) -> Column:
@@ -123,18 +134,10 @@ def sanitize_column(name: str, c: Column, dtype: T.DataType) -> Column:
     return c
 
 
-def sanitize_frame(df: DataFrame, json_columns=("properties",), spread: bool = False) -> DataFrame:
+def sanitize_frame(df: DataFrame, json_columns=("properties",)) -> DataFrame:
     """X-S: sanitise every column of a frame (top-level rules natively, the
-    listed JSON columns recursively).  ``spread=True`` round-robins a bounded
-    input (e.g. the top-k raw dump, which arrives in one partition) over the
-    cluster before the Python step."""
-    if spread and json_columns:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if f.name in json_columns:
-            cols.append(sanitize_json(c, f.name).alias(f.name))
-        else:
-            cols.append(sanitize_column(f.name, c, f.dataType).alias(f.name))
-    return df.select(*cols)
+    listed JSON columns in depth)."""
+    return df.select(*[
+        (sanitize_json(F.col(f.name), f.name) if f.name in json_columns else sanitize_column(f.name, F.col(f.name), f.dataType)).alias(f.name)
+        for f in df.schema.fields
+    ])

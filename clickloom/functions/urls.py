@@ -18,10 +18,10 @@ def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def optional_text(c: Column, max_len: int) -> Column:
-    """String trimmed, '' -> NULL, cut to ``max_len``."""
+def optional_text(c: Column, max_len: int | None = None) -> Column:
+    """String trimmed, '' -> NULL, cut to ``max_len`` if that is given."""
     t = js_trim(c)
-    return F.when(t != "", F.substring(t, 1, max_len))
+    return F.when(t != "", t if max_len is None else F.substring(t, 1, max_len))
 
 
 def sha24(c: Column) -> Column:
@@ -66,7 +66,7 @@ def url_param(pairs: Column, name: str) -> Column:
     return F.get(F.filter(pairs, lambda p: p["k"] == F.lit(name)), 0)["v"]
 
 
-def first_param(pairs: Column, names, max_len: int = 1024) -> Column:
+def first_param(pairs: Column, names, max_len: int | None = None) -> Column:
     return F.coalesce(*[optional_text(url_param(pairs, n), max_len) for n in names])
 
 
@@ -104,40 +104,6 @@ ENCODED_HINT_KEYS = {
     "utm_term": ("_ct_utm_term",),
     "fbclid": ("_ct_fbclid",),
 }
-ENCODED_MAX = 8000
-
-
-def _encoded_doc(pairs: Column) -> Column:
-    raw = url_param(pairs, "properties")
-    raw = F.when(F.length(raw) <= ENCODED_MAX, raw)
-    b = F.try_to_binary(F.translate(raw, "-_", "+/"), F.lit("base64"))
-    keys = sorted({k for ks in ENCODED_HINT_KEYS.values() for k in ks})
-    schema = "struct<" + ",".join(f"`{k}`:string" for k in keys) + ">"
-    return F.from_json(b.cast("string"), schema)
-
-
-def url_hints(url: Column, encoded_fallback: bool = True, pairs: Column | None = None) -> Column:
-    """Attribution hints read from the page URL.  Query parameters win; the
-    encoded ``properties`` document fills what the query lacks (set
-    ``encoded_fallback=False`` to use the query only).  ``source`` is query /
-    encoded_properties / mixed, NULL when nothing was found.  Pass ``pairs``
-    (a column already holding ``query_pairs(url)``) to parse the URL once; see
-    ``with_url_hints``."""
-    pairs = query_pairs(url) if pairs is None else pairs
-    enc = _encoded_doc(pairs)
-    query = {name: first_param(pairs, params) for name, params in HINT_PARAMS.items()}
-    encoded = {
-        name: F.coalesce(*[optional_text(enc[k], 1024 if name == "fbclid" else 255) for k in ks])
-        for name, ks in ENCODED_HINT_KEYS.items()
-    }
-    has_q = F.greatest(*[c.isNotNull() for c in query.values()])
-    has_e = F.greatest(*[c.isNotNull() for c in encoded.values()])
-    fields = []
-    for name, qc in query.items():
-        val = F.coalesce(qc, encoded[name]) if (encoded_fallback and name in encoded) else qc
-        fields.append(val.alias(name))
-    source = F.when(has_q & has_e, "mixed").when(has_q, "query").when(has_e, "encoded_properties")
-    return F.struct(*fields, source.alias("source"))
 
 
 def with_url_hints(df, url_col: str = "page_url", out: str = "url_hints", encoded_fallback: bool = True):
@@ -147,14 +113,13 @@ def with_url_hints(df, url_col: str = "page_url", out: str = "url_hints", encode
     would repeat the parsing per parameter name and outgrow code generation.)"""
     d = df.withColumn("_qm", params_map(query_pairs(F.col(url_col))))
     raw = F.col("_qm")["properties"]
-    raw = F.when(F.length(raw) <= ENCODED_MAX, raw)
     keys = sorted({k for ks in ENCODED_HINT_KEYS.values() for k in ks})
     schema = "struct<" + ",".join(f"`{k}`:string" for k in keys) + ">"
     d = d.withColumn("_qe", F.from_json(F.try_to_binary(F.translate(raw, "-_", "+/"), F.lit("base64")).cast("string"), schema))
-    query = {name: F.coalesce(*[optional_text(F.col("_qm")[n], 1024) for n in params])
+    query = {name: F.coalesce(*[optional_text(F.col("_qm")[n]) for n in params])
              for name, params in HINT_PARAMS.items()}
     d = d.select("*", *[v.alias(f"_q_{k}") for k, v in query.items()],
-                 *[F.coalesce(*[optional_text(F.col("_qe")[k], 1024 if name == "fbclid" else 255) for k in ks]).alias(f"_e_{name}")
+                 *[F.coalesce(*[optional_text(F.col("_qe")[k]) for k in ks]).alias(f"_e_{name}")
                    for name, ks in ENCODED_HINT_KEYS.items()])
     has_q = F.greatest(*[F.col(f"_q_{k}").isNotNull() for k in HINT_PARAMS])
     has_e = F.greatest(*[F.col(f"_e_{k}").isNotNull() for k in ENCODED_HINT_KEYS])
@@ -172,9 +137,8 @@ def referrer_host(ref: Column) -> Column:
 
 def sanitize_url(url: Column) -> Column:
     """Keep scheme, host and path; hash checkout / cart paths; keep the
-    preserved parameters (cut to 255, last duplicate wins, first position kept)
-    and replace click ids by ``<name>_hash``; unparsable input -> first 2048
-    characters."""
+    preserved parameters (last duplicate wins, first position kept) and replace
+    click ids by ``<name>_hash``; unparsable input stays as it is."""
     proto = F.lower(parse_url_part(url, "PROTOCOL"))
     host = F.lower(parse_url_part(url, "HOST"))
     auth = parse_url_part(url, "AUTHORITY")
@@ -191,7 +155,7 @@ def sanitize_url(url: Column) -> Column:
         F.filter(query_pairs(url), lambda p: F.array_contains(pres, p["k"]) | F.array_contains(clicks, p["k"])),
         lambda p: F.when(F.array_contains(clicks, p["k"]),
                          F.struct(F.concat(p["k"], F.lit("_hash")).alias("k"), sha24(p["v"]).alias("v")))
-        .otherwise(F.struct(p["k"].alias("k"), F.substring(p["v"], 1, 255).alias("v"))),
+        .otherwise(F.struct(p["k"].alias("k"), p["v"].alias("v"))),
     )
     keys = F.array_distinct(F.transform(kept, lambda p: p["k"]))
     pairs = F.transform(
@@ -201,4 +165,4 @@ def sanitize_url(url: Column) -> Column:
     )
     qs = F.array_join(pairs, "&")
     out = F.concat(proto, F.lit("://"), hostport, path, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), qs)).otherwise(F.lit("")))
-    return F.when(proto.isNotNull() & host.isNotNull(), out).otherwise(F.substring(url, 1, 2048))
+    return F.when(proto.isNotNull() & host.isNotNull(), out).otherwise(url)

@@ -71,7 +71,7 @@ ADS_DAILY_COLUMNS = (
 )
 
 
-def ads_daily(ads: DataFrame, as_of_date, days: int, limit: int | None = 20000) -> DataFrame:
+def ads_daily(ads: DataFrame, as_of_date, days: int, limit: int | None = None) -> DataFrame:
     """Daily ad rows, date ascending then spend descending."""
     a = ads_period(ads, as_of_date, days).select(*ADS_DAILY_COLUMNS) \
         .withColumn("spend", F.col("spend").cast("double")).withColumn("purchase_value", F.col("purchase_value").cast("double"))

@@ -32,6 +32,7 @@ from clickloom.config import ATTRIBUTION_LOOKBACK_DAYS, CONVERSION_EVENTS, UUID_
 from clickloom.functions.json import is_true, nz, prop, with_props
 from clickloom.functions.nested import nested_find_many
 from clickloom.functions.urls import with_url_hints
+from clickloom.operators.classify import json_merge
 from clickloom.session import ensure_checkpoint_dir
 
 DAY_US = 86_400 * 1_000_000
@@ -256,19 +257,16 @@ def attribute_conversions(
 def stamp_attribution(ev: DataFrame, resolved: DataFrame) -> DataFrame:
     """Write the resolved record into the conversions' property bag (as the
     ingest path does); other rows pass through unchanged."""
-    rec = F.to_json(F.struct(
+    rec = F.parse_json(F.to_json(F.struct(
         F.lit(2).alias("version"), F.col("attributed_visitor_id").alias("visitor_id"),
         F.col("attributed_session_id").alias("session_id"), "method", "confidence", "cross_session",
         "checkout_id", "order_id", F.col("visitor_id").cast("string").alias("actual_visitor_id"),
         F.col("session_id").cast("string").alias("actual_session_id"), "identifier_source", "lookback_days",
         F.col("received_at").cast("string").alias("resolved_at"),
-    ))
+    )))
     r = resolved.select("event_id", rec.alias("_rec"))
     j = ev.join(r, "event_id", "left")
-    merged = F.when(
-        F.col("_rec").isNotNull(),
-        F.concat(F.regexp_replace(F.col("properties"), r"\}\s*$", ""),
-                 F.when(F.col("properties").rlike(r"^\s*\{\s*\}\s*$"), F.lit("")).otherwise(F.lit(",")),
-                 F.lit('"conversion_attribution":'), F.col("_rec"), F.lit("}")),
-    ).otherwise(F.col("properties"))
+    # the record replaces one that the client may have sent under the same key
+    merged = F.when(F.col("_rec").isNotNull(), json_merge(F.col("properties"), {"conversion_attribution": F.col("_rec")}))
+    merged = F.coalesce(merged, F.col("properties"))
     return j.withColumn("properties", merged).drop("_rec")

@@ -48,7 +48,6 @@ PIXEL_EVENT = T.StructType([
 
 # FIXED VALUES: shop event name -> tracked event name; attribute keys read.
 PIXEL_EVENT_NAMES = {"checkout_started": "checkout_started", "checkout_completed": "purchase"}
-MAX_ITEMS = 50
 
 
 def lag_ms(arrival: Column, client_ts: Column) -> Column:
@@ -94,7 +93,7 @@ def _stable_uuid(*parts: Column) -> Column:
 def checkout_payload(raw: DataFrame, default_url: str = "https://shop.invalid/", source_page_type: str = "sales_page",
                      id_pattern: str = UUID_PATTERN) -> DataFrame:
     """Pixel checkout events -> event rows (ids, value = total else
-    subtotal, currency, first 50 items, item count = sum of max(0, qty),
+    subtotal, currency, all items, item count = sum of max(0, qty),
     UTMs from the page URL else ``ct_`` attributes, journey fields, empties
     dropped).  Invalid visitor / session ids get a stable id derived from the
     shop event id (the pixel would draw a random one)."""
@@ -114,7 +113,7 @@ def checkout_payload(raw: DataFrame, default_url: str = "https://shop.invalid/",
     def utm(k: str) -> Column:
         return F.coalesce(F.when(q[k] != "", q[k]), F.when(a[f"ct_{k}"] != "", a[f"ct_{k}"]))
 
-    items = F.slice(F.coalesce(co["lineItems"], F.array().cast(T.ArrayType(LINE_ITEM))), 1, MAX_ITEMS)
+    items = F.coalesce(co["lineItems"], F.array().cast(T.ArrayType(LINE_ITEM)))
     item_rows = F.transform(items, lambda it: F.struct(
         it["id"].alias("line_item_id"), it["title"].alias("title"),
         F.coalesce(it["quantity"].try_cast("double"), F.lit(0.0)).alias("quantity"),

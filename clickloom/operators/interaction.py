@@ -37,9 +37,9 @@ def rage_clicks(clicks: DataFrame, page: str = "page_instance_id", ts: str = "ts
                 window_ms: int = RAGE_WINDOW_MS, radius: float = RAGE_RADIUS_PX,
                 cooldown_ms: int = RAGE_COOLDOWN_MS) -> DataFrame:
     """Rows: (page, ts, x, y) of each emitted rage click (anchor = last click)."""
-    c = clicks.select(page, ts, x, y, _ms(ts).alias("_t"))
-    c = prev_value(c, page, ts, F.struct(F.col("_t").alias("t"), F.col(x).alias("x"), F.col(y).alias("y")), "_p1", "_t")
-    c = prev_value(c, page, ts, "_p1", "_p2", "_t")
+    c = clicks.select(page, ts, x, y, _ms(ts).alias("_t"), F.struct(x, y).alias("_tie"))
+    c = prev_value(c, page, ts, F.struct(F.col("_t").alias("t"), F.col(x).alias("x"), F.col(y).alias("y")), "_p1", "_tie")
+    c = prev_value(c, page, ts, "_p1", "_p2", "_tie")
     c = c.select("*", F.col("_p2.t").alias("_t2"), F.col("_p1.x").alias("_x1"), F.col("_p1.y").alias("_y1"),
                  F.col("_p2.x").alias("_x2"), F.col("_p2.y").alias("_y2")).drop("_p1", "_p2")
 
@@ -47,18 +47,20 @@ def rage_clicks(clicks: DataFrame, page: str = "page_instance_id", ts: str = "ts
         return F.sqrt((F.col(px) - F.col(x)) ** 2 + (F.col(py) - F.col(y)) ** 2) <= radius
 
     cand = c.where(F.col("_t2").isNotNull() & ((F.col("_t") - F.col("_t2")) <= window_ms)
-                   & near("_x1", "_y1") & near("_x2", "_y2")).select(page, ts, x, y, "_t")
+                   & near("_x1", "_y1") & near("_x2", "_y2")).select(page, ts, x, y, "_t", "_tie")
     # bursts: candidates more than the cool-down apart never interact
-    b = sessionize(cand.withColumn("_tie", F.col("_t")), visitor=page, ts=ts, tiebreak="_tie",
+    b = sessionize(cand, visitor=page, ts=ts, tiebreak="_tie",
                    gap_seconds=cooldown_ms / 1000.0, out="_burst")
-    folded = b.groupBy(page, "_burst").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
-    emitted = folded.select(page, F.aggregate(
-        "_ts", F.array().cast("array<bigint>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) > cooldown_ms),
-                              F.concat(acc, F.array(t))).otherwise(acc),
-    ).alias("_emit"))
-    e = emitted.select(page, F.explode("_emit").alias("_t"))
-    return cand.join(e, [page, "_t"], "left_semi").select(page, ts, x, y)
+    # the clicks themselves go through the fold, so clicks of one millisecond stay apart
+    click = F.struct(F.col("_t").alias("t"), F.col(ts).alias("ts"), F.col(x).alias("x"), F.col(y).alias("y"))
+    folded = b.groupBy(page, "_burst").agg(F.array_sort(F.collect_list(click)).alias("_clicks"))
+    kind = folded.schema["_clicks"].dataType.simpleString()
+    emitted = folded.select(page, F.explode(F.aggregate(
+        "_clicks", F.array().cast(kind),
+        lambda acc, c: F.when((F.size(acc) == 0) | (c["t"] - F.element_at(acc, -1)["t"] > cooldown_ms),
+                              F.concat(acc, F.array(c))).otherwise(acc),
+    )).alias("_c"))
+    return emitted.select(page, F.col("_c.ts").alias(ts), F.col("_c.x").alias(x), F.col("_c.y").alias(y))
 
 
 def scroll_milestones(scrolls: DataFrame, page: str = "page_instance_id", ts: str = "ts", depth: str = "depth",
@@ -72,8 +74,13 @@ def scroll_milestones(scrolls: DataFrame, page: str = "page_instance_id", ts: st
 def section_dwell(events: DataFrame, page: str = "page_instance_id", section: str = "section_key", ts: str = "ts",
                   state: str = "state", min_ms: int = SECTION_MIN_MS) -> DataFrame:
     """(page, section, entered_at, visible_ms, cumulative_visible_ms) for each
-    visible interval >= ``min_ms``; the running total counts every interval."""
-    e = events.select(F.concat_ws("\u0001", F.col(page), F.col(section)).alias("_ps"), page, section, ts, state)
+    visible interval >= ``min_ms``; the running total counts every interval.
+    An interval lasts from the first of several enters in a row to the next
+    exit; an exit without an enter before it counts for nothing."""
+    e = events.where(F.col(state).isin("enter", "exit")).select(
+        F.concat_ws("\u0001", F.col(page), F.col(section)).alias("_ps"), page, section, ts, state)
+    e = prev_value(e, "_ps", ts, state, "_before", state)
+    e = e.where(F.col("_before").isNull() | (F.col("_before") != F.col(state))).drop("_before")
     e = next_value(e, "_ps", ts, F.struct(F.col(ts).alias("t"), F.col(state).alias("s")), "_nx", state)
     iv = e.where((F.col(state) == "enter") & (F.col("_nx.s") == "exit")).select(
         "_ps", page, section, F.col(ts).alias("entered_at"),

@@ -214,7 +214,7 @@ def _summary_num(key: str) -> Column:
     return F.when(is_event("session_summary"), loose_number(prop(key)))
 
 
-def session_journeys(base: DataFrame, limit: int | None = 5000) -> DataFrame:
+def session_journeys(base: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per session (entry attributes + rollup); newest first."""
     entry = {
         "visitor_id": F.col("visitor_id"),
@@ -274,7 +274,7 @@ def latest_page_summary(base: DataFrame) -> DataFrame:
     )
 
 
-def session_journeys_pages(base: DataFrame, limit: int | None = 5000) -> DataFrame:
+def session_journeys_pages(base: DataFrame, limit: int | None = None) -> DataFrame:
     """R6a plus add_to_cart, page instances and the per-page latest
     summaries summed per session (all pages quick-exit = bool_and)."""
     entry = {
@@ -324,7 +324,7 @@ def session_journeys_pages(base: DataFrame, limit: int | None = 5000) -> DataFra
 
 
 # --------------------------------------------------------------------------- R7
-def conversion_report(base: DataFrame, limit: int | None = 5000, extended: bool = False) -> DataFrame:
+def conversion_report(base: DataFrame, limit: int | None = None, extended: bool = False) -> DataFrame:
     """Checkout / purchase rows with the stored attribution fields."""
     c = base.where(is_event(*CONVERSION_EVENTS))
     cols = [
@@ -411,7 +411,7 @@ def daily_series(base: DataFrame, with_revenue: bool = False) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- R11-R13
-def pages(base: DataFrame, limit: int | None = 2000) -> DataFrame:
+def pages(base: DataFrame, limit: int | None = None) -> DataFrame:
     """By url, path, title."""
     r = grouped_rollup(base, ["page_url", "page_path", "page_title"], counts={
         "page_views": is_event("page_view"),
@@ -422,13 +422,13 @@ def pages(base: DataFrame, limit: int | None = 2000) -> DataFrame:
                      F.asc_nulls_first("page_path"), F.asc_nulls_first("page_title")], limit)
 
 
-def pages_by_path(base: DataFrame, limit: int | None = 500) -> DataFrame:
+def pages_by_path(base: DataFrame, limit: int | None = None) -> DataFrame:
     """By path, title; top by events."""
     r = grouped_rollup(base, ["page_path", "page_title"])
     return top_k(r, [F.desc("events"), F.asc_nulls_first("page_path"), F.asc_nulls_first("page_title")], limit)
 
 
-def referrers(base: DataFrame, limit: int | None = 500) -> DataFrame:
+def referrers(base: DataFrame, limit: int | None = None) -> DataFrame:
     """Page views by raw referrer (NULL and '' stay separate), label after."""
     r = grouped_rollup(base.where(is_event("page_view")), ["referrer"])
     r = top_k(r, [F.desc("sessions"), F.desc("events"), F.asc_nulls_first("referrer")], limit)
@@ -436,7 +436,7 @@ def referrers(base: DataFrame, limit: int | None = 500) -> DataFrame:
                     "events", "unique_visitors", "sessions")
 
 
-def devices(base: DataFrame, limit: int | None = 2000) -> DataFrame:
+def devices(base: DataFrame, limit: int | None = None) -> DataFrame:
     """By raw device type, width, language."""
     keys = ["device_type", "screen_width", "language"]
     r = grouped_rollup(base, keys, counts={"checkouts": is_event("checkout_started"), "purchases": is_event("purchase")})
@@ -497,7 +497,7 @@ def products_line_items(base: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- R15
-def javascript_errors(base: DataFrame, limit: int | None = 500) -> DataFrame:
+def javascript_errors(base: DataFrame, limit: int | None = None) -> DataFrame:
     """By message, file, kind."""
     d = base.where(is_event("javascript_error")).select(
         "visitor_id", "session_id", TS,
@@ -596,7 +596,7 @@ def web_performance(base: DataFrame, extended: bool = False, approx: bool = Fals
 
 
 # --------------------------------------------------------------------------- R19
-def interaction_anomalies(base: DataFrame, limit: int | None = 500) -> DataFrame:
+def interaction_anomalies(base: DataFrame, limit: int | None = None) -> DataFrame:
     """By anomaly type, element tag, element text."""
     d = base.where(is_event("interaction_anomaly")).select(
         "visitor_id", "session_id",
@@ -716,7 +716,7 @@ def creative_taxonomy(base: DataFrame, with_sessions: bool = False) -> DataFrame
     return r.orderBy(F.desc("purchase_visitors"), F.desc("checkout_visitors"), F.desc("unique_visitors"))
 
 
-def raw_events(base: DataFrame, limit: int) -> DataFrame:
+def raw_events(base: DataFrame, limit: int | None = None) -> DataFrame:
     """Bounded raw dump in ascending time (sanitise with ``sanitize_frame``)."""
     from clickloom.sources.fixtures import EVENT_COLUMNS
 

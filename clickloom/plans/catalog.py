@@ -24,7 +24,6 @@ from clickloom.sources.fixtures import EVENT_COLUMNS, FX_ADS_AS_OF, FX_AS_OF, FX
 
 DAYS = 90
 ADS_DAYS = 365
-RAW_LIMIT = 10000
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_events": lambda spark, sf: fx_events(spark, sf),
     "valid_events": lambda spark, sf: base(spark, sf).select(*EVENT_COLUMNS),
     "exclusion_audit": _e(lambda ev: R.exclusion_audit(ev, FX_AS_OF, DAYS, FX_CONTROL_PATTERN)),
-    "raw_events": _b(lambda b: R.raw_events(b, RAW_LIMIT)),
+    "raw_events": _b(lambda b: R.raw_events(b)),
     # flagship: conversion attribution (as-of joins, 30-day look-back)
     "attribute_conversions": _e(attribute_conversions),
     # report blocks (live export)
@@ -408,7 +407,7 @@ from clickloom.sources import ads as ADS_SRC  # noqa: E402
 
 
 def _q_sanitized_raw_events(spark, sf):
-    return SAN.sanitize_frame(R.raw_events(base(spark, sf), RAW_LIMIT).drop("p"), spread=True)
+    return SAN.sanitize_frame(R.raw_events(base(spark, sf)).drop("p"))
 
 
 def _q_sanitize_urls(spark, sf):
@@ -469,7 +468,7 @@ def _fx_cfg():
     import datetime as _dt
 
     return ReportConfig(as_of=_dt.datetime.fromisoformat(FX_AS_OF), days=DAYS, control_pattern=FX_CONTROL_PATTERN,
-                        ads_as_of=_dt.date.fromisoformat(FX_ADS_AS_OF), ads_days=ADS_DAYS, raw_limit=RAW_LIMIT)
+                        ads_as_of=_dt.date.fromisoformat(FX_ADS_AS_OF), ads_days=ADS_DAYS)
 
 
 def _q_export_health(spark, sf):
@@ -479,7 +478,7 @@ def _q_export_health(spark, sf):
 def _q_export_scope(spark, sf):
     ev = events(spark, sf)
     health = EXP.run_isolated(spark, EXP.fallback_bundle(ev, _fx_cfg()))
-    return EXP.export_scope(health, R.overview_basic(base(spark, sf)), RAW_LIMIT)
+    return EXP.export_scope(health, R.overview_basic(base(spark, sf)), None)
 
 
 QUERIES.update({
@@ -524,11 +523,16 @@ def _stream_source(spark, sf):
     at = F.col("arrival")
     prev = None
     for lo, hi in zip(STREAM_CUTS[:-1], STREAM_CUTS[1:]):
-        rng = (at >= F.lit(lo).cast("timestamp_ntz")) & (at < F.lit(hi).cast("timestamp_ntz"))
+        # the first and the last file are open-ended: no arrival time is left out
+        rng = F.lit(True)
+        if lo != STREAM_CUTS[0]:
+            rng = rng & (at >= F.lit(lo).cast("timestamp_ntz"))
+        if hi != STREAM_CUTS[-1]:
+            rng = rng & (at < F.lit(hi).cast("timestamp_ntz"))
         chunk = bodies.where(rng).select("body")
         if prev is not None:
             chunk = chunk.unionByName(bodies.where(prev & (F.col("event_id") % 20 == 7)).select("body"))
-        chunk.coalesce(1).write.mode("append").text(src)
+        chunk.write.mode("append").text(src)
         prev = rng
         if lo == STREAM_CUTS[1]:
             spark.createDataFrame([("{not json",), ('{"event_id": ',)], "body string").coalesce(1) \
@@ -642,7 +646,8 @@ def _q_scroll_milestones(spark, sf):
 def _q_section_dwell(spark, sf):
     b = _with_page(base(spark, sf)).where(F.col("event_name").isin("section_view", "section_engagement"))
     e = b.select("page_instance_id",
-                 F.coalesce(_prop("section_key"), _prop("chapter"), _prop("section_id"), F.lit("unknown")).alias("section_key"),
+                 F.regexp_replace(F.coalesce(_prop("section_key"), _prop("chapter"), _prop("section_id"), F.lit("unknown")),
+                                  "^[a-z]_", "section ").alias("section_key"),  # views and engagements name a section differently
                  F.col("client_timestamp").alias("ts"),
                  F.when(F.col("event_name") == "section_view", "enter").otherwise("exit").alias("state"))
     return INT.section_dwell(e)

@@ -11,17 +11,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.config import ReportConfig, clamp_raw_limit, normalize_days
+from clickloom.config import ReportConfig, normalize_days, raw_limit
 from clickloom.functions.sanitize import sanitize_frame
 from clickloom.operators import ads as A
 from clickloom.operators import journeys as J
 from clickloom.operators import reports as R
 from clickloom.operators.filters import valid_events
 
+JSON_COLUMNS = ("properties", "conversion_attribution", "attribution", "journey", "pages")
+
 HEALTH_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("ok", T.BooleanType()),
     T.StructField("rows", T.LongType()), T.StructField("error", T.StringType()),
@@ -32,7 +34,6 @@ def build_bundle(ev: DataFrame, ads: DataFrame | None, cfg: ReportConfig) -> dic
     """The live export's blocks (plus journey segmentation) as lazy frames
     over one shared base (valid events of the period)."""
     days = normalize_days(cfg.days)
-    raw_limit = clamp_raw_limit(cfg.raw_limit)
     base = valid_events(ev, cfg.as_of, days, cfg.control_pattern)
     b: dict[str, DataFrame] = {
         "exclusion_audit": R.exclusion_audit(ev, cfg.as_of, days, cfg.control_pattern),
@@ -52,7 +53,7 @@ def build_bundle(ev: DataFrame, ads: DataFrame | None, cfg: ReportConfig) -> dic
         "identity_integrity": R.identity_integrity(base),
         "time_to_conversion": R.time_to_conversion(base),
         "creative_taxonomy": R.creative_taxonomy(base),
-        "raw_events": sanitize_frame(R.raw_events(base, raw_limit).drop("p"), spread=True),
+        "raw_events": R.raw_events(base, raw_limit(cfg.raw_limit)).drop("p"),
         "page_types": J.page_types(base),
         "journey_types": J.journey_types(base),
         "visitor_overlap": J.visitor_overlap(base),
@@ -62,18 +63,24 @@ def build_bundle(ev: DataFrame, ads: DataFrame | None, cfg: ReportConfig) -> dic
         b["meta_overview"] = A.ads_overview(ads, cfg.ads_as_of, cfg.ads_days)
         b["meta_campaigns"] = A.ads_campaigns(ads, cfg.ads_as_of, cfg.ads_days)
         b["meta_daily"] = A.ads_daily(ads, cfg.ads_as_of, cfg.ads_days)
-    return b
+    return {name: sanitized(block) for name, block in b.items()}
+
+
+def sanitized(block: DataFrame) -> DataFrame:
+    """Every column of a block by its name, JSON documents in depth."""
+    return sanitize_frame(block, [c for c, t in block.dtypes if t == "string" and c in JSON_COLUMNS])
 
 
 def fallback_bundle(ev: DataFrame, cfg: ReportConfig) -> dict[str, DataFrame]:
     """The minimal export used when the rich one fails."""
     days = normalize_days(cfg.days)
     base = valid_events(ev, cfg.as_of, days, cfg.control_pattern)
-    return {
+    blocks = {
         "overview_basic": R.overview_basic(base),
         "event_catalog": R.event_catalog(base),
-        "raw_events": sanitize_frame(R.raw_events(base, clamp_raw_limit(cfg.raw_limit)).drop("p"), json_columns=()),
+        "raw_events": R.raw_events(base, raw_limit(cfg.raw_limit)).drop("p"),
     }
+    return {name: sanitized(block) for name, block in blocks.items()}
 
 
 def run_isolated(spark: SparkSession, bundle: dict[str, DataFrame | Callable[[], DataFrame]],
@@ -81,9 +88,10 @@ def run_isolated(spark: SparkSession, bundle: dict[str, DataFrame | Callable[[],
     """Execute every block independently; a failure is recorded
     (name, ok=false, rows=0, error) and the others continue.  A block may be
     a DataFrame or a zero-argument builder (then analysis errors raised while
-    building it are isolated too).  ``action`` defaults to counting the
-    block's rows on the executors."""
-    act = action or (lambda name, df: df.count())
+    building it are isolated too).  ``action`` defaults to evaluating every
+    column of the block on the executors, so an expression that fails is
+    found."""
+    act = action or (lambda name, df: observed_rows(df, lambda d: d.write.format("noop").mode("overwrite").save()))
     health = []
     for name, block in bundle.items():
         try:
@@ -91,23 +99,29 @@ def run_isolated(spark: SparkSession, bundle: dict[str, DataFrame | Callable[[],
             n = int(act(name, df))
             health.append((name, True, n, None))
         except Exception as e:  # noqa: BLE001 - isolation is the point
-            health.append((name, False, 0, f"{type(e).__name__}: {str(e)[:1000]}"))
+            health.append((name, False, 0, f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(health, HEALTH_SCHEMA)
 
 
+def observed_rows(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Rows that ``write`` wrote, counted on the way."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return int(seen.get["n"])
+
+
 def write_bundle(spark: SparkSession, bundle: dict[str, DataFrame], path: str, mode: str = "overwrite") -> DataFrame:
     """Write each block as JSON under ``path/<block>`` (executors write; the
     driver only sees the health table, which is written too)."""
     def act(name: str, df: DataFrame) -> int:
-        df.write.mode(mode).json(f"{path.rstrip('/')}/{name}")
-        return spark.read.json(f"{path.rstrip('/')}/{name}").count()
+        return observed_rows(df, lambda d: d.write.mode(mode).json(f"{path.rstrip('/')}/{name}"))
 
     health = run_isolated(spark, bundle, act)
     health.write.mode(mode).json(f"{path.rstrip('/')}/_export_health")
     return health
 
 
-def export_scope(health: DataFrame, overview: DataFrame, raw_limit: int) -> DataFrame:
+def export_scope(health: DataFrame, overview: DataFrame, limit: int | None) -> DataFrame:
     """Mode (full / partial), block counts, raw-dump size and whether the
     raw limit was reached (valid events in the period exceed the dump)."""
     h = health.agg(
@@ -122,7 +136,7 @@ def export_scope(health: DataFrame, overview: DataFrame, raw_limit: int) -> Data
     return j.select(
         F.when(F.col("failed_query_blocks") == 0, "full").otherwise("partial_with_isolated_failures").alias("mode"),
         "complete_query_blocks", "failed_query_blocks",
-        F.lit(int(raw_limit)).alias("raw_event_limit"),
+        F.lit(limit).cast("int").alias("raw_event_limit"),
         F.coalesce("raw_events_included", F.lit(0)).cast("bigint").alias("raw_events_included"),
         (F.col("total_events") > F.coalesce("raw_events_included", F.lit(0))).alias("raw_event_limit_reached"),
     )

@@ -12,7 +12,6 @@ from clickloom.sources.fixtures import FX_ADS_AS_OF, FX_ADS_DUCK, FX_AS_OF, FX_C
 
 DAYS = 90
 ADS_DAYS = 365
-RAW_LIMIT = 10000
 
 
 def jx(path: str) -> str:
@@ -182,7 +181,7 @@ rollup AS (SELECT session_id, min(client_timestamp) AS first_event_at, max(clien
     {_summary_max('visible_seconds')}, {_summary_max('max_scroll_depth')}, {_summary_max('sections_viewed')}
   FROM base GROUP BY session_id)
 SELECT e.*, r.* EXCLUDE (session_id) FROM entries e LEFT JOIN rollup r ON r.session_id = e.session_id
-ORDER BY e.started_at DESC, e.session_id DESC LIMIT 5000"""
+ORDER BY e.started_at DESC, e.session_id DESC"""
 
 
 def _num0(key: str) -> str:
@@ -218,7 +217,7 @@ srl AS (SELECT session_id, sum(visible_seconds) AS visible_seconds, sum(duration
   FROM lps GROUP BY session_id)
 SELECT e.*, r.* EXCLUDE (session_id), s.* EXCLUDE (session_id)
 FROM entries e LEFT JOIN rollup r ON r.session_id = e.session_id LEFT JOIN srl s ON s.session_id = e.session_id
-ORDER BY e.started_at DESC, e.session_id DESC LIMIT 5000"""
+ORDER BY e.started_at DESC, e.session_id DESC"""
 
 
 def _conversion_sql(extended: bool) -> str:
@@ -236,7 +235,7 @@ SELECT event_id, event_name, visitor_id, session_id AS actual_session_id, client
   {jx('conversion_attribution.cross_session')} AS cross_session,
   {ext}properties
 FROM base WHERE event_name IN ('checkout_started', 'purchase')
-ORDER BY client_timestamp DESC, received_at DESC, event_id DESC LIMIT 5000"""
+ORDER BY client_timestamp DESC, received_at DESC, event_id DESC"""
 
 
 SQL["conversion_report"] = _conversion_sql(False)
@@ -288,19 +287,19 @@ SELECT page_url, page_path, page_title, count(*) AS events, count(DISTINCT visit
   count(DISTINCT session_id) AS sessions, {cnt('page_view', 'page_views')}, {cnt('checkout_started', 'checkouts')},
   {cnt('purchase', 'purchases')}
 FROM base GROUP BY page_url, page_path, page_title
-ORDER BY unique_visitors DESC, events DESC, page_url NULLS FIRST, page_path NULLS FIRST, page_title NULLS FIRST LIMIT 2000"""
+ORDER BY unique_visitors DESC, events DESC, page_url NULLS FIRST, page_path NULLS FIRST, page_title NULLS FIRST"""
 
 SQL["pages_by_path"] = BASE + """
 SELECT page_path, page_title, count(*) AS events, count(DISTINCT visitor_id) AS unique_visitors,
   count(DISTINCT session_id) AS sessions
 FROM base GROUP BY page_path, page_title
-ORDER BY events DESC, page_path NULLS FIRST, page_title NULLS FIRST LIMIT 500"""
+ORDER BY events DESC, page_path NULLS FIRST, page_title NULLS FIRST"""
 
 SQL["referrers"] = BASE + """
 SELECT coalesce(NULLIF(referrer, ''), 'Sem referrer') AS referrer, events, unique_visitors, sessions FROM (
   SELECT referrer, count(*) AS events, count(DISTINCT visitor_id) AS unique_visitors, count(DISTINCT session_id) AS sessions
   FROM base WHERE event_name = 'page_view' GROUP BY referrer
-  ORDER BY sessions DESC, events DESC, referrer NULLS FIRST LIMIT 500)"""
+  ORDER BY sessions DESC, events DESC, referrer NULLS FIRST)"""
 
 SQL["devices"] = BASE + f"""
 SELECT coalesce(device_type, 'unknown') AS device_type, screen_width, language, events, unique_visitors, sessions,
@@ -309,7 +308,7 @@ SELECT coalesce(device_type, 'unknown') AS device_type, screen_width, language,
     count(DISTINCT session_id) AS sessions, {cnt('checkout_started', 'checkouts')}, {cnt('purchase', 'purchases')}
   FROM base GROUP BY device_type, screen_width, language
   ORDER BY unique_visitors DESC, events DESC, device_type NULLS FIRST, screen_width NULLS FIRST, language NULLS FIRST
-  LIMIT 2000)"""
+ )"""
 
 SQL["devices_network"] = BASE + f"""
 SELECT coalesce(device_type, 'unknown') AS device_type, screen_width, language, viewport_width, viewport_height,
@@ -347,7 +346,7 @@ SELECT {jx('message')} AS message, {jx('filename')} AS filename, {jx('kind')} AS
   count(DISTINCT visitor_id) AS unique_visitors, count(DISTINCT session_id) AS sessions,
   min(client_timestamp) AS first_seen_at, max(client_timestamp) AS last_seen_at
 FROM base WHERE event_name = 'javascript_error' GROUP BY 1, 2, 3
-ORDER BY events DESC, message NULLS FIRST, filename NULLS FIRST, kind NULLS FIRST LIMIT 500"""
+ORDER BY events DESC, message NULLS FIRST, filename NULLS FIRST, kind NULLS FIRST"""
 
 SQL["cta_performance"] = BASE + f"""
 SELECT coalesce({jx('placement')}, 'unknown') AS placement, coalesce({jx('element_text')}, 'unknown') AS element_text,
@@ -416,7 +415,7 @@ SELECT coalesce({jx('anomaly_type')}, 'unknown') AS anomaly_type, {jx('element_t
   {jx('element_text')} AS element_text, count(*) AS events, count(DISTINCT visitor_id) AS unique_visitors,
   count(DISTINCT session_id) AS sessions
 FROM base WHERE event_name = 'interaction_anomaly' GROUP BY 1, 2, 3
-ORDER BY events DESC, anomaly_type NULLS FIRST, element_tag NULLS FIRST, element_text NULLS FIRST LIMIT 500"""
+ORDER BY events DESC, anomaly_type NULLS FIRST, element_tag NULLS FIRST, element_text NULLS FIRST"""
 
 SQL["identity_integrity"] = BASE + f""",
 page_visitors AS (SELECT DISTINCT visitor_id FROM base WHERE event_name = 'page_view'),
@@ -506,7 +505,7 @@ SQL["raw_events"] = BASE + f"""
 SELECT event_id, event_name, visitor_id, session_id, client_timestamp, received_at, page_url, page_path, page_title,
   referrer, utm_source, utm_medium, utm_campaign, utm_content, utm_term, fbclid, device_type, screen_width, language,
   properties
-FROM base ORDER BY client_timestamp, received_at, event_id LIMIT {RAW_LIMIT}"""
+FROM base ORDER BY client_timestamp, received_at, event_id"""
 
 # ------------------------------------------------------------------ journeys
 _PAGE_TYPE = f"""coalesce(NULLIF({jx('page_type')}, ''), CASE
@@ -628,7 +627,7 @@ SQL["ads_daily"] = ADS + f""",
 o AS (SELECT date_start, account_id, campaign_id, campaign_name, adset_id, adset_name, ad_id, ad_name, creative_id,
   CAST(spend AS DOUBLE) AS spend, impressions, reach, frequency, clicks, unique_clicks, landing_page_views, add_to_cart,
   initiate_checkout, purchases, CAST(purchase_value AS DOUBLE) AS purchase_value, currency, ingested_at
-  FROM ads ORDER BY date_start, spend DESC, account_id, ad_id LIMIT 20000)
+  FROM ads ORDER BY date_start, spend DESC, account_id, ad_id)
 SELECT * EXCLUDE (spend, purchase_value), round(spend, 6) AS spend, round(purchase_value, 6) AS purchase_value,
   {metrics()} FROM o"""
 
@@ -1124,12 +1123,11 @@ FROM r"""
 SQL["export_health"] = BASE + """
 SELECT 'overview_basic' AS name, true AS ok, CAST(1 AS BIGINT) AS rows, CAST(NULL AS VARCHAR) AS error
 UNION ALL SELECT 'event_catalog', true, (SELECT count(DISTINCT event_name) FROM base), NULL
-UNION ALL SELECT 'raw_events', true, (SELECT least(count(*), 10000) FROM base), NULL"""
+UNION ALL SELECT 'raw_events', true, (SELECT count(*) FROM base), NULL"""
 
 SQL["export_scope"] = BASE + """
 SELECT 'full' AS mode, CAST(3 AS BIGINT) AS complete_query_blocks, CAST(0 AS BIGINT) AS failed_query_blocks,
-  10000 AS raw_event_limit, CAST(least(count(*), 10000) AS BIGINT) AS raw_events_included,
-  count(*) > least(count(*), 10000) AS raw_event_limit_reached
+  CAST(NULL AS INTEGER) AS raw_event_limit, count(*) AS raw_events_included, false AS raw_event_limit_reached
 FROM base"""
 
 # ------------------------------------------------------------------ streaming (same rows as batch)
@@ -1182,13 +1180,14 @@ SELECT page_instance_id, milestone, min(ts) AS reached_at FROM m WHERE depth >=
 
 SQL["section_dwell"] = BASE + f""",
 e AS (SELECT {_PAGE} AS page_instance_id,
-    coalesce({jx('section_key')}, {jx('chapter')}, {jx('section_id')}, 'unknown') AS section_key,
+    regexp_replace(coalesce({jx('section_key')}, {jx('chapter')}, {jx('section_id')}, 'unknown'), '^[a-z]_', 'section ') AS section_key,
     client_timestamp AS ts, CASE WHEN event_name = 'section_view' THEN 'enter' ELSE 'exit' END AS state
   FROM base WHERE {_PAGE} IS NOT NULL AND event_name IN ('section_view', 'section_engagement')),
-l AS (SELECT *, lead(ts) OVER w AS nts, lead(state) OVER w AS nstate FROM e
-  WINDOW w AS (PARTITION BY page_instance_id, section_key ORDER BY ts, state)),
-iv AS (SELECT page_instance_id, section_key, ts AS entered_at,
-    greatest(0, epoch_ms(nts) - epoch_ms(ts)) AS visible_ms FROM l WHERE state = 'enter' AND nstate = 'exit'),
+n AS (SELECT *, count(*) FILTER (WHERE state = 'exit') OVER (PARTITION BY page_instance_id, section_key
+    ORDER BY ts, state ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS exits FROM e),
+iv AS (SELECT i.page_instance_id, i.section_key, i.entered_at, greatest(0, epoch_ms(x.ts) - epoch_ms(i.entered_at)) AS visible_ms
+  FROM (SELECT page_instance_id, section_key, exits, min(ts) AS entered_at FROM n WHERE state = 'enter' GROUP BY 1, 2, 3) i
+  JOIN n x ON x.state = 'exit' AND x.page_instance_id = i.page_instance_id AND x.section_key = i.section_key AND x.exits = i.exits + 1),
 c AS (SELECT *, CAST(sum(visible_ms) OVER (PARTITION BY page_instance_id, section_key ORDER BY entered_at
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative_visible_ms FROM iv)
 SELECT * FROM c WHERE visible_ms >= 750"""
@@ -1220,7 +1219,7 @@ clicks AS (SELECT page_instance_id, client_timestamp + (i * (200 + (k % 5) * 150
 lagged AS (SELECT *, epoch_ms(ts) AS t,
     lag(epoch_ms(ts), 2) OVER w AS t2, lag(x, 1) OVER w AS x1, lag(y, 1) OVER w AS y1,
     lag(x, 2) OVER w AS x2, lag(y, 2) OVER w AS y2
-  FROM clicks WINDOW w AS (PARTITION BY page_instance_id ORDER BY ts)),
+  FROM clicks WINDOW w AS (PARTITION BY page_instance_id ORDER BY ts, x, y)),
 cand AS (SELECT page_instance_id, ts, x, y, t FROM lagged
   WHERE t2 IS NOT NULL AND t - t2 <= 1400 AND sqrt((x1 - x) ^ 2 + (y1 - y) ^ 2) <= 48
     AND sqrt((x2 - x) ^ 2 + (y2 - y) ^ 2) <= 48),
@@ -1229,7 +1228,8 @@ emitted AS (SELECT page_instance_id, min(t) AS t FROM cand GROUP BY 1
   SELECT c.page_instance_id, min(c.t) FROM emitted e JOIN cand c
     ON c.page_instance_id = e.page_instance_id AND c.t > e.t + 5000 GROUP BY c.page_instance_id)
 SELECT c.page_instance_id, c.ts, c.x, c.y FROM cand c
-WHERE (c.page_instance_id, c.t) IN (SELECT page_instance_id, t FROM emitted)"""
+WHERE (c.page_instance_id, c.t) IN (SELECT page_instance_id, t FROM emitted)
+QUALIFY row_number() OVER (PARTITION BY c.page_instance_id, c.t ORDER BY c.ts, c.x, c.y) = 1"""
 SQL["rage_clicks"] = SQL["rage_clicks"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 _PIXEL_NAME = "CASE WHEN c.event_name = 'purchase' THEN 'checkout_completed' ELSE 'checkout_started' END"

@@ -36,7 +36,7 @@ def read_ads(spark, path: str, as_of_date=None, days: int | None = None) -> Data
 
 def _text(c: Column, n: int = 512) -> Column:
     t = F.trim(c)
-    return F.when(t != "", F.substring(t, 1, n))
+    return F.when(t != "", t)
 
 
 def _number(c: Column) -> Column:
@@ -62,7 +62,7 @@ def normalize_ads(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``actions`` array).  Returns ``(accepted, rejected)``; rejected rows lack a
     valid date, campaign id or ad id."""
     r = raw_rows
-    date_txt = _text(F.col("date_start"), 10)
+    date_txt = _text(F.col("date_start"))
     date = F.when(date_txt.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(date_txt, "yyyy-MM-dd"))
     fallback = {}
     for metric, cands in AD_ACTION_FALLBACKS.items():
@@ -71,15 +71,15 @@ def normalize_ads(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     passthrough = [c for c in r.columns if c not in ADS_COLUMNS and c != "actions"]
     out = r.select(
         *passthrough,
-        F.coalesce(_text(F.col("account_id"), 255), F.lit("unknown-account")).alias("account_id"),
+        F.coalesce(_text(F.col("account_id")), F.lit("unknown-account")).alias("account_id"),
         date.alias("date_start"),
-        _text(F.col("campaign_id"), 255).alias("campaign_id"),
+        _text(F.col("campaign_id")).alias("campaign_id"),
         _text(F.col("campaign_name")).alias("campaign_name"),
-        F.coalesce(_text(F.col("adset_id"), 255), F.lit("unknown-adset")).alias("adset_id"),
+        F.coalesce(_text(F.col("adset_id")), F.lit("unknown-adset")).alias("adset_id"),
         _text(F.col("adset_name")).alias("adset_name"),
-        _text(F.col("ad_id"), 255).alias("ad_id"),
+        _text(F.col("ad_id")).alias("ad_id"),
         _text(F.col("ad_name")).alias("ad_name"),
-        _text(F.col("creative_id"), 255).alias("creative_id"),
+        _text(F.col("creative_id")).alias("creative_id"),
         F.greatest(F.lit(0.0), _number(F.col("spend"))).alias("spend"),
         _integer(_number(F.col("impressions"))).alias("impressions"),
         _integer(_number(F.col("reach"))).alias("reach"),
@@ -91,7 +91,7 @@ def normalize_ads(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         _integer(fallback["initiate_checkout"]).alias("initiate_checkout"),
         F.greatest(F.lit(0.0), fallback["purchases"]).alias("purchases"),
         F.greatest(F.lit(0.0), _number(F.col("purchase_value"))).alias("purchase_value"),
-        _text(F.col("currency"), 16).alias("currency"),
+        _text(F.col("currency")).alias("currency"),
         F.col("actions"),
     )
     ok = F.col("date_start").isNotNull() & F.col("campaign_id").isNotNull() & F.col("ad_id").isNotNull()

@@ -13,11 +13,7 @@ from pyspark.sql import types as T
 
 from clickloom.config import (
     EVENT_NAME_PATTERN,
-    MAX_BODY_BYTES,
-    MAX_PAGE_URL,
-    MAX_PROPERTIES_BYTES,
-    SCREEN_WIDTH_MAX,
-    TEXT_CAPS,
+    IngestLimits,
     UUID_PATTERN,
 )
 from clickloom.functions.json import nz, prop, with_props
@@ -75,14 +71,19 @@ def parse_bodies(raw: DataFrame, body_col: str = "body") -> DataFrame:
 
 
 def validate_events(p: DataFrame, arrival_col: str = "arrival", id_pattern: str = UUID_PATTERN,
-                    keep=()) -> tuple[DataFrame, DataFrame]:
+                    keep=(), limits: IngestLimits | None = None) -> tuple[DataFrame, DataFrame]:
     """F5 + normalisation.  ``p`` holds the body fields as text columns (see
     ``read_bodies`` / ``parse_bodies``) plus the arrival time.  Returns
     (accepted events in table shape, rejects with reason).
 
+    ``limits`` adds the size rejects and text cuts; without it no row is
+    rejected for its size and no text is cut.
+
     Built in stages (URL parts, timestamp, reason) so each expression is
     computed once per row and code generation stays in bounds."""
-    if "_body_len" not in p.columns:  # re-serialised size (whitespace-insensitive)
+    lim = limits or IngestLimits()
+    within = lambda c, most: F.lit(True) if most is None else c <= most
+    if lim.body is not None and "_body_len" not in p.columns:  # re-serialised size (whitespace-insensitive)
         p = p.withColumn("_body_len", F.length(F.to_json(F.struct(*[F.col(f.name) for f in BODY_SCHEMA.fields]))))
     p = p.withColumn("_json_ok", F.col("_corrupt_record").isNull())
     p = p.withColumn("_url", F.col("page_url"))
@@ -101,21 +102,21 @@ def validate_events(p: DataFrame, arrival_col: str = "arrival", id_pattern: str
     ids_ok = F.col("event_id").rlike(id_pattern) & F.col("visitor_id").rlike(id_pattern) & F.col("session_id").rlike(id_pattern)
     name_ok = F.col("event_name").rlike(EVENT_NAME_PATTERN)
     url = F.col("_url")
-    url_ok = url.isNotNull() & (F.length(url) <= MAX_PAGE_URL) & F.col("_proto").isNotNull() \
+    url_ok = url.isNotNull() & within(F.length(url), lim.page_url) & F.col("_proto").isNotNull() \
         & (F.col("_host").isNotNull() | (F.lower(F.col("_proto")) == "file"))
     reason = (
-        F.when(F.col("_body_len") > MAX_BODY_BYTES, "payload_too_large")
+        F.when(F.lit(False) if lim.body is None else F.col("_body_len") > lim.body, "payload_too_large")
         .when(~F.col("_json_ok"), "invalid_json")
         .when(~F.coalesce(ids_ok, F.lit(False)), "invalid_identifiers")
         .when(~F.coalesce(name_ok, F.lit(False)), "invalid_event_name")
         .when(~F.coalesce(url_ok, F.lit(False)), "invalid_page_url")
         .when(F.col("_ts").isNull(), "invalid_timestamp")
-        .when(F.length(F.col("_props")) > MAX_PROPERTIES_BYTES, "properties_too_large")
+        .when(~within(F.length(F.col("_props")), lim.properties), "properties_too_large")
     )
     checked = p.withColumn("reject_reason", reason)
     width_txt = F.col("screen_width")
     width = width_txt.try_cast("int")
-    width_ok = width_txt.rlike(r"^[0-9]+$") & width.between(0, SCREEN_WIDTH_MAX)
+    width_ok = width_txt.rlike(r"^[0-9]+$") & within(width, lim.screen_width)
     ok_rows = with_url_hints(checked.where(F.col("reject_reason").isNull()), "_url", "_h")
     accepted = ok_rows.select(
         *keep,
@@ -126,12 +127,12 @@ def validate_events(p: DataFrame, arrival_col: str = "arrival", id_pattern: str
         F.col("_ts").cast("timestamp_ntz").alias("client_timestamp"),
         F.col(arrival_col).cast("timestamp_ntz").alias("received_at"),
         url.alias("page_url"),
-        *[optional_text(F.col(c), TEXT_CAPS[c]).alias(c) for c in ("page_path", "page_title", "referrer")],
-        *[F.coalesce(optional_text(F.col(c), TEXT_CAPS[c]), F.col(f"_h.{c}")).alias(c)
+        *[optional_text(F.col(c), lim.text.get(c)).alias(c) for c in ("page_path", "page_title", "referrer")],
+        *[F.coalesce(optional_text(F.col(c), lim.text.get(c)), F.col(f"_h.{c}")).alias(c)
           for c in ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid")],
-        optional_text(F.col("device_type"), TEXT_CAPS["device_type"]).alias("device_type"),
+        optional_text(F.col("device_type"), lim.text.get("device_type")).alias("device_type"),
         F.when(width_ok, width).alias("screen_width"),
-        optional_text(F.col("language"), TEXT_CAPS["language"]).alias("language"),
+        optional_text(F.col("language"), lim.text.get("language")).alias("language"),
         normalize_flags(F.col("_props")).alias("properties"),
     )
     rejects = checked.where(F.col("reject_reason").isNotNull()).select(
@@ -158,11 +159,21 @@ def ingest_events_json(spark: SparkSession, path: str, arrival: Column | None =
     return validate_events(raw, "arrival", id_pattern)
 
 
+def first_copies(batch: DataFrame, key: str = "event_id") -> DataFrame:
+    """One row per key: the copy that arrived first, of copies that arrived
+    together the one of the least content hash (so a rerun keeps the same)."""
+    order = ([F.col("received_at")] if "received_at" in batch.columns else []) + [
+        F.xxhash64(*[F.col(c) for c, t in batch.dtypes if "map" not in t and "variant" not in t])]
+    row = F.struct(*[F.col(c) for c in batch.columns])
+    first = batch.groupBy(key).agg(F.min_by(row, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("_r"))
+    return first.select("_r.*")
+
+
 def insert_ignore(target: DataFrame, batch: DataFrame, key: str = "event_id") -> DataFrame:
     """Rows of ``batch`` whose key is new - first copy within the batch,
     none already in ``target``.  The target side of the anti-join is projected
     to the key only; Spark broadcasts it only under the size threshold."""
-    first = batch.dropDuplicates([key])
+    first = first_copies(batch, key)
     return first.join(target.select(key), key, "left_anti")
 
 

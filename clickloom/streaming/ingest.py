@@ -19,7 +19,7 @@ from clickloom.functions.json import with_props
 from clickloom.operators.attribution import attribute_conversions, stamp_attribution
 from clickloom.operators.classify import classify_traffic, json_merge
 from clickloom.session import ensure_checkpoint_dir
-from clickloom.sources.events import BODY_READ_SCHEMA, EVENTS_SCHEMA, anti_existing, insert_ignore, validate_events
+from clickloom.sources.events import BODY_READ_SCHEMA, EVENTS_SCHEMA, anti_existing, first_copies, insert_ignore, validate_events
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -72,17 +72,19 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target:
             bound = F.lit(lo).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(dedupe_days)} DAYS")
             seen = history.where((F.col("received_at") >= bound) & (F.col("event_date") >= F.to_date(bound))) \
                 if "event_date" in history.columns else history.where(F.col("received_at") >= bound)
-    fresh = ok.dropDuplicates(["event_id"]) if history is None else insert_ignore(seen.select("event_id"), ok)
+    fresh = first_copies(ok) if history is None else insert_ignore(seen.select("event_id"), ok)
     empty_hist = with_props(fresh).limit(0) if history is None else seen
     fresh = anti_existing(empty_hist, with_props(fresh))                               # J11: once per shop id
-    stamped_at = batch.agg(F.max(F.col(arrival_col)).alias("t")).first()["t"]
+    arrivals = batch.agg(F.max(F.col(arrival_col)).alias("last"), F.min(F.col(arrival_col)).alias("first")).first()
+    stamped_at = arrivals["last"]
     fresh = stamp_classification(fresh, str(stamped_at), control_pattern)
     # cut the lineage once: the stamped rows feed attribution and the write
     ensure_checkpoint_dir(spark)
     fresh = with_props(fresh).checkpoint(eager=True)
     # ST4: attribution against stored history of the look-back plus this batch.
     if history is not None and stamped_at is not None:
-        since = F.lit(stamped_at).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(lookback_days)} DAYS")
+        # the look-back of the batch's earliest row: a later row must not narrow it
+        since = F.lit(arrivals["first"]).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(lookback_days)} DAYS")
         recent = history.where((F.col("received_at") >= since) & (F.col("event_date") >= F.to_date(since)))
         hist = recent.select(*fresh.columns).unionByName(fresh)  # only the look-back's partitions are read
     else:

@@ -4,7 +4,7 @@ import math
 from pyspark.sql import functions as F
 
 from clickloom.functions.nested import find_nested
-from clickloom.functions.sanitize import sanitize_json_text, sanitize_url_py, sanitize_value
+from clickloom.functions.sanitize import reduced_url, sanitize_json_text
 from clickloom.functions.stats import safe_divide, wilson
 from clickloom.functions.urls import sanitize_url, with_url_hints
 from clickloom.operators.classify import classify_traffic, json_merge
@@ -16,7 +16,9 @@ def test_find_nested_order_and_depth():
     assert find_nested({"a": {"orderId": "X"}, "order_id": "Y"}, keys) == "Y"  # this level first
     assert find_nested({"a": [{"b": {"orderId": "Z"}}]}, keys) == "Z"
     deep = {"a": {"b": {"c": {"d": {"e": {"order_id": "deep"}}}}}}
-    assert find_nested(deep, keys) is None  # beyond depth 4
+    assert find_nested(deep, keys) == "deep"  # no depth is too deep
+    assert find_nested({"x": {"order_id": "", "y": {"order_id": "no"}}, "z": [1, {"orderId": "Q"}]}, keys) == "Q"
+    assert find_nested({"items": [{"n": i} for i in range(200)] + [{"orderId": "last"}]}, keys) == "last"
     assert find_nested({"order_id": None, "x": {"order_id": "N"}}, keys) == "N"
 
 
@@ -43,7 +45,7 @@ def test_sanitize_url_native_matches_python(spark):
     ]
     df = spark.createDataFrame([(u,) for u in urls], ["u"])
     got = [r.s for r in df.select(sanitize_url(F.col("u")).alias("s")).collect()]
-    assert got == [sanitize_url_py(u) for u in urls]
+    assert got == [reduced_url(u) for u in urls]
     assert got[0].startswith("https://shop.example.com/checkouts/hash-") and "fbclid_hash=" in got[0]
     assert "utm_source=y" in got[0] and "foo" not in got[0]
 
@@ -51,7 +53,7 @@ def test_sanitize_url_native_matches_python(spark):
 def test_sanitize_value_rules():
     doc = {"checkout_id": "abc", "page_url": "https://x.example.com/cart/9?utm_source=s", "count": "12",
            "order_date": "2024", "nested": {"email": "a@b"}, "empty": ""}
-    out = sanitize_value(doc)
+    out = json.loads(sanitize_json_text(json.dumps(doc)))
     assert out["checkout_id"].startswith("sha256:") and len(out["checkout_id"]) == 31
     assert out["page_url"].startswith("https://x.example.com/cart/hash-")
     assert out["count"] == 12 and out["order_date"] == "2024"
@@ -61,7 +63,10 @@ def test_sanitize_value_rules():
     for _ in range(12):
         cur["a"] = {}
         cur = cur["a"]
-    assert "[depth-limited]" in sanitize_json_text(json.dumps(deep))
+    assert "[depth-limited]" in sanitize_json_text(json.dumps(deep), max_depth=10)
+    assert "[depth-limited]" not in sanitize_json_text(json.dumps(deep))
+    many = json.dumps({"email": ["a@b"] * 3, "rows": [{"phone": "1"}] * 3})
+    assert "a@b" not in sanitize_json_text(many) and sanitize_json_text(many).count("sha256:") == 6
 
 
 def test_wilson_cases(spark):

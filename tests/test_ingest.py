@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from clickloom.config import IngestLimits
 from clickloom.sources.events import parse_bodies, validate_events
 
 U = "1234567{}-aaaa-4bbb-8ccc-0123456789ab"
@@ -31,7 +32,7 @@ def test_reject_reasons_and_normalisation(spark):
         ("wide", body(screen_width=50000)),
     ]
     raw = spark.createDataFrame([(k, b, ARR) for k, b in rows], "case string, body string, arrival timestamp_ntz")
-    ok, bad = validate_events(parse_bodies(raw), "arrival", keep=("case",))
+    ok, bad = validate_events(parse_bodies(raw), "arrival", keep=("case",), limits=IngestLimits.fixed())
     reasons = {r.case: r.reject_reason for r in bad.collect()}
     assert reasons == {"bad_id": "invalid_identifiers", "bad_name": "invalid_event_name", "bad_url": "invalid_page_url",
                        "bad_ts": "invalid_timestamp", "corrupt": "invalid_json", "too_big": "payload_too_large"}
