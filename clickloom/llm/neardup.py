@@ -14,10 +14,10 @@ modulo a prime number of registers, with a and b drawn from the element.
 
 *Candidates.*  Equal sets collapse first.  Registers are cut into bands;
 documents with an equal band share a bucket.  Buckets of at most ``small``
-documents give their pairs.  Larger ones are split by every second band that
-the documents also share, and a split bucket that is still large is compared
-with its pivot only, the document that meets most others (near copies of one
-text lie around it).  A sketch of one bit a register rules out most pairs that
+documents give their pairs.  Larger ones are compared with their pivot, the
+document that meets most others (near copies of one text lie around it), and
+split by a second band that their documents also share; a split bucket that is
+still large is compared with its own pivot.  A sketch of one bit a register rules out most pairs that
 are far from the threshold.
 
 *Verification* is on the full sets: the members of a hub go to the hub's task
@@ -47,15 +47,20 @@ from clickloom.llm.common import U64, chunks, materialise, mix64, signed, span_h
 SHINGLE = 5
 PERCENT = 85
 #: Registers (a prime), bands and registers of a band: two sets of similarity
-#: 0.85 share no band with probability 4e-7 and fewer than two with 9e-6.
+#: 0.85 share no band with probability 4e-7.
 REGISTERS, BANDS, ROWS = 127, 25, 5
 #: Largest bucket that gives all its pairs.
 SMALL = 16
 #: Differing sketch bits (of 127) at which a pair is dropped: 5 standard
 #: deviations beyond what a similarity of 0.85 gives.
 MAX_BITS = 24
+#: Bands pair up within this many classes (band modulo it) to split a large
+#: bucket: two sets of similarity 0.85 share no pair with probability 5e-5.
+SPLITS = 2
 #: Members of a hub that one task compares.
 HUB_MEMBERS = 256
+#: Links below which a grouping step uses fewer tasks.
+EDGES_PER_TASK = 50_000
 
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 _DONE = U64(0xFFFFFFFFFFFFFFFF)
@@ -145,10 +150,10 @@ def may_link(a: str, b: str, percent: int) -> F.Column:
 
 
 def bucket_pairs(members: DataFrame, small: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the small buckets of ``members`` (key, m: struct), and the
-    members of the large ones."""
-    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    held = members.join(counted, "key")
+    """Pairs (a, b) of the small buckets of ``members`` (key, m), and the
+    members of the large ones with their pivot ``top``."""
+    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("m.meets", (-F.col("m.doc_id")).alias("o"), "m")).alias("top"))
+    held = members.join(counted.filter("size > 1").select("key", "size", "top.m").withColumnRenamed("m", "top"), "key")
     lists = held.filter(F.col("size") <= small).groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("l"))
     pairs = F.flatten(
         F.transform("l", lambda a, i: F.transform(F.slice("l", i + 2, F.greatest(F.size("l") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("a"), b.alias("b"))))
@@ -158,21 +163,26 @@ def bucket_pairs(members: DataFrame, small: int, percent: int) -> tuple[DataFram
 
 def candidates(sets: DataFrame, percent: int, small: int) -> DataFrame:
     """Distinct candidate pairs (a, b, bits) with a < b of ``sets``."""
-    m = F.struct("doc_id", "n", "s1", "s2").alias("m")
-    banded = sets.select(F.posexplode("bands").alias("band", "h"), m).select(F.xxhash64("band", "h").alias("key"), "band", "m")
+    m = lambda meets: F.struct("doc_id", "n", "s1", "s2", meets.alias("meets")).alias("m")
+    banded = sets.select(F.posexplode("bands").alias("band", "h"), m(F.lit(0).cast("bigint"))).select(F.xxhash64("band", "h").alias("key"), "band", "m")
     pairs, large = bucket_pairs(banded, small, percent)
-    large = materialise(large.select("key", "band", "m", "size"))
-    popular = large.groupBy("m.doc_id").agg(F.sum("size").alias("meets"), F.array_sort(F.collect_list(F.struct("band", "key"))).alias("k"), F.first("m").alias("m"))
-    popular = materialise(popular.select("m", "meets", "k"))
-    two = F.flatten(F.transform("k", lambda a, i: F.transform(F.slice("k", i + 2, F.greatest(F.size("k") - i - 1, F.lit(0))), lambda b: F.xxhash64(a["key"], b["key"]))))
-    split_pairs, still = bucket_pairs(popular.select(F.explode(two).alias("key"), "m"), small, percent)
-
-    def stars(of: DataFrame) -> DataFrame:
-        ranked = of.select("key", "m").join(popular.select("m.doc_id", "meets").withColumnRenamed("doc_id", "d"), F.col("m.doc_id") == F.col("d"))
-        pivot = ranked.groupBy("key").agg(F.max(F.struct("meets", (-F.col("d")).alias("d"), F.col("m"))).alias("top")).select("key", F.col("top.m").alias("a"))
-        return ranked.join(pivot, "key").select("a", F.col("m").alias("b")).filter(F.col("a.doc_id") != F.col("b.doc_id")).filter(may_link("a", "b", percent))
-
-    every = pairs.unionByName(split_pairs).unionByName(stars(large)).unionByName(stars(still))
+    crowded = large.groupBy("m.doc_id").agg(
+        F.max("m").alias("m"), F.sum("size").alias("meets"), F.array_sort(F.collect_list(F.struct((F.col("band") % SPLITS).alias("g"), "key"))).alias("k")
+    )  # a row holds at most BANDS keys
+    crowded = materialise(crowded.select("m.doc_id", "m.n", "m.s1", "m.s2", "meets", "k"))
+    two = F.flatten(
+        F.transform(
+            "k",
+            lambda a, i: F.transform(
+                F.filter(F.slice("k", i + 2, F.greatest(F.size("k") - i - 1, F.lit(0))), lambda b: b["g"] == a["g"]), lambda b: F.xxhash64(a["key"], b["key"])
+            ),
+        )
+    )
+    split = materialise(crowded.select(F.explode(two).alias("key"), m(F.col("meets"))))  # read four times below
+    split_pairs, still = bucket_pairs(split, small, percent)
+    _, first_large = bucket_pairs(crowded.select(F.explode("k.key").alias("key"), m(F.col("meets"))), 1, percent)
+    stars = [x.select(F.col("top").alias("a"), F.col("m").alias("b")).filter("a.doc_id <> b.doc_id").filter(may_link("a", "b", percent)) for x in (first_large, still)]
+    every = pairs.unionByName(split_pairs).unionByName(stars[0]).unionByName(stars[1])
     bits = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
     x, y = F.col("a.doc_id"), F.col("b.doc_id")
     return every.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), bits.alias("bits")).dropDuplicates(["a", "b"])
@@ -232,19 +242,24 @@ def local_groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component_id) of all documents with a link whose component's
     least id is another one."""
-    edges = materialise(links.mapInArrow(local_groups, "a bigint, b bigint").distinct())
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges, in parts of useful size, and a checksum of their set."""
+        df = materialise(df)
+        told = tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        return df.coalesce(max(1, min(df.rdd.getNumPartitions(), told[0] // EDGES_PER_TASK))), told
+
+    edges, before = written(links.mapInArrow(local_groups, "a bigint, b bigint").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()  # a < b
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b")  # m <= a < b
         up = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(up, "b")
-        small = joined.select(F.col("m").alias("a"), "b").unionByName(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-        after = materialise(small)
-        changed = after.join(edges, ["a", "b"], "left_anti").limit(1).count() or edges.join(after, ["a", "b"], "left_anti").limit(1).count()
-        edges = after
-        if not changed:
+        joined = large.join(up, "b").select("m", F.explode(F.array("a", "b")).alias("b"))
+        edges, after = written(joined.filter("m <> b").select(F.col("m").alias("a"), "b").distinct())
+        if after == before:
             return edges.select(F.col("b").alias("doc_id"), F.col("a").alias("component_id"))
+        before = after
 
 
 def group_documents(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
