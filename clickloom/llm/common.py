@@ -44,12 +44,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Size of a plan's input as Spark's own statistics give it (file sizes
-    for a table scan); used to choose shard counts, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    for a table scan), or a kilobyte a row where they know nothing; used to
+    choose shard counts, never results."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 52 else 1024 * df.count()
 
 
 def shard_count(df: DataFrame, bytes_per_shard: int, least: int = 4) -> int:
-    return max(least, -(-min(input_bytes(df), 1 << 56) // bytes_per_shard))
+    return max(least, -(-input_bytes(df) // bytes_per_shard))
 
 
 # ---------------------------------------------------------------- buffers
