@@ -16,7 +16,7 @@ the visitor column share one Expand projection (``FILTER`` form).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -116,3 +116,30 @@ def combine_rows(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.join(f.withColumn("_one", F.lit(1)), "_one")
     return out.drop("_one")
+
+
+def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]], ranges: int = 1024) -> DataFrame:
+    """One row of exact percentiles (``percentile_cont``): name -> (column, q).
+
+    Values are counted first (a map-side combine per distinct value).  The
+    counts of ``ranges`` equal ranges of each column's values tell in which of
+    them the percentile lies; only those values are put in order.
+    """
+    cells = [F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value"), F.lit(float(q)).alias("q")) for n, (c, q) in wanted.items()]
+    counts = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where(F.col("value").isNotNull()) \
+        .groupBy("name", "q", "value").agg(F.count(F.lit(1)).alias("c"))
+    span = counts.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n"))  # a row per name
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(ranges - 1), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges)))
+    position = F.col("q") * (F.col("n") - 1)
+    placed = counts.join(span, "name").select(
+        "name", "value", "c", F.coalesce(part, F.lit(0)).alias("part"), F.floor(position).alias("first"), F.ceil(position).alias("last"), (position - F.floor(position)).alias("share"))
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("name", "part", "first", "last").agg(F.sum("c").alias("pc")).withColumn("start", F.coalesce(F.sum("pc").over(before), F.lit(0)))
+    parts = parts.where((F.col("start") <= F.col("last")) & (F.col("start") + F.col("pc") > F.col("first"))).select("name", "part", "start")
+    inner = Window.partitionBy("name", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.join(parts, ["name", "part"]).withColumn("at", F.col("start") + F.coalesce(F.sum("c").over(inner), F.lit(0)))
+    holds = lambda k: (F.col("at") <= F.col(k)) & (F.col("at") + F.col("c") > F.col(k))
+    found = near.groupBy("name").agg(
+        F.max(F.when(holds("first"), F.col("value"))).alias("a"), F.max(F.when(holds("last"), F.col("value"))).alias("b"), F.max("share").alias("share"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("share")
+    return found.agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in wanted])

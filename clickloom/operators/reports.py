@@ -20,7 +20,7 @@ from clickloom.config import (
     LABEL_UNKNOWN,
     TAXONOMY_KEYS,
 )
-from clickloom.functions.agg import combine_rows, grouped_rollup, top_k, visitor_flag_counts, zsum
+from clickloom.functions.agg import combine_rows, exact_percentiles, grouped_rollup, top_k, visitor_flag_counts, zsum
 from clickloom.functions.json import LINE_ITEM, guarded_number, has_any_key, loose_number, nz, prop, with_props
 from clickloom.functions.stats import safe_divide
 from clickloom.operators.filters import control_surface, internal_flag, period_filter, test_flag, valid_predicate
@@ -575,24 +575,23 @@ def sections(base: DataFrame, engagement_only_ms: bool = False) -> DataFrame:
 # --------------------------------------------------------------------------- R18
 def web_performance(base: DataFrame, extended: bool = False, approx: bool = False) -> DataFrame:
     """Performance samples.  ``extended`` is the older variant (unguarded
-    casts + p50 TTFB).  Exact percentiles (= percentile_cont) keep a value ->
-    count map per group (bounded by distinct values); ``approx`` switches to
-    ``percentile_approx`` for unbounded value domains."""
+    casts + p50 TTFB).  Percentiles are exact (= percentile_cont) and computed
+    in two steps (``exact_percentiles``); ``approx`` switches to
+    ``percentile_approx``."""
     num = loose_number if extended else guarded_number
     d = base.where(is_event("page_performance", "session_summary")).select(
         "visitor_id", *[num(prop(k)).alias(k) for k in ("ttfb_ms", "lcp_ms", "inp_ms", "cls", "load_ms")]
     )
 
-    def pct(c: str, q: float) -> Column:
-        return F.percentile_approx(c, q, 10000).cast("double") if approx else F.percentile(c, q)
-
-    aggs = [F.count(F.lit(1)).alias("samples"), F.count_distinct("visitor_id").alias("unique_visitors"),
-            F.avg("ttfb_ms").alias("avg_ttfb_ms")]
-    if extended:
-        aggs.append(pct("ttfb_ms", 0.5).alias("p50_ttfb_ms"))
-    aggs += [pct("lcp_ms", 0.75).alias("p75_lcp_ms"), pct("inp_ms", 0.75).alias("p75_inp_ms"),
-             pct("cls", 0.75).alias("p75_cls"), F.avg("load_ms").alias("avg_load_ms")]
-    return d.agg(*aggs)
+    wanted = {"p50_ttfb_ms": ("ttfb_ms", 0.5)} if extended else {}
+    wanted |= {"p75_lcp_ms": ("lcp_ms", 0.75), "p75_inp_ms": ("inp_ms", 0.75), "p75_cls": ("cls", 0.75)}
+    plain = d.agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("visitor_id").alias("unique_visitors"),
+                  F.avg("ttfb_ms").alias("avg_ttfb_ms"), F.avg("load_ms").alias("avg_load_ms"))
+    if approx:
+        pct = d.agg(*[F.percentile_approx(c, q, 10000).cast("double").alias(n) for n, (c, q) in wanted.items()])
+    else:
+        pct = exact_percentiles(d, wanted)
+    return combine_rows(plain, pct).select("samples", "unique_visitors", "avg_ttfb_ms", *wanted, "avg_load_ms")
 
 
 # --------------------------------------------------------------------------- R19

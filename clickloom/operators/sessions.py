@@ -11,6 +11,7 @@ spread over as many tasks as it has buckets.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,23 +68,28 @@ def sessionize(
 
 def session_window_ids(df: DataFrame, visitor: str = "visitor_id", ts: str = "client_timestamp",
                        gap: str = "30 minutes") -> DataFrame:
-    """Alternative sessionization with Spark's ``session_window`` aggregate:
-    returns one row per (visitor, session window) with start/end/count.
-    A gap of exactly ``gap`` keeps the events in one session."""
-    return (
-        df.groupBy(F.col(visitor), F.session_window(F.col(ts).cast("timestamp"), gap).alias("session"))
-        .agg(F.count(F.lit(1)).alias("events"))
-        .select(visitor, F.col("session.start").alias("session_start"),
-                F.col("session.end").alias("session_end"), "events")
-    )
+    """Sessions as windows (what Spark's ``session_window`` gives): one row per
+    (visitor, session) with start, end (last event + gap) and count.  A gap of
+    exactly ``gap`` keeps the events in one session.  Numbered by
+    ``sessionize``, so a hot visitor is spread over its days; the aggregate
+    after it combines map-side."""
+    seconds = int(pd.Timedelta(gap).total_seconds())
+    rows = df.select(visitor, F.col(ts).cast("timestamp").alias(ts), F.lit(0).alias("_tie"))
+    rows = sessionize(rows, visitor, ts, "_tie", seconds, out="_session")
+    return rows.groupBy(visitor, "_session").agg(
+        F.min(ts).alias("session_start"),
+        (F.max(ts) + F.expr(f"INTERVAL {seconds} SECONDS")).alias("session_end"),
+        F.count(F.lit(1)).alias("events"),
+    ).drop("_session")
 
 
 def session_entries(df: DataFrame, cols: dict[str, Column], session: str = "session_id",
                     ts: str = "client_timestamp", tiebreak: str = "event_id") -> DataFrame:
     """First event of each session (DISTINCT ON (session) ORDER BY ts).
 
-    Expressed as one aggregate with ``min_by`` over a struct: no sort of the
-    whole table, partial aggregation before the shuffle (skew-safe).
+    Expressed as one aggregate with ``min_by`` over a struct: partial
+    aggregation before the shuffle (skew-safe); Spark runs it sort-based, so
+    each task sorts its rows by session.
     """
     payload = F.struct(*[c.alias(n) for n, c in cols.items()])
     order = F.struct(F.col(ts), F.col(tiebreak))

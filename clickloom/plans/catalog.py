@@ -205,6 +205,17 @@ def _q_archive_split(spark, sf):
     return archived.select("event_id", "received_at")
 
 
+def _q_archive_remainder(spark, sf):
+    _, remaining = SRC.archive_split(events(spark, sf), _legacy_pred(), SPLIT_OLD)
+    return remaining.select("event_id", "received_at")
+
+
+def _q_stamp_duplicates(spark, sf):
+    d = C.stamp_duplicates(events(spark, sf), FX_AS_OF)
+    get = lambda k: F.get_json_object("properties", f"$.{k}").alias(k)
+    return d.select("event_id", "is_duplicate", get("traffic_classification"), get("traffic_classification_reason"), get("test"))
+
+
 def _q_archive_record(spark, sf):
     ev = events(spark, sf)
     archived, remaining = SRC.archive_split(ev, _legacy_pred(), SPLIT_OLD)
@@ -285,7 +296,9 @@ QUERIES.update({
     "insert_ignore": _q_insert_ignore,
     "anti_existing": _q_anti_existing,
     "archive_split": _q_archive_split,
+    "archive_remainder": _q_archive_remainder,
     "archive_record": _q_archive_record,
+    "stamp_duplicates": _q_stamp_duplicates,
     "validate_events": _q_validate,
     "ingest_events_batch": _q_ingest,
     "constraint_check": _e(FL.constraint_check),
@@ -446,16 +459,24 @@ def _ad_post_rows(spark, sf):
 
 
 def _q_normalize_ads(spark, sf):
-    ok, bad = ADS_SRC.normalize_ads(_ad_post_rows(spark, sf))
-    cols = ["ingested_seq", "account_id", "date_start", "campaign_id", "adset_id", "ad_id", "spend", "impressions",
-            "landing_page_views", "purchases"]
-    return ok.select(*cols, F.lit(True).alias("accepted")).unionByName(bad.select(*cols, F.lit(False).alias("accepted")))
+    return ADS_SRC.normalized_ads(_ad_post_rows(spark, sf)).select(
+        "ingested_seq", "account_id", "date_start", "campaign_id", "adset_id", "ad_id", "spend", "impressions",
+        "landing_page_views", "purchases", "accepted")
+
+
+def _q_ads_upsert_merge(spark, sf):
+    """Half of the raw rows as the stored table, the other half merged into it."""
+    raw, order = fx_ads_raw(spark, sf), ("ingested_at", "ingested_seq")
+    old = ADS_SRC.upsert_latest(None, raw.where("ingested_seq % 2 = 0"), order=order)
+    a = ADS_SRC.upsert_latest(old, raw.where("ingested_seq % 2 = 1"), order=order)
+    return a.drop("ingested_seq").withColumns({c: F.col(c).cast("double") for c in ("spend", "purchase_value")})
 
 
 QUERIES.update({
     "sanitized_raw_events": _q_sanitized_raw_events,
     "sanitize_urls": _q_sanitize_urls,
     "normalize_ads": lambda spark, sf: finish(_q_normalize_ads(spark, sf)),
+    "ads_upsert_merge": lambda spark, sf: finish(_q_ads_upsert_merge(spark, sf)),
 })
 
 

@@ -599,6 +599,8 @@ SELECT * EXCLUDE (spend, purchase_value, ingested_seq), CAST(spend AS DOUBLE) AS
   CAST(purchase_value AS DOUBLE) AS purchase_value
 FROM fx_ads"""
 
+SQL["ads_upsert_merge"] = SQL["ads_upsert"]
+
 SQL["ads_overview"] = ADS + f""",
 o AS (SELECT count(*) AS rows, min(date_start) AS first_date, max(date_start) AS latest_date,
   count(DISTINCT account_id) AS accounts, count(DISTINCT campaign_id) AS campaigns, count(DISTINCT adset_id) AS adsets,
@@ -747,6 +749,16 @@ _LEGACY = f"coalesce({jx('traffic_classification')}, 'production') <> 'productio
 SQL["archive_split"] = FX + f"""
 SELECT event_id, received_at FROM fx WHERE {_LEGACY} AND received_at < TIMESTAMP '{_T_OLD}'"""
 
+SQL["archive_remainder"] = FX + f"""
+SELECT event_id, received_at FROM fx WHERE NOT coalesce({_LEGACY} AND received_at < TIMESTAMP '{_T_OLD}', false)"""
+
+SQL["stamp_duplicates"] = FX + f""",
+d AS (SELECT event_id, properties,
+  coalesce({_SID} IS NOT NULL AND row_number() OVER (PARTITION BY {_SID} ORDER BY received_at, event_id) > 1, false) AS is_duplicate FROM fx)
+SELECT event_id, is_duplicate, CASE WHEN is_duplicate THEN 'duplicate' ELSE {jx('traffic_classification')} END AS traffic_classification,
+  CASE WHEN is_duplicate THEN 'duplicate_shopify_event_id' ELSE {jx('traffic_classification_reason')} END AS traffic_classification_reason,
+  CASE WHEN is_duplicate THEN 'true' ELSE {jx('test')} END AS test FROM d"""
+
 SQL["archive_record"] = FX + f"""
 SELECT count(*) FILTER (WHERE {_LEGACY} AND received_at < TIMESTAMP '{_T_OLD}') AS rows_archived,
   CAST(0 AS BIGINT) AS rows_remaining, TIMESTAMP '{_T_OLD}' AS cutover FROM fx"""
@@ -1152,7 +1164,7 @@ rej AS (SELECT event_id, received_at, CASE event_id % 97 WHEN 1 THEN 'invalid_id
   FROM fx WHERE event_id % 97 IN (1, 2, 3, 5))
 SELECT reject_reason, event_id AS source_event_id FROM rej
 UNION ALL SELECT reject_reason, event_id FROM rej
-  WHERE event_id % 20 = 7 AND received_at >= TIMESTAMP '2024-01-01' AND received_at < TIMESTAMP '2024-01-22'
+  WHERE event_id % 20 = 7 AND received_at < TIMESTAMP '2024-01-22'
 UNION ALL SELECT 'invalid_json', CAST(NULL AS BIGINT)
 UNION ALL SELECT 'invalid_json', CAST(NULL AS BIGINT)"""
 

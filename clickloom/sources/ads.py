@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.config import AD_ACTION_FALLBACKS
+from clickloom.session import ensure_checkpoint_dir
 
 ADS_COLUMNS = (
     "account_id", "date_start", "campaign_id", "campaign_name", "adset_id", "adset_name", "ad_id",
@@ -58,9 +59,15 @@ def _action_value(actions: Column, candidates) -> Column:
 
 
 def normalize_ads(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``normalized_ads`` as (accepted, rejected)."""
+    out = normalized_ads(raw_rows)
+    return out.where("accepted").drop("accepted"), out.where("not accepted").drop("accepted")
+
+
+def normalized_ads(raw_rows: DataFrame) -> DataFrame:
     """Normalise raw ad rows (one row per posted object, columns as text plus
-    ``actions`` array).  Returns ``(accepted, rejected)``; rejected rows lack a
-    valid date, campaign id or ad id."""
+    ``actions`` array) in one projection; ``accepted`` is false for rows that
+    lack a valid date, campaign id or ad id."""
     r = raw_rows
     date_txt = _text(F.col("date_start"))
     date = F.when(date_txt.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(date_txt, "yyyy-MM-dd"))
@@ -95,7 +102,7 @@ def normalize_ads(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("actions"),
     )
     ok = F.col("date_start").isNotNull() & F.col("campaign_id").isNotNull() & F.col("ad_id").isNotNull()
-    return out.where(ok), out.where(~ok)
+    return out.withColumn("accepted", ok)
 
 
 def ingest_ads_json(spark, path: str) -> tuple[DataFrame, DataFrame]:
@@ -121,3 +128,22 @@ def upsert_latest(old: DataFrame | None, new: DataFrame, keys=("account_id", "da
         F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order])).alias("_row")
     )
     return agg.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def upsert_table(spark, path: str, new: DataFrame, ingested_at=None, keys=("account_id", "date_start", "ad_id")) -> None:
+    """Merge normalised rows into the table at ``path``, partitioned by
+    ``date_start``: the dates of ``new`` are read, merged (latest wins) and
+    overwritten, all others stay untouched.  ``ingested_at`` stamps the rows
+    (default: now).  The merged dates are cut from the files they replace by a
+    reliable checkpoint."""
+    stamp = F.current_timestamp() if ingested_at is None else F.lit(ingested_at)
+    new = new.withColumn("ingested_at", stamp.cast("timestamp_ntz"))
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    old = None
+    if table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(table):
+        dates = new.select("date_start").distinct()  # Spark prunes partitions by these at run time
+        old = spark.read.parquet(path).join(dates, "date_start", "left_semi")
+    merged = upsert_latest(old, new, keys)
+    ensure_checkpoint_dir(spark)
+    merged = merged.checkpoint(eager=True)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_start").parquet(path)

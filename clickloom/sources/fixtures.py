@@ -6,8 +6,8 @@ unchanged (only ``||``, ``concat_ws``, ``regexp_extract``, ``CASE`` and casts ar
 used, which behave the same in both).  Everything *after* the projection -
 sessionization and every report - is library code on DataFrames.
 
-Scale notes: the page lookup joins on ``k % 50`` whose domain is [0, 50), so
-the page side is bounded to 50 rows by construction and broadcast; the events
+Scale notes: events join all pages on page_id, a plain shuffle or size-checked
+broadcast join, as Spark finds the page side; the events
 side is scanned once with only five columns read.
 """
 
@@ -178,14 +178,14 @@ FROM (
           WHEN 3 THEN 'section_view' WHEN 4 THEN 'section_engagement' ELSE 'interaction_anomaly' END
       END AS en
     FROM (
-      SELECT event_id AS eid, user_id AS uid, ts, event_type AS et, value AS val,
+      SELECT event_id AS eid, user_id AS uid, ts, event_type AS et, value AS val, (SELECT count(*) FROM {pages}) AS np,
         CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k
       FROM {events}
     ) s
   ) y
 ) x
-LEFT JOIN (SELECT page_id, url FROM {pages} WHERE page_id >= 0 AND page_id < 50) pg ON pg.page_id = x.k % 50
-LEFT JOIN (SELECT page_id, url FROM {pages} WHERE page_id >= 0 AND page_id < 50) rf ON rf.page_id = (x.k + 7) % 50
+LEFT JOIN {pages} pg ON pg.page_id = (x.k + x.eid) % x.np
+LEFT JOIN {pages} rf ON rf.page_id = (x.k + x.eid + 7) % x.np
 """
 )
 
@@ -231,7 +231,7 @@ def _materialized(spark: SparkSession, name: str, sf_dir: str, build, fmt: str =
     silver step that a production pipeline runs once per load.  With
     ``partition_by`` the rows are range-partitioned on ``order_by`` first, so
     each task writes a contiguous time range (few files per partition
-    directory, no task holding a whole day)."""
+    directory)."""
     path = _stage_dir(spark, name, sf_dir)
     cached = _TABLES.get((path, fmt))
     if cached is not None:  # same application: the table (and its file listing) is reused
@@ -242,8 +242,8 @@ def _materialized(spark: SparkSession, name: str, sf_dir: str, build, fmt: str =
         df = build()
         w = df.write.mode("overwrite").format(fmt)
         if partition_by:
-            # one range per core: contiguous time slices, few files per date
-            df = df.repartitionByRange(spark.sparkContext.defaultParallelism, order_by or partition_by)
+            # contiguous time slices, few files per date; their number follows the size (AQE)
+            df = df.repartitionByRange(order_by or partition_by)
             w = df.write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt) \
                 .partitionBy(partition_by)
         w.save(path)

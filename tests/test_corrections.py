@@ -137,3 +137,37 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Stub())
+
+
+def test_ads_table_is_merged_by_date(spark, tmpdir_path):
+    from clickloom.sources.ads import normalize_ads, upsert_table
+
+    def rows(*pairs):
+        schema = "account_id string, date_start string, campaign_id string, campaign_name string, adset_id string, adset_name string, ad_id string, " \
+            "ad_name string, creative_id string, spend string, impressions string, reach string, frequency string, clicks string, unique_clicks string, " \
+            "landing_page_views string, add_to_cart string, initiate_checkout string, purchases string, purchase_value string, currency string, " \
+            "actions array<struct<action_type:string,value:string>>"
+        full = [("a", d, "c", None, None, None, ad, None, None, s, *["1"] * 10, "BRL", None) for d, ad, s in pairs]
+        return normalize_ads(spark.createDataFrame(full, schema))[0]
+
+    path = f"{tmpdir_path}/ads"
+    upsert_table(spark, path, rows(("2024-01-01", "x", "1"), ("2024-01-02", "x", "2"), ("2024-01-02", "y", "3")), dt.datetime(2024, 1, 3))
+    first = {f for f in os.listdir(f"{path}/date_start=2024-01-01") if f.endswith(".parquet")}
+    upsert_table(spark, path, rows(("2024-01-02", "x", "20"), ("2024-01-05", "z", "5")), dt.datetime(2024, 1, 6))
+    got = {(str(r.date_start), r.ad_id): (r.spend, r.ingested_at.day) for r in spark.read.parquet(path).collect()}
+    assert got == {("2024-01-01", "x"): (1.0, 3), ("2024-01-02", "x"): (20.0, 6), ("2024-01-02", "y"): (3.0, 3), ("2024-01-05", "z"): (5.0, 6)}
+    assert {f for f in os.listdir(f"{path}/date_start=2024-01-01") if f.endswith(".parquet")} == first  # untouched
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    from clickloom.functions.agg import exact_percentiles
+
+    rng = np.random.default_rng(2)
+    a, b = np.round(rng.exponential(100, 501), 1), rng.integers(0, 5, 501).astype(float)
+    rows = [(float(x), None if i % 7 == 0 else float(y), 3.0, None) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, e double")
+    got = exact_percentiles(df, {"p75": ("a", 0.75), "p50": ("a", 0.5), "q": ("b", 0.9), "one": ("c", 0.3), "none": ("e", 0.5)}, ranges=16).first()
+    kept = [y for i, y in enumerate(b) if i % 7]
+    assert np.allclose([got.p75, got.p50, got.q, got.one], [np.quantile(a, 0.75), np.quantile(a, 0.5), np.quantile(kept, 0.9), 3.0]) and got.none is None
