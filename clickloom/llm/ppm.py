@@ -41,7 +41,7 @@ ORDER = 5
 #: Bytes that a document can hold: all but the separators other than space, and the end mark (0x0A).
 SYMBOLS = 252
 #: Input bytes of a batch, about.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 14 << 20
 
 _END, _SPACE = 0x0A, 0x20
 _TOKENS, _KINDS = -(2**63), -(2**63) + 1  # keys of the two totals; words have the sign bit and a higher hash
@@ -116,7 +116,7 @@ def score_documents(docs: DataFrame, held_out: F.Column, order: int = ORDER, bat
         for i, j, buf, off in chunks(group.column("text")):
             train = (~held[i:j]).astype(np.float64)
             found += [counted(*tokens(buf, off), train), counted(*grams(buf, off, order), train)]
-            if len(found) >= 16:
+            if len(found) >= 8:
                 found = [add_up(found)]
         keys, c = add_up(found)
         return pa.table([pa.array(keys), pa.array(c + (group.column("batch")[0].as_py() << 32))], names=["key", "load"])
@@ -177,7 +177,8 @@ def gram_scores(wanted: DataFrame, order: int) -> DataFrame:
         F.sum("c").cast("double").alias("t"), F.count(F.lit(1)).cast("double").alias("q"), F.coalesce(F.sum("low"), F.lit(0)).cast("double").alias("e")
     )
     top = mark(F.shiftright("key", 8), F.lit(order))
-    seen = wanted.filter("c > 0").withColumn("context", top).join(contexts, "context")
+    # Every such context is there; an inner join would put a filter on the key below the exchange of the counts.
+    seen = wanted.filter("c > 0").withColumn("context", top).join(contexts, "context", "left")
     seen = seen.select("key", F.log10((2 * F.col("c") - 1) / (2 * F.col("t"))).alias("value"))
     steps = [
         F.struct(F.lit(order - k).alias("step"), mark(tail(F.col("key"), k + 1), F.lit(k)).alias("pair"), mark(F.shiftright(tail(F.col("key"), k + 1), 8), F.lit(k)).alias("context"))
