@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import LOWER, U64, chunks, shard_count, signed, word_bounds, word_hashes
+from clickloom.llm.common import LOWER, U64, bound_batches, chunks, shard_count, signed, word_bounds, word_hashes
 
 #: Longest context, in bytes.
 ORDER = 5
@@ -101,6 +101,7 @@ def counted(keys: np.ndarray, first: np.ndarray, train: np.ndarray) -> tuple[np.
 def score_documents(docs: DataFrame, held_out: F.Column, order: int = ORDER, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text); rows with ``held_out`` are
     scored only."""
+    bound_batches(docs.sparkSession)
     batches = shard_count(docs, batch_bytes, 2)
     doc_id = F.col("doc_id").cast("bigint")
     dealt = docs.select(

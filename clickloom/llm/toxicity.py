@@ -139,20 +139,20 @@ def likelihood_ratio(pos: np.ndarray, neg: np.ndarray, all_pos: float, all_neg:
     return np.where(pos * all_neg > neg * all_pos, total, -total)
 
 
-def choose(doc: np.ndarray, column: np.ndarray, kinds: np.ndarray, y: np.ndarray) -> list[int]:
-    """Columns by sequential covering; entries (doc, column) are distinct."""
-    width, chosen = len(kinds), []
-    neg = np.bincount(column[y[doc] == 0], minlength=width).astype(float)
-    clean, open_ = float((y == 0).sum()), y == 1
-    while open_.any() and len(chosen) < width:
-        pos = np.bincount(column[open_[doc]], minlength=width).astype(float)
+def choose(doc: np.ndarray, column: np.ndarray, kinds: np.ndarray, neg: np.ndarray, toxic: int, clean: float) -> list[int]:
+    """Columns by sequential covering.  Entries (doc, column) are distinct and
+    of the ``toxic`` toxic documents; ``neg`` counts the clean documents (of
+    ``clean``) that hold each column."""
+    chosen, open_ = [], np.ones(toxic, bool)
+    while open_.any() and len(chosen) < len(kinds):
+        pos = np.bincount(column[open_[doc]], minlength=len(kinds)).astype(float)
         ratio = likelihood_ratio(pos, neg, float(open_.sum()), clean)
         ratio[chosen] = -1.0
         best = int(np.lexsort((kinds, np.round(ratio, 6)))[-1])  # of equal ones the longest beginning
         if ratio[best] < LEAST_RATIO:
             break
         chosen.append(best)
-        open_ = open_ & ~np.isin(np.arange(len(y)), doc[column == best])
+        open_[doc[column == best]] = False
     return chosen
 
 
@@ -215,43 +215,55 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     rest = n_pos + n_neg - F.col("n")
     ratio = ln(pos, F.col("n"), n_pos) + ln(neg, F.col("n"), n_neg) + ln(n_pos - pos, rest, n_pos) + ln(n_neg - neg, rest, n_neg)
     best = seen.filter(pos * n_neg > neg * n_pos).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "h").limit(CANDIDATES)
-    candidates = np.array([r["h"] for r in best.select("h").collect()], np.int64).view(U64) if n_pos and n_neg else np.zeros(0, U64)
-    lookup = Lookup(candidates)
-
-    def bag(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            out: list[tuple[int, bytes, bytes]] = []
-            for i, j, buf, off in chunks(part.column("text")):
-                features, sentence, text, _ = sentences(buf, off)
-                at, column = lookup.find(features, sentence)
-                total = np.bincount(text, minlength=j - i)
-                cut = np.searchsorted(text[at], np.arange(j - i + 1))
-                for r in range(j - i):
-                    a, b = cut[r], cut[r + 1]
-                    out.append((int(total[r]), at[a:b].astype("<i4").tobytes(), column[a:b].astype("<i4").tobytes()))
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            kinds = (pa.int64(), pa.binary(), pa.binary())
-            yield pa.record_batch([part.column("doc_id"), part.column("toxic"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "toxic", "total", "sentence", "column"])
-
-    bags = rows.mapInArrow(bag, "doc_id bigint, toxic int, total bigint, sentence binary, column binary").toArrow().sort_by("doc_id").to_pylist()
-    y = np.array([r["toxic"] for r in bags], np.int64)
-    sentence = [np.unique(np.frombuffer(r["sentence"], "<i4"), return_inverse=True)[1] for r in bags]
+    found = best.select("h", "pos", "n").collect() if n_pos and n_neg else []
+    candidates = np.array([r["h"] for r in found], np.int64).view(U64)
+
+    def bags(of: DataFrame, features: np.ndarray) -> list[dict]:
+        """Of each document the number of sentences, and the places (sentence,
+        column) of known features."""
+        lookup = Lookup(features)
+
+        def bag(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                out: list[tuple[int, bytes, bytes]] = []
+                for i, j, buf, off in chunks(part.column("text")):
+                    features, sentence, text, _ = sentences(buf, off)
+                    at, column = lookup.find(features, sentence)
+                    total = np.bincount(text, minlength=j - i)
+                    cut = np.searchsorted(text[at], np.arange(j - i + 1))
+                    for r in range(j - i):
+                        a, b = cut[r], cut[r + 1]
+                        out.append((int(total[r]), at[a:b].astype("<i4").tobytes(), column[a:b].astype("<i4").tobytes()))
+                columns = list(zip(*out, strict=True)) or [[]] * 3
+                kinds = (pa.int64(), pa.binary(), pa.binary())
+                yield pa.record_batch(
+                    [part.column("doc_id"), part.column("toxic"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                    names=["doc_id", "toxic", "total", "sentence", "column"],
+                )
+
+        return of.mapInArrow(bag, "doc_id bigint, toxic int, total bigint, sentence binary, column binary").toArrow().sort_by("doc_id").to_pylist()
+
+    chosen: list[int] = []
+    if len(candidates):
+        # Presence of candidates is needed of the toxic rows only; the clean rows' counts are known.
+        held = [np.unique(np.frombuffer(r["column"], "<i4")) for r in bags(rows.filter("toxic = 1"), candidates)]
+        doc = np.repeat(np.arange(len(held)), [len(c) for c in held])
+        neg = np.array([r["n"] - r["pos"] for r in found], float)
+        chosen = choose(doc, np.concatenate(held), (candidates & U64(KINDS - 1)).astype(np.int64), neg, len(held), n_neg)
+    known_features = candidates[chosen]
+    got = bags(rows, known_features)
+    if not got:
+        return Model(known_features, np.zeros(len(chosen)), -5.0)
+    sentence = [np.unique(np.frombuffer(r["sentence"], "<i4"), return_inverse=True)[1] for r in got]
     sizes = np.array([len(s) for s in sentence], np.int64)
     base = np.concatenate([[0], np.cumsum(sizes)])
-    doc = np.repeat(np.arange(len(bags)), sizes)
-    sentence = np.concatenate([s + b for s, b in zip(sentence, base, strict=False)] or [np.zeros(0, np.int64)]).astype(np.int64)
-    column = np.frombuffer(b"".join(r["column"] for r in bags), "<i4").astype(np.int64)
-    pair = np.unique(doc * max(1, len(candidates)) + column)
-    kinds = (candidates & U64(KINDS - 1)).astype(np.int64)
-    chosen = choose(pair // max(1, len(candidates)), pair % max(1, len(candidates)), kinds, y) if len(candidates) else []
-    rename = np.full(len(candidates), -1)
-    rename[chosen] = np.arange(len(chosen))
-    kept = rename[column] >= 0
-    doc, sentence, column = doc[kept], sentence[kept], rename[column[kept]]
-    filled = np.bincount(doc[np.unique(sentence, return_index=True)[1]], minlength=len(bags)) if len(doc) else np.zeros(len(bags))
-    empty = np.array([r["total"] for r in bags], float) - filled
-    weights, bias = fit_bags(doc, sentence, column, empty, y, len(chosen)) if len(bags) else (np.zeros(0), -5.0)
-    return Model(candidates[chosen], weights, bias)
+    doc = np.repeat(np.arange(len(got)), sizes)
+    sentence = np.concatenate([s + b for s, b in zip(sentence, base, strict=False)]).astype(np.int64)
+    column = np.frombuffer(b"".join(r["column"] for r in got), "<i4").astype(np.int64)
+    filled = np.bincount(doc[np.unique(sentence, return_index=True)[1]], minlength=len(got))
+    empty = np.array([r["total"] for r in got], float) - filled
+    weights, bias = fit_bags(doc, sentence, column, empty, np.array([r["toxic"] for r in got], np.int64), len(chosen))
+    return Model(known_features, weights, bias)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, names: tuple[str, str, str] = ("score", "predicted", "offending")) -> DataFrame:
