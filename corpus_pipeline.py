@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from clickloom.llm import neardup, packing, substrings
 from clickloom.llm import toxicity as tox
-from clickloom.llm.common import documents, fresh
+from clickloom.llm.common import bound_batches, documents, fresh
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     stay = neardup.group_documents(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     row = fresh(docs, "_row")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
@@ -41,11 +42,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     cleaned = substrings.remove_repeats(docs)
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))) if "n_chars" in docs.columns else cleaned
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
 
 
