@@ -18,7 +18,10 @@ documents give their pairs.  Larger ones are compared with their pivot, the
 document that meets most others (near copies of one text lie around it), and
 split by a second band that their documents also share; a split bucket that is
 still large is compared with its own pivot.  A sketch of one bit a register rules out most pairs that
-are far from the threshold.
+are far from the threshold.  Large buckets whose members still lie in
+different groups after that are gone through whole: every pair of two groups
+meets in one task of bounded size (``blocks``), first by sketch, then, for
+members with a pair left, on the full sets (``remainder``).
 
 *Verification* is on the full sets: the members of a hub go to the hub's task
 in parts of bounded size (``salted``).  First each document's likeliest
@@ -59,6 +62,8 @@ MAX_BITS = 24
 SPLITS = 2
 #: Members of a hub that one task compares.
 HUB_MEMBERS = 256
+#: Members of a large bucket on each side of one task: by sketch, on full sets.
+SKETCH_BLOCK, TEXT_BLOCK = 1024, 128
 #: Links below which a grouping step uses fewer tasks.
 EDGES_PER_TASK = 50_000
 
@@ -161,13 +166,14 @@ def bucket_pairs(members: DataFrame, small: int, percent: int) -> tuple[DataFram
     return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").filter(may_link("a", "b", percent)), held.filter(F.col("size") > small)
 
 
-def candidates(sets: DataFrame, percent: int, small: int) -> DataFrame:
-    """Distinct candidate pairs (a, b, bits) with a < b of ``sets``."""
+def candidates(sets: DataFrame, percent: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b, bits) with a < b of ``sets``, and the
+    documents of large buckets with their buckets ``k``."""
     m = lambda meets: F.struct("doc_id", "n", "s1", "s2", meets.alias("meets")).alias("m")
     banded = sets.select(F.posexplode("bands").alias("band", "h"), m(F.lit(0).cast("bigint"))).select(F.xxhash64("band", "h").alias("key"), "band", "m")
     pairs, large = bucket_pairs(banded, small, percent)
     crowded = large.groupBy("m.doc_id").agg(
-        F.max("m").alias("m"), F.sum("size").alias("meets"), F.array_sort(F.collect_list(F.struct((F.col("band") % SPLITS).alias("g"), "key"))).alias("k")
+        F.max("m").alias("m"), F.sum("size").alias("meets"), F.array_sort(F.collect_list(F.struct((F.col("band") % SPLITS).alias("g"), "key", "band"))).alias("k")
     )  # a row holds at most BANDS keys
     crowded = materialise(crowded.select("m.doc_id", "m.n", "m.s1", "m.s2", "meets", "k"))
     two = F.flatten(
@@ -185,7 +191,92 @@ def candidates(sets: DataFrame, percent: int, small: int) -> DataFrame:
     every = pairs.unionByName(split_pairs).unionByName(stars[0]).unionByName(stars[1])
     bits = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
     x, y = F.col("a.doc_id"), F.col("b.doc_id")
-    return every.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), bits.alias("bits")).dropDuplicates(["a", "b"])
+    return every.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), bits.alias("bits")).dropDuplicates(["a", "b"]), crowded
+
+
+def blocks(members: DataFrame, width: int) -> DataFrame:
+    """``members`` (key, doc_id, group, ...) of the buckets with several groups,
+    dealt to tasks (key, i, j) of about ``width`` rows a side.  Members outside
+    a bucket's largest group (``minor``) are on the left and meet all on the right."""
+    groups = members.groupBy("key", "group").agg(F.count(F.lit(1)).alias("c"))
+    told = groups.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "group")).alias("major")).filter("size > major.c")
+    held = members.join(told, "key").withColumn("minor", F.col("group") != F.col("major.group"))
+    across, down = (F.ceil(x / width).cast("int") for x in (F.col("size"), F.col("size") - F.col("major.c")))
+    part = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), of).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    left = held.filter("minor").withColumn("left", F.lit(True)).withColumn("i", part(1, down)).withColumn("j", each(across))
+    right = held.withColumn("left", F.lit(False)).withColumn("j", part(2, across)).withColumn("i", each(down))
+    return left.unionByName(right).drop("size", "major")
+
+
+def open_pairs(task: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs of one task that lie in different groups, share no
+    earlier band (they meet there), and may be linked."""
+    get = lambda c: task.column(c).to_numpy()
+    left, minor, ids, group, n = get("left").astype(bool), get("minor").astype(bool), get("doc_id"), get("group"), get("n")
+    s1, s2 = get("s1").view(U64), get("s2").view(U64)
+    bands = pa.concat_arrays([c.flatten() for c in task.column("bands").chunks]).to_numpy().reshape(task.num_rows, -1)[:, : task.column("band")[0].as_py()]
+    right, found = np.flatnonzero(~left), []
+    for at in np.array_split(np.flatnonzero(left), max(1, int(left.sum()) // 64)):
+        x = at[:, None]
+        differ = np.bitwise_count(s1[x] ^ s1[right]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[right])
+        ok = (differ <= MAX_BITS) & (group[x] != group[right]) & (~minor[right] | (ids[x] < ids[right]))
+        ok &= 100 * np.minimum(n[x], n[right]) >= percent * np.maximum(n[x], n[right])
+        a, b = np.nonzero(ok)
+        a, b = at[a], right[b]
+        new = ~(bands[a] == bands[b]).any(1)
+        found.append((a[new], b[new]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a, b
+
+
+def remainder(crowded: DataFrame, sets: DataFrame, texts: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different groups of ``grouped`` among all pairs of
+    the large buckets; of links that join the same groups a task gives one."""
+    group = grouped.select("doc_id", F.col("component_id").alias("group"))
+    keyed = crowded.select("doc_id", F.explode("k").alias("k")).select("doc_id", "k.key", "k.band")
+    named = crowded.select("doc_id").join(group, "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"))
+    members = keyed.join(named, "doc_id")
+    several = members.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x < y").select("key")
+    facts = sets.select("doc_id", "n", "s1", "s2", "bands")
+    members = materialise(members.join(several, "key", "left_semi").join(facts, "doc_id"))
+
+    def live(task: pa.Table) -> pa.Table:
+        rows = np.unique(np.concatenate(open_pairs(task, percent)))
+        return task.select(["key", "doc_id"]).take(pa.array(rows))
+
+    def links(task: pa.Table) -> pa.Table:
+        x, y = open_pairs(task, percent)
+        rows = np.unique(np.concatenate([x, y]))
+        hashes, size = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for i, j, buf, off in chunks(task.column("text").take(pa.array(rows))):
+            h, text = shingle_sets(buf, off)
+            hashes.append(h)
+            size.append(np.bincount(text, minlength=j - i))
+        size = np.concatenate(size)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        values, code = np.unique(np.concatenate(hashes), return_inverse=True)
+        x, y, ids, group = np.searchsorted(rows, x), np.searchsorted(rows, y), task.column("doc_id").to_numpy()[rows], task.column("group").to_numpy()[rows]
+        _, group = np.unique(group, return_inverse=True)
+        found: list[tuple[int, int]] = []
+        for one in np.unique(x):
+            others = y[x == one]
+            others = others[group[others] != group[one]]
+            if not len(others):
+                continue
+            mine = np.zeros(len(values), bool)
+            mine[code[edge[one] : edge[one + 1]]] = True
+            run = np.concatenate([[0], np.cumsum(mine[code])])
+            both = run[edge[others + 1]] - run[edge[others]]
+            for other in others[100 * both >= percent * (size[one] + size[others] - both)]:
+                if group[other] != group[one]:
+                    group[group == group[other]] = group[one]
+                    found.append((int(ids[one]), int(ids[other])))
+        return pa.table([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+
+    alive = blocks(members, SKETCH_BLOCK).groupBy("key", "i", "j").applyInArrow(live, "key bigint, doc_id bigint").distinct()
+    alive = materialise(members.join(alive, ["key", "doc_id"], "left_semi"))
+    return blocks(alive, TEXT_BLOCK).join(texts, "doc_id").groupBy("key", "i", "j").applyInArrow(links, "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -270,8 +361,9 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     full = marked.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     equal = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     sets = full.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = materialise(candidates(sets, percent, small))
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    pairs, crowded = candidates(sets, percent, small)
+    pairs = materialise(pairs)
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(crowded.select("doc_id")).distinct()
     texts = materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     ends = pairs.select(F.col("a").alias("d"), "a", "b", "bits").unionByName(pairs.select(F.col("b").alias("d"), "a", "b", "bits"))
     best = ends.groupBy("d").agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
@@ -281,7 +373,9 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     g = lambda c: grouped.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"g{c}"))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(g("a"), "a", "left").join(g("b"), "b", "left").filter(named("a") != named("b")).select("a", "b")
     more = verify(apart, texts, percent)
-    found = components(grouped.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).unionByName(more))
+    edges = lambda groups: groups.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    grouped = components(edges(grouped).unionByName(more))
+    found = components(edges(grouped).unionByName(remainder(crowded, sets, texts, grouped, percent)))
     placed = marked.select("doc_id", F.col("n").alias("n_shingles"), "n", "f1", "f2").join(equal, ["n", "f1", "f2"], "left")
     rep = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
     placed = placed.select("doc_id", "n_shingles", F.coalesce(rep, F.col("doc_id")).alias("rep"))

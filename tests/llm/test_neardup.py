@@ -65,3 +65,37 @@ def test_signature_estimates_similarity_with_less_variance():
         errors.append((reg[0] == reg[1]).mean() - 0.6)
     assert abs(np.mean(errors)) < 0.012
     assert np.var(errors) < 0.6 * 0.4 / neardup.REGISTERS  # below that of independent hashes
+
+
+def family(seed, n, low, high, length=160):
+    """Variants of one text, without the text itself."""
+    rng = np.random.default_rng(seed)
+    base, out = [f"w{i}" for i in range(length)], []
+    for i in range(n):
+        w = list(base)
+        for at in rng.choice(length, rng.integers(low, high + 1), replace=False):
+            w[at] = f"v{i}x{at}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_large_family_without_a_hub(spark):
+    rows = family(1, 400, 2, 3)
+    got = neardup.group_documents(frame(spark, rows)).collect()
+    want = brute(rows)
+    assert len({c for _, _, c, _ in want}) > 1
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_remainder_links_what_pivots_miss(spark, monkeypatch):
+    """Pivots and split bands show nothing here: all links come from the remainder, over several blocks."""
+    monkeypatch.setattr(neardup, "SKETCH_BLOCK", 16)
+    monkeypatch.setattr(neardup, "TEXT_BLOCK", 8)
+    rows = family(1, 90, 1, 5)
+    docs = frame(spark, rows).select("doc_id", "text")
+    marked = neardup.signatures(docs)
+    _, crowded = neardup.candidates(marked, 85, 16)
+    alone = docs.select("doc_id", neardup.F.col("doc_id").alias("component_id")).limit(0)
+    found = {r.doc_id: r.component_id for r in neardup.components(neardup.remainder(crowded, marked, docs, alone, 85)).collect()}
+    in_large = {r.doc_id for r in crowded.collect()}
+    assert {i: found.get(i, i) for i in in_large} == {i: c for i, _, c, _ in brute([r for r in rows if r[0] in in_large])}
