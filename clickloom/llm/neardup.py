@@ -38,6 +38,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,16 +50,14 @@ from clickloom.llm.common import U64, chunks, materialise, mix64, signed, span_h
 
 SHINGLE = 5
 PERCENT = 85
-#: Registers (a prime), bands and registers of a band: two sets of similarity
-#: 0.85 share no band with probability 4e-7.
-REGISTERS, BANDS, ROWS = 127, 25, 5
+#: Registers (a prime).
+REGISTERS = 127
+#: Most probable loss of a link right at the threshold, by the bands and by the
+#: sketch each; both fall fast above it.
+LOSS = 1e-6
 #: Largest bucket that gives all its pairs.
 SMALL = 16
-#: Differing sketch bits (of 127) at which a pair is dropped: 5 standard
-#: deviations beyond what a similarity of 0.85 gives.
-MAX_BITS = 24
-#: Bands pair up within this many classes (band modulo it) to split a large
-#: bucket: two sets of similarity 0.85 share no pair with probability 5e-5.
+#: Bands pair up within this many classes (band modulo it) to split a large bucket.
 SPLITS = 2
 #: Members of a hub that one task compares.
 HUB_MEMBERS = 256
@@ -71,6 +70,25 @@ _GOLDEN = U64(0x9E3779B97F4A7C15)
 _DONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, registers of a band): the longest bands of which two sets at the
+    threshold share none with probability ``LOSS`` at most (25 of 5 at 85)."""
+    s = percent / 100
+    rows = next((r for r in range(16, 1, -1) if (1 - s**r) ** (REGISTERS // r) <= LOSS), 1)
+    return REGISTERS // rows, rows
+
+
+def max_bits(percent: int) -> int:
+    """Differing sketch bits beyond which a pair is dropped: two sets at the
+    threshold differ in more with probability ``LOSS`` at most (26 at 85)."""
+    p, left = (1 - percent / 100) / 2, 1.0
+    for bits in range(REGISTERS):
+        left -= math.comb(REGISTERS, bits) * p**bits * (1 - p) ** (REGISTERS - bits)
+        if left <= LOSS:
+            return bits
+    return REGISTERS
+
+
 def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes in order of (text, hash), each one's text)."""
     starts, ends, first = word_bounds(buf, off)
@@ -116,8 +134,9 @@ def superminhash(h: np.ndarray, text: np.ndarray, rows: int, registers: int = RE
 _SIGNED = "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, s1 bigint, s2 bigint"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Set size, set fingerprint (128 bits), band hashes and sketch."""
+    bands, width = banding(percent)
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -131,13 +150,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                     run = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(h + U64(salt)), dtype=U64)])
                     prints.append(signed(run[edge[1:]] - run[edge[:-1]]))
                 reg = superminhash(h, text, rows)
-                band = np.full((rows, BANDS), U64(BANDS))
-                for r in range(ROWS):
-                    band = mix64(band * _GOLDEN + reg[:, r : BANDS * ROWS : ROWS]) + np.arange(BANDS, dtype=U64)
+                band = np.full((rows, bands), U64(bands))
+                for r in range(width):
+                    band = mix64(band * _GOLDEN + reg[:, r : bands * width : width]) + np.arange(bands, dtype=U64)
                 bits = np.zeros((rows, 128), np.uint8)
                 bits[:, :REGISTERS] = mix64(reg) >> U64(63)
                 sketch = np.packbits(bits, axis=1).view(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(signed(np.ascontiguousarray(band)).reshape(-1)))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * bands), pa.array(signed(np.ascontiguousarray(band)).reshape(-1)))
                 yield pa.record_batch(
                     [part.column("doc_id").slice(i, rows), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), flat, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
                     names=["doc_id", "n", "f1", "f2", "bands", "s1", "s2"],
@@ -151,7 +170,7 @@ def may_link(a: str, b: str, percent: int) -> F.Column:
     col = lambda side, c: F.col(f"{side}.{c}")
     bits = F.bit_count(col(a, "s1").bitwiseXOR(col(b, "s1"))) + F.bit_count(col(a, "s2").bitwiseXOR(col(b, "s2")))
     sizes = 100 * F.least(col(a, "n"), col(b, "n")) >= percent * F.greatest(col(a, "n"), col(b, "n"))
-    return sizes & (bits <= MAX_BITS)
+    return sizes & (bits <= max_bits(percent))
 
 
 def bucket_pairs(members: DataFrame, small: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +193,7 @@ def candidates(sets: DataFrame, percent: int, small: int) -> tuple[DataFrame, Da
     pairs, large = bucket_pairs(banded, small, percent)
     crowded = large.groupBy("m.doc_id").agg(
         F.max("m").alias("m"), F.sum("size").alias("meets"), F.array_sort(F.collect_list(F.struct((F.col("band") % SPLITS).alias("g"), "key", "band"))).alias("k")
-    )  # a row holds at most BANDS keys
+    )  # a row holds at most one key a band
     crowded = materialise(crowded.select("m.doc_id", "m.n", "m.s1", "m.s2", "meets", "k"))
     two = F.flatten(
         F.transform(
@@ -220,7 +239,7 @@ def open_pairs(task: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     for at in np.array_split(np.flatnonzero(left), max(1, int(left.sum()) // 64)):
         x = at[:, None]
         differ = np.bitwise_count(s1[x] ^ s1[right]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[right])
-        ok = (differ <= MAX_BITS) & (group[x] != group[right]) & (~minor[right] | (ids[x] < ids[right]))
+        ok = (differ <= max_bits(percent)) & (group[x] != group[right]) & (~minor[right] | (ids[x] < ids[right]))
         ok &= 100 * np.minimum(n[x], n[right]) >= percent * np.maximum(n[x], n[right])
         a, b = np.nonzero(ok)
         a, b = at[a], right[b]
@@ -357,7 +376,7 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id
     (the least doc_id of its group) and kept (whether that is the row's own)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    marked = materialise(signatures(docs))
+    marked = materialise(signatures(docs, percent))
     full = marked.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     equal = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     sets = full.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -11,7 +11,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -23,7 +23,7 @@ def brute(rows):
     ids = sorted(sets)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return sorted((i, len(sets[i]), find(i), find(i) == i) for i in ids)
@@ -99,3 +99,20 @@ def test_remainder_links_what_pivots_miss(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in neardup.components(neardup.remainder(crowded, marked, docs, alone, 85)).collect()}
     in_large = {r.doc_id for r in crowded.collect()}
     assert {i: found.get(i, i) for i in in_large} == {i: c for i, _, c, _ in brute([r for r in rows if r[0] in in_large])}
+
+
+@pytest.mark.parametrize("percent", [85, 80, 50])
+def test_search_follows_the_threshold(percent):
+    """Links right at the threshold are lost with probability 1e-6 at most, by bands and by sketch."""
+    s = percent / 100
+    bands, width = neardup.banding(percent)
+    assert bands * width <= neardup.REGISTERS and (1 - s**width) ** bands <= 1e-6
+    differ = np.random.default_rng(4).binomial(neardup.REGISTERS, (1 - s) / 2, 1_000_000)
+    assert (differ > neardup.max_bits(percent)).sum() < 8
+
+
+def test_lower_threshold_equals_brute_force(spark):
+    rows = corpus(seed=12, n=80)
+    got = neardup.group_documents(frame(spark, rows), percent=80).collect()
+    assert brute(rows, 80) != brute(rows)
+    assert sorted(tuple(r) for r in got) == brute(rows, 80)
