@@ -10,7 +10,9 @@ follow from the triangle inequality at every vantage point on the way down: no
 vector of a leaf is nearer than ``max |d(query, vantage) - shell|``.  It stops
 at the first leaf with ``bound > factor * (distance of its k-th best)``.
 ``factor`` 1 never stops too early, so the search is exact; smaller factors
-stop sooner.  The lists of all shards are merged by (score, id).
+stop sooner.  Where more vectors tie with the k-th best than the search has
+slots (vectors of one direction and different lengths), all that tie are
+scored and the smaller ids win.  The lists of all shards are merged by (score, id).
 
 All queries of a shard go down its tree together as matrix products, in blocks
 of ``block`` queries.  Scores are cosines of the original vectors in double
@@ -38,6 +40,10 @@ LEAF = 256
 #: Pruning factor of the registered query.
 FACTOR = 1.0
 BLOCK = 20_000
+#: Rounding of the products may move a distance by 2e-7 near 0, so two by twice that.
+ROUNDING = 4e-7
+#: Queries with ties beyond the slots that are looked up at a time.
+TIED = 64
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -101,6 +107,18 @@ class Tree:
         return best, dist
 
 
+    def ties(self, queries: np.ndarray, dist: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) of all members whose distance is not above ``dist``
+        by more than rounding, in the leaves that the factor lets the search look at."""
+        bound, rows, members = self.bounds(queries), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, leaf in enumerate(self.leaves):
+            look = np.flatnonzero(bound[:, k] <= factor * dist + ROUNDING)
+            a, b = np.nonzero(chord(queries[look] @ self.x[leaf].T) <= dist[look, None] + ROUNDING)
+            rows.append(look[a])
+            members.append(leaf[b])
+        return np.concatenate(rows), np.concatenate(members)
+
+
 def chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
 
@@ -129,10 +147,24 @@ def search_shard(vectors: pa.Table, queries: pa.Table, k: int, factor: float, le
     norm, q_norm = np.sqrt((distinct * distinct).sum(1)), np.sqrt((q * q).sum(1))
     tree = Tree(distinct / norm[:, None], leaf)
     # k + 1: the query's own vector may be among them; as many again for equal cosines of different vectors.
-    found, _ = tree.search(q / q_norm[:, None], min(2 * (k + 1), len(distinct)), factor)
-    row, member = np.repeat(np.arange(len(q)), found.shape[1]), found.ravel()
+    unit = q / q_norm[:, None]
+    found, dist = tree.search(unit, min(2 * (k + 1), len(distinct)), factor)
+    last = np.minimum(k, found.shape[1] - 1)
+    tied = (dist[:, -1] <= dist[:, last] + ROUNDING) & (found[:, -1] >= 0) & (found.shape[1] < len(distinct))
+    parts = [_best(q, q_ids, distinct, q_norm, norm, np.repeat(np.flatnonzero(~tied), found.shape[1]), found[~tied].ravel(), ids, by, start, size, k)]
+    for some in np.array_split(np.flatnonzero(tied), max(1, -(-int(tied.sum()) // TIED))):
+        row, member = tree.ties(unit[some], dist[some, last], factor)  # all of them: the ids decide
+        parts.append(_best(q, q_ids, distinct, q_norm, norm, some[row], member, ids, by, start, size, k))
+    return pa.table([np.concatenate(x) for x in zip(*parts, strict=True)], schema=schema)
+
+
+def _best(q, q_ids, distinct, q_norm, norm, row, member, ids, by, start, size, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """(query id, id, score) of the k best of each query's members."""
     row, member = row[member >= 0], member[member >= 0]
-    score = (q[row] * distinct[member]).sum(1) / (q_norm[row] * norm[member])
+    score = np.empty(len(row))
+    for a in range(0, len(row), 65536):  # bounds the memory of many ties
+        i, j = row[a : a + 65536], member[a : a + 65536]
+        score[a : a + 65536] = (q[i] * distinct[j]).sum(1) / (q_norm[i] * norm[j])
     many = size[member]
     row, score = np.repeat(row, many), np.repeat(score, many)
     place = np.repeat(start[member] - (np.cumsum(many) - many), many) + np.arange(many.sum())
@@ -143,7 +175,7 @@ def search_shard(vectors: pa.Table, queries: pa.Table, k: int, factor: float, le
     row, who, score = row[order], who[order], score[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
     top = rank < k
-    return pa.table([q_ids[row[top]], who[top], score[top]], schema=schema)
+    return q_ids[row[top]], who[top], score[top]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = FACTOR, leaf: int = LEAF, shard_bytes: int = SHARD_BYTES) -> DataFrame:

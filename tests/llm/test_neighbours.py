@@ -69,3 +69,21 @@ def test_few_candidates_and_empty_table(spark):
     assert neighbours.search_embeddings(empty).count() == 0
     got = neighbours.search_embeddings(table(spark, [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [2.0, 0.0]), (4, [0.0, 1.0])])).collect()
     assert sorted((r.query_id, r.vec_id) for r in got if r.rank <= 2) == [(50, 3), (50, 4)] or len(got) >= 2
+
+
+def test_many_different_vectors_of_equal_cosine():
+    """Scaled copies (powers of two: exactly equal cosines) hold a third of the rows: the smallest ids win."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 8))
+    rows = [(1000 - i, x[i]) for i in range(120)] + [(500 - i, x[0] * 2.0**i) for i in range(1, 61)]
+    schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64()))])
+    table = lambda rows: pa.table([[i for i, _ in rows], [list(v) for _, v in rows]], schema=schema)
+    asked = [rows[0], rows[5], (7, x[0] + 0.1 * x[1])]
+    got = defaultdict(list)
+    for r in neighbours.search_shard(table(rows), table(asked), 5, 1.0, 16).to_pylist():
+        got[r["query_id"]].append(r["vec_id"])
+    for q, a in asked:
+        near = sorted((-float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum()))), i) for i, b in rows if i != q)
+        assert got[q] == [i for _, i in near[:5]]
