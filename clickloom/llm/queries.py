@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import bpe, neardup, neighbours, packing, ppm, search, sharding, substrings, toxicity, warc
+from clickloom.llm import bpe, merkle, neardup, neighbours, packing, ppm, search, sharding, substrings, toxicity, warc
 from clickloom.llm.common import crc_rest, documents
 from clickloom.llm.oracle import SQL
 
@@ -55,6 +55,10 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(documents(spark, sf_dir, "pages")))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_search": op1_search,
     "op2_neardup": op2_neardup,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_sharding": op9_sharding,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op13_merkle": op13_merkle,
 }
 
 __all__ = ["QUERIES", "SQL"]
