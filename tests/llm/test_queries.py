@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in (*range(1, 11), 13)] and set(SQL) <= set(QUERIES)
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in (*range(1, 11), 12, 13)] and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("key", sorted(SQL))
@@ -40,6 +40,8 @@ def test_query_matches_sql(spark, key):
         ("op5_ppm", ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]),
         ("op6_substrings", ["doc_id", "n_words", "n_removed", "kept_sha256"]),
         ("op7_toxicity", ["doc_id", "held_out", "score", "predicted"]),
+        ("op12_token_counts", ["doc_id", "n_bytes", "n_tokens", "over_limit"]),
+        ("op13_merkle", ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]),
         ("op9_sharding", ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]),
     ],
 )
