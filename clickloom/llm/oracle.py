@@ -130,4 +130,30 @@ SELECT doc_id, leaf, subroot, h.h AS root, sha256(proof) AS proof_sha256, fold A
 FROM subs_on_{_SOURCE_LEVELS}, subs_{_SOURCE_LEVELS}_up h
 """
 
-SQL: dict[str, str] = {"op8_neighbours": _NEIGHBOURS, "op10_warc_derivatives": _WARC, "op13_merkle": _MERKLE}
+_TRIE = f"""
+WITH own AS (
+  SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), built AS (
+  SELECT o.c, list_concat(list_slice(coalesce(b.turns, []), 1, h), list_slice(o.turns, h + 1, len(o.turns))) AS turns
+  FROM (SELECT *, {_crc32("c")} % 6 AS h FROM own) o LEFT JOIN own b ON b.c = o.c - o.c % 100
+), members AS MATERIALIZED (
+  SELECT c, turns, CAST(d AS BIGINT) AS d, md5(CAST(to_json(list_slice(turns, 1, d)) AS VARCHAR)) AS key,
+         CASE WHEN d > 0 THEN md5(CAST(to_json(list_slice(turns, 1, d - 1)) AS VARCHAR)) END AS parent
+  FROM built, unnest(generate_series(0, len(turns))) g(d)
+), nodes AS MATERIALIZED (
+  SELECT min(c) AS conv_id, d AS depth, key, any_value(parent) AS parent, count(*) AS n_convs,
+         coalesce(length(any_value(turns[d].t)), 0) AS chars,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(turns) = d), '')) AS ends_sha256
+  FROM members GROUP BY d, key
+), placed AS MATERIALIZED (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes x WHERE x.depth = n.depth + 1 AND x.parent = n.key) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = n.parent
+), sums AS (
+  SELECT m.d AS depth, m.key, CAST(sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+         CAST(sum((u.n_convs - 1) * u.chars) AS BIGINT) AS saved_tokens
+  FROM placed u JOIN members m ON m.c = u.conv_id AND m.d <= u.depth GROUP BY m.d, m.key
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM placed JOIN sums USING (depth, key)"""
+
+SQL: dict[str, str] = {"op8_neighbours": _NEIGHBOURS, "op10_warc_derivatives": _WARC, "op11_trie": _TRIE, "op13_merkle": _MERKLE}

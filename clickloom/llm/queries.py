@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import bpe, merkle, neardup, neighbours, packing, ppm, search, sharding, substrings, tokencount, toxicity, warc
+from clickloom.llm import bpe, merkle, neardup, neighbours, packing, ppm, search, sharding, substrings, tokencount, toxicity, trie, warc
 from clickloom.llm.common import crc_rest, documents
 from clickloom.llm.oracle import SQL
 
@@ -55,6 +55,10 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(documents(spark, sf_dir, "pages")))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_trie(documents(spark, sf_dir, "conversations"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_sharding": op9_sharding,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_trie": op11_trie,
     "op12_token_counts": op12_token_counts,
     "op13_merkle": op13_merkle,
 }
