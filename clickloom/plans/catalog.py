@@ -235,19 +235,26 @@ def _bodies(spark, sf):
 
 
 def _q_validate(spark, sf):
-    ok, bad = SRC.validate_events(_bodies(spark, sf), keep=("source_event_id",))
+    ok, bad = SRC.validate_events(_bodies(spark, sf), keep=("source_event_id",), context=SRC.fixture_context())
     return ok.select("source_event_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(
         bad.select("source_event_id", "reject_reason"))
 
 
 def _q_ingest(spark, sf):
-    ok, _ = SRC.validate_events(_bodies(spark, sf), keep=("source_event_id",))
+    ok, _ = SRC.validate_events(_bodies(spark, sf), keep=("source_event_id",), context=SRC.fixture_context())
+    get = lambda path: F.get_json_object("properties", f"$.{path}")
     return ok.select(
         "source_event_id", "event_id", "event_name", "client_timestamp", "received_at", "page_path", "page_title",
         "referrer", "utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid", "device_type",
         "screen_width", "language",
-        F.get_json_object("properties", "$.test").alias("test"),
-        F.get_json_object("properties", "$.internal_traffic").alias("internal_traffic"))
+        get("test").alias("test"),
+        get("internal_traffic").alias("internal_traffic"),
+        *[get(c).alias(c) for c in ("checkout_id", "value", "shopify_event_id", "first_touch.utm_campaign")],
+        get("url_attribution_hints.ct_session_id").alias("hint_session_id"),
+        get("url_attribution_hints.source").alias("hint_source"),
+        get("server_context.ingestion_version").cast("int").alias("ingestion_version"),
+        get("server_context.user_agent").alias("user_agent"),
+        get("server_context.client_server_lag_ms").cast("long").alias("client_server_lag_ms"))
 
 
 def _q_sessionize(spark, sf):
@@ -567,14 +574,16 @@ def _stream_target(spark, sf):
     if not _done(spark, f"{root}/_target_ready"):
         q = SI.stream_ingest(spark, f"{root}/source", f"{root}/target", f"{root}/dead_letter", f"{root}/ckpt_ingest",
                              control_pattern=FX_CONTROL_PATTERN, extra_schema=SRC.FIXTURE_BODY_EXTRA,
-                             arrival_col="_arrival", keep=("_source_event_id",), max_files_per_trigger=2)
+                             arrival_col="_arrival", keep=("_source_event_id",), context=SRC.fixture_context(),
+                             max_files_per_trigger=max(2, -(-len(spark.read.text(f"{root}/source").inputFiles()) // 5)), buckets=8)
         q.awaitTermination()
         _mark(spark, f"{root}/_target_ready")
     return root
 
 
 TARGET_SCHEMA = _T.StructType(SRC.EVENTS_SCHEMA.fields + [_T.StructField("_source_event_id", _T.LongType()),
-                                                         _T.StructField("event_date", _T.DateType())])
+                                                         _T.StructField("event_date", _T.DateType()),
+                                                         _T.StructField("batch", _T.StringType())])
 
 
 def _q_stream_ingest(spark, sf):

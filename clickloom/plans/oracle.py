@@ -776,14 +776,19 @@ def _hint(col: str) -> str:
 
 SQL["ingest_events_batch"] = FX + f"""
 SELECT event_id AS source_event_id, printf('%08x-0000-4000-8000-%012x', 1, event_id) AS event_id, event_name,
-  CASE WHEN event_id % 97 = 4 THEN received_at ELSE client_timestamp END AS client_timestamp, received_at,
+  CASE WHEN event_id % 97 IN (4, 7) THEN received_at ELSE client_timestamp END AS client_timestamp, received_at,
   NULLIF(trim(page_path), '') AS page_path, NULLIF(trim(page_title), '') AS page_title,
   NULLIF(trim(referrer), '') AS referrer, {_hint('utm_source')} AS utm_source, {_hint('utm_medium')} AS utm_medium,
   {_hint('utm_campaign')} AS utm_campaign, {_hint('utm_content')} AS utm_content, {_hint('utm_term')} AS utm_term,
-  {_hint('fbclid')} AS fbclid, NULLIF(trim(device_type), '') AS device_type, screen_width,
+  {_hint('fbclid')} AS fbclid, NULLIF(trim(device_type), '') AS device_type, CASE WHEN event_id % 97 <> 8 THEN screen_width END AS screen_width,
   NULLIF(trim(language), '') AS language,
   CASE WHEN lower({jx('internal_traffic')}) = 'true' THEN 'true' ELSE {jx('test')} END AS test,
-  {jx('internal_traffic')} AS internal_traffic
+  {jx('internal_traffic')} AS internal_traffic, {jx('checkout_id')} AS checkout_id, {jx('value')} AS value, {jx('shopify_event_id')} AS shopify_event_id,
+  {jx('first_touch.utm_campaign')} AS "first_touch.utm_campaign",
+  CASE WHEN event_id % 97 = 9 THEN printf('%08x-0000-4000-8000-%012x', 4, event_id) END AS hint_session_id,
+  CASE WHEN event_id % 97 = 9 OR regexp_matches(page_url, '[?&](utm_source|utm_medium|utm_campaign|utm_content|utm_term|fbclid|ref|order_id|checkout_id|checkout_token)=[^&#]') THEN 'query' END AS hint_source,
+  3 AS ingestion_version, {jx('server_context.user_agent')} AS user_agent,
+  CASE WHEN event_id % 97 IN (4, 7) THEN 0 ELSE greatest(0, epoch_ms(received_at) - epoch_ms(client_timestamp)) END AS client_server_lag_ms
 FROM fx WHERE event_id % 97 NOT IN (1, 2, 3, 5)"""
 
 SQL["constraint_check"] = FX + """
@@ -1149,7 +1154,7 @@ acc AS (SELECT cls.*, event_id % 97 AS kk FROM cls WHERE event_id % 97 NOT IN (1
 ded AS (SELECT * FROM acc
   QUALIFY {_SID} IS NULL OR row_number() OVER (PARTITION BY {_SID} ORDER BY received_at, event_id) = 1),
 st AS (SELECT event_id, event_name, visitor_id, received_at, c, properties,
-  CASE WHEN kk = 4 THEN received_at ELSE client_timestamp END AS client_ts,
+  CASE WHEN kk IN (4, 7) THEN received_at ELSE client_timestamp END AS client_ts,
   {_hint('utm_source')} AS src, {_hint('utm_campaign')} AS cmp, {_hint('fbclid')} AS fb FROM ded)
 """
 

@@ -31,12 +31,15 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("language", S), T.StructField("properties", S),
 ])
 
-# Raw request body: every field read as text (numbers keep their literal text)
-# so that type checks can be expressed as column rules.
+# Raw request body: every field keeps its JSON type (VARIANT), so a number where
+# text is expected, or text where a number is, is told apart without a second parse.
 BODY_FIELDS = ("event_id", "event_name", "visitor_id", "session_id", "client_timestamp", "page_url", "page_path",
                "page_title", "referrer", "utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term",
                "fbclid", "device_type", "screen_width", "language")
-BODY_SCHEMA = T.StructType([T.StructField(f, S) for f in BODY_FIELDS] + [T.StructField("properties", S)])
+BODY_SCHEMA = T.StructType([T.StructField(f, T.VariantType()) for f in (*BODY_FIELDS, "properties")])
+#: Request facts that the server adds to the bag besides version and lag.
+CONTEXT_FIELDS = ("origin", "user_agent", "client_hint_platform", "country", "region")
+INGESTION_VERSION = 3
 
 
 def read_events(spark: SparkSession, path: str, as_of=None, days: int | None = None) -> DataFrame:
@@ -70,85 +73,116 @@ def parse_bodies(raw: DataFrame, body_col: str = "body") -> DataFrame:
         "*", *[F.col(f"_b.{f.name}").alias(f.name) for f in BODY_READ_SCHEMA.fields]).drop("_b")
 
 
-def validate_events(p: DataFrame, arrival_col: str = "arrival", id_pattern: str = UUID_PATTERN,
-                    keep=(), limits: IngestLimits | None = None) -> tuple[DataFrame, DataFrame]:
-    """F5 + normalisation.  ``p`` holds the body fields as text columns (see
-    ``read_bodies`` / ``parse_bodies``) plus the arrival time.  Returns
-    (accepted events in table shape, rejects with reason).
+def _is(kind: str, c: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(c) == kind, F.lit(False))
+
+
+def _raw_text(c: Column) -> Column:
+    """A field of a rejected body as text: text as it is, the rest as JSON."""
+    return F.when(_is("STRING", c), F.try_variant_get(c, "$", "string")).otherwise(F.to_json(c))
 
-    ``limits`` adds the size rejects and text cuts; without it no row is
-    rejected for its size and no text is cut.
 
-    Built in stages (URL parts, timestamp, reason) so each expression is
-    computed once per row and code generation stays in bounds."""
+def check_events(p: DataFrame, arrival_col: str = "arrival", id_pattern: str = UUID_PATTERN,
+                 limits: IngestLimits | None = None) -> DataFrame:
+    """the typed fields of each body (prefix ``_t_``), its property bag as a
+    map ``_bag`` and ``reject_reason`` (NULL: accepted).
+
+    A field counts as text only if the body has a JSON string there, so a
+    numeric ``client_timestamp`` is no time (arrival is taken), a width in
+    quotes is no width, and a bag that is not an object is empty."""
     lim = limits or IngestLimits()
     within = lambda c, most: F.lit(True) if most is None else c <= most
     if lim.body is not None and "_body_len" not in p.columns:  # re-serialised size (whitespace-insensitive)
-        p = p.withColumn("_body_len", F.length(F.to_json(F.struct(*[F.col(f.name) for f in BODY_SCHEMA.fields]))))
-    p = p.withColumn("_json_ok", F.col("_corrupt_record").isNull())
-    p = p.withColumn("_url", F.col("page_url"))
-    p = p.withColumn("_proto", parse_url_part(F.col("_url"), "PROTOCOL")).withColumn(
-        "_host", parse_url_part(F.col("_url"), "HOST"))
-    ts_raw = F.col("client_timestamp")
-    ts_parsed = F.coalesce(
-        F.try_to_timestamp(ts_raw, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSX")),
-        F.try_to_timestamp(ts_raw, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")),
-        F.try_to_timestamp(ts_raw, F.lit("yyyy-MM-dd'T'HH:mm:ssX")),
-        F.try_to_timestamp(ts_raw),
-    )
-    p = p.withColumn("_ts", F.when(ts_raw.isNull(), F.col(arrival_col).cast("timestamp")).otherwise(ts_parsed))
-    props = F.col("properties")
-    p = p.withColumn("_props", F.when(F.ltrim(props).startswith("{"), props).otherwise(F.lit("{}")))
-    ids_ok = F.col("event_id").rlike(id_pattern) & F.col("visitor_id").rlike(id_pattern) & F.col("session_id").rlike(id_pattern)
-    name_ok = F.col("event_name").rlike(EVENT_NAME_PATTERN)
-    url = F.col("_url")
+        p = p.withColumn("_body_len", F.length(F.to_json(F.struct(*[F.col(f) for f in (*BODY_FIELDS, "properties")]))))
+    text = {f"_t_{f}": F.when(_is("STRING", F.col(f)), F.try_variant_get(F.col(f), "$", "string")) for f in BODY_FIELDS if f != "screen_width"}
+    width = F.try_variant_get(F.col("screen_width"), "$", "double")
+    number = F.schema_of_variant("screen_width").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    whole = number & (width == F.floor(width)) & (width >= 0) & within(width, lim.screen_width) & (width < 2**31)
+    p = p.withColumns({
+        **text,
+        "_t_screen_width": F.when(whole, width.cast("int")),
+        "_bag": F.coalesce(F.try_variant_get(F.col("properties"), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")),
+    })
+    url, stamp = F.col("_t_page_url"), F.col("_t_client_timestamp")
+    p = p.withColumn("_proto", parse_url_part(url, "PROTOCOL")).withColumn("_host", parse_url_part(url, "HOST"))
+    p = p.withColumn("_ts", F.when(stamp.isNull(), F.col(arrival_col).cast("timestamp")).otherwise(stamp.try_cast("timestamp")))
+    ids_ok = F.col("_t_event_id").rlike(id_pattern) & F.col("_t_visitor_id").rlike(id_pattern) & F.col("_t_session_id").rlike(id_pattern)
     url_ok = url.isNotNull() & within(F.length(url), lim.page_url) & F.col("_proto").isNotNull() \
         & (F.col("_host").isNotNull() | (F.lower(F.col("_proto")) == "file"))
     reason = (
         F.when(F.lit(False) if lim.body is None else F.col("_body_len") > lim.body, "payload_too_large")
-        .when(~F.col("_json_ok"), "invalid_json")
+        .when(F.col("_corrupt_record").isNotNull(), "invalid_json")
         .when(~F.coalesce(ids_ok, F.lit(False)), "invalid_identifiers")
-        .when(~F.coalesce(name_ok, F.lit(False)), "invalid_event_name")
+        .when(~F.coalesce(F.col("_t_event_name").rlike(EVENT_NAME_PATTERN), F.lit(False)), "invalid_event_name")
         .when(~F.coalesce(url_ok, F.lit(False)), "invalid_page_url")
         .when(F.col("_ts").isNull(), "invalid_timestamp")
-        .when(~within(F.length(F.col("_props")), lim.properties), "properties_too_large")
     )
-    checked = p.withColumn("reject_reason", reason)
-    width_txt = F.col("screen_width")
-    width = width_txt.try_cast("int")
-    width_ok = width_txt.rlike(r"^[0-9]+$") & within(width, lim.screen_width)
-    ok_rows = with_url_hints(checked.where(F.col("reject_reason").isNull()), "_url", "_h")
-    accepted = ok_rows.select(
+    if lim.properties is not None:
+        reason = reason.when(F.length(F.to_json("_bag")) > lim.properties, "properties_too_large")
+    return p.withColumn("reject_reason", reason).drop("_proto", "_host")
+
+
+def accepted_events(checked: DataFrame, arrival_col: str = "arrival", keep=(), limits: IngestLimits | None = None,
+                    context: dict[str, Column] | None = None) -> DataFrame:
+    """The accepted rows of ``check_events`` in table shape.  The bag gets its
+    flags, the hints that the page URL carries and the server's context
+    (``context``: request facts by name, NULL where not given), all in one pass
+    over the map."""
+    lim = limits or IngestLimits()
+    text = lambda c: optional_text(F.col(f"_t_{c}"), lim.text.get(c))
+    rows = with_url_hints(checked.where(F.col("reject_reason").isNull()), "_t_page_url", "_h")
+    received = F.col(arrival_col).cast("timestamp")
+    facts = [(context or {}).get(c, F.lit(None).cast("string")).cast("string").alias(c) for c in CONTEXT_FIELDS]
+    lag = F.greatest(F.lit(0), F.unix_millis(received) - F.unix_millis("_ts")).alias("client_server_lag_ms")
+    server = F.to_json(F.struct(F.lit(INGESTION_VERSION).alias("ingestion_version"), *facts, lag), {"ignoreNullFields": "false"})
+    internal = F.lower(F.try_variant_get(F.col("_bag")["internal_traffic"], "$", "string")) == "true"
+    true = F.parse_json(F.lit("true"))
+    stamps = {
+        "internal_traffic": F.when(internal, true),
+        "test": F.when(internal, true),
+        "url_attribution_hints": F.when(F.col("_h.source").isNotNull(), F.parse_json(F.to_json("_h"))),
+        "server_context": F.parse_json(server),
+    }
+    return rows.select(
         *keep,
-        F.col("event_id").alias("event_id"),
-        F.col("event_name").alias("event_name"),
-        F.col("visitor_id").alias("visitor_id"),
-        F.col("session_id").alias("session_id"),
+        *[F.col(f"_t_{c}").alias(c) for c in ("event_id", "event_name", "visitor_id", "session_id")],
         F.col("_ts").cast("timestamp_ntz").alias("client_timestamp"),
         F.col(arrival_col).cast("timestamp_ntz").alias("received_at"),
-        url.alias("page_url"),
-        *[optional_text(F.col(c), lim.text.get(c)).alias(c) for c in ("page_path", "page_title", "referrer")],
-        *[F.coalesce(optional_text(F.col(c), lim.text.get(c)), F.col(f"_h.{c}")).alias(c)
+        F.col("_t_page_url").alias("page_url"),
+        *[text(c).alias(c) for c in ("page_path", "page_title", "referrer")],
+        *[F.coalesce(text(c), F.col(f"_h.{c}")).alias(c)
           for c in ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid")],
-        optional_text(F.col("device_type"), lim.text.get("device_type")).alias("device_type"),
-        F.when(width_ok, width).alias("screen_width"),
-        optional_text(F.col("language"), lim.text.get("language")).alias("language"),
-        normalize_flags(F.col("_props")).alias("properties"),
+        text("device_type").alias("device_type"),
+        F.col("_t_screen_width").alias("screen_width"),
+        text("language").alias("language"),
+        F.to_json(stamped_bag(F.col("_bag"), stamps)).alias("properties"),
     )
-    rejects = checked.where(F.col("reject_reason").isNotNull()).select(
-        *keep, *[F.col(f.name) for f in BODY_READ_SCHEMA.fields], F.col(arrival_col), "reject_reason")
-    return accepted, rejects
 
 
-def normalize_flags(props: Column) -> Column:
-    """internal_traffic true / "true" also sets test = true."""
-    internal = F.lower(F.get_json_object(props, "$.internal_traffic")) == "true"
-    m = F.from_json(props, "map<string,variant>")
-    stamped = F.to_json(F.map_concat(
-        F.map_filter(m, lambda k, v: ~k.isin("internal_traffic", "test")),
-        F.create_map(F.lit("internal_traffic"), F.parse_json(F.lit("true")), F.lit("test"), F.parse_json(F.lit("true"))),
-    ))
-    return F.when(F.coalesce(internal, F.lit(False)), stamped).otherwise(props)
+def rejected_events(checked: DataFrame, arrival_col: str = "arrival", keep=()) -> DataFrame:
+    """The rejected rows of ``check_events``, their fields as text, with reason."""
+    return checked.where(F.col("reject_reason").isNotNull()).select(
+        *keep, *[_raw_text(F.col(f)).alias(f) for f in (*BODY_FIELDS, "properties")], "_corrupt_record", F.col(arrival_col), "reject_reason")
+
+
+def stamped_bag(bag: Column, stamps: dict[str, Column]) -> Column:
+    """``bag`` (map<string,variant>) with ``stamps`` put over its entries; NULL stamps leave them."""
+    names = F.array(*[F.lit(k) for k in stamps])
+    added = F.map_filter(F.map_from_arrays(names, F.array(*stamps.values())), lambda k, v: v.isNotNull())
+    return F.map_concat(F.map_filter(bag, lambda k, v: ~F.map_contains_key(added, k)), added)
+
+
+def validate_events(p: DataFrame, arrival_col: str = "arrival", id_pattern: str = UUID_PATTERN,
+                    keep=(), limits: IngestLimits | None = None,
+                    context: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """F5 + normalisation.  ``p`` holds the body fields as VARIANT columns (see
+    ``read_bodies`` / ``parse_bodies``) plus the arrival time.  Returns
+    (accepted events in table shape, rejects with reason).
+
+    ``limits`` adds the size rejects and text cuts; without it no row is
+    rejected for its size and no text is cut."""
+    checked = check_events(p, arrival_col, id_pattern, limits)
+    return accepted_events(checked, arrival_col, keep, limits, context), rejected_events(checked, arrival_col, keep)
 
 
 def ingest_events_json(spark: SparkSession, path: str, arrival: Column | None = None,
@@ -210,14 +244,21 @@ def archive_record(archived: DataFrame, remaining: DataFrame, predicate: Column,
 
 
 FIXTURE_BODY_EXTRA = T.StructType([T.StructField("_source_event_id", T.LongType()),
-                                   T.StructField("_arrival", S)])
+                                   T.StructField("_arrival", S),
+                                   T.StructField("_headers", T.StructType([T.StructField(c, S) for c in CONTEXT_FIELDS]))])
+
+
+def fixture_context() -> dict[str, Column]:
+    """The request facts that fixture bodies carry beside the event."""
+    return {c: F.col(f"_headers.{c}") for c in CONTEXT_FIELDS}
 
 
 def fixture_bodies(ev: DataFrame) -> DataFrame:
     """JSON request bodies derived from fixture events (ids rendered as UUIDs,
-    timestamps as ISO text, a few fields made invalid by a fixed rule so every
-    reject reason occurs).  Output: (event_id, body, arrival); ``body``
-    also carries ``_source_event_id`` and ``_arrival`` for the harness."""
+    timestamps as ISO text, a few fields made invalid, wrongly typed or given
+    ids in the URL by a fixed rule).  Output: (event_id, body, arrival);
+    ``body`` also carries ``_source_event_id``, ``_arrival`` and the request's
+    ``_headers`` for the harness."""
     uuid = lambda c, tag: F.format_string("%08x-0000-4000-8000-%012x", F.lit(tag), c)
     kk = F.col("event_id") % 97
     body = F.struct(
@@ -225,13 +266,18 @@ def fixture_bodies(ev: DataFrame) -> DataFrame:
         F.when(kk == 2, F.lit("Bad Name")).otherwise(F.col("event_name")).alias("event_name"),
         uuid(F.col("visitor_id"), 2).alias("visitor_id"),
         uuid(F.col("session_id"), 3).alias("session_id"),
-        F.when(kk == 3, F.lit("yesterday")).when(kk == 4, F.lit(None))
-        .otherwise(F.date_format(F.col("client_timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("client_timestamp"),
-        F.when(kk == 5, F.lit("no scheme here")).otherwise(F.col("page_url")).alias("page_url"),
+        F.when(kk == 3, F.lit("yesterday").cast("variant")).when(kk == 4, F.lit(None)).when(kk == 7, F.lit(1704067200000).cast("variant"))
+        .otherwise(F.date_format(F.col("client_timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").cast("variant")).alias("client_timestamp"),
+        F.when(kk == 5, F.lit("no scheme here"))
+        .when(kk == 9, F.concat(F.regexp_replace("page_url", "#.*$", ""), F.when(F.col("page_url").contains("?"), "&").otherwise("?"), F.lit("ct_session_id="), uuid(F.col("event_id"), 4)))
+        .otherwise(F.col("page_url")).alias("page_url"),
         "page_path", "page_title", "referrer", "utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term",
-        "fbclid", "device_type", "screen_width", "language",
+        "fbclid", "device_type",
+        F.when(kk == 8, F.col("screen_width").cast("string").cast("variant")).otherwise(F.col("screen_width").cast("variant")).alias("screen_width"),
+        "language",
         F.parse_json(F.col("properties")).alias("properties"),
         F.col("event_id").alias("_source_event_id"),
         F.date_format(F.col("received_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("_arrival"),
+        F.struct(*[F.get_json_object("properties", f"$.server_context.{c}").alias(c) for c in CONTEXT_FIELDS]).alias("_headers"),
     )
     return ev.select("event_id", F.to_json(body).alias("body"), F.col("received_at").alias("arrival"))

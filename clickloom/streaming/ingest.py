@@ -2,9 +2,14 @@
 validate -> dead letters -> dedupe -> classify -> attribute -> append.
 
 The micro-batch body (``process_batch``) is plain batch code from the library,
-so a stream and a batch run of the same rows give the same table.  Re-running
-a failed micro-batch is idempotent: rows already in the target are skipped by
-the insert-ignore anti-join and dead letters overwrite their epoch partition.
+so a stream and a batch run of the same rows give the same table.
+
+Exactly once: every micro-batch has a tag (query id and epoch).  It writes its
+target partition (event_date, batch=tag) and its dead letters by overwriting
+them, asks the seen-id index (``seen.SeenIds``) for keys of *other* tags only,
+and adds its own keys after the target is written.  So a batch that runs again
+after a failure at any point gives the same rows once.  What it reads of the
+past are the index buckets of its own keys and the attribution look-back.
 """
 
 from __future__ import annotations
@@ -15,11 +20,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.config import ATTRIBUTION_LOOKBACK_DAYS, UUID_PATTERN
-from clickloom.functions.json import with_props
+from clickloom.functions.json import nz, prop, with_props
 from clickloom.operators.attribution import attribute_conversions, stamp_attribution
-from clickloom.operators.classify import classify_traffic, json_merge
+from clickloom.operators.classify import classify_traffic, dedupe_shopify, json_merge
 from clickloom.session import ensure_checkpoint_dir
-from clickloom.sources.events import BODY_READ_SCHEMA, EVENTS_SCHEMA, anti_existing, first_copies, insert_ignore, validate_events
+from clickloom.sources.events import BODY_READ_SCHEMA, accepted_events, check_events, first_copies, rejected_events
+from clickloom.streaming.seen import BUCKETS, FANIN, SeenIds
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -48,41 +54,60 @@ def stamp_classification(df: DataFrame, classified_at: str, control_pattern: str
         "p", "traffic_classification", "traffic_classification_reason")
 
 
+def known_keys(rows: DataFrame) -> DataFrame:
+    """The keys (column ``key``) that must be stored once: event ids and shop ids."""
+    keys = F.array(_event_key(), _shop_key())
+    return rows.select(F.explode(keys).alias("key")).where(F.col("key").isNotNull())
+
+
+def _event_key():
+    return F.concat(F.lit("e:"), F.col("event_id"))
+
+
+def _shop_key():
+    return F.concat(F.lit("s:"), nz(prop("shopify_event_id")))
+
+
+def drop_seen(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows (with ``p``) whose event id and shop id are not among ``seen``, once per shop id."""
+    rows = rows.join(seen.select(F.col("key").alias("_e")), _event_key() == F.col("_e"), "left_anti")
+    with_shop = rows.where(_shop_key().isNotNull())  # rows without a shop id skip the join: no NULL-key partition
+    fresh = with_shop.join(seen.select(F.col("key").alias("_s")), _shop_key() == F.col("_s"), "left_anti")
+    return dedupe_shopify(fresh.unionByName(rows.where(_shop_key().isNull())), ("received_at", "event_id"))
+
+
 def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target: str, dead_letter: str,
                   arrival_col: str, id_pattern: str, control_pattern: str | None, lookback_days: int,
-                  keep=(), dedupe_days: int | None = None) -> None:
+                  keep=(), context: dict | None = None, run: str = "batch", buckets: int = BUCKETS) -> None:
     """One micro-batch of bodies -> target table (append) + dead letters.
 
     The target is the silver table: it stores the parsed property struct
-    ``p`` next to the JSON text, so history look-ups (shop ids, test flags,
-    attribution candidates) read pruned nested columns instead of re-parsing
-    JSON of the whole history every batch."""
-    ok, bad = validate_events(batch, arrival_col, id_pattern, keep)
-    (bad.withColumn("epoch", F.lit(int(epoch_id)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(dead_letter))
-    has_history = _exists(spark, target)
-    history = spark.read.parquet(target) if has_history else None
-    # ST3: once per event_id (first copy within the batch, none already stored)
-    # ``dedupe_days`` bounds how far back replays are looked for (partition
-    # pruning on event_date); None keeps the exact, unbounded guarantee.
-    seen = history
-    if history is not None and dedupe_days is not None:
-        lo = batch.agg(F.min(F.col(arrival_col)).alias("t")).first()["t"]
-        if lo is not None:
-            bound = F.lit(lo).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(dedupe_days)} DAYS")
-            seen = history.where((F.col("received_at") >= bound) & (F.col("event_date") >= F.to_date(bound))) \
-                if "event_date" in history.columns else history.where(F.col("received_at") >= bound)
-    fresh = first_copies(ok) if history is None else insert_ignore(seen.select("event_id"), ok)
-    empty_hist = with_props(fresh).limit(0) if history is None else seen
-    fresh = anti_existing(empty_hist, with_props(fresh))                               # J11: once per shop id
-    arrivals = batch.agg(F.max(F.col(arrival_col)).alias("last"), F.min(F.col(arrival_col)).alias("first")).first()
-    stamped_at = arrivals["last"]
-    fresh = stamp_classification(fresh, str(stamped_at), control_pattern)
-    # cut the lineage once: the stamped rows feed attribution and the write
+    ``p`` next to the JSON text, so history look-ups (test flags, attribution
+    candidates) read pruned nested columns instead of re-parsing JSON."""
     ensure_checkpoint_dir(spark)
-    fresh = with_props(fresh).checkpoint(eager=True)
+    tag, index = f"{run}-{epoch_id}", SeenIds(spark, f"{target}/_seen", buckets)
+    has_history = _exists(spark, target)
+    history = spark.read.parquet(target).where(F.col("batch") != tag).drop("batch") if has_history else None
+    if has_history and not index.exists():  # a target from before the index
+        index.add(known_keys(history), "history")
+    elif epoch_id % FANIN == 0:
+        index.compact()
+
+    checked = check_events(batch, arrival_col, id_pattern).persist()  # validated once, read three times
+    try:
+        arrivals = checked.agg(F.max(arrival_col).alias("last"), F.min(arrival_col).alias("first")).first()
+        if arrivals["last"] is None:
+            return
+        (rejected_events(checked, arrival_col, keep).withColumn("epoch", F.lit(int(epoch_id)))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(dead_letter))
+        first = with_props(first_copies(accepted_events(checked, arrival_col, keep, context=context))).checkpoint(eager=True)
+    finally:
+        checked.unpersist()
+    fresh = drop_seen(first, index.seen(known_keys(first), tag)).drop("p")
+    # The stamped rows feed attribution and the write.
+    fresh = with_props(stamp_classification(fresh, str(arrivals["last"]), control_pattern)).checkpoint(eager=True)
     # ST4: attribution against stored history of the look-back plus this batch.
-    if history is not None and stamped_at is not None:
+    if history is not None:
         # the look-back of the batch's earliest row: a later row must not narrow it
         since = F.lit(arrivals["first"]).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(lookback_days)} DAYS")
         recent = history.where((F.col("received_at") >= since) & (F.col("event_date") >= F.to_date(since)))
@@ -91,21 +116,27 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target:
         hist = fresh
     resolved = attribute_conversions(fresh, lookback_days=lookback_days, id_pattern=id_pattern, history=hist)
     out = with_props(stamp_attribution(fresh.drop("p"), resolved).select(*[c for c in fresh.columns if c != "p"]))
-    out.withColumn("event_date", F.to_date("received_at")).write.mode("append").partitionBy("event_date").parquet(target)
+    (out.withColumn("event_date", F.to_date("received_at")).withColumn("batch", F.lit(tag))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(target))
+    index.add(known_keys(fresh), tag)
 
 
 def stream_ingest(spark: SparkSession, source: str, target: str, dead_letter: str, checkpoint: str,
                   id_pattern: str = UUID_PATTERN, control_pattern: str | None = None,
                   lookback_days: int = ATTRIBUTION_LOOKBACK_DAYS, extra_schema: T.StructType | None = None,
                   arrival_col: str | None = None, keep=(), available_now: bool = True,
-                  max_files_per_trigger: int | None = None, dedupe_days: int | None = None) -> StreamingQuery:
+                  max_files_per_trigger: int | None = None, max_bytes_per_trigger: str | None = None,
+                  context: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """ST1/ST2: continuous JSON ingest.  ``arrival_col`` names a body field with
-    the arrival time (tests); by default the processing time is used."""
+    the arrival time (tests); by default the processing time is used.
+    ``max_bytes_per_trigger`` sizes micro-batches whatever the files' sizes."""
     schema = T.StructType(BODY_READ_SCHEMA.fields + (list(extra_schema.fields) if extra_schema else []))
     reader = spark.readStream.schema(schema).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     src = reader.json(source)
     if arrival_col:
         src = src.withColumn("arrival", F.col(arrival_col).cast("timestamp_ntz"))
@@ -113,14 +144,10 @@ def stream_ingest(spark: SparkSession, source: str, target: str, dead_letter: st
         src = src.withColumn("arrival", F.current_timestamp().cast("timestamp_ntz"))
 
     def _batch(df: DataFrame, epoch_id: int) -> None:
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
         process_batch(spark, df, epoch_id, target, dead_letter, "arrival", id_pattern, control_pattern,
-                      lookback_days, keep, dedupe_days)
+                      lookback_days, keep, context, run, buckets)
 
     w = src.writeStream.foreachBatch(_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
-
-
-def read_target(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.schema(T.StructType(EVENTS_SCHEMA.fields + [T.StructField("event_date", T.DateType())])) \
-        .parquet(target)
