@@ -18,13 +18,22 @@ Plan (no pair explosion on hot keys):
    a shared checkout id) is spread over its days instead of one task.
 2. That latest candidate is the answer whenever it satisfies the arrival-time
    constraints (it is the maximum of a superset of the valid candidates).
-3. The rare conversions whose latest candidate fails them are resolved exactly
-   by a range join restricted to those conversions, bucketed on the arrival day
-   (equi-key (key, day)), so only candidates inside the look-back are paired.
+3. The conversions whose latest candidate fails them walk back through the
+   key's client-time buckets.  Bucket totals (least and last arrival) say which
+   buckets can hold an answer; a bucket answers all its conversions in one sweep
+   over a tree of sorted arrivals (``latest_arrived``), so no conversion is
+   paired with candidates, however many arrived late.
+
+Candidates are cut to the keys that conversions ask for and written once, so
+history is read once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,39 +102,101 @@ def asof_latest(conv: DataFrame, cand: DataFrame, bucket_seconds: int = 86_400)
     return j.select("cid", "key", "ts", "recv", F.coalesce("_in", "_carry").alias("best"))
 
 
-def _exact_fallback(conv: DataFrame, cand: DataFrame, lookback_days: int) -> DataFrame:
-    """Exact latest valid candidate for the given conversion keys: range join
-    with an equi-key on (key, arrival day), so only candidates inside the
-    look-back window are paired.  Returns (cid, key, best)."""
-    c = conv.withColumn("_d0", F.floor((_us(F.col("recv")) - lookback_days * DAY_US) / F.lit(DAY_US))) \
-        .withColumn("_d1", F.floor(_us(F.col("recv")) / F.lit(DAY_US))) \
-        .withColumn("_day", F.explode(F.sequence(F.col("_d0"), F.col("_d1"))))
-    h = cand.withColumn("_day", F.floor(_us(F.col("recv")) / F.lit(DAY_US)))
-    c = c.select("cid", "key", "_day", F.col("ts").alias("c_ts"), F.col("recv").alias("c_recv"))
-    j = c.join(h, ["key", "_day"]).where(
-        (F.col("ts") <= F.col("c_ts"))
-        & (F.col("recv") < F.col("c_recv"))
-        & (F.col("recv") >= F.col("c_recv") - F.make_dt_interval(F.lit(lookback_days)))
-    )
-    return j.groupBy("cid", "key").agg(F.max(_cand_struct()).alias("best"))
+def latest_arrived(arrival: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each query the last place before ``ends`` whose arrival is in
+    [low, high), or -1.
+
+    ``arrival`` is in client-time order.  Level l of the tree holds, for every
+    block of 2**l places, its arrivals in order, as one sorted array of (block,
+    rank); a query goes left over whole blocks until one holds an arrival of
+    its range, then down to the last such place: (n + q) log n in all."""
+    n, levels = len(arrival), max(1, int(len(arrival)).bit_length())
+    order = np.argsort(arrival, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    low_rank, high_rank = (np.searchsorted(arrival[order], x, "left") for x in (low, high))
+    tree = [np.sort((np.arange(n) >> level) * (n + 1) + rank) for level in range(levels + 1)]
+
+    def holds(level: int, block: np.ndarray, q: np.ndarray) -> np.ndarray:
+        base = block * (n + 1)
+        return np.searchsorted(tree[level], base + high_rank[q]) > np.searchsorted(tree[level], base + low_rank[q])
+
+    at, found, block = ends.astype(np.int64), np.full(len(ends), -1), np.zeros(len(ends), np.int64)
+    for level in range(levels + 1):
+        q = np.flatnonzero((found < 0) & ((at >> level) & 1 == 1))
+        left = (at[q] >> level) - 1
+        hit = holds(level, left, q)
+        found[q[hit]], block[q[hit]] = level, left[hit]
+        at[q] -= 1 << level
+    for level in range(levels - 1, -1, -1):
+        q = np.flatnonzero(found > level)
+        right = 2 * block[q] + 1
+        block[q] = np.where(holds(level, right, q), right, right - 1)
+    return np.where(found >= 0, block, -1)
+
+
+def _bucket_answers(key, asked: pa.Table, cands: pa.Table) -> pa.Table:
+    """The last valid candidate of one (key, bucket) for all conversions that ask it."""
+    cands = cands.sort_by([(c, "ascending") for c in ("ts", "recv", "hid")])
+    micros = lambda t, c: t.column(c).cast(pa.int64()).to_numpy()
+    if cands.num_rows:
+        ends = np.searchsorted(micros(cands, "ts"), micros(asked, "ts"), "right")
+        at = latest_arrived(micros(cands, "recv"), ends, micros(asked, "since"), micros(asked, "recv"))
+    else:
+        at = np.full(asked.num_rows, -1)
+    pick = pa.array(at, mask=at < 0)
+    out = {"cid": asked.column("cid"), "key": asked.column("key")}
+    return pa.table(out | {f"b_{c}": cands.column(c).take(pick) for c in ("ts", "recv", "hid", "session_id", "visitor_id")})
+
+
+def walk_back(redo: DataFrame, cand: DataFrame, lookback_days: int, bucket_seconds: int) -> DataFrame:
+    """Exact latest valid candidate of the conversion keys ``redo`` (cid, key,
+    ts, recv): (cid, key, best), without those that have none.  Round by round
+    each asks the latest bucket of its key that it has not asked yet and whose
+    arrivals reach into its look-back."""
+    bucket = lambda c: F.floor(_us(F.col(c)) / F.lit(int(bucket_seconds) * 1_000_000))
+    since = (F.col("recv") - F.make_dt_interval(F.lit(lookback_days))).alias("since")
+    cand = cand.withColumn("_b", bucket("ts"))
+    totals = cand.groupBy("key", "_b").agg(F.min("recv").alias("first"), F.max("recv").alias("last"))
+    lists = totals.join(redo.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_b", "first", "last")), asc=False).alias("l"))  # a key's days
+    left = redo.select("cid", "key", "ts", "recv", since, bucket("ts").alias("_c")).join(lists, "key")
+    reach = F.filter("l", lambda x: (x["_b"] <= F.col("_c")) & (x["first"] < F.col("recv")) & (x["last"] >= F.col("since")))
+    left = left.select("cid", "key", "ts", "recv", "since", F.transform(reach, lambda x: x["_b"]).alias("todo")).where(F.size("todo") > 0).checkpoint(eager=True)
+    schema = "cid string, key string, b_ts timestamp_ntz, b_recv timestamp_ntz, b_hid string, b_session_id string, b_visitor_id string"
+    answers = []
+    while not left.isEmpty():
+        asked = left.withColumn("_b", F.element_at("todo", 1))
+        held = cand.join(asked.select("key", "_b").distinct(), ["key", "_b"], "left_semi")
+        got = asked.select("cid", "key", "_b", "ts", "recv", "since").groupBy("key", "_b").cogroup(held.groupBy("key", "_b")).applyInArrow(_bucket_answers, schema)
+        got = got.where("cid is not null").checkpoint(eager=True)
+        answers.append(got.where("b_hid is not null").select("cid", "key", F.struct(*[F.col(f"b_{c}").alias(c) for c in ("ts", "recv", "hid", "session_id", "visitor_id")]).alias("best")))
+        rest = left.join(got.where("b_hid is null").select("cid", "key"), ["cid", "key"], "left_semi")
+        left = rest.withColumn("todo", F.slice("todo", 2, F.size("todo"))).where(F.size("todo") > 0).checkpoint(eager=True)
+    return reduce(DataFrame.unionByName, answers) if answers else redo.select("cid", "key", F.lit(None).cast(CAND_TYPE).alias("best")).limit(0)
 
 
 def resolve_latest(conv: DataFrame, cand: DataFrame, lookback_days: int = ATTRIBUTION_LOOKBACK_DAYS,
                    bucket_seconds: int = 86_400, materialize: bool = True) -> DataFrame:
     """(cid, key, ts, recv) x (key, ts, recv, hid, session_id, visitor_id) ->
-    (cid, key, best) for every conversion key that has a valid candidate."""
+    (cid, key, best) for every conversion key that has a valid candidate.
+    Rows without a client or arrival time take no part."""
+    timed = F.col("ts").isNotNull() & F.col("recv").isNotNull()
+    conv = conv.where(timed)
+    # Only candidates on keys that some conversion asks for; read three times below.
+    cand = cand.where(timed).join(conv.select("key").distinct(), "key", "left_semi")
+    ensure_checkpoint_dir(cand.sparkSession)
+    if materialize:
+        cand = cand.checkpoint(eager=True)
     fast = asof_latest(conv, cand, bucket_seconds).where(F.col("best").isNotNull())
     if materialize:  # consumed by the direct and the exact path: compute once
-        ensure_checkpoint_dir(fast.sparkSession)
         fast = fast.checkpoint(eager=True)
     ok = (F.col("best.recv") < F.col("recv")) & (
         F.col("best.recv") >= F.col("recv") - F.make_dt_interval(F.lit(lookback_days)))
     good = fast.where(ok).select("cid", "key", "best")
     redo = fast.where(~ok).select("cid", "key", "ts", "recv")
-    # Candidate side of the exact path: only keys that need it (semi-join).
-    need = cand.join(redo.select("key").distinct(), "key", "left_semi")
-    slow = _exact_fallback(redo, need, lookback_days)
-    return good.unionByName(slow)
+    if redo.isEmpty():
+        return good
+    return good.unionByName(walk_back(redo, cand, lookback_days, bucket_seconds))
 
 
 def _valid_id(c: Column, pattern: str) -> Column:

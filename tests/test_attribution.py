@@ -170,3 +170,50 @@ def test_random_hot_keys_match_brute_force(spark):
     ev = make_events(spark, rows)
     got = {r.event_id: (r.method, r.matched_event_id) for r in attribute_conversions(ev, bucket_seconds=86400).collect()}
     assert got == brute_force(rows)
+
+
+def test_latest_arrived_equals_a_scan():
+    import numpy as np
+
+    from clickloom.operators.attribution import latest_arrived
+
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 8, 33, 100):
+        arrival = rng.integers(0, 30, n)
+        ends, low = rng.integers(0, n + 1, 200), rng.integers(-2, 32, 200)
+        high = low + rng.integers(0, 6, 200)
+        got = latest_arrived(arrival, ends, low, high)
+        for k in range(200):
+            fits = [i for i in range(ends[k]) if low[k] <= arrival[i] < high[k]]
+            assert got[k] == (fits[-1] if fits else -1)
+
+
+def test_many_late_arrivals_on_one_hot_key(spark):
+    """Most candidates of one key arrive days late, out of order or too long ago: every
+    conversion equals a scan of all candidates, and no conversion is copied per day."""
+    import random
+
+    from clickloom.operators.attribution import resolve_latest
+
+    rng = random.Random(3)
+    cands, convs = [], []
+    for i in range(900):
+        ts = at(minutes=rng.randrange(0, 70 * 1440))
+        late = rng.choice([0, 0, rng.randrange(1440), rng.randrange(45 * 1440), -rng.randrange(40 * 1440)])
+        key = "hot" if i % 10 else f"k{i % 7}"
+        cands.append((key, ts, None if i % 97 == 0 else ts + dt.timedelta(minutes=late), f"h{i:04d}", f"s{i}", f"v{i}"))
+    cands += [("hot", at(days=20), at(days=20), f"t{i}", f"st{i}", "v") for i in range(5)]
+    for i in range(250):
+        ts = at(minutes=rng.randrange(0, 75 * 1440))
+        convs.append((f"c{i}", rng.choice(["hot", "hot", "hot", "k1", "none"]), ts, ts + dt.timedelta(minutes=rng.choice([0, 1, rng.randrange(3000)]))))
+    convs += [("cx", "hot", at(days=20), at(days=20)), ("cy", "hot", at(days=20), at(days=20, us=1)), ("cz", "hot", None, at())]
+    conv = spark.createDataFrame(convs, "cid string, key string, ts timestamp_ntz, recv timestamp_ntz")
+    cand = spark.createDataFrame(cands, "key string, ts timestamp_ntz, recv timestamp_ntz, hid string, session_id string, visitor_id string")
+    want = {}
+    for cid, key, ts, recv in convs:
+        fits = [c for c in cands if ts and c[2] and c[0] == key and c[1] <= ts and recv - dt.timedelta(days=30) <= c[2] < recv]
+        if fits:
+            want[cid] = max(c[1:4] for c in fits)[2]
+    got = resolve_latest(conv, cand, 30, bucket_seconds=86_400 * 2)
+    assert {r.cid: r.best.hid for r in got.collect()} == want
+    assert len(want) > 100
