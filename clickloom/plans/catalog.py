@@ -575,7 +575,7 @@ def _stream_target(spark, sf):
         q = SI.stream_ingest(spark, f"{root}/source", f"{root}/target", f"{root}/dead_letter", f"{root}/ckpt_ingest",
                              control_pattern=FX_CONTROL_PATTERN, extra_schema=SRC.FIXTURE_BODY_EXTRA,
                              arrival_col="_arrival", keep=("_source_event_id",), context=SRC.fixture_context(),
-                             max_files_per_trigger=max(2, -(-len(spark.read.text(f"{root}/source").inputFiles()) // 5)), buckets=8)
+                             max_files_per_trigger=max(2, -(-len(spark.read.text(f"{root}/source").inputFiles()) // 4)), buckets=8)
         q.awaitTermination()
         _mark(spark, f"{root}/_target_ready")
     return root

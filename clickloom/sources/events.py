@@ -17,7 +17,7 @@ from clickloom.config import (
     UUID_PATTERN,
 )
 from clickloom.functions.json import nz, prop, with_props
-from clickloom.functions.urls import optional_text, parse_url_part, with_url_hints
+from clickloom.functions.urls import HINT_PARAMS, optional_text, parse_url_part, with_url_hints
 
 S = T.StringType()
 EVENTS_SCHEMA = T.StructType([
@@ -134,15 +134,20 @@ def accepted_events(checked: DataFrame, arrival_col: str = "arrival", keep=(), l
     received = F.col(arrival_col).cast("timestamp")
     facts = [(context or {}).get(c, F.lit(None).cast("string")).cast("string").alias(c) for c in CONTEXT_FIELDS]
     lag = F.greatest(F.lit(0), F.unix_millis(received) - F.unix_millis("_ts")).alias("client_server_lag_ms")
-    server = F.to_json(F.struct(F.lit(INGESTION_VERSION).alias("ingestion_version"), *facts, lag), {"ignoreNullFields": "false"})
+    server = F.struct(F.lit(INGESTION_VERSION).alias("ingestion_version"), *facts, lag)
+    hints = [*HINT_PARAMS, "source"]
+    found = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in hints]), F.array(*[F.col(f"_h.{c}") for c in hints])), lambda k, v: v.isNotNull())
     internal = F.lower(F.try_variant_get(F.col("_bag")["internal_traffic"], "$", "string")) == "true"
     true = F.parse_json(F.lit("true"))
     stamps = {
         "internal_traffic": F.when(internal, true),
         "test": F.when(internal, true),
-        "url_attribution_hints": F.when(F.col("_h.source").isNotNull(), F.parse_json(F.to_json("_h"))),
-        "server_context": F.parse_json(server),
+        "url_attribution_hints": F.when(F.col("_h.source").isNotNull(), F.to_variant_object(found)),
+        "server_context": F.to_variant_object(server),
     }
+    # A column of its own: inside the filter's lambda its expression would run once per entry of the bag.
+    rows = rows.withColumn("_stamps", stamp_map(stamps))
+    bag = F.map_concat(F.map_filter("_bag", lambda k, v: ~F.map_contains_key("_stamps", k)), F.col("_stamps"))
     return rows.select(
         *keep,
         *[F.col(f"_t_{c}").alias(c) for c in ("event_id", "event_name", "visitor_id", "session_id")],
@@ -155,7 +160,7 @@ def accepted_events(checked: DataFrame, arrival_col: str = "arrival", keep=(), l
         text("device_type").alias("device_type"),
         F.col("_t_screen_width").alias("screen_width"),
         text("language").alias("language"),
-        F.to_json(stamped_bag(F.col("_bag"), stamps)).alias("properties"),
+        F.to_json(bag).alias("properties"),
     )
 
 
@@ -165,11 +170,10 @@ def rejected_events(checked: DataFrame, arrival_col: str = "arrival", keep=()) -
         *keep, *[_raw_text(F.col(f)).alias(f) for f in (*BODY_FIELDS, "properties")], "_corrupt_record", F.col(arrival_col), "reject_reason")
 
 
-def stamped_bag(bag: Column, stamps: dict[str, Column]) -> Column:
-    """``bag`` (map<string,variant>) with ``stamps`` put over its entries; NULL stamps leave them."""
+def stamp_map(stamps: dict[str, Column]) -> Column:
+    """The stamps that are not NULL, as a map."""
     names = F.array(*[F.lit(k) for k in stamps])
-    added = F.map_filter(F.map_from_arrays(names, F.array(*stamps.values())), lambda k, v: v.isNotNull())
-    return F.map_concat(F.map_filter(bag, lambda k, v: ~F.map_contains_key(added, k)), added)
+    return F.map_filter(F.map_from_arrays(names, F.array(*stamps.values())), lambda k, v: v.isNotNull())
 
 
 def validate_events(p: DataFrame, arrival_col: str = "arrival", id_pattern: str = UUID_PATTERN,

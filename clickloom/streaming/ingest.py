@@ -60,6 +60,13 @@ def known_keys(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
 
+def body_keys(checked: DataFrame) -> DataFrame:
+    """``known_keys`` of the accepted rows of ``check_events``."""
+    shop = nz(F.try_variant_get(F.col("_bag")["shopify_event_id"], "$", "string"))
+    keys = F.array(F.concat(F.lit("e:"), F.col("_t_event_id")), F.concat(F.lit("s:"), shop))
+    return checked.where(F.col("reject_reason").isNull()).select(F.explode(keys).alias("key")).where(F.col("key").isNotNull())
+
+
 def _event_key():
     return F.concat(F.lit("e:"), F.col("event_id"))
 
@@ -71,9 +78,9 @@ def _shop_key():
 def drop_seen(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """Rows (with ``p``) whose event id and shop id are not among ``seen``, once per shop id."""
     rows = rows.join(seen.select(F.col("key").alias("_e")), _event_key() == F.col("_e"), "left_anti")
-    with_shop = rows.where(_shop_key().isNotNull())  # rows without a shop id skip the join: no NULL-key partition
-    fresh = with_shop.join(seen.select(F.col("key").alias("_s")), _shop_key() == F.col("_s"), "left_anti")
-    return dedupe_shopify(fresh.unionByName(rows.where(_shop_key().isNull())), ("received_at", "event_id"))
+    own = F.coalesce(_shop_key(), _event_key())  # rows without a shop id are spread by their own id, which is not seen
+    fresh = rows.join(seen.select(F.col("key").alias("_s")), own == F.col("_s"), "left_anti")
+    return dedupe_shopify(fresh, ("received_at", "event_id"))
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target: str, dead_letter: str,
@@ -100,12 +107,12 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch_id: int, target:
             return
         (rejected_events(checked, arrival_col, keep).withColumn("epoch", F.lit(int(epoch_id)))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(dead_letter))
+        seen = index.seen(body_keys(checked), tag)
         first = with_props(first_copies(accepted_events(checked, arrival_col, keep, context=context))).checkpoint(eager=True)
     finally:
         checked.unpersist()
-    fresh = drop_seen(first, index.seen(known_keys(first), tag)).drop("p")
-    # The stamped rows feed attribution and the write.
-    fresh = with_props(stamp_classification(fresh, str(arrivals["last"]), control_pattern)).checkpoint(eager=True)
+    fresh = stamp_classification(drop_seen(first, seen), str(arrivals["last"]), control_pattern)
+    fresh = with_props(fresh).checkpoint(eager=True)  # feeds attribution and the write
     # ST4: attribution against stored history of the look-back plus this batch.
     if history is not None:
         # the look-back of the batch's earliest row: a later row must not narrow it
