@@ -522,6 +522,8 @@ from clickloom.sources.fixtures import _stage_dir  # noqa: E402
 from clickloom.streaming import aggregates as SA  # noqa: E402
 from clickloom.streaming import ingest as SI  # noqa: E402
 
+#: Files of one week's bodies, and of one micro-batch.
+STREAM_FILES = 8
 STREAM_CUTS = ("2024-01-01", "2024-01-08", "2024-01-15", "2024-01-22", "2024-02-01")
 
 
@@ -534,9 +536,9 @@ def _mark(spark, path):
 
 
 def _stream_source(spark, sf):
-    """Request bodies as arriving files: one file per arrival week, each also
-    re-delivering a share of the previous week's rows (client outbox replays),
-    plus a file of malformed lines."""
+    """Request bodies as arriving files: ``STREAM_FILES`` per arrival week, each
+    week also re-delivering a share of the previous week's rows (client outbox
+    replays), the second one with malformed lines."""
     root = _stage_dir(spark, "stream", sf)
     src = f"{root}/source"
     if _done(spark, f"{root}/_source_ready"):
@@ -560,11 +562,10 @@ def _stream_source(spark, sf):
         chunk = bodies.where(rng).select("body")
         if prev is not None:
             chunk = chunk.unionByName(bodies.where(prev & (F.col("event_id") % 20 == 7)).select("body"))
-        chunk.write.mode("append").text(src)
-        prev = rng
         if lo == STREAM_CUTS[1]:
-            spark.createDataFrame([("{not json",), ('{"event_id": ',)], "body string").coalesce(1) \
-                .write.mode("append").text(src)
+            chunk = chunk.unionByName(spark.createDataFrame([("{not json",), ('{"event_id": ',)], "body string"))
+        chunk.repartition(STREAM_FILES).write.mode("append").text(src)  # one micro-batch: weeks arrive one after the other
+        prev = rng
     _mark(spark, f"{root}/_source_ready")
     return root
 
@@ -575,7 +576,7 @@ def _stream_target(spark, sf):
         q = SI.stream_ingest(spark, f"{root}/source", f"{root}/target", f"{root}/dead_letter", f"{root}/ckpt_ingest",
                              control_pattern=FX_CONTROL_PATTERN, extra_schema=SRC.FIXTURE_BODY_EXTRA,
                              arrival_col="_arrival", keep=("_source_event_id",), context=SRC.fixture_context(),
-                             max_files_per_trigger=max(2, -(-len(spark.read.text(f"{root}/source").inputFiles()) // 4)), buckets=8)
+                             max_files_per_trigger=STREAM_FILES, buckets=8)
         q.awaitTermination()
         _mark(spark, f"{root}/_target_ready")
     return root
@@ -600,6 +601,16 @@ def _q_stream_dead_letter(spark, sf):
     return d.select("reject_reason", F.col("_source_event_id").alias("source_event_id"))
 
 
+def _q_stream_attribution(spark, sf):
+    """What each stored conversion's bag says about the session that earned it."""
+    root = _stream_target(spark, sf)
+    t = spark.read.schema(TARGET_SCHEMA).parquet(f"{root}/target").where(F.col("event_name").isin("checkout_started", "purchase"))
+    get = lambda c, name: F.get_json_object("properties", f"$.conversion_attribution.{c}").alias(name)
+    return t.select(F.col("_source_event_id").alias("source_event_id"), get("method", "method"), get("session_id", "attributed_session_id"),
+                    get("visitor_id", "attributed_visitor_id"), get("identifier_source", "identifier_source"),
+                    get("cross_session", "cross_session"), get("checkout_id", "checkout_id"), get("order_id", "order_id"))
+
+
 def _run_stream_agg(spark, sf, name, build, mode):
     root = _stream_target(spark, sf)
     out = f"{root}/{name}"
@@ -634,6 +645,7 @@ def _q_stream_first_touch(spark, sf):
 QUERIES.update({
     "stream_ingest": _q_stream_ingest,
     "stream_dead_letter": _q_stream_dead_letter,
+    "stream_attribution": _q_stream_attribution,
     "stream_daily": _q_stream_daily,
     "stream_sessions": _q_stream_sessions,
     "stream_first_touch": _q_stream_first_touch,

@@ -1153,7 +1153,7 @@ _STREAM_ACC = FX + f""",
 acc AS (SELECT cls.*, event_id % 97 AS kk FROM cls WHERE event_id % 97 NOT IN (1, 2, 3, 5)),
 ded AS (SELECT * FROM acc
   QUALIFY {_SID} IS NULL OR row_number() OVER (PARTITION BY {_SID} ORDER BY received_at, event_id) = 1),
-st AS (SELECT event_id, event_name, visitor_id, received_at, c, properties,
+st AS (SELECT event_id, event_name, visitor_id, session_id, received_at, c, properties, kk,
   CASE WHEN kk IN (4, 7) THEN received_at ELSE client_timestamp END AS client_ts,
   {_hint('utm_source')} AS src, {_hint('utm_campaign')} AS cmp, {_hint('fbclid')} AS fb FROM ded)
 """
@@ -1173,6 +1173,33 @@ UNION ALL SELECT reject_reason, event_id FROM rej
 UNION ALL SELECT 'invalid_json', CAST(NULL AS BIGINT)
 UNION ALL SELECT 'invalid_json', CAST(NULL AS BIGINT)"""
 
+_STREAM_MATCHES = ",\n".join([
+    _match('mc', 'checkout_key', _cands("'checkout_started', 'add_to_cart', 'buy_button_click'", [jx('checkout_id'), jx('ct_checkout_id'), jx('checkout_token'), jx('conversion_attribution.checkout_id')])),
+    _match('mo', 'order_key', _cands("'checkout_started', 'add_to_cart'", [jx('order_id'), jx('ct_order_id'), jx('conversion_attribution.order_id')])),
+    _match('mv', 'visitor_key', _cands("'page_view'", ['visitor_id'], _TAGGED)),
+]).replace("FROM fx WHERE", "FROM stored WHERE c = 'production' AND")
+
+# Ids in the page URL are stamped into the bag as hints before it is searched, so they count as explicit ids.
+SQL["stream_attribution"] = _STREAM_ACC + f""",
+stored AS (SELECT event_id AS source_event_id, printf('%08x-0000-4000-8000-%012x', 1, event_id) AS event_id, event_name,
+    printf('%08x-0000-4000-8000-%012x', 2, visitor_id) AS visitor_id, printf('%08x-0000-4000-8000-%012x', 3, session_id) AS session_id,
+    client_ts AS client_timestamp, received_at, c, cmp AS utm_campaign, fb AS fbclid, properties, kk FROM st),
+found AS (SELECT *, CASE WHEN kk = 9 THEN printf('%08x-0000-4000-8000-%012x', 4, source_event_id) END AS url_session,
+    NULLIF(trim(coalesce({jx('checkout_id')}, {jx('checkoutId')}, {jx('ct_checkout_id')}, {jx('checkout_token')})), '') AS checkout_id,
+    NULLIF(trim(coalesce({jx('order_id')}, {jx('orderId')}, {jx('ct_order_id')})), '') AS order_id
+  FROM stored WHERE event_name IN ('checkout_started', 'purchase')),
+conv AS (SELECT event_id, client_timestamp, received_at, checkout_id AS checkout_key, order_id AS order_key, visitor_id AS visitor_key
+  FROM found WHERE url_session IS NULL),
+{_STREAM_MATCHES},
+allm AS (SELECT 3 AS prio, * FROM mc UNION ALL SELECT 4, * FROM mo UNION ALL SELECT 5, * FROM mv),
+best AS (SELECT * FROM allm QUALIFY row_number() OVER (PARTITION BY cid ORDER BY prio) = 1)
+SELECT f.source_event_id, CASE WHEN url_session IS NOT NULL THEN 'explicit_ids' ELSE {_METHOD} END AS method,
+  coalesce(url_session, m.m_session, f.session_id) AS attributed_session_id, coalesce(m.m_visitor, f.visitor_id) AS attributed_visitor_id,
+  CASE WHEN url_session IS NOT NULL THEN 'properties' ELSE {_METHOD} END AS identifier_source,
+  CASE WHEN coalesce(url_session, m.m_session, f.session_id) <> f.session_id THEN 'true' ELSE 'false' END AS cross_session,
+  f.checkout_id, f.order_id
+FROM found f LEFT JOIN best m ON m.cid = f.event_id"""
+
 SQL["stream_daily"] = _STREAM_ACC + """
 SELECT date_trunc('day', client_ts) AS day, count(*) AS events,
   count(*) FILTER (WHERE event_name = 'page_view') AS page_views,
