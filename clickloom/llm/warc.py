@@ -16,7 +16,8 @@ they stand in a WARC file.
 
 Defined cases: a NULL url or page counts as empty; an empty page gives an
 empty conversion block; repeated rows give repeated records; an unclosed
-comment, script or tag runs to the end of the page; unknown entities stay as
+comment, script or tag runs to the end of the page; every page is passed over in
+linear time, whatever it holds; unknown entities stay as
 they are; an empty table gives no rows; further columns of the input are not
 carried along.
 """
@@ -42,7 +43,8 @@ DERIVATIVE_SCHEMA = (
 )
 
 # The element lists are those of the HTML standard.
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_OPENS = re.compile(r"<!--|<(script|style|noscript|template|title)\b", re.I)
+_CLOSES = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "title")}
 _BLOCK = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|"
     r"section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*(?:>|\Z)",
@@ -51,9 +53,68 @@ _BLOCK = re.compile(
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*(?:>|\Z)")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_TITLE = re.compile(r"<title\b", re.I)
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang(?=\s*=)", re.I)
+_ANCHOR, _HREF = re.compile(r"<a\b", re.I), re.compile(r"\bhref(?=\s*=)", re.I)
+_LANG_VALUE = re.compile(r"\s*=\s*[\"']?([A-Za-z0-9-]+)")
+_HREF_VALUE = re.compile(r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+
+
+class Ends:
+    """Places of a text's ``>`` for growing questions: every character is passed once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.at = page, -2
+
+    def after(self, place: int) -> int:
+        """The first ``>`` from ``place`` on, or the text's length."""
+        if self.at < place:
+            self.at = self.page.find(">", place)
+            self.at = len(self.page) if self.at < 0 else self.at
+        return self.at
+
+
+def without_dropped(page: str) -> str:
+    """``page`` without comments and elements that hold no readable text."""
+    kept, at, ends = [], 0, Ends(page)
+    while m := _OPENS.search(page, at):
+        if m[1] is None:
+            stop = page.find("-->", m.end())
+            stop = len(page) if stop < 0 else stop + 3
+        else:
+            tag = ends.after(m.end())
+            if tag == len(page):  # an unclosed tag opens no element; the tag rule takes it out
+                kept.append(page[at : m.end()])
+                at = m.end()
+                continue
+            close = _CLOSES[m[1].lower()].search(page, tag + 1)
+            stop = close.end() if close else len(page)
+        kept.append(page[at : m.start()])
+        at = stop
+    return "".join([*kept, page[at:]])
+
+
+def attributes(page: str, tag: re.Pattern, name: re.Pattern, value: re.Pattern) -> Iterator[re.Match]:
+    """Values of an attribute in the tags of one kind, in order."""
+    hits = [(m.start(), v) for m in name.finditer(page) if (v := value.match(page, m.end()))]
+    ends, at, k = Ends(page), 0, 0
+    for m in tag.finditer(page):
+        if m.start() < at:
+            continue
+        while k < len(hits) and hits[k][0] < m.end():
+            k += 1
+        if k < len(hits) and hits[k][0] <= ends.after(m.end()):
+            yield hits[k][1]
+            at = hits[k][1].end()
+
+
+def title_of(page: str) -> str:
+    m = _TITLE.search(page)
+    tag = page.find(">", m.end()) if m else -1
+    if tag < 0:
+        return ""
+    close = _CLOSES["title"].search(page, tag + 1)
+    return page[tag + 1 : close.start() if close else len(page)]
 
 
 def digest(data: bytes) -> str:
@@ -68,21 +129,21 @@ def record_id(*parts: str) -> str:
 def plain_text(page: str) -> str:
     """Readable text: dropped elements out, block tags to line ends, other
     tags out, entities decoded, blanks and empty lines folded."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub("", page)))
+    text = _TAG.sub("", _BLOCK.sub("\n", without_dropped(page)))
     return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip(" \n")
 
 
 def warc_fields(page: str, header: str, payload_digest: str, text: str) -> str:
     """Body of the metadata record: one ``name: value`` line each."""
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    lang = next(attributes(page, _HTML, _LANG, _LANG_VALUE), None)
     lines = [
-        "title: " + (_BLANKS.sub(" ", html.unescape(title[1]).replace("\n", " ")).strip() if title else ""),
+        "title: " + _BLANKS.sub(" ", html.unescape(title_of(page)).replace("\n", " ")).strip(),
         "language: " + (lang[1].lower() if lang else ""),
         "http-status: " + (header.split(" ", 2)[1] if header.count(" ") else ""),
         "payload-digest: " + payload_digest,
         f"text-length: {len(text)}",
     ]
-    lines += ["outlink: " + html.unescape(next(filter(None, m), "")).replace("\n", " ").replace("\r", " ") for m in _LINK.findall(page)]
+    lines += ["outlink: " + html.unescape(next(filter(None, m), "")).replace("\n", " ").replace("\r", " ") for m in (x.groups() for x in attributes(page, _ANCHOR, _HREF, _HREF_VALUE))]
     return "".join(x + "\r\n" for x in lines)
 
 
@@ -129,8 +190,10 @@ def derivatives(records: DataFrame) -> DataFrame:
 
 def serialise(records: DataFrame) -> DataFrame:
     """Add ``record``: the derivative's bytes in a WARC file, named header
-    lines first, then a blank line, the block and two line ends."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit("")), F.lit("\r\n"))
+    lines first, then a blank line, the block and two line ends.  Line ends
+    inside a value become one blank, so the source's HTTP header is one line."""
+    flat = lambda value: F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), "[\\r\\n]+", " "))
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), flat(value), F.lit("\r\n"))
     return records.withColumn(
         "record",
         F.concat(
@@ -142,6 +205,8 @@ def serialise(records: DataFrame) -> DataFrame:
             line("WARC-Date", F.col("warc_date")),
             line("WARC-Block-Digest", F.col("block_digest")),
             line("WARC-Source-Payload-Digest", F.col("source_payload_digest")),
+            line("WARC-Source-Block-Digest", F.col("source_block_digest")),
+            line("WARC-Source-HTTP-Header", F.col("source_header")),
             line("Content-Type", F.col("content_type")),
             line("Content-Length", F.col("content_length").cast("string")),
             F.lit("\r\n"),

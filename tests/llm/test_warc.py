@@ -1,4 +1,6 @@
 import hashlib
+import re
+import time
 
 from clickloom.llm import warc
 
@@ -35,3 +37,37 @@ def test_records_are_linked_and_digested(spark):
 
 def test_empty_table(spark):
     assert warc.derivatives(warc.responses(pages(spark, []))).count() == 0
+
+
+def test_hostile_pages_take_linear_time():
+    for unit in ("<a ", "<html ", "<script ", "<title ", "<a href ", "<a href=\"", "<a href='", "<!--", "<!-- -->", "<script>", "</script ", "lang=", "<a b href=", "<", "&amp", "<title><a >"):
+        page = unit * (1_000_000 // len(unit))
+        began = time.perf_counter()
+        warc.warc_fields(page, "", "", warc.plain_text(page))
+        assert time.perf_counter() - began < 2, unit
+
+
+def test_scanners_equal_plain_patterns():
+    """On short texts the scanners find what the patterns that they stand for find."""
+    import random
+
+    drop = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+    link = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+    lang = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+    title = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
+    rng, parts = random.Random(1), ["<a", "<a ", " href=", "href", "'", '"', ">", "x", "<html ", "lang = en", "<!--", "-->", "<script", "</script >", "<TITLE>", "</title>", "\n", "<style>", "="]
+    for _ in range(20_000):
+        page = "".join(rng.choices(parts, k=rng.randint(1, 14)))
+        assert warc.without_dropped(page) == drop.sub("", page), page
+        assert [m.groups() for m in warc.attributes(page, warc._ANCHOR, warc._HREF, warc._HREF_VALUE)] == [m.groups() for m in link.finditer(page)], page
+        got, want = next(warc.attributes(page, warc._HTML, warc._LANG, warc._LANG_VALUE), None), lang.search(page)
+        assert (got and got[1]) == (want and want[1]), page
+        want = title.search(page)
+        assert warc.title_of(page) == (want[1] if want else ""), page
+
+
+def test_line_ends_in_values(spark):
+    r = warc.serialise(warc.derivatives(warc.responses(pages(spark, [(1, "http://a/\r\nX: y", "<p>t")])))).first()
+    head = r.record.partition("\r\n\r\n")[0].split("\r\n")
+    assert "WARC-Target-URI: http://a/ X: y" in head and "WARC-Source-Block-Digest: " + r.source_block_digest in head
+    assert any(x.startswith("WARC-Source-HTTP-Header: HTTP/1.1 200 OK Content-Type") for x in head)
