@@ -32,7 +32,8 @@ small-star rounds between them, all on the executors.
 Defined cases: a document with fewer words than a shingle is the whole word
 sequence as one shingle; without words (text NULL, empty or blank) it is
 linked with nothing; a NULL doc_id is linked with nothing and kept; rows that
-repeat a doc_id have one component and are kept or go together; further
+repeat a doc_id have one component, also where their texts differ (their links
+join), and are kept or go together; further
 columns are ignored; an empty table gives no rows.
 """
 
@@ -135,8 +136,10 @@ _SIGNED = "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, s
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Set size, set fingerprint (128 bits), band hashes and sketch."""
+    """Set size, set fingerprint (128 bits), band hashes and sketch of each row
+    (doc_id, text); further columns, which are numbers, are carried along."""
     bands, width = banding(percent)
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -158,11 +161,11 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 sketch = np.packbits(bits, axis=1).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * bands), pa.array(signed(np.ascontiguousarray(band)).reshape(-1)))
                 yield pa.record_batch(
-                    [part.column("doc_id").slice(i, rows), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), flat, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
-                    names=["doc_id", "n", "f1", "f2", "bands", "s1", "s2"],
+                    [*[part.column(c).slice(i, rows) for c in ("doc_id", *carried)], pa.array(n), pa.array(prints[0]), pa.array(prints[1]), flat, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
+                    names=["doc_id", *carried, "n", "f1", "f2", "bands", "s1", "s2"],
                 )
 
-    return docs.mapInArrow(build, _SIGNED)
+    return docs.mapInArrow(build, _SIGNED.replace("n bigint", "".join(f"{c} bigint, " for c in carried) + "n bigint", 1))
 
 
 def may_link(a: str, b: str, percent: int) -> F.Column:
@@ -253,12 +256,12 @@ def remainder(crowded: DataFrame, sets: DataFrame, texts: DataFrame, grouped: Da
     """Links (a, b) between different groups of ``grouped`` among all pairs of
     the large buckets; of links that join the same groups a task gives one."""
     group = grouped.select("doc_id", F.col("component_id").alias("group"))
-    keyed = crowded.select("doc_id", F.explode("k").alias("k")).select("doc_id", "k.key", "k.band")
-    named = crowded.select("doc_id").join(group, "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"))
-    members = keyed.join(named, "doc_id")
-    several = members.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x < y").select("key")
+    named = materialise(crowded.join(group, "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"), "k"))
+    keyed = named.select("doc_id", "group", F.explode("k").alias("k")).select("doc_id", "group", "k.key", "k.band")
+    several = keyed.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x < y").select("key")
     facts = sets.select("doc_id", "n", "s1", "s2", "bands")
-    members = materialise(members.join(several, "key", "left_semi").join(facts, "doc_id"))
+    # Buckets of one group, mostly all, end here; only members of the others fetch their facts.
+    members = materialise(keyed.join(several, "key", "left_semi").join(facts, "doc_id"))
 
     def live(task: pa.Table) -> pa.Table:
         rows = np.unique(np.concatenate(open_pairs(task, percent)))
@@ -375,15 +378,21 @@ def components(links: DataFrame) -> DataFrame:
 def group_documents(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id
     (the least doc_id of its group) and kept (whether that is the row's own)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("mark"))
     marked = materialise(signatures(docs, percent))
     full = marked.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    equal = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    sets = full.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # A node is a distinct set, named by a number; an id that stands over different texts has several.
+    equal = full.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "mark")).alias("rep"))
+    equal = materialise(equal.select("n", "f1", "f2", "rep.doc_id", "rep.mark", F.monotonically_increasing_id().alias("node")))
+    first = full.join(equal, ["n", "f1", "f2", "doc_id", "mark"]).dropDuplicates(["node"])
+    sets = materialise(first.select(F.col("node").alias("doc_id"), "n", "bands", "s1", "s2"))
+    whose = equal.select("doc_id", "mark", "node")
     pairs, crowded = candidates(sets, percent, small)
     pairs = materialise(pairs)
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(crowded.select("doc_id")).distinct()
-    texts = materialise(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    asked = whose.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi")
+    texts = docs.join(asked, ["doc_id", "mark"]).dropDuplicates(["node"])
+    texts = materialise(texts.select(F.col("node").alias("doc_id"), "text"))
     ends = pairs.select(F.col("a").alias("d"), "a", "b", "bits").unionByName(pairs.select(F.col("b").alias("d"), "a", "b", "bits"))
     best = ends.groupBy("d").agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     sure = verify(best, texts, percent)
@@ -394,10 +403,19 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     more = verify(apart, texts, percent)
     edges = lambda groups: groups.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     grouped = components(edges(grouped).unionByName(more))
-    found = components(edges(grouped).unionByName(remainder(crowded, sets, texts, grouped, percent)))
-    placed = marked.select("doc_id", F.col("n").alias("n_shingles"), "n", "f1", "f2").join(equal, ["n", "f1", "f2"], "left")
-    rep = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
-    placed = placed.select("doc_id", "n_shingles", F.coalesce(rep, F.col("doc_id")).alias("rep"))
-    out = placed.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep"))
+    linked = edges(grouped).unionByName(remainder(crowded, sets, texts, grouped, percent))
+    rows = marked.select("doc_id", F.col("n").alias("n_shingles"), "n", "f1", "f2").join(equal.select("n", "f1", "f2", "node"), ["n", "f1", "f2"], "left")
+    rows = materialise(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")))
+    # Rows that repeat an id join their nodes: with different texts they are several.
+    repeated = rows.filter("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
+    same = rows.join(repeated.select("doc_id", "a"), "doc_id").filter("node > a").select("a", F.col("node").alias("b"))
+    found = components(linked.unionByName(same)).select(F.col("doc_id").alias("node"), F.col("component_id").alias("group"))
+    rows = rows.join(found, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    # An id over a text with words and one without any belongs to the first one's group.
+    named = rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    of_id = rows.filter("group is null and doc_id is not null").select("doc_id").distinct().join(rows.filter("group is not null").select("doc_id", "group"), "doc_id")
+    of_id = of_id.groupBy("doc_id").agg(F.min("group").alias("own"))
+    rows = rows.join(of_id, "doc_id", "left").withColumn("group", F.coalesce("group", "own"))
+    out = rows.join(named, "group", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -116,3 +116,24 @@ def test_lower_threshold_equals_brute_force(spark):
     got = neardup.group_documents(frame(spark, rows), percent=80).collect()
     assert brute(rows, 80) != brute(rows)
     assert sorted(tuple(r) for r in got) == brute(rows, 80)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Links of every text of an id count; the id's rows have one component."""
+    rng = np.random.default_rng(6)
+    text = lambda: [f"w{x}" for x in rng.integers(0, 10**6, 80)]
+    a, b, c = text(), text(), text()
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (7, " ".join(c)), (5, near(c)), (7, None), (9, near(c) + " x"), (9, " ".join(a[:40])), (8, ""), (1, " ".join(b))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.group_documents(frame(spark, rows)).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True), (7, 5, False), (9, 5, False), (8, 8, True)}
+
+
+def test_remainder_explodes_no_bucket_of_one_group(spark):
+    """Where all members of the large buckets are in one group, nothing is fetched for them."""
+    rows = family(1, 60, 0, 1)
+    docs = frame(spark, rows).select("doc_id", "text")
+    marked = neardup.signatures(docs)
+    _, crowded = neardup.candidates(marked, 85, 16)
+    one = docs.select("doc_id", neardup.F.lit(0).cast("bigint").alias("component_id"))
+    assert crowded.count() > 16 and neardup.remainder(crowded, marked, docs, one, 85).count() == 0

@@ -31,7 +31,8 @@ def rows():
 def test_near_duplicates(spark, rows):
     out = stage("near_duplicates")(spark, frame(spark, [*rows, (None, "x"), rows[0]]), SF)
     assert out.dtypes == frame(spark, []).dtypes
-    kept = {i for i, _, _, k in groups(rows) if k}
+    assert corpus_pipeline.NEAR_PERCENT == 80
+    kept = {i for i, _, _, k in groups(rows, 80) if k}
     assert Counter(r.doc_id for r in out.collect()) == Counter([*kept, None])
 
 
