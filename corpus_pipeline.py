@@ -6,7 +6,7 @@ stages but the last return the columns of ``docs``.
 
 1. ``toxicity``: documents that the noisy-or model calls toxic go;
 2. ``near_duplicates``: one document of each group stays, that of the least id;
-   documents are linked from 85 per cent of common five-word shingles on;
+   documents are linked from 80 per cent of common five-word shingles on;
 3. ``substrings``: passages of 20 words that stand earlier in the corpus go;
    other texts stay byte for byte, and no row goes;
 4. ``packing``: all texts as token pieces in sequences of at most 1024.
@@ -26,6 +26,9 @@ from clickloom.llm import neardup, packing, substrings
 from clickloom.llm import toxicity as tox
 from clickloom.llm.common import bound_batches, documents, fresh
 
+#: Documents with so many per cent of common shingles are near duplicates.
+NEAR_PERCENT = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = tox.fit(docs, documents(spark, sf_dir, "labels"))
@@ -35,7 +38,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
-    stay = neardup.group_documents(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    stay = neardup.group_documents(docs, NEAR_PERCENT).filter("kept and doc_id is not null").select("doc_id").distinct()
     row = fresh(docs, "_row")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     named = docs.join(stay.hint("merge"), "doc_id", "left_semi").withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1)
