@@ -9,6 +9,7 @@ separators are ASCII, so byte and character matching agree.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files (and, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, the
+    checkpoints) of finished steps.  It does so once the driver's garbage is
+    collected; until then they lie on the executors' disks.  For operators of
+    many steps, between two of them; what is lost can be computed again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of a plan's input as Spark's own statistics give it (file sizes
     for a table scan), or a kilobyte a row where they know nothing; used to

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.common import U64, chunks, materialise, mix64, signed, span_hashes, word_bounds, word_hashes
+from clickloom.llm.common import U64, chunks, materialise, mix64, release, signed, span_hashes, word_bounds, word_hashes
 
 SHINGLE = 5
 PERCENT = 85
@@ -389,6 +389,7 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     whose = equal.select("doc_id", "mark", "node")
     pairs, crowded = candidates(sets, percent, small)
     pairs = materialise(pairs)
+    release(docs.sparkSession)  # the buckets
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(crowded.select("doc_id")).distinct()
     asked = whose.join(wanted.withColumnRenamed("doc_id", "node"), "node", "left_semi")
     texts = docs.join(asked, ["doc_id", "mark"]).dropDuplicates(["node"])
@@ -397,12 +398,14 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, small: int = SMALL)
     best = ends.groupBy("d").agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     sure = verify(best, texts, percent)
     grouped = components(sure)
+    release(docs.sparkSession)
     named = lambda c: F.coalesce(F.col(f"g{c}"), F.col(c))
     g = lambda c: grouped.select(F.col("doc_id").alias(c), F.col("component_id").alias(f"g{c}"))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(g("a"), "a", "left").join(g("b"), "b", "left").filter(named("a") != named("b")).select("a", "b")
     more = verify(apart, texts, percent)
     edges = lambda groups: groups.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     grouped = components(edges(grouped).unionByName(more))
+    release(docs.sparkSession)
     linked = edges(grouped).unionByName(remainder(crowded, sets, texts, grouped, percent))
     rows = marked.select("doc_id", F.col("n").alias("n_shingles"), "n", "f1", "f2").join(equal.select("n", "f1", "f2", "node"), ["n", "f1", "f2"], "left")
     rows = materialise(rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")))
