@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from clickloom.llm.common import CHUNK_BYTES, chunks, mix64, span_hashes
 
 LETTER, NUMBER, OTHER, BLANK = 1, 2, 3, 4
-#: Distinct pieces whose ids a Python worker keeps.
-CACHE_PIECES = 300_000
+#: Bytes of distinct pieces and their ids that a Python worker keeps, about.
+CACHE_BYTES = 24 << 20
+#: Bytes of text that are pre-tokenised together: arrays of 8 bytes a character are made of it.
+ENCODE_BYTES = CHUNK_BYTES // 4
 
 ENCODED_SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
 
@@ -73,7 +75,8 @@ class PieceEncoder:
 
         ranks = read_ranks(path)
         self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.held = 0
         points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         at = np.frombuffer(points.encode("utf-32-le"), np.uint32)
         self.kind = np.full(0x110000, OTHER, np.uint8)
@@ -133,8 +136,9 @@ class PieceEncoder:
         codes, distinct = pd.factorize(span_hashes(self.symbol[cp], starts, ends))
         where = np.empty(len(distinct), np.int64)
         where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        if len(self.cache) > CACHE_PIECES:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         cache, merge, found = self.cache, self.merge, []
         for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True):
             piece = text[a:b]
@@ -142,7 +146,8 @@ class PieceEncoder:
             if ids is None:
                 ids = merge(piece.encode())
                 if b - a < 64:
-                    cache[piece] = ids
+                    cache[piece] = ids = tuple(ids)
+                    self.held += 200 + 4 * (b - a) + 40 * len(ids)
             found.append(ids)
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
@@ -150,7 +155,7 @@ class PieceEncoder:
 
     def encode(self, arr: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of every text of a column, in order."""
-        for i, j, buf, off in chunks(arr, CHUNK_BYTES):
+        for i, j, buf, off in chunks(arr, ENCODE_BYTES):
             text = buf.tobytes().decode("utf-8")
             cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off] if len(buf) else off

@@ -111,6 +111,7 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFr
     table = {n: (np.array([s[0] for s in rows]), rows) for n, rows in slots.items()}
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        PieceEncoder._made.clear()  # a worker that has cut documents before keeps no encoder while it places them
         for part in parts:
             found, offset = [], []
             for n, index in zip(part.column("length").to_pylist(), part.column("_index").to_pylist(), strict=True):
