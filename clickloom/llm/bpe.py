@@ -35,7 +35,7 @@ from clickloom.llm.common import CHUNK_BYTES, chunks, mix64, span_hashes
 
 LETTER, NUMBER, OTHER, BLANK = 1, 2, 3, 4
 #: Bytes of distinct pieces and their ids that a Python worker keeps, about.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 72 << 20
 #: Bytes of text that are pre-tokenised together: arrays of 8 bytes a character are made of it.
 ENCODE_BYTES = CHUNK_BYTES // 4
 
