@@ -58,8 +58,9 @@ REGISTERS = 127
 LOSS = 1e-6
 #: Largest bucket that gives all its pairs.
 SMALL = 16
-#: Bands pair up within this many classes (band modulo it) to split a large bucket.
-SPLITS = 2
+#: Bands pair up within classes of so many at most (band modulo the number of
+#: classes) to split a large bucket: bounds a document's pairs at any threshold.
+PAIRED = 13
 #: Members of a hub that one task compares.
 HUB_MEMBERS = 256
 #: Members of a large bucket on each side of one task: by sketch, on full sets.
@@ -191,11 +192,12 @@ def bucket_pairs(members: DataFrame, small: int, percent: int) -> tuple[DataFram
 def candidates(sets: DataFrame, percent: int, small: int) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs (a, b, bits) with a < b of ``sets``, and the
     documents of large buckets with their buckets ``k``."""
+    classes = -(-banding(percent)[0] // PAIRED)
     m = lambda meets: F.struct("doc_id", "n", "s1", "s2", meets.alias("meets")).alias("m")
     banded = sets.select(F.posexplode("bands").alias("band", "h"), m(F.lit(0).cast("bigint"))).select(F.xxhash64("band", "h").alias("key"), "band", "m")
     pairs, large = bucket_pairs(banded, small, percent)
     crowded = large.groupBy("m.doc_id").agg(
-        F.max("m").alias("m"), F.sum("size").alias("meets"), F.array_sort(F.collect_list(F.struct((F.col("band") % SPLITS).alias("g"), "key", "band"))).alias("k")
+        F.max("m").alias("m"), F.sum("size").alias("meets"), F.array_sort(F.collect_list(F.struct((F.col("band") % classes).alias("g"), "key", "band"))).alias("k")
     )  # a row holds at most one key a band
     crowded = materialise(crowded.select("m.doc_id", "m.n", "m.s1", "m.s2", "meets", "k"))
     two = F.flatten(
