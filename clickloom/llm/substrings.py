@@ -51,6 +51,8 @@ WIDTH = 20
 ANCHOR_WORDS = 5
 #: Different segments of one anchor that go to one shard.
 HOT = 2000
+#: Bytes of text that one numpy pass works on: several workers of one executor hold such a pass at once.
+PASS_BYTES = 1 << 19
 #: Words that one index holds, about.
 SHARD_WORDS = 400_000
 
@@ -109,7 +111,7 @@ def all_segments(docs: DataFrame, width: int, anchor_words: int) -> DataFrame:
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids = part.column("doc_id")
-            for i, _, buf, off in chunks(part.column("text")):
+            for i, _, buf, off in chunks(part.column("text"), PASS_BYTES):
                 starts, ends, first = word_bounds(buf, off)
                 text, start, n, anchor, content, inner = segments(word_hashes(buf, starts, ends, lower=False), first, width, anchor_words)
                 yield _rows(anchor, content, ids.take(pa.array(text + i)), start, n, again(text, anchor, content), inner)
@@ -264,7 +266,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor_words: int = ANCHOR_WORD
         for part in parts:
             spans = part.column("_spans").to_pylist()
             out: list[tuple] = []
-            for i, j, buf, off in chunks(part.column("text")):
+            for i, j, buf, off in chunks(part.column("text"), PASS_BYTES):
                 starts, ends, first = word_bounds(buf, off)
                 for row in range(i, j):
                     doc, base = part.column("doc_id")[row].as_py(), first[row - i]
@@ -278,7 +280,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, anchor_words: int = ANCHOR_WORD
     def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids, spans = part.column("doc_id"), part.column("_spans").to_pylist()
-            for i, j, buf, off in chunks(part.column("text")):
+            for i, j, buf, off in chunks(part.column("text"), PASS_BYTES):
                 starts, ends, first = word_bounds(buf, off)
                 content, content_first = window_hashes(word_hashes(buf, starts, ends, lower=False), first, width)
                 text, start, anchor = [], [], []
@@ -337,7 +339,7 @@ def apply_repeats(docs: DataFrame, found: DataFrame, width: int, digests: bool)
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             spans, texts, total, gone = part.column(name).to_pylist(), [], [], []
-            for i, j, buf, off in chunks(part.column("text")):
+            for i, j, buf, off in chunks(part.column("text"), PASS_BYTES):
                 starts, ends, first = word_bounds(buf, off)
                 change = np.zeros(len(starts) + 1, np.int32)
                 for row in range(i, j):
