@@ -262,8 +262,10 @@ def remainder(crowded: DataFrame, sets: DataFrame, texts: DataFrame, grouped: Da
     keyed = named.select("doc_id", "group", F.explode("k").alias("k")).select("doc_id", "group", "k.key", "k.band")
     several = keyed.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x < y").select("key")
     facts = sets.select("doc_id", "n", "s1", "s2", "bands")
-    # Buckets of one group, mostly all, end here; only members of the others fetch their facts.
-    members = materialise(keyed.join(several, "key", "left_semi").join(facts, "doc_id"))
+    # Buckets of one group, mostly all, end here; only members of the others fetch their facts, once each.
+    open_keys = keyed.join(several, "key", "left_semi").groupBy("doc_id", "group").agg(F.collect_list(F.struct("key", "band")).alias("k"))  # one a band at most
+    members = open_keys.join(facts, "doc_id").withColumn("k", F.explode("k"))
+    members = materialise(members.select("doc_id", "k.key", "group", "k.band", "n", "s1", "s2", "bands"))
 
     def live(task: pa.Table) -> pa.Table:
         rows = np.unique(np.concatenate(open_pairs(task, percent)))
