@@ -118,28 +118,58 @@ def combine_rows(*frames: DataFrame) -> DataFrame:
     return out.drop("_one")
 
 
-def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]], ranges: int = 1024) -> DataFrame:
-    """One row of exact percentiles (``percentile_cont``): name -> (column, q).
-
-    Values are counted first (a map-side combine per distinct value).  The
-    counts of ``ranges`` equal ranges of each column's values tell in which of
-    them the percentile lies; only those values are put in order.
+def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float]], ranges: int = 64, rounds: int = 2) -> DataFrame:
+    """One row of exact percentiles (``percentile_cont``): name -> (column, q);
+    NULL for a column without values.
+
+    Values are counted first (a map-side combine per distinct value).  Each
+    round cuts the distinct values that are left into ``ranges`` ranges of about
+    equal depth, counts them exactly, and keeps those that hold the percentile;
+    the cuts come from a mergeable rank sketch and only guide, so the result
+    does not depend on its error.  Ranks are cut, not values: outliers and
+    uneven spreads do not matter.  What is put in order in the end is about
+    ``2 / ranges ** rounds`` of the distinct values.
     """
+    if ranges < 2:
+        raise ValueError("ranges must be 2 or more")
     cells = [F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value"), F.lit(float(q)).alias("q")) for n, (c, q) in wanted.items()]
     counts = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where(F.col("value").isNotNull()) \
         .groupBy("name", "q", "value").agg(F.count(F.lit(1)).alias("c"))
-    span = counts.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n"))  # a row per name
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(ranges - 1), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges)))
     position = F.col("q") * (F.col("n") - 1)
-    placed = counts.join(span, "name").select(
-        "name", "value", "c", F.coalesce(part, F.lit(0)).alias("part"), F.floor(position).alias("first"), F.ceil(position).alias("last"), (position - F.floor(position)).alias("share"))
-    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("name", "part", "first", "last").agg(F.sum("c").alias("pc")).withColumn("start", F.coalesce(F.sum("pc").over(before), F.lit(0)))
-    parts = parts.where((F.col("start") <= F.col("last")) & (F.col("start") + F.col("pc") > F.col("first"))).select("name", "part", "start")
-    inner = Window.partitionBy("name", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    near = placed.join(parts, ["name", "part"]).withColumn("at", F.col("start") + F.coalesce(F.sum("c").over(inner), F.lit(0)))
-    holds = lambda k: (F.col("at") <= F.col(k)) & (F.col("at") + F.col("c") > F.col(k))
+    bracket = counts.groupBy("name", "q").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("n")).select(
+        "name", "lo", "hi", F.lit(0).cast("bigint").alias("start"), F.floor(position).alias("first"), F.ceil(position).alias("last"),
+        (position - F.floor(position)).alias("share"))  # a row per name
+    counts = counts.drop("q")
+    for _ in range(rounds):
+        bracket = narrowed(counts, bracket, ranges)
+    inner = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    near = within(counts, bracket).withColumn("at", F.col("start") + F.coalesce(F.sum("c").over(inner), F.lit(0)))
     found = near.groupBy("name").agg(
-        F.max(F.when(holds("first"), F.col("value"))).alias("a"), F.max(F.when(holds("last"), F.col("value"))).alias("b"), F.max("share").alias("share"))
+        F.max(F.when(holds("at", "c", "first"), F.col("value"))).alias("a"), F.max(F.when(holds("at", "c", "last"), F.col("value"))).alias("b"),
+        F.max("share").alias("share"))
     value = F.col("a") + (F.col("b") - F.col("a")) * F.col("share")
     return found.agg(*[F.max(F.when(F.col("name") == n, value)).alias(n) for n in wanted])
+
+
+def holds(start: str, rows: str, position: str) -> Column:
+    """Whether ``rows`` ordered rows from ``start`` on hold the position."""
+    return (F.col(start) <= F.col(position)) & (F.col(start) + F.col(rows) > F.col(position))
+
+
+def within(counts: DataFrame, bracket: DataFrame) -> DataFrame:
+    """The counted values inside their name's bracket (a row per name)."""
+    return counts.join(bracket, "name").where(F.col("value").between(F.col("lo"), F.col("hi")))
+
+
+def narrowed(counts: DataFrame, bracket: DataFrame, ranges: int) -> DataFrame:
+    """One round of ``exact_percentiles``: the bracket of the ranges that hold
+    the positions ``first`` and ``last``; ``start`` counts the rows before it."""
+    inside = within(counts, bracket)
+    cuts = inside.groupBy("name").agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts"))
+    part = F.size(F.filter("cuts", lambda x: x < F.col("value")))
+    parts = inside.join(cuts, "name").groupBy("name", "first", "last", "share", "start", part.alias("part")).agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("c").alias("rows"))
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
+    parts = parts.withColumn("start", F.col("start") + F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    return parts.where(holds("start", "rows", "first") | holds("start", "rows", "last")).groupBy("name", "first", "last", "share").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("start").alias("start"))

@@ -9,6 +9,7 @@ does not show in the comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -472,11 +473,35 @@ def _q_normalize_ads(spark, sf):
 
 
 def _q_ads_upsert_merge(spark, sf):
-    """Half of the raw rows as the stored table, the other half merged into it."""
-    raw, order = fx_ads_raw(spark, sf), ("ingested_at", "ingested_seq")
-    old = ADS_SRC.upsert_latest(None, raw.where("ingested_seq % 2 = 0"), order=order)
-    a = ADS_SRC.upsert_latest(old, raw.where("ingested_seq % 2 = 1"), order=order)
-    return a.drop("ingested_seq").withColumns({c: F.col(c).cast("double") for c in ("spend", "purchase_value")})
+    """The rows posted first make the stored table, those posted later are
+    merged into it; both as batches of ``upsert_table``, by month."""
+    path = f"{_stage_dir(spark, 'ads_table', sf)}/{uuid4().hex}"  # each call merges into a table of its own
+    raw = fx_ads_raw(spark, sf).withColumn("month", F.date_format("date_start", "yyyy-MM"))
+    middle = raw.agg((F.max("ingested_seq") / 2).alias("m")).first()["m"] or 0
+    for batch in (F.col("ingested_seq") <= middle, F.col("ingested_seq") > middle):
+        ADS_SRC.upsert_table(spark, path, raw.where(batch), sequence=("ingested_seq",), by="month")
+    a = spark.read.parquet(path).drop("month")
+    return a.withColumns({c: F.col(c).cast("double") for c in ("spend", "purchase_value")})
+
+
+AD_POST_ROWS = 50
+
+
+def _q_ads_ingest_json(spark, sf):
+    """The posted rows as JSON documents of up to ``AD_POST_ROWS`` rows, read
+    and normalised by the ingest: accepted and rejected rows."""
+    root = _stage_dir(spark, "ad_posts", sf)
+    if not _done(spark, f"{root}/_ready"):
+        posts = _ad_post_rows(spark, sf)
+        posts.groupBy(F.floor(F.col("ingested_seq") / AD_POST_ROWS).alias("post")).agg(
+            F.sort_array(F.collect_list(F.struct("ingested_seq", *[c for c in posts.columns if c != "ingested_seq"]))).alias("rows")
+        ).select("rows").write.mode("overwrite").json(f"{root}/posts")
+        _mark(spark, f"{root}/_ready")
+    ok, bad = ADS_SRC.ingest_ads_json(spark, f"{root}/posts", T.StructType([T.StructField("ingested_seq", T.LongType())]))
+    both = ok.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
+    return both.select(
+        "ingested_seq", "account_id", "date_start", "campaign_id", "adset_id", "ad_id", "spend", "impressions",
+        "landing_page_views", "purchases", "accepted")
 
 
 QUERIES.update({
@@ -484,6 +509,7 @@ QUERIES.update({
     "sanitize_urls": _q_sanitize_urls,
     "normalize_ads": lambda spark, sf: finish(_q_normalize_ads(spark, sf)),
     "ads_upsert_merge": lambda spark, sf: finish(_q_ads_upsert_merge(spark, sf)),
+    "ads_ingest_json": lambda spark, sf: finish(_q_ads_ingest_json(spark, sf)),
 })
 
 

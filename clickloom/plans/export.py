@@ -121,6 +121,18 @@ def write_bundle(spark: SparkSession, bundle: dict[str, DataFrame], path: str, m
     return health
 
 
+def export_or_fallback(spark: SparkSession, ev: DataFrame, ads: DataFrame | None, cfg: ReportConfig, path: str) -> DataFrame:
+    """The full export under ``path``; where it cannot be built or written, the
+    fallback blocks under ``path/_fallback``.  Returns the health table; after a
+    fallback it has a row ``full_export`` with the error.  A single failing
+    block is isolated by ``write_bundle`` and needs no fallback."""
+    try:
+        return write_bundle(spark, build_bundle(ev, ads, cfg), path)
+    except Exception as e:  # noqa: BLE001 - whatever stops the full export
+        failed = spark.createDataFrame([("full_export", False, 0, f"{type(e).__name__}: {e}")], HEALTH_SCHEMA)
+    return failed.unionByName(write_bundle(spark, fallback_bundle(ev, cfg), f"{path.rstrip('/')}/_fallback"))
+
+
 def export_scope(health: DataFrame, overview: DataFrame, limit: int | None) -> DataFrame:
     """Mode (full / partial), block counts, raw-dump size and whether the
     raw limit was reached (valid events in the period exceed the dump)."""

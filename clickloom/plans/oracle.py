@@ -1137,6 +1137,8 @@ SELECT ingested_seq,
   rr NOT IN (2, 3, 4) AS accepted
 FROM r"""
 
+SQL["ads_ingest_json"] = SQL["normalize_ads"]
+
 SQL["export_health"] = BASE + """
 SELECT 'overview_basic' AS name, true AS ok, CAST(1 AS BIGINT) AS rows, CAST(NULL AS VARCHAR) AS error
 UNION ALL SELECT 'event_catalog', true, (SELECT count(DISTINCT event_name) FROM base), NULL

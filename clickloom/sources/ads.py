@@ -23,7 +23,6 @@ RAW_AD_ROW = T.StructType(
     [T.StructField(c, T.StringType()) for c in ADS_COLUMNS]
     + [T.StructField("actions", T.ArrayType(ACTION))]
 )
-RAW_AD_BODY = T.StructType([T.StructField("rows", T.ArrayType(RAW_AD_ROW))])
 
 
 def read_ads(spark, path: str, as_of_date=None, days: int | None = None) -> DataFrame:
@@ -105,11 +104,23 @@ def normalized_ads(raw_rows: DataFrame) -> DataFrame:
     return out.withColumn("accepted", ok)
 
 
-def ingest_ads_json(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """``{"rows": [...]}`` documents (one per line) -> normalised rows + rejects."""
-    body = spark.read.schema(RAW_AD_BODY).json(path)
-    rows = body.select(F.explode("rows").alias("r")).select("r.*")
-    return normalize_ads(rows)
+def ingest_ads_json(spark, path: str, extra: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """``{"rows": [...]}`` documents (one per line) -> normalised rows + rejects.
+
+    ``posted`` tells the order in which the rows were posted: by file (change
+    time, path), by line and by place in the document.  Lines need no global
+    numbering: the offset of a file's split and a row number that grows inside
+    the split order them.  ``extra`` names further fields of a row to pass on.
+    Documents without rows give nothing.
+    """
+    row = T.StructType(RAW_AD_ROW.fields + (extra.fields if extra is not None else []))
+    body = spark.read.schema(T.StructType([T.StructField("rows", T.ArrayType(row))])).json(path)
+    line = F.struct(
+        F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = body.select("rows", line.alias("_line"))
+    rows = lines.select("_line", F.posexplode("rows").alias("_place", "r"))
+    return normalize_ads(rows.select("r.*", F.struct("_line.*", F.col("_place").alias("place")).alias("posted")))
 
 
 def upsert_latest(old: DataFrame | None, new: DataFrame, keys=("account_id", "date_start", "ad_id"),
@@ -130,20 +141,31 @@ def upsert_latest(old: DataFrame | None, new: DataFrame, keys=("account_id", "da
     return agg.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def upsert_table(spark, path: str, new: DataFrame, ingested_at=None, keys=("account_id", "date_start", "ad_id")) -> None:
-    """Merge normalised rows into the table at ``path``, partitioned by
-    ``date_start``: the dates of ``new`` are read, merged (latest wins) and
-    overwritten, all others stay untouched.  ``ingested_at`` stamps the rows
-    (default: now).  The merged dates are cut from the files they replace by a
-    reliable checkpoint."""
-    stamp = F.current_timestamp() if ingested_at is None else F.lit(ingested_at)
-    new = new.withColumn("ingested_at", stamp.cast("timestamp_ntz"))
+def upsert_table(spark, path: str, new: DataFrame, ingested_at=None, keys=("account_id", "date_start", "ad_id"),
+                 sequence=("posted",), by: str = "date_start") -> None:
+    """Merge normalised rows into the table at ``path``, partitioned by ``by``
+    (a column that the keys determine; a month where single dates are small):
+    the partitions of ``new`` are read, merged (latest wins) and overwritten,
+    all others stay untouched.  ``ingested_at`` stamps the rows;
+    without it they keep a column of that name, or get the present time.  The
+    merged rows are cut from the files they replace by a reliable checkpoint.
+
+    Rows of one key and stamp: the greatest ``sequence`` wins (those of its
+    columns that ``new`` has; they are not stored), a new row wins over a
+    stored one, and rows that tie in all of it are ordered by their values, so
+    the order of rows in ``new`` never matters.
+    """
+    if ingested_at is not None or "ingested_at" not in new.columns:
+        new = new.withColumn("ingested_at", (F.current_timestamp() if ingested_at is None else F.lit(ingested_at)).cast("timestamp_ntz"))
+    sequence = [c for c in sequence if c in new.columns]
+    values = [c for c in new.columns if c not in (*keys, *sequence, "ingested_at", by)]
+    new = new.withColumn("_new", F.lit(True))
     table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     old = None
     if table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(table):
-        dates = new.select("date_start").distinct()  # Spark prunes partitions by these at run time
-        old = spark.read.parquet(path).join(dates, "date_start", "left_semi")
-    merged = upsert_latest(old, new, keys)
+        touched = new.select(by).distinct()  # Spark prunes partitions by these at run time
+        old = spark.read.parquet(path).join(touched, by, "left_semi").withColumn("_new", F.lit(False))
+    merged = upsert_latest(old, new, keys, order=("ingested_at", "_new", *sequence, *values)).drop("_new", *sequence)
     ensure_checkpoint_dir(spark)
-    merged = merged.checkpoint(eager=True)
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_start").parquet(path)
+    merged = merged.checkpoint(eager=True).hint("rebalance", by)  # few files a partition, large ones split
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
