@@ -19,3 +19,30 @@ def test_silver_rows_are_put_in_order_before_they_are_widened(spark):
     wide = FX._fx_wide(rows.repartitionByRange("ts").sortWithinPartitions("event_date"))
     order = wide._jdf.queryExecution().optimizedPlan().outputOrdering()
     assert "event_date" in order.toString()  # the partitioned write sorts nothing again
+
+
+def test_ads_go_through_the_upsert_narrow(spark):
+    plan = FX.fx_ads(spark, SF, materialize=False)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [i for i, line in enumerate(plan) if "Campaign " in line]
+    merged = [i for i, line in enumerate(plan) if "max_by" in line]
+    assert made and merged and max(made) < min(merged)  # the plan is printed from the top
+
+
+def test_upserted_ads_are_those_of_the_raw_rows(spark):
+    from clickloom.sources.ads import upsert_latest
+
+    plain = upsert_latest(None, FX.fx_ads_raw(spark, SF), order=("ingested_at", "ingested_seq"))
+    got = FX.fx_ads(spark, SF, materialize=False)
+    assert got.schema.simpleString() == plain.schema.simpleString()
+    assert got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0
+
+
+def test_posted_ads_are_read_once_and_stored_compressed(spark):
+    from clickloom.plans.catalog import QUERIES, _ad_post_rows, _stage_dir
+    from clickloom.sources.ads import normalized_ads
+
+    got = QUERIES["ads_ingest_json"](spark, SF)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("json") == 1
+    assert all(f.endswith(".json.gz") for f in spark.read.text(f"{_stage_dir(spark, 'ad_posts', SF)}/posts").inputFiles())
+    want = normalized_ads(_ad_post_rows(spark, SF)).select("ingested_seq", "campaign_id", "accepted")
+    assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
