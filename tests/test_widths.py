@@ -46,3 +46,28 @@ def test_posted_ads_are_read_once_and_stored_compressed(spark):
     assert all(f.endswith(".json.gz") for f in spark.read.text(f"{_stage_dir(spark, 'ad_posts', SF)}/posts").inputFiles())
     want = normalized_ads(_ad_post_rows(spark, SF)).select("ingested_seq", "campaign_id", "accepted")
     assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_stream_source_is_compressed(spark):
+    from clickloom.plans.catalog import STREAM_CUTS, STREAM_FILES, _stream_source
+
+    files = spark.read.text(f"{_stream_source(spark, SF)}/source").inputFiles()
+    assert len(files) == STREAM_FILES * (len(STREAM_CUTS) - 1) and all(f.endswith(".gz") for f in files)
+
+
+def test_a_batch_checkpoints_no_bags_and_leaves_no_steps(spark, tmpdir_path, monkeypatch):
+    import os
+
+    from test_seen import T0, body
+
+    from clickloom.config import UUID_PATTERN
+    from clickloom.sources.events import parse_bodies
+    from clickloom.streaming import ingest
+
+    batch = parse_bodies(spark.createDataFrame([(body(n, f"s{n % 2}"), T0) for n in (1, 1, 2, 3)], "body string, arrival timestamp_ntz"))
+    seen, keep = [], type(batch).checkpoint
+    monkeypatch.setattr(type(batch), "checkpoint", lambda self, *a, **k: (seen.append(self.columns), keep(self, *a, **k))[1])
+    ingest.process_batch(spark, batch, 0, f"{tmpdir_path}/t", f"{tmpdir_path}/d", "arrival", UUID_PATTERN, None, 30, buckets=2)
+    assert seen and not any("properties" in c for c in seen)
+    assert sorted(r.event_id[-1] for r in spark.read.parquet(f"{tmpdir_path}/t").collect()) == ["1", "2"]
+    assert os.listdir(f"{tmpdir_path}/t_steps") == []
