@@ -71,3 +71,19 @@ def test_a_batch_checkpoints_no_bags_and_leaves_no_steps(spark, tmpdir_path, mon
     assert seen and not any("properties" in c for c in seen)
     assert sorted(r.event_id[-1] for r in spark.read.parquet(f"{tmpdir_path}/t").collect()) == ["1", "2"]
     assert os.listdir(f"{tmpdir_path}/t_steps") == []
+
+
+def test_latest_rows_of_numbers_are_found_without_a_sort(spark):
+    from clickloom.sources.ads import upsert_latest
+
+    rows = [(1, 10, 5, 1.0, None), (1, 11, None, 2.0, 7), (1, 11, 4, None, 8), (1, None, 9, 4.0, 9),
+            (2, None, None, 5.0, 1), (None, 3, 1, 6.0, 2), (None, 3, 2, 7.0, None), (3, None, 1, 8.0, 3), (3, None, 2, 9.0, 4)]
+    t = spark.createDataFrame(rows, "k int, at bigint, seq bigint, v double, w int")
+    got = upsert_latest(t.limit(4), t, keys=("k",), order=("at", "seq"))
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, 11, 4, None, 8), (2, None, None, 5.0, 1), (None, 3, 2, 7.0, None), (3, None, 2, 9.0, 4)], key=str)
+    text = t.withColumn("w", t.w.cast("string"))  # the struct form gives the same rows
+    plain = upsert_latest(None, text, keys=("k",), order=("at", "seq"))
+    assert plain.withColumn("w", plain.w.cast("int")).exceptAll(got).count() == 0
+    assert "SortAggregate" not in upsert_latest(None, FX.fx_ads_narrow(spark, SF), ("account", "day", "ad"), ("ingested_at", "ingested_seq"))._jdf.queryExecution().executedPlan().toString()
