@@ -87,3 +87,12 @@ def test_latest_rows_of_numbers_are_found_without_a_sort(spark):
     plain = upsert_latest(None, text, keys=("k",), order=("at", "seq"))
     assert plain.withColumn("w", plain.w.cast("int")).exceptAll(got).count() == 0
     assert "SortAggregate" not in upsert_latest(None, FX.fx_ads_narrow(spark, SF), ("account", "day", "ad"), ("ingested_at", "ingested_seq"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ingest_reads_the_bag_once(spark):
+    from clickloom.plans.catalog import QUERIES
+
+    plan = lambda q: QUERIES[q](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan("ingest_events_batch")
+    again = plan("reclassify_history")
+    assert "get_json_object" not in again and again.count("from_json(MapType") <= 1
