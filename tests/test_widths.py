@@ -73,6 +73,16 @@ def test_a_batch_checkpoints_no_bags_and_leaves_no_steps(spark, tmpdir_path, mon
     assert os.listdir(f"{tmpdir_path}/t_steps") == []
 
 
+def test_weeks_are_dealt_to_files_without_a_shuffle(spark):
+    from clickloom.plans.catalog import dealt
+
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    wide = dealt(spark.range(0, 100, 1, 12), 8)
+    assert wide.rdd.getNumPartitions() == 8 and wide.count() == 100 and "Exchange" not in plan(wide)
+    few = dealt(spark.range(0, 100, 1, 3), 8)
+    assert few.rdd.getNumPartitions() == 8 and few.count() == 100
+
+
 def test_latest_rows_of_numbers_are_found_without_a_sort(spark):
     from clickloom.sources.ads import upsert_latest
 
