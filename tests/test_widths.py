@@ -106,3 +106,8 @@ def test_ingest_reads_the_bag_once(spark):
     assert "get_json_object" not in plan("ingest_events_batch")
     again = plan("reclassify_history")
     assert "get_json_object" not in again and again.count("from_json(MapType") <= 1
+
+
+def test_event_table_is_stored_with_the_table_codec(spark):
+    files = FX.fx_silver(spark, SF).inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
