@@ -111,3 +111,23 @@ def test_ingest_reads_the_bag_once(spark):
 def test_event_table_is_stored_with_the_table_codec(spark):
     files = FX.fx_silver(spark, SF).inputFiles()
     assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_a_batch_holds_no_step_that_is_not_read_again(spark, tmpdir_path, monkeypatch):
+    import os
+
+    from test_seen import T0, body
+
+    from clickloom.config import UUID_PATTERN
+    from clickloom.sources.events import parse_bodies
+    from clickloom.streaming import ingest
+
+    batch = parse_bodies(spark.createDataFrame([(body(n, f"s{n % 2}"), T0) for n in (1, 1, 2, 3)], "body string, arrival timestamp_ntz"))
+    points, held, keep, stamp = [], [], type(batch).checkpoint, ingest.stamp_attribution
+    monkeypatch.setattr(type(batch), "checkpoint", lambda self, *a, **k: (points.append(self.columns), keep(self, *a, **k))[1])
+    monkeypatch.setattr(ingest, "stamp_attribution", lambda *a: (held.extend(os.listdir(f"{tmpdir_path}/t_steps/batch-0")), stamp(*a))[1])
+    ingest.process_batch(spark, batch, 0, f"{tmpdir_path}/t", f"{tmpdir_path}/d", "arrival", UUID_PATTERN, None, 30, buckets=2)
+    assert sorted(held) == ["candidates", "fresh"]  # the accepted rows are gone before the target is written
+    assert not any("hid" in c or "_hash" in c for c in points)  # a checkpoint would outlive the batch
+    target = spark.read.parquet(f"{tmpdir_path}/t")
+    assert all(f.endswith(".zstd.parquet") for f in target.inputFiles()) and target.count() == 2
