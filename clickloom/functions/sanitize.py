@@ -35,6 +35,8 @@ _SENSITIVE = frozenset(SENSITIVE_KEYS)
 _NUMERIC = re.compile(r"^[-+]?\d+(?:\.\d+)?$")
 _NON_NUMERIC_KEY = re.compile(NON_NUMERIC_KEY_PATTERN[4:], re.IGNORECASE)  # strip the (?i) flag
 _URL_KEY = re.compile(URL_KEY_PATTERN[4:], re.IGNORECASE)
+#: Texts up to this length are remembered with what their key's rule makes of them, so many at most.
+SHORT, REMEMBERED = 32, 50_000
 _HTTP = re.compile(r"^https?://", re.IGNORECASE)
 
 
@@ -89,6 +91,35 @@ def by_key(key: str, value):
     return [by_key(key, v) for v in value] if isinstance(value, list) else value
 
 
+def object_rules() -> Callable[[list[tuple[str, object]]], dict[str, object]]:
+    """An object's members by their rules; most are short texts that were seen before."""
+    seen: dict[tuple[str, object], object] = {}
+
+    def done(pairs: list[tuple[str, object]]) -> dict[str, object]:
+        out = {}
+        for pair in pairs:
+            key, value = pair
+            if type(value) is not str:
+                out[key] = by_key(key, value)
+            elif pair in seen:
+                out[key] = seen[pair]
+            else:
+                out[key] = text_rule(key)(value)
+                if len(value) <= SHORT:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen[pair] = out[key]
+        return out
+
+    return done
+
+
+@lru_cache(maxsize=1)
+def json_tools() -> tuple[Callable[[str], object], Callable[[object], str]]:
+    """Parser and writer of a worker, made once and not for every document."""
+    return json.JSONDecoder(object_pairs_hook=object_rules()).decode, json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
+
+
 def cut_depth(value, left: int):
     """Opt-in: replaces what lies deeper than ``left`` levels by a marker."""
     if left < 0:
@@ -102,12 +133,13 @@ def sanitize_json_text(doc: str | None, key: str = "", max_depth: int | None = N
     """Sanitised text of a JSON document that is stored under ``key``."""
     if doc is None:
         return None
+    parse, write = json_tools()
     try:
-        parsed = json.loads(doc, object_pairs_hook=lambda pairs: {k: by_key(k, v) for k, v in pairs})
+        parsed = parse(doc)
     except ValueError:
         return str(by_key(key, doc))
     parsed = by_key(key, parsed)
-    return json.dumps(parsed if max_depth is None else cut_depth(parsed, max_depth), separators=(",", ":"), ensure_ascii=False)
+    return write(parsed if max_depth is None else cut_depth(parsed, max_depth))
 
 
 def sanitize_json(doc: Column, key: str = "properties") -> Column:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 
@@ -122,3 +123,27 @@ def test_checkout_helpers(spark):
     r = df.select(ct_attributes(F.col("attrs")).alias("m"), device_bucket(F.col("w")).alias("d"),
                   device_bucket(F.lit(0)).alias("d0"), compact_map(ct_attributes(F.col("attrs"))).alias("c")).first()
     assert r.m == {"ct_a": "3", "ct_b": ""} and r.d == "tablet" and r.d0 == "desktop" and r.c == {"ct_a": "3"}
+
+
+def test_a_url_is_taken_apart_once(spark):
+    """The plan names each part of a URL once, and lambdas do not repeat it."""
+    from clickloom.functions.urls import sanitize_url
+
+    rows = [("https://A.shop:443/cart/9?utm_source=a b&fbclid=1&utm_source=c&x=1",), ("https://a.shop:8080?ref=p&ref=q",), ("mailto:a?ref=1",), ("https://a.shop/x y?",), (None,)]
+    out = spark.createDataFrame(rows, "url string").select(sanitize_url(F.col("url")).alias("u"))
+    assert out._jdf.queryExecution().analyzed().toString().count("parse_url") <= 5
+    cart, click = (hashlib.sha256(x).hexdigest()[:24] for x in (b"/cart/9", b"1"))
+    assert [r.u for r in out.collect()] == [f"https://a.shop/cart/hash-{cart}?utm_source=c&fbclid_hash={click}", "https://a.shop:8080/?ref=q", "mailto:a?ref=1", "https://a.shop/x%20y", None]
+
+
+def test_json_rules_are_remembered_by_key_and_text(monkeypatch):
+    from clickloom.functions import sanitize
+
+    asked, keep = [], sanitize.text_rule
+    monkeypatch.setattr(sanitize, "text_rule", lambda key: asked.append(key) or keep(key))
+    sanitize.json_tools.cache_clear()
+    docs = [json.dumps({"n": "1", "email": "1", "at": "1", "deep": {"n": "1", "l": ["1"]}, "long": "x" * 99})] * 3
+    assert len({sanitize.sanitize_json_text(d) for d in docs}) == 1
+    assert (asked.count("n"), asked.count("email"), asked.count("at"), asked.count("long")) == (1, 1, 1, 3)
+    assert json.loads(sanitize.sanitize_json_text(docs[0]))["n"] == 1 and json.loads(sanitize.sanitize_json_text(docs[0]))["at"] == "1"
+    sanitize.json_tools.cache_clear()
