@@ -1,5 +1,7 @@
 """What shuffles and stored steps move: narrow rows, whatever the width of the table."""
 
+from pyspark.sql import functions as F
+
 from clickloom.sources import fixtures as FX
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +133,32 @@ def test_a_batch_holds_no_step_that_is_not_read_again(spark, tmpdir_path, monkey
     assert not any("hid" in c or "_hash" in c for c in points)  # a checkpoint would outlive the batch
     target = spark.read.parquet(f"{tmpdir_path}/t")
     assert all(f.endswith(".zstd.parquet") for f in target.inputFiles()) and target.count() == 2
+
+
+def test_stream_files_are_of_one_size_and_made_of_narrow_rows(spark, tmpdir_path, monkeypatch):
+    import datetime as dt
+
+    from clickloom.plans import catalog
+
+    day = lambda n: dt.datetime(2024, 1, 1 + n)
+    rows = [(i, i % 7, day(1 if i % 10 else i // 10 % 29) + dt.timedelta(seconds=i), "view", 1.0, f'{{"k": {i % 90}}}') for i in range(1200)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string, value double, props string").repartition(3).write.parquet(f"{tmpdir_path}/events.parquet")
+    spark.createDataFrame([(i, f"https://a.example/{i}?utm_source=x") for i in range(5)], "page_id bigint, url string").write.parquet(f"{tmpdir_path}/pages.parquet")
+    monkeypatch.setattr(catalog, "events", lambda *_: (_ for _ in ()).throw(AssertionError("the event table is not needed")))
+    lines = spark.read.text(f"{catalog._stream_source(spark, tmpdir_path)}/source").select("value", F.input_file_name().alias("file"))
+    first = lines.where("value like '%2024-01-02T%'").groupBy("file").count().collect()  # one day has most rows
+    sizes = sorted(r["count"] for r in first)[-catalog.STREAM_FILES:]
+    assert len(sizes) == catalog.STREAM_FILES and max(sizes) <= 1.5 * min(sizes)
+    table = FX.fx_widened(FX.fx_rows(spark, tmpdir_path))
+    plain = FX.fx_events(spark, tmpdir_path)
+    assert table.columns == plain.columns and table.count() == plain.count() == 1200 and table.exceptAll(plain).count() == 0
+
+
+def test_a_url_without_a_query_is_not_searched_for_hints(spark):
+    from clickloom.functions.urls import with_url_hints
+
+    rows = [("https://a.example/p",), ("https://a.example/p?utm_source=x&utm_source=y&ct_session_id=s",), ("no scheme?utm_source=z q",), (None,)]
+    df = with_url_hints(spark.createDataFrame(rows, "u string"), "u", "h")
+    assert df._jdf.queryExecution().analyzed().toString().count("parse_url") == 1  # named once, also for the names' places
+    got = [(r.h.source, r.h.utm_source, r.h.ct_session_id) for r in df.collect()]
+    assert got[0] == got[3] == (None, None, None) and got[1] == ("query", "x", "s") and got[2] == ("query", "z q", None)
